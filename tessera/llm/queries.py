@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, packing, quality_rules
+from tessera.llm import chat_format, nb_svm, packing, quality_rules, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op3_zstd_toxicity": zstd_toxicity.op3_zstd_toxicity,
+    "op4_nb_svm": nb_svm.op4_nb_svm,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_chat_format": chat_format.op10_chat_format,
 }
