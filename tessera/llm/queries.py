@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, nb_svm, packing, quality_rules, zstd_toxicity
+from tessera.llm import byte_bpe, chat_format, nb_svm, packing, quality_rules, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_zstd_toxicity": zstd_toxicity.op3_zstd_toxicity,
     "op4_nb_svm": nb_svm.op4_nb_svm,
     "op7_quality_rules": quality_rules.op7_quality_rules,

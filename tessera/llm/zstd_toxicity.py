@@ -1,8 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on windows of ordinary documents, one on windows of toxic documents. As a
-toxic document is mostly ordinary text, its toxic windows are found first: those with a word that toxic training documents
-use far more often than ordinary ones. Every window of a text is compressed with the ordinary dictionary and with the
+toxic document is mostly ordinary text, the toxic side is trained on the words that toxic training documents use far more often
+than ordinary ones, each as a window of its own and as often as it occurs. Every window of a text is compressed with the ordinary dictionary and with the
 ordinary dictionary extended by the toxic one, so ordinary text compresses alike and the difference of the lengths shows
 what only the toxic dictionary knows. The share of windows whose gain reaches each of a few thresholds, and the largest
 gain, enter a logistic curve whose weights are calibrated on documents that neither dictionary has seen.
@@ -104,7 +104,7 @@ def telling_words(toxic: list[str], ordinary: list[str], ratio: float = 20.0, le
     return {w for w, c in a.items() if len(w) >= 3 and c >= least and c / n > ratio * (b[w] + 0.5) / m}
 
 
-def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary_bytes: int = 32768, toxic_bytes: int = 2048) -> Model:
+def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary_bytes: int = 32768, toxic_bytes: int = 3072) -> Model:
     """Two thirds of the texts train the dictionaries, the rest calibrates."""
     model = Model(size=size)
     p = min(max(prior, 1e-3), 1 - 1e-3)
@@ -112,8 +112,8 @@ def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary
     inner = np.arange(len(texts)) % 3 != 2
     toxic = list(dict.fromkeys(texts[i] for i in np.flatnonzero(inner & (ys == 1))))
     ordinary = list(dict.fromkeys(texts[i] for i in np.flatnonzero(inner & (ys == 0))))
-    telling = telling_words(toxic, ordinary, least=4 if len(toxic) >= 300 else 2)
-    marked = list(dict.fromkeys(w for t in toxic for w in windows(t, size) if any(x.strip(EDGE) in telling for x in w.split())))
+    telling = telling_words(toxic, ordinary, least=max(3, 3 * len(toxic) // 200))
+    marked = [b" " + w + b" " for t in toxic for w in t.lower().encode("utf-8", "surrogatepass").split() if w.strip(EDGE) in telling]
     common = list(dict.fromkeys(w for t in ordinary for w in windows(t, size)))
     rng = np.random.default_rng(5)
     common = [common[i] for i in rng.permutation(len(common))[:100_000]]
