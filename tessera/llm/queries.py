@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chat_format, nb_svm, packing, quality_rules, zstd_toxicity
+from tessera.llm import byte_bpe, chat_format, jaccard_join, nb_svm, packing, quality_rules, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_zstd_toxicity": zstd_toxicity.op3_zstd_toxicity,
     "op4_nb_svm": nb_svm.op4_nb_svm,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {
