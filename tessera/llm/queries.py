@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chat_format, jaccard_join, nb_svm, packing, quality_rules, zstd_toxicity
+from tessera.llm import byte_bpe, chat_format, jaccard_join, nb_svm, packing, prefix_trees, quality_rules, suffix_index, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_zstd_toxicity": zstd_toxicity.op3_zstd_toxicity,
     "op4_nb_svm": nb_svm.op4_nb_svm,
+    "op5_suffix_dedup": suffix_index.op5_suffix_dedup,
+    "op6_substring_dedup": prefix_trees.op6_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": prefix_trees.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }
