@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chat_format, jaccard_join, nb_svm, packing, prefix_trees, quality_rules, suffix_index, zstd_toxicity
+from tessera.llm import byte_bpe, chat_format, jaccard_join, nb_svm, nn_descent, packing, prefix_trees, quality_rules, suffix_index, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": suffix_index.op5_suffix_dedup,
     "op6_substring_dedup": prefix_trees.op6_substring_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_nn_descent": nn_descent.op8_nn_descent,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_chat_format": chat_format.op10_chat_format,
 }
