@@ -9,12 +9,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that str.split() of an ASCII bytes object treats as white space: the complement of `[^\x20\x09-\x0D]`.
 WORD_SPACE = b" \t\n\r\x0b\x0c"
 
+SPACE = np.zeros(256, bool)
+SPACE[list(WORD_SPACE)] = True
+
+
+def word_bounds(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a UTF-8 buffer start and end."""
+    inside = np.concatenate([[False], ~SPACE[body], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[::2], edge[1::2]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,12 +59,6 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{source}`"].alias(own) for own, source in columns.items()])
 
 
-def keep_all(df: DataFrame, id_col: str, verdict: DataFrame, verdict_id: str, condition: Column) -> DataFrame:
-    """The rows of df for which verdict, joined by id, meets the condition; columns of df only."""
-    ids = verdict.where(condition).select(F.col(verdict_id).alias("__id"))
-    return df.join(ids, df[id_col] == ids["__id"], "left_semi")
-
-
 def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one zstandard frame: the dtypes and lengths, then the bytes."""
     head = ";".join(f"{a.dtype.str},{a.size}" for a in arrays).encode()

@@ -22,12 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_SPACE, Writer, only, rows, table
+from tessera.llm.common import Writer, only, rows, table, word_bounds
 from tessera.llm.labelled import remainder, training_sample
 
 BITS = 18
-SPACE = np.zeros(256, bool)
-SPACE[list(WORD_SPACE)] = True
 #: Character classes of bytes: other, lower, upper, digit, stop, bracket or quote, sign, part of a longer character.
 CLASS = np.zeros(256, np.uint32)
 for _k, _s in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:", b"()[]{}'\"", b"!?*#%&$|<>@^~+=/\\_-", bytes(range(128, 256))), 1):
@@ -45,9 +43,7 @@ def features(text: str | None) -> np.ndarray:
     if len(raw) >= 4:
         found.append(mixed(np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,))))
     buf = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate([[False], ~SPACE[buf], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
+    start, end = word_bounds(buf)
     if len(start):
         size = (end - start).astype(np.uint32)
         sums = np.concatenate([[0], np.cumsum(buf.astype(np.uint32) * (CLASS[buf] + np.uint32(257)), dtype=np.uint32)]).astype(np.uint32)

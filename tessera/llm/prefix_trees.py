@@ -19,8 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.common import only, table
+from tessera.llm.common import only, table, word_bounds
 from tessera.llm.repeats import Words, repeats
 
 
@@ -79,7 +80,7 @@ class TreeMatcher:
 
     def __call__(self, strings: list[bytes], ids: np.ndarray) -> np.ndarray:
         number: dict[bytes, int] = {}
-        words = [[number.setdefault(w, len(number) + 1) for w in s.split(b" ")] for s in strings]
+        words = [[number.setdefault(w, len(number) + 1) for w in s.split()] for s in strings]
         size = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter((x for w in words for x in w), np.uint32, int(size.sum()))
         n = np.maximum(size - self.length + 1, 0)
@@ -94,28 +95,45 @@ class TreeMatcher:
         return out
 
 
-DEDUPED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
-DEDUPED_SQL = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+DEDUPED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("carried", pa.string())])
+DEDUPED_SQL = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, carried string"
+
+
+def without(text: bytes, hidden: np.ndarray) -> bytes:
+    """The text without its hidden words and the white space after each of them."""
+    if not hidden.any():
+        return text
+    body = np.frombuffer(text, np.uint8)
+    start, _ = word_bounds(body)
+    change = np.zeros(len(body) + 1, np.int32)
+    np.add.at(change, start[hidden], 1)
+    np.add.at(change, np.append(start[1:], len(body))[hidden], -1)
+    return body[np.cumsum(change)[:-1] == 0].tobytes()
 
 
 class SubstringDedup:
     def __init__(self, length: int = 13, bound: int = 200_000, block_bytes: int = 6_000_000, portion: int = 8_000_000) -> None:
         self.length, self.bound, self.block_bytes, self.portion = length, bound, block_bytes, portion
 
-    def remove(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256 and, unless left out, the kept words with single spaces between."""
+    def remove(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = True, carry: list[str] | None = None) -> DataFrame:
+        """doc_id, n_words, n_removed, kept_sha256 (of the kept words with single spaces between) and, unless left out,
+        the text that is kept, white space and all. `carried` holds the columns named in carry as JSON."""
         length, bound = self.length, self.bound
 
-        def finish(doc_id: int | None, text: bytes, hidden: np.ndarray) -> tuple:
+        def finish(doc_id: int | None, text: bytes, hidden: np.ndarray, carried: str) -> tuple:
+            words = text.split()
             removed = int(np.count_nonzero(hidden))
-            rest = text
             if removed:
-                rest = b" ".join([w for w, gone in zip(text.split(b" "), hidden.tolist(), strict=True) if not gone])
-            return (doc_id, len(hidden), removed, hashlib.sha256(rest).hexdigest(), *([rest.decode("utf-8", "surrogatepass")] if kept else []))
-
-        schema = DEDUPED if kept else pa.schema(list(DEDUPED)[:-1])
-        sql = DEDUPED_SQL if kept else DEDUPED_SQL.removesuffix(", kept string")
-        return repeats(only(docs, doc_id=id_col, text=text_col), Words(length), lambda: TreeMatcher(length, bound), finish, schema, sql, self.block_bytes, self.portion)
+                words = [w for w, gone in zip(words, hidden.tolist(), strict=True) if not gone]
+            row = (doc_id, len(hidden), removed, hashlib.sha256(b" ".join(words)).hexdigest())
+            return (*row, without(text, hidden).decode("utf-8", "surrogatepass"), carried) if kept else row
+
+        schema = DEDUPED if kept else pa.schema(list(DEDUPED)[:-2])
+        sql = DEDUPED_SQL if kept else DEDUPED_SQL.removesuffix(", kept string, carried string")
+        named = only(docs, doc_id=id_col, text=text_col)
+        if carry:
+            named = docs.select(docs[f"`{id_col}`"].alias("doc_id"), docs[f"`{text_col}`"].alias("text"), F.to_json(F.struct(*[docs[f"`{c}`"] for c in carry])).alias("carried"))
+        return repeats(named, Words(length), lambda: TreeMatcher(length, bound), finish, schema, sql, self.block_bytes, self.portion)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Writer, pack, parts, rows, unpack, written
+from tessera.llm.common import SPACE, Writer, pack, parts, rows, unpack, word_bounds, written
 
 NO_ID = np.iinfo(np.int64).max
 #: A matcher gets distinct strings, smallest ids first, with these ids; it gives for every window of every string, one
@@ -73,20 +73,16 @@ class Bytes:
 
 
 class Words:
-    """Symbols are words; prepared texts hold them with single spaces between."""
+    """Symbols are words, whatever white space is between."""
 
     def __init__(self, window: int = 13, gram: int = 2) -> None:
         self.window, self.gram = window, gram
 
     def prepared(self, text: str | None) -> bytes:
-        return b" ".join((text or "").encode("utf-8", "surrogatepass").split())
+        return (text or "").encode("utf-8", "surrogatepass")
 
     def bounds(self, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of words stand at spaces; a body is texts with a space after each."""
-        end = np.flatnonzero(body == 32)
-        start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-        solid = start < end
-        return start[solid], end[solid]
+        return word_bounds(body)
 
     def hashes(self, body: np.ndarray, start: np.ndarray, end: np.ndarray, portion: int = 150_000) -> np.ndarray:
         """A 64-bit hash of each word, by its bytes and their places in it."""
@@ -98,7 +94,7 @@ class Words:
             place = np.arange(len(seg), dtype=np.uint64)
             place -= np.repeat((s - base).astype(np.uint64), np.diff(np.append(s, base + len(seg))))
             keyed = BYTE_KEYS[seg] * (place * np.uint64(2) + np.uint64(1)) ^ (BYTE_KEYS[seg] >> np.uint64(17))
-            keyed[(e - base)] = 0
+            keyed[SPACE[seg]] = 0
             out[at : at + portion] = np.add.reduceat(keyed, s - base)
         return mix(out)
 
@@ -111,7 +107,7 @@ class Words:
         return mix(out)
 
     def count(self, piece: bytes) -> int:
-        return piece.count(b" ") + 1
+        return len(piece.split())
 
 
 Symbols = Bytes | Words
@@ -195,7 +191,7 @@ SENT_SQL = "block bigint, bucket int, body binary"
 
 
 def blocks(docs: DataFrame, kind: Symbols, block_bytes: int) -> DataFrame:
-    """docs has doc_id and text. Rows of (block, -1, body), the documents of a body by id."""
+    """docs has doc_id, text and carried. Rows of (block, -1, body), the documents of a body by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -203,14 +199,14 @@ def blocks(docs: DataFrame, kind: Symbols, block_bytes: int) -> DataFrame:
         out = Writer(SENT)
 
         def done() -> None:
-            group.sort(key=lambda g: (g[0] is None, g[0] or 0, g[1]))
-            texts = [t for _, t in group]
-            ids = np.array([NO_ID if k is None else k for k, _ in group], np.int64)
-            out.add(number, -1, pack(ids, np.array([k is None for k, _ in group], np.uint8), np.array([len(t) for t in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8), level=3))
+            group.sort(key=lambda g: (g[0] is None, g[0] or 0, *g[1:]))
+            ids, null = np.array([NO_ID if g[0] is None else g[0] for g in group], np.int64), np.array([g[0] is None for g in group], np.uint8)
+            cells = [c for k in (1, 2) for c in (np.array([len(g[k]) for g in group], np.int64), np.frombuffer(b"".join([g[k] for g in group]), np.uint8))]
+            out.add(number, -1, pack(ids, null, *cells, level=3))
 
-        for doc_id, text in rows(batches, "doc_id", "text"):
+        for doc_id, text, carried in rows(batches, "doc_id", "text", "carried"):
             t = kind.prepared(text)
-            group.append((doc_id, t))
+            group.append((doc_id, t, (carried or "").encode()))
             size += len(t) + 1
             if size >= block_bytes or len(group) >= 20_000:
                 done()
@@ -224,10 +220,14 @@ def blocks(docs: DataFrame, kind: Symbols, block_bytes: int) -> DataFrame:
     return written(docs.mapInArrow(run, SENT_SQL), "repeat-blocks")
 
 
-def opened(body: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    ids, null, sizes, flat = unpack(body)
-    raw, ends = flat.tobytes(), np.cumsum(sizes).tolist()
-    return ids, null.astype(bool), [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def opened(body: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+    ids, null, *cells = unpack(body)
+    return ids, null.astype(bool), cut(*cells[:2]), cut(*cells[2:])
+
+
+def cut(sizes: np.ndarray, flat: np.ndarray) -> list[bytes]:
+    raw, ends = flat.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def sent(kind: Symbols, buckets: int) -> Callable:
@@ -236,7 +236,7 @@ def sent(kind: Symbols, buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Writer(SENT)
         for block, body in rows(batches, "block", "body"):
-            ids, null, texts = opened(body)
+            ids, null, texts, _ = opened(body)
             b = Block(kind, texts)
             strings, of = b.strings()
             if not strings:
@@ -271,8 +271,7 @@ def matched(kind: Symbols, matcher: Callable[[], Matcher], portion: int) -> Call
             number.append(np.cumsum(some.astype(np.int64)))
             low.append(lows)
             high.append(lows + span)
-            raw, ends = flat.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
-            strings += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            strings += cut(sizes, flat)
         group.clear()
         block, number, low, high = map(np.concatenate, (block, number, low, high))
         key = minimizers(kind, strings)
@@ -284,11 +283,11 @@ def matched(kind: Symbols, matcher: Callable[[], Matcher], portion: int) -> Call
         if not len(order):
             return
         lengths = np.fromiter((len(strings[i]) for i in order.tolist()), np.int64, len(order))
-        cut = np.cumsum(lengths) // portion
+        portions = np.cumsum(lengths) // portion
         # A portion ends with its minimizer's last string.
-        cut = cut[np.searchsorted(group_of, group_of, "right") - 1]
+        portions = portions[np.searchsorted(group_of, group_of, "right") - 1]
         found: dict[int, list] = {}
-        for some in np.split(order, np.flatnonzero(np.diff(cut)) + 1):
+        for some in np.split(order, np.flatnonzero(np.diff(portions)) + 1):
             for name, *arrays in answers(some, [strings[i] for i in some.tolist()], block, number, low, high):
                 found.setdefault(name, []).append(arrays)
         for name, replies in found.items():
@@ -365,9 +364,10 @@ def hidden_symbols(b: Block, ids: np.ndarray, null: np.ndarray, replies: list[li
 
 
 def repeats(docs: DataFrame, kind: Symbols, matcher: Callable[[], Matcher], finish: Callable, schema: pa.Schema, schema_sql: str, block_bytes: int, portion: int) -> DataFrame:
-    """finish(doc_id, text, hidden symbol marks) gives a document's row; docs has doc_id and text."""
+    """finish(doc_id, text, hidden symbol marks, carried) gives a document's row; docs has doc_id, text and perhaps carried,
+    a string that goes along."""
     n = parts(docs.sparkSession)
-    stored = blocks(docs, kind, block_bytes)
+    stored = blocks(docs if "carried" in docs.columns else docs.withColumn("carried", F.lit("")), kind, block_bytes)
     asked = stored.mapInArrow(sent(kind, n), SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
     replies = asked.mapInArrow(matched(kind, matcher, portion), SENT_SQL)
 
@@ -380,11 +380,11 @@ def repeats(docs: DataFrame, kind: Symbols, matcher: Callable[[], Matcher], fini
             if bucket >= 0:
                 got.append(unpack(body))
                 continue
-            ids, null, texts = opened(body)
+            ids, null, texts, carried = opened(body)
             b = Block(kind, texts)
             marks = hidden_symbols(b, ids, null, got)
             for i, text in enumerate(texts):
-                row = finish(None if null[i] else int(ids[i]), text, marks[b.first_symbol[i] : b.last_symbol[i]])
+                row = finish(None if null[i] else int(ids[i]), text, marks[b.first_symbol[i] : b.last_symbol[i]], carried[i].decode())
                 if out.add(*row, size=len(text)):
                     yield out.take()
         yield out.take()

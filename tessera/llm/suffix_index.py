@@ -101,7 +101,7 @@ class SuffixDedup:
         """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, unless left out, the remaining bytes."""
         length, batch = self.length, self.batch
 
-        def finish(doc_id: int | None, text: bytes, hidden: np.ndarray) -> tuple:
+        def finish(doc_id: int | None, text: bytes, hidden: np.ndarray, _: str) -> tuple:
             spans = int(np.count_nonzero(np.diff(hidden.astype(np.int8), prepend=0) == 1))
             rest = np.frombuffer(text, np.uint8)[~hidden].tobytes() if spans else text
             return (doc_id, len(text), len(text) - len(rest), spans, hashlib.sha256(rest).hexdigest(), *([rest] if kept else []))
