@@ -150,9 +150,9 @@ WITH t AS (
 ), firsts AS (
   SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM windows
 ), hidden AS (
-  SELECT DISTINCT doc_id, i + j AS at FROM firsts, range(0, 13) AS r(j) WHERE f < doc_id
+  SELECT DISTINCT doc_id, i + j AS pos FROM firsts, range(0, 13) AS r(j) WHERE f < doc_id
 ), gone AS (
-  SELECT doc_id, list(at) AS ats, count(*) AS n FROM hidden GROUP BY doc_id
+  SELECT doc_id, list(pos) AS ats, count(*) AS n FROM hidden GROUP BY doc_id
 )
 SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
