@@ -112,7 +112,7 @@ def without(text: bytes, hidden: np.ndarray) -> bytes:
 
 
 class SubstringDedup:
-    def __init__(self, length: int = 13, bound: int = 200_000, block_bytes: int = 6_000_000, portion: int = 8_000_000) -> None:
+    def __init__(self, length: int = 13, bound: int = 200_000, block_bytes: int = 6_000_000, portion: int = 3_000_000) -> None:
         self.length, self.bound, self.block_bytes, self.portion = length, bound, block_bytes, portion
 
     def remove(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = True, carry: list[str] | None = None) -> DataFrame:

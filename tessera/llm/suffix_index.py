@@ -94,7 +94,7 @@ DEDUPED_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint,
 
 
 class SuffixDedup:
-    def __init__(self, length: int = 50, batch: int = 100_000, block_bytes: int = 6_000_000, portion: int = 8_000_000) -> None:
+    def __init__(self, length: int = 50, batch: int = 100_000, block_bytes: int = 6_000_000, portion: int = 3_000_000) -> None:
         self.length, self.batch, self.block_bytes, self.portion = length, batch, block_bytes, portion
 
     def remove(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = True) -> DataFrame:
