@@ -1,8 +1,9 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 1. Every map task splits its texts into pre-tokens. Within a block of documents each distinct pre-token gets a number; the
-   block's documents are rewritten as those numbers in order of position, and written to the shared folder with the
-   block's list of pre-tokens, cut into buckets by the pre-tokens' hash.
+   block's documents are rewritten as those numbers in order of position, frequent ones small, and shuffled once by
+   block with the block's list of pre-tokens, cut into buckets by the pre-tokens' hash. Both later steps read this one
+   exchange.
 2. The lists are shuffled by bucket, so that a pre-token's copies meet, each distinct one is encoded once, and the ids go
    back to the blocks that asked. A pre-token moves once a block however often it occurs, so none is hot.
 3. A block's documents are reassembled by position from the ids. Decoding joins each id with the token-byte table.
@@ -23,14 +24,15 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm.common import Writer, only, pack, parts, rows, table, unpack, written
+from tessera.llm.common import Writer, only, pack, parts, rows, table, unpack
 
 BLOCK_CHARS = 6_000_000
+BLOCK_SQL = "block bigint, bucket int, body binary"
 BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
 
 
@@ -80,6 +82,15 @@ def plain(text: str) -> bool:
     return IRREGULAR.search(text) is None
 
 
+def planes(codes: np.ndarray) -> list[np.ndarray]:
+    """The bytes of numbers below 2**24, low ones first: each plane compresses by itself."""
+    return [(codes >> np.uint32(8 * k)).astype(np.uint8) for k in range(3)]
+
+
+def from_planes(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint32) | (mid.astype(np.uint32) << np.uint32(8)) | (high.astype(np.uint32) << np.uint32(16))
+
+
 def bucket_of(words: list[bytes], n: int) -> np.ndarray:
     import zlib
 
@@ -134,13 +145,18 @@ class ByteBpe:
             def block() -> pa.RecordBatch:
                 out = Writer(BLOCK)
                 sizes = np.array([len(f) for f in found], np.uint32)
-                out.add(base + count, -1, pack(np.array(ids, np.int64), np.array(null, np.uint8), sizes, np.concatenate([*found, np.zeros(0, np.uint32)])))
-                raw = [w.encode("utf-8", "surrogatepass") for w in words]
+                flat = np.concatenate([*found, np.zeros(0, np.uint32)])
+                by_use = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), np.uint32)
+                rank[by_use] = np.arange(len(words), dtype=np.uint32)
+                out.add(base + count, -1, pack(np.array(ids, np.int64), np.array(null, np.uint8), sizes, *planes(rank[flat]), level=3))
+                names = list(words)
+                raw = [names[i].encode("utf-8", "surrogatepass") for i in by_use.tolist()]
                 by = bucket_of(raw, n)
                 order = np.argsort(by, kind="stable")
                 for some in np.split(order, np.flatnonzero(np.diff(by[order])) + 1):
                     if len(some):
-                        out.add(base + count, int(by[some[0]]), pack(some.astype(np.uint32), *joined([raw[i] for i in some])))
+                        out.add(base + count, int(by[some[0]]), pack(np.diff(some, prepend=0).astype(np.uint32), *joined([raw[i] for i in some]), level=3))
                 return out.take()
 
             for doc_id, text in rows(batches, "doc_id", "text"):
@@ -155,7 +171,7 @@ class ByteBpe:
             if ids:
                 yield block()
 
-        return written(only(docs, doc_id=id_col, text=text_col).mapInArrow(run, "block bigint, bucket int, body binary"), "bpe-blocks")
+        return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, BLOCK_SQL).repartition(n, "block")
 
     def word_ids(self, blocks: DataFrame) -> DataFrame:
         """For each block and bucket the ids of its pre-tokens: every distinct pre-token of a bucket is encoded once."""
@@ -174,51 +190,49 @@ class ByteBpe:
                     if got is None:
                         known[w] = got = encode(w)
                     ids.append(got)
-                reply = pack(numbers, np.array([len(x) for x in ids], np.uint32), np.fromiter(chain.from_iterable(ids), np.uint16 if max(map(max, ids), default=0) < 65536 else np.uint32))
+                reply = pack(numbers, np.array([len(x) for x in ids], np.uint8 if max(map(len, ids)) < 256 else np.uint32), np.fromiter(chain.from_iterable(ids), np.uint16 if max(map(max, ids), default=0) < 65536 else np.uint32), level=3)
                 if out.add(block, bucket, reply, size=len(reply)):
                     yield out.take()
             yield out.take()
 
-        asked = blocks.where("bucket >= 0").repartition(parts(blocks.sparkSession), "bucket").sortWithinPartitions("bucket")
-        return asked.mapInArrow(run, "block bigint, bucket int, body binary")
+        def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pc.greater_equal(b.column(1), 0))
+
+        n = parts(blocks.sparkSession)
+        asked = blocks.mapInArrow(lists, BLOCK_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
+        return asked.mapInArrow(run, BLOCK_SQL).repartition(n, "block")
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, ids: bool = True) -> DataFrame:
         """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless left out, the ids themselves."""
         path, blocks = self.path, self.blocks(docs, id_col, text_col, block_chars)
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if ids else [])])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows of a block come together, its documents last."""
-            out, pieces, now = Writer(schema, limit_bytes=4 << 20), [], None
-            table_ = token_bytes(path)
-            for block, bucket, body in rows(batches, "block", "bucket", "body"):
-                if block != now:
-                    now, pieces = block, []
+        def run(own: pa.Table, replies: pa.Table) -> pa.Table:
+            out, done, table_ = Writer(schema), [], token_bytes(path)
+            pieces = [unpack(x) for x in replies.column("body").to_pylist()]
+            numbers = np.concatenate([*[np.cumsum(p[0].astype(np.int64)) for p in pieces], np.zeros(0, np.int64)])
+            sizes = np.concatenate([*[p[1] for p in pieces], np.zeros(0, np.uint32)]).astype(np.int64)
+            values = np.concatenate([*[p[2] for p in pieces], np.zeros(0, np.uint16)]).astype(np.int32)
+            first, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+            first[numbers], size[numbers] = np.cumsum(sizes) - sizes, sizes
+            for bucket, body in zip(own.column("bucket").to_pylist(), own.column("body"), strict=True):
                 if bucket >= 0:
-                    pieces.append(unpack(body))
                     continue
-                numbers = np.concatenate([*[p[0] for p in pieces], np.zeros(0, np.uint32)])
-                sizes = np.concatenate([*[p[1] for p in pieces], np.zeros(0, np.uint32)]).astype(np.int64)
-                values = np.concatenate([*[p[2] for p in pieces], np.zeros(0, np.uint16)]).astype(np.int32)
-                starts = np.cumsum(sizes) - sizes
-                first, size = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
-                first[numbers], size[numbers] = starts, sizes
-                doc_ids, null, n_words, words = unpack(body)
-                at = 0
+                doc_ids, null, n_words, *codes = unpack(body.as_py())
+                words, at = from_planes(*codes), 0
                 for doc_id, is_null, n in zip(doc_ids.tolist(), null.tolist(), n_words.tolist(), strict=True):
                     w = words[at : at + n]
                     at += n
                     got = ragged(values, first[w], size[w]).tolist()
                     text = b"".join([table_[i] for i in got])
                     row = [None if is_null else doc_id, len(got), hashlib.sha256(" ".join(map(str, got)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()]
-                    if out.add(*row, *([got] if ids else []), size=4 * len(got) if ids else 200):
-                        yield out.take()
-            yield out.take()
+                    if out.add(*row, *([got] if ids else [])):
+                        done.append(out.take())
+            return pa.Table.from_batches([*done, out.take()])
 
-        n = parts(docs.sparkSession)
-        both = self.word_ids(blocks).unionByName(blocks.where("bucket < 0"))
-        together = both.repartition(n, "block").sortWithinPartitions("block", F.col("bucket") < 0)
-        return together.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
+        columns = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+        return blocks.groupBy("block").cogroup(self.word_ids(blocks).groupBy("block")).applyInArrow(run, columns)
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
