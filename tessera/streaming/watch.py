@@ -22,7 +22,7 @@ from tessera.sources.files import excluded, lines
 def fingerprint(files: DataFrame) -> DataFrame:
     """One number for a set of (path, stamp), whatever their order: hashes added up, wrapping."""
     total = F.sum(F.xxhash64("path", "stamp").cast("decimal(38,0)"))
-    return files.agg(F.pmod(total, F.lit(2**63).cast("decimal(38,0)")).alias("fingerprint"), F.count("*").alias("n"))
+    return files.agg(F.pmod(total, F.expr("CAST('9223372036854775808' AS DECIMAL(38,0))")).alias("fingerprint"), F.count("*").alias("n"))
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, rules: list[Rule], once: bool = True, seconds: int = 5, after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
