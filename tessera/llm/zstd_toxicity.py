@@ -7,8 +7,8 @@ ordinary dictionary extended by the toxic one, so ordinary text compresses alike
 what only the toxic dictionary knows. The share of windows whose gain reaches each of a few thresholds, and the largest
 gain, enter a logistic curve whose weights are calibrated on documents that neither dictionary has seen.
 
-At most `per_class` labelled documents a class are used, and of each at most `sample_bytes` of text for training, both
-documented bounds; every document is scored on its whole text. Null and empty texts have no windows and no gain. Null ids
+At most `per_class` labelled documents a class are used (twice as many ordinary ones), and of a text of more than
+`sample_chars` characters pieces spread over all of it, both documented bounds of the fit alone; every document is scored on its whole text. Null and empty texts have no windows and no gain. Null ids
 are scored and count as an empty text for the held-out rows. Repeated rows score alike. Where a class has too few labelled
 windows to train a dictionary, every score is the share of label 1. Empty tables give an empty result; extra columns are
 ignored.
@@ -91,6 +91,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.measures(text) @ np.array(self.weights), -30, 30))))
 
 
+def spread(text: str, limit: int, piece: int = 400) -> str:
+    """The text, or pieces at even distances over all of it, of about `limit` characters together."""
+    if len(text) <= limit:
+        return text
+    n = max(1, limit // piece)
+    return " ".join(text[i * (len(text) - piece) // max(1, n - 1) :][:piece] for i in range(n))
+
+
 def telling_words(toxic: list[str], ordinary: list[str], ratio: float = 20.0, least: int = 4) -> set[bytes]:
     """Words that toxic texts hold `ratio` times as often as ordinary ones, counted once a text."""
     def count(texts: list[str]) -> Counter:
@@ -130,16 +138,21 @@ def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary
 
 
 class CompressionToxicity:
-    """per_class bounds the labelled documents of each class; sample_bytes what is read of one for training."""
+    """per_class bounds the labelled documents of each class; sample_chars what is read of one for training."""
 
-    def __init__(self, label: str = "toxic", modulus: int = 4, held_out: int = 2, per_class: int = 2400, sample_bytes: int = 6000) -> None:
-        self.label, self.modulus, self.held_out, self.per_class, self.sample_bytes = label, modulus, held_out, per_class, sample_bytes
+    def __init__(self, label: str = "toxic", modulus: int = 4, held_out: int = 2, per_class: int = 2400, sample_chars: int = 20_000) -> None:
+        self.label, self.modulus, self.held_out, self.per_class, self.sample_chars = label, modulus, held_out, per_class, sample_chars
         self.model = Model()
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CompressionToxicity:
         sample = training_sample(docs, labels, self.label, self.modulus, self.held_out, {0: 2 * self.per_class, 1: self.per_class}, id_col, text_col)
-        got = sample.select("doc_id", "label", F.substring("text", 1, self.sample_bytes).alias("text")).collect()
-        got = sorted(got, key=lambda r: ((r.doc_id * 2654435761) % 4294967291, r.doc_id))
+        limit = self.sample_chars
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([spread(t, limit) for t in b.column(2).to_pylist()], pa.string())], names=["doc_id", "label", "text"])
+
+        got = sorted(sample.mapInArrow(run, "doc_id bigint, label int, text string").collect(), key=lambda r: ((r.doc_id * 2654435761) % 4294967291, r.doc_id))
         usable = labels.where(F.col(f"`{self.label}`").isNotNull() & (remainder(F.col(f"`{id_col}`"), self.modulus) != self.held_out))
         share = usable.agg(F.avg(F.col(f"`{self.label}`").cast("double"))).first()[0]
         self.model = fit([r.text for r in got], np.array([r.label for r in got]), share if share is not None else 0.5)

@@ -5,7 +5,7 @@ import pytest
 
 from tessera.llm.labelled import training_sample
 from tessera.llm.nb_svm import NaiveBayesSvm, dual_coordinate_descent, features, fit, log_count_ratios
-from tessera.llm.zstd_toxicity import CompressionToxicity, Model, trained, windows
+from tessera.llm.zstd_toxicity import CompressionToxicity, Model, spread, trained, windows
 
 SF = "/root/testdata/sf0.01"
 
@@ -86,3 +86,9 @@ def test_known_text_gains():
     model = Model(trained(plain, 4096), b" dreadful insult " * 3)
     assert model.gains("a dreadful insult")[0] >= 4 and model.gains("ordinary calm words").max() <= 2
     assert len(model.gains("")) == 0 and model.score(None) == pytest.approx(0.5)
+
+
+def test_spread_reaches_the_end():
+    text = "".join(chr(97 + i % 26) for i in range(100_000))
+    got = spread(text, 4000)
+    assert spread("short", 4000) == "short" and len(got) < 4100 and got.endswith(text[-50:]) and got.startswith(text[:50])
