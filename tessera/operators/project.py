@@ -1,0 +1,151 @@
+"""What a project is made of: stack, entry points, containers, calls abroad; documents generated from it and their drift."""
+
+from __future__ import annotations
+
+import hashlib
+import tomllib
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from tessera.functions.text import diagram_label, module_of, occurrences, without_credentials
+from tessera.operators.gate import Policy
+from tessera.sources.files import is_test_path
+
+#: Files that mark a stack.
+MARKERS = {
+    "Cargo.toml": "rust", "go.mod": "go", "package.json": "node", "pyproject.toml": "python", "requirements.txt": "python", "setup.py": "python", "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "kotlin",
+    "composer.json": "php", "Gemfile": "ruby", "Package.swift": "swift", "pubspec.yaml": "dart", "build.sbt": "scala", "CMakeLists.txt": "cpp", "Makefile": "make", "tauri.conf.json": "tauri",
+}
+
+
+def stacks(files: DataFrame) -> DataFrame:
+    """(stack, n): stacks by their marker files."""
+    names = F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])
+    base = F.regexp_extract("path", r"([^/]*)$", 1)
+    return files.where(base.isin(*MARKERS)).groupBy(F.element_at(names, base).alias("stack")).agg(F.count("*").alias("n"))
+
+
+def entry_points(lines: DataFrame) -> DataFrame:
+    """(path): files that start a program, tests aside."""
+    named = F.regexp_extract("path", r"([^/]*)$", 1).rlike(r"^(main|index|app|server|manage|__main__)\.[a-z]+$")
+    main = F.col("line").rlike(r"^\s*(?:func main\(|fn main\(|if __name__ ==|public static void main|int main\(|fun main\()")
+    return lines.where(~is_test_path(F.col("path"))).groupBy("path").agg(F.bool_or(named | main).alias("entry")).where("entry").select("path")
+
+
+def masked(content: Column) -> Column:
+    """Comments and string contents of C-like and Python-like code blanked, lines kept: what is left is code."""
+    blank = lambda text, pattern: F.regexp_replace(text, pattern, "")
+    out = F.regexp_replace(content, r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", "\"\"")
+    out = blank(out, r"(?m)(?://|#).*$")
+    # A block comment gives way to as many line feeds as it has.
+    parts = F.split(out, r"/\*", -1)
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.repeat(F.lit("\n"), occurrences(F.substring_index(p, "*/", 1), "\n").cast("int")), F.when(F.instr(p, "*/") > 0, F.regexp_replace(p, r"(?s)^.*?\*/", "")).otherwise(F.lit(""))))
+    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+
+
+def rust_test_regions(lines: DataFrame) -> DataFrame:
+    """(path, line_no): lines of Rust modules under a test attribute, up to the brace that closes them at their indent."""
+    frame = Window.partitionBy("path").orderBy("line_no")
+    mark = lines.where("ext = 'rs'").withColumn("opens", F.lag(F.trim("line")).over(frame).startswith("#[cfg(test)]"))
+    indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
+    opened = F.last(F.when(F.col("opens"), F.struct("line_no", indent.alias("i"))), ignorenulls=True).over(frame.rowsBetween(Window.unboundedPreceding, 0))
+    placed = mark.withColumn("open", opened).where("open IS NOT NULL")
+    close = placed.where((F.trim("line") == "}") & (F.length(F.regexp_extract("line", r"^(\s*)", 1)) == F.col("open.i"))).groupBy(F.col("path").alias("file"), F.col("open.line_no").alias("at")).agg(F.min("line_no").alias("until"))
+    return placed.join(close, (F.col("path") == F.col("file")) & (F.col("open.line_no") == F.col("at")) & (F.col("line_no") <= F.col("until"))).select("path", "line_no")
+
+
+def containers(lines: DataFrame) -> DataFrame:
+    """(kind, name, path): base images and the services of compose files."""
+    image = F.regexp_extract("line", r"(?i)^\s*FROM\s+(\S+)", 1)
+    base = lines.where("ext = 'dockerfile'").select(F.lit("image").alias("kind"), image.alias("name"), "path").where("name <> ''")
+    frame = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    top = F.nullif(F.regexp_extract("line", r"^(\w+):", 1), F.lit(""))
+    compose = lines.where(F.col("ext").isin("yml", "yaml")).withColumn("section", F.last(top, ignorenulls=True).over(frame))
+    service = compose.where("section = 'services'").select(F.lit("service").alias("kind"), F.regexp_extract("line", r"^  ([\w\-]+):\s*$", 1).alias("name"), "path").where("name <> ''")
+    return base.unionByName(service).distinct()
+
+
+CALLS = ((r"(?:requests|httpx|axios|http)\.(?:get|post|put|delete|patch)\(\s*[rbf]?['\"`]([^'\"`]+)", "http"), (r"\bfetch\(\s*['\"`]([^'\"`]+)", "http"), (r"http\.(?:Get|Post|NewRequest)\([^\"]*\"([^\"]+)\"", "http"), (r"grpc\.(?:Dial|NewClient|insecure_channel)\(\s*['\"]([^'\"]+)", "rpc"), (r"@FeignClient\([^)]*\"([^\"]+)\"", "feign"), (r"(?:WebClient|RestTemplate).*\"(https?://[^\"]+)\"", "http"), (r"reqwest::(?:get|Client).*\"(https?://[^\"]+)\"", "http"))
+
+
+def outbound_calls(lines: DataFrame) -> DataFrame:
+    """(module, target, protocol, path, line_no)"""
+    hits = F.array_compact(F.array(*[F.when(F.length(F.regexp_extract("line", p, 1)) > 0, F.struct(F.regexp_extract("line", p, 1).alias("target"), F.lit(k).alias("protocol"))) for p, k in CALLS]))
+    found = lines.where(~is_test_path(F.col("path"))).select("path", "line_no", F.explode(hits).alias("h"))
+    return found.select(module_of(F.col("path")).alias("module"), without_credentials(F.col("h.target")).alias("target"), "h.protocol", "path", "line_no").distinct()
+
+
+#: Calls whose result is a model's output, and what must not get it.
+MODEL_CALLS = ("chat.completions.create", "completions.create", "messages.create", "generate_content", "llm.invoke", "llm.predict", "chain.run", "chain.invoke", "client.chat", "model.generate", "pipeline(", "ollama.generate", "ollama.chat", "completion(", "ask_llm(")
+
+
+def model_output_findings(lines: DataFrame) -> DataFrame:
+    """(path, line_no, rule, severity): variables that hold model output, directly or by one alias, and reach an exec or a raw
+    markup sink further down in the same function. A line is tested before what it assigns counts, so none taints itself."""
+    frame = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    source = lines.where(F.col("ext").isin("py", "js", "ts", "jsx", "tsx"))
+    region = source.withColumn("region", F.sum(F.col("line").rlike(r"^(?:export\s+)?(?:async\s+)?(?:def|function|class)\b").cast("int")).over(frame))
+    called = F.lit(False)
+    for c in MODEL_CALLS:
+        called = called | F.col("line").contains(c)
+    name = F.regexp_extract("line", r"^\s*(?:const|let|var)?\s*(\w+)\s*=[^=]", 1)
+    direct = region.where(called & (name != "")).select("path", "region", name.alias("var"), F.col("line_no").alias("since"))
+    alias = region.where(name != "").select("path", "region", name.alias("to"), F.regexp_extract("line", r"=\s*(?:await\s+)?(\w+)[.\[]?", 1).alias("var"), "line_no").join(direct, ["path", "region", "var"]).where("line_no > since").select("path", "region", F.col("to").alias("var"), F.col("line_no").alias("since"))
+    tainted = direct.unionByName(alias).distinct()
+    met = region.join(tainted, ["path", "region"]).where("line_no > since")
+    in_call = F.expr(r"line RLIKE concat('(?:\\beval|\\bexec|subprocess\\.\\w+|os\\.system|child_process\\.\\w+)\\([^)]*\\b', var, '\\b')")
+    shown = F.expr(r"line RLIKE '(?:innerHTML\\s*=|dangerouslySetInnerHTML|document\\.write\\()' AND line RLIKE concat('\\b', var, '\\b')")
+    rule = F.when(in_call, "taint-llm-output-exec").when(shown, "taint-llm-output-raw-html")
+    return met.withColumn("rule", rule).where("rule IS NOT NULL").select("path", "line_no", "rule", F.when(F.col("rule") == "taint-llm-output-exec", 4).otherwise(3).alias("severity")).distinct()
+
+
+def load_policy(text: str, pin: str | None = None) -> tuple[Policy, list[str]]:
+    """A policy from TOML and what is wrong with it; any fault gives the default policy whole. A pin is the text's SHA-256."""
+    if pin and hashlib.sha256(text.encode()).hexdigest() != pin:
+        return Policy(), ["the text does not match its pin"]
+    try:
+        raw = tomllib.loads(text)
+        names = ("info", "low", "medium", "high", "critical")
+        policy = Policy()
+        if "block_at" in raw:
+            policy = replace(policy, block_at=names.index(str(raw["block_at"]).lower()))
+        if "weights" in raw:
+            policy = replace(policy, weights=tuple(raw["weights"].get(n, w) for n, w in zip(names, policy.weights, strict=True)))
+    except (tomllib.TOMLDecodeError, ValueError, AttributeError) as fault:
+        return Policy(), [str(fault)]
+    return (Policy(), faults) if (faults := policy.problems()) else (policy, [])
+
+
+def glossary(symbols: DataFrame, most: int = 60) -> DataFrame:
+    """(name, path): public types of three letters or more, the first of each name, in order; a report of `most` rows."""
+    first = Window.partitionBy("name").orderBy("path", "line_no")
+    types = symbols.where("exported AND kind IN ('class', 'type') AND length(name) >= 3").withColumn("k", F.row_number().over(first)).where("k = 1")
+    return types.select("name", "path").orderBy("name").limit(most)
+
+
+def module_graph(edges: DataFrame, symbols: DataFrame, modules: int = 12, most_edges: int = 30) -> DataFrame:
+    """(diagram): the modules with most definitions, ties by name, and the edges between them."""
+    top = symbols.groupBy(module_of(F.col("path")).alias("module")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(modules)
+    inside = edges.join(top.select(F.col("module").alias("src")), "src", "left_semi").join(top.select(F.col("module").alias("dst")), "dst", "left_semi").orderBy("src", "dst").limit(most_edges)
+    line = F.concat(F.lit('  "'), diagram_label(F.col("src")), F.lit('" --> "'), diagram_label(F.col("dst")), F.lit('"'))
+    return inside.agg(F.array_join(F.concat(F.array(F.lit("graph LR")), F.sort_array(F.collect_list(line))), "\n").alias("diagram"))
+
+
+def drift(stored: DataFrame, generated: DataFrame) -> DataFrame:
+    """(name, rule): blocks (name, body) that differ from what would be generated, and those that are missing."""
+    both = generated.select("name", F.col("body").alias("now")).join(stored.select("name", F.col("body").alias("then")), "name", "left")
+    rule = F.when(F.col("then").isNull(), "doc-missing").when(F.trim("then") != F.trim("now"), "doc-drift")
+    return both.select("name", rule.alias("rule")).where("rule IS NOT NULL")
+
+
+def fix_accepted(before: DataFrame, after: DataFrame, rule: str) -> DataFrame:
+    """(accepted): a fix stands if its rule has fewer findings and there are no more in all."""
+    counts = lambda df, p: df.agg(F.count("*").alias(f"{p}_all"), F.count_if(F.col("rule") == rule).alias(f"{p}_rule"))
+    return counts(before, "b").crossJoin(counts(after, "a")).select(((F.col("a_rule") < F.col("b_rule")) & (F.col("a_all") <= F.col("b_all"))).alias("accepted"))
+
+
+def obligations(rules: DataFrame, flags: list[str]) -> DataFrame:
+    """Rules (id, flag, text) of the flags that a profile has; those without a flag hold for all."""
+    return rules.where(F.col("flag").isNull() | F.col("flag").isin(*flags)).select("id", "text")

@@ -12,6 +12,7 @@ from tessera.operators import codeintel, deps, gate, graph, markup, rank, scan,
 from tessera.operators.taint import taint_findings
 from tessera.plans import rules as R
 from tessera.plans.fixtures import fixture, sql
+from tessera.plans.registry import registry
 from tessera.sources import files as src
 from tessera.sources.reports import sarif_rows
 from tessera.streaming.watch import windowed_counts
@@ -528,3 +529,34 @@ def union_counts(spark, sf_dir):
         one = read(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# Project data
+
+
+@query()
+def capability_counts(spark, sf_dir):
+    return registry(spark).groupBy("family", "tier").agg(F.count("*").alias("n"))
+
+
+@query()
+def router_topk(spark, sf_dir):
+    return rank.router(registry(spark), "find leaked secrets and personal data in logs")
+
+
+@query("""WITH g AS (SELECT doc_id, label FROM (SELECT d.doc_id, CASE WHEN regexp_matches(d.text, '@example\\.com') THEN 'mail' WHEN regexp_matches(d.text, '[0-9]{16}') THEN 'card' ELSE 'none' END AS label FROM documents d))
+SELECT lang, label, count(*) AS n FROM g JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((lang, label), (lang), ())""")
+def grouping_sets(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").withColumn("label", F.when(F.col("text").rlike(r"@example\.com"), "mail").when(F.col("text").rlike("[0-9]{16}"), "card").otherwise("none"))
+    return d.groupingSets([["lang", "label"], ["lang"], []], "lang", "label").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT e.event_id, e.user_id, (SELECT max(b.event_id) FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'purchase' AND b.ts < e.ts
+   AND b.ts = (SELECT max(c.ts) FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'purchase' AND c.ts < e.ts)) AS last_purchase
+FROM events e WHERE e.event_type = 'error'""")
+def asof_purchase(spark, sf_dir):
+    """The last purchase before each error of a user: one pass over the user's events, no join."""
+    frame = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    e = read(spark, sf_dir, "events").withColumn("ts", F.unix_micros("ts"))
+    bought = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
+    return e.withColumn("p", F.max(bought).over(frame)).where("event_type = 'error'").select("event_id", "user_id", F.col("p.event_id").alias("last_purchase"))

@@ -1,0 +1,63 @@
+from pyspark.sql import functions as F
+
+from tessera.operators import codeintel, project
+from tessera.operators.gate import Policy
+from tessera.plans.registry import ROWS, registry, selected
+from tessera.sources import files as src
+
+
+def as_files(spark, *rows):
+    return spark.createDataFrame(list(rows), "path string, content string").select("path", src.extension(F.col("path")).alias("ext"), "content")
+
+
+def test_registry(spark):
+    r = registry(spark)
+    assert len(ROWS) == r.select("id").distinct().count() == 74
+    assert selected(r, ["security"], tier="core").where("mutates OR tier <> 'core'").count() == 0 < selected(r, ["security"]).count()
+
+
+def test_stack_entry_containers_calls(spark):
+    f = as_files(spark, ("go.mod", ""), ("x/package.json", "{}"), ("m.py", "if __name__ == '__main__':\n  requests.get('https://u:p@h.example/x')"), ("Dockerfile", "FROM a:1\nRUN x"), ("c.yml", "version: 3\nservices:\n  web:\n    image: y\n  db:\nvolumes:\n  v:\n"))
+    lines = src.lines(f)
+    assert {r.stack for r in project.stacks(f).collect()} == {"go", "node"} and [r.path for r in project.entry_points(lines).collect()] == ["m.py"]
+    assert sorted((r.kind, r.name) for r in project.containers(lines).collect()) == [("image", "a:1"), ("service", "db"), ("service", "web")]
+    assert [(r.target, r.protocol) for r in project.outbound_calls(lines).collect()] == [("https://h.example/x", "http")]
+
+
+def test_masking_keeps_lines(spark):
+    text = 'a = "secret" // c\n/* x\ny */ b\n# z\nd'
+    got = spark.createDataFrame([(text,)], "content string").select(project.masked(F.col("content"))).first()[0]
+    assert got == 'a = "" \n\n b\n\nd'
+
+
+def test_rust_test_regions(spark):
+    text = "fn a() {\n}\n#[cfg(test)]\nmod t {\n  fn x() {\n  }\n}\nfn b() {}"
+    assert sorted(r.line_no for r in project.rust_test_regions(src.lines(as_files(spark, ("a.rs", text)))).collect()) == [4, 5, 6, 7]
+
+
+def test_model_output(spark):
+    text = "def a():\n    r = client.messages.create(x)\n    t = r.content\n    eval(t)\ndef b():\n    eval(t)\n    q = llm.invoke(q)\n"
+    assert [(r.line_no, r.rule, r.severity) for r in project.model_output_findings(src.lines(as_files(spark, ("a.py", text)))).collect()] == [(4, "taint-llm-output-exec", 4)]
+
+
+def test_policy():
+    assert project.load_policy('block_at = "critical"\n[weights]\nhigh = 20')[0] == Policy(block_at=4, weights=(0, 1, 4, 20, 25))
+    for bad in ('block_at = "huge"', "[weights]\nlow = -1", "x =", "weights = 3"):
+        policy, faults = project.load_policy(bad)
+        assert policy == Policy() and faults
+    assert project.load_policy("", pin="0")[1]
+
+
+def test_documents(spark):
+    f = as_files(spark, ("p/a.py", "class Zed:\n    pass\nclass Abc:\n    pass\n"), ("q/b.py", "class Abc:\n    pass\n"))
+    s = codeintel.symbols(src.lines(f))
+    assert [tuple(r) for r in project.glossary(s).collect()] == [("Abc", "p/a.py"), ("Zed", "p/a.py")]
+    edges = spark.createDataFrame([("p", "q"), ("p", "zz")], "src string, dst string")
+    assert project.module_graph(edges, s).first()[0] == 'graph LR\n  "p" --> "q"'
+    now = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "name string, body string")
+    then = spark.createDataFrame([("a", "x "), ("b", "old")], "name string, body string")
+    assert sorted(tuple(r) for r in project.drift(then, now).collect()) == [("b", "doc-drift"), ("c", "doc-missing")]
+    rules = spark.createDataFrame([("r",), ("r",), ("s",)], "rule string")
+    assert project.fix_accepted(rules, rules.limit(1), "r").first()[0] and not project.fix_accepted(rules, rules, "r").first()[0]
+    duties = spark.createDataFrame([("1", None, "all"), ("2", "bank", "some")], "id string, flag string, text string")
+    assert project.obligations(duties, []).count() == 1 and project.obligations(duties, ["bank"]).count() == 2
