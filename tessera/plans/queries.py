@@ -557,6 +557,6 @@ FROM events e WHERE e.event_type = 'error'""")
 def asof_purchase(spark, sf_dir):
     """The last purchase before each error of a user: one pass over the user's events, no join."""
     frame = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    e = read(spark, sf_dir, "events").withColumn("ts", F.unix_micros("ts"))
+    e = read(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
     bought = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
     return e.withColumn("p", F.max(bought).over(frame)).where("event_type = 'error'").select("event_id", "user_id", F.col("p.event_id").alias("last_purchase"))
