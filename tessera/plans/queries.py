@@ -551,12 +551,12 @@ def grouping_sets(spark, sf_dir):
     return d.groupingSets([["lang", "label"], ["lang"], []], "lang", "label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT e.event_id, e.user_id, (SELECT max(b.event_id) FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'purchase' AND b.ts < e.ts
-   AND b.ts = (SELECT max(c.ts) FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'purchase' AND c.ts < e.ts)) AS last_purchase
+@query("""SELECT e.event_id, e.user_id, coalesce((SELECT max(b.event_id) FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'purchase' AND b.ts < e.ts
+   AND b.ts = (SELECT max(c.ts) FROM events c WHERE c.user_id = e.user_id AND c.event_type = 'purchase' AND c.ts < e.ts)), -1) AS last_purchase
 FROM events e WHERE e.event_type = 'error'""")
 def asof_purchase(spark, sf_dir):
     """The last purchase before each error of a user: one pass over the user's events, no join."""
     frame = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     e = read(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
     bought = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
-    return e.withColumn("p", F.max(bought).over(frame)).where("event_type = 'error'").select("event_id", "user_id", F.col("p.event_id").alias("last_purchase"))
+    return e.withColumn("p", F.max(bought).over(frame)).where("event_type = 'error'").select("event_id", "user_id", F.coalesce("p.event_id", F.lit(-1)).alias("last_purchase"))
