@@ -7,7 +7,7 @@ A window is L consecutive symbols of one document; symbols are bytes or words. W
    string. Equal strings of a block are sent once, with the smallest and largest id that holds them, to the bucket of
    their minimizer, so a passage costs a block one string however many documents hold it. Equal windows have equal
    minimizers, so every repeat meets in its bucket, whole.
-3. A bucket drops minimizers that one document alone holds, and hands the rest to a matcher (suffix arrays or suffix
+3. A bucket drops strings of which one document alone holds what stands around the minimizer, and hands the rest to a matcher (suffix arrays or suffix
    trees), which gives for each window the smallest id in which it starts. Minimizers never share windows, so a bucket
    is worked through in portions of bounded size.
 4. Each block gets back, for its strings, the windows that start in smaller ids, and marks its documents.
@@ -167,23 +167,57 @@ class Block:
         return list(number), of
 
 
+def portions(n: int, size: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    for at in range(0, n, size):
+        yield at, min(at + size, n)
+
+
 def minimizers(kind: Symbols, strings: list[bytes]) -> np.ndarray:
     """The smallest gram hash of each string."""
-    if not strings:
-        return np.zeros(0, np.uint64)
-    raw = b"".join([s + b" " for s in strings])
-    body = np.frombuffer(raw + b"\0" * 8, np.uint8)
-    stop = np.cumsum([len(s) + 1 for s in strings])
-    first = np.concatenate([[0], stop[:-1]])
-    start, end = kind.bounds(body[:-8])
-    if start is not None:
-        first, stop = np.searchsorted(start, first), np.searchsorted(start, stop) + 1
-    last = stop - 1 - kind.gram + 1
-    total = int(last[-1])
-    h = np.concatenate([kind.grams(body, start, end, lo, min(lo + (1 << 19), total)) for lo in range(0, total, 1 << 19)] + [np.zeros(1, np.uint64)])
-    edges = np.empty(2 * len(strings), np.int64)
-    edges[::2], edges[1::2] = first, last
-    return np.minimum.reduceat(h, edges)[::2]
+    return np.concatenate([Anchored(kind, strings[a:b]).key for a, b in portions(len(strings))] + [np.zeros(0, np.uint64)])
+
+
+class Anchored:
+    """Strings with `key`, the smallest gram hash of each, and their anchors, the places where that gram stands."""
+
+    def __init__(self, kind: Symbols, strings: list[bytes]) -> None:
+        self.kind = kind
+        raw = b"".join([s + b" " for s in strings])
+        body = np.frombuffer(raw + b"\0" * 8, np.uint8)
+        stop = np.cumsum([len(s) + 1 for s in strings])
+        first = np.concatenate([[0], stop[:-1]])
+        start, end = kind.bounds(body[:-8])
+        if start is not None:
+            first, stop = np.searchsorted(start, first), np.searchsorted(start, stop) + 1
+        #: Grams of string i start at symbols first[i]..last[i] - 1.
+        self.first, self.last = first, stop - kind.gram
+        total = int(self.last[-1])
+        self.grams = np.append(kind.grams(body, start, end, 0, total), np.uint64(0))
+        edges = np.empty(2 * len(strings), np.int64)
+        edges[::2], edges[1::2] = self.first, self.last
+        self.key = np.minimum.reduceat(self.grams, edges)[::2]
+
+    def flanks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each anchor its string, and hashes of what follows and of what precedes it; 0 where the string is too short.
+
+        Both reach half a window. Strings that share a window share an anchor in it with one of the two, so a string
+        whose flanks no other document has shares none.
+        """
+        gram, n = self.kind.gram, self.kind.window // (2 * self.kind.gram)
+        counts = self.last - self.first
+        owner = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - self.first, counts)
+        here = self.grams[at] == self.key[owner]
+        owner, at = owner[here], at[here]
+        out = []
+        for sign, count in ((1, n), (-1, n + 1)):
+            ends = at + sign * gram * (count - 1)
+            ok = (ends >= self.first[owner]) & (ends < self.last[owner])
+            h = np.zeros(len(at), np.uint64)
+            for k in range(count):
+                h[ok] = mix(h[ok] + self.grams[at[ok] + sign * gram * k])
+            out.append(h)
+        return owner, *out
 
 
 SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
@@ -274,20 +308,32 @@ def matched(kind: Symbols, matcher: Callable[[], Matcher], portion: int) -> Call
             strings += cut(sizes, flat)
         group.clear()
         block, number, low, high = map(np.concatenate, (block, number, low, high))
-        key = minimizers(kind, strings)
-        order = np.argsort(key, kind="stable")
-        head = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-        shared = np.minimum.reduceat(low[order], head) != np.maximum.reduceat(high[order], head)
-        sizes = np.diff(np.append(head, len(order)))
-        order, group_of = order[np.repeat(shared, sizes)], np.repeat(np.cumsum(shared) - 1, sizes)[np.repeat(shared, sizes)]
+        key, flanks = [], []
+        for a, b in portions(len(strings)):
+            some = Anchored(kind, strings[a:b])
+            owner, *hashes = some.flanks()
+            key.append(some.key)
+            flanks.append((owner + a, *hashes))
+        key, (owner, *hashes) = np.concatenate(key), map(np.concatenate, zip(*flanks, strict=True))
+        keep = np.zeros(len(strings), bool)
+        for h in hashes:
+            known = np.flatnonzero(h)
+            by_hash = known[np.argsort(h[known], kind="stable")]
+            if len(by_hash):
+                head = np.flatnonzero(np.append(True, np.diff(h[by_hash]) != 0))
+                shared = np.minimum.reduceat(low[owner[by_hash]], head) != np.maximum.reduceat(high[owner[by_hash]], head)
+                keep[owner[by_hash[np.repeat(shared, np.diff(np.append(head, len(by_hash))))]]] = True
+        order = np.flatnonzero(keep)
         if not len(order):
             return
+        order = order[np.argsort(key[order], kind="stable")]
+        group_of = np.cumsum(np.append(False, np.diff(key[order]) != 0))
         lengths = np.fromiter((len(strings[i]) for i in order.tolist()), np.int64, len(order))
-        portions = np.cumsum(lengths) // portion
+        at = np.cumsum(lengths) // portion
         # A portion ends with its minimizer's last string.
-        portions = portions[np.searchsorted(group_of, group_of, "right") - 1]
+        at = at[np.searchsorted(group_of, group_of, "right") - 1]
         found: dict[int, list] = {}
-        for some in np.split(order, np.flatnonzero(np.diff(portions)) + 1):
+        for some in np.split(order, np.flatnonzero(np.diff(at)) + 1):
             for name, *arrays in answers(some, [strings[i] for i in some.tolist()], block, number, low, high):
                 found.setdefault(name, []).append(arrays)
         for name, replies in found.items():
