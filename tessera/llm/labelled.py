@@ -24,9 +24,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """
     named = only(labels, doc_id=id_col, label=label).where("doc_id IS NOT NULL AND label IS NOT NULL").where(remainder(F.col("doc_id"), modulus) != held_out)
     clear = named.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
+    there = {r["label"]: r["count"] for r in clear.where(F.col("label").isin(*per_class)).groupBy("label").count().collect()}
     chosen = None
     for value, n in per_class.items():
-        some = clear.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.lit(value).alias("label"))
+        # Four times as many as are asked for have a hash below this bound, so the sort that follows stays small.
+        bound = -(2**63) + int(min(1.0, 4 * n / max(1, there.get(value, 0))) * (2**64 - 1))
+        some = clear.where((F.col("label") == value) & (F.xxhash64("doc_id") <= F.lit(min(bound, 2**63 - 1)))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select("doc_id", F.lit(value).alias("label"))
         chosen = some if chosen is None else chosen.unionByName(some)
     text = only(docs, doc_id=id_col, text=text_col).where("text IS NOT NULL")
     return text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
