@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import Writer, only, pack, parts, rows, table, unpack
 
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
 BLOCK_SQL = "block bigint, bucket int, body binary"
 BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
 
