@@ -9,9 +9,10 @@
    when few lists change.
 4. Edges near the threshold tie clusters together. A cluster is compared exactly, in double precision, in one task or in
    pairs of bounded blocks; tasks return link counts and a spanning forest of the links. So a list that is saturated with
-   links loses none of them: its cluster's other links are counted here.
+   links loses none of them: its cluster's other links are counted here. Clusters that only links between saturated
+   lists tie are found by covering those nodes with balls and comparing the balls that a bound on angles does not part.
 5. Recall is audited: `audit` vectors of all, chosen by hash, are compared with every vector. While the links found fall
-   short, lists are enlarged, trees added and rounds repeated. What remains is reported.
+   short, lists are enlarged, trees added and rounds repeated. What remains is reported in a warning.
 
 Null, zero and non-finite vectors, and those of another length than most, link with nothing. Rows with a null id are left
 out. Rows that repeat an id count as one, the first by its bytes. Empty tables give empty results; extra columns are
@@ -20,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -237,7 +239,112 @@ class NnDescent:
                 break
         return lists
 
-    def exact(self, lists: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def tied(self, clusters: DataFrame, lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+        """The clusters, those united that a link between nodes of saturated lists ties together.
+
+        A list that is full above threshold - margin may lack links, and a link that both ends' lists lack has two such
+        ends. They are covered with balls: a link between two balls is possible only where the angle of their centres is
+        at most both radii and the angle of the threshold. Balls of different clusters that this does not part are tied
+        if their medoids are linked, or compared exactly."""
+        near, threshold = self.threshold - self.margin, self.threshold
+        angle = float(np.arccos(np.clip(threshold, -1, 1)))
+
+        def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                last = [float(np.frombuffer(s, np.float32)[-1]) if len(s) >= 4 * k else -2.0 for s in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([x >= near for x in last], pa.bool_()))], names=["node"])
+
+        ends = lists.select("node", "sims").mapInArrow(full, "node bigint").join(clusters, "node")
+        whole = ends.groupBy("component").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
+        placed = ends.join(whole, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "unit"), "node")
+        shape = pa.schema([("ball", pa.int64()), ("component", pa.int64()), ("radius", pa.float64()), ("centre", pa.binary()), ("medoid", pa.binary()), ("units", pa.binary())])
+
+        def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, now, group = Writer(shape, 2000), None, []
+
+            def done() -> bool:
+                ready = False
+                for ids, units, centre, radius in balls(np.array([g[0] for g in group], np.int64), np.stack([np.frombuffer(g[1]) for g in group]), threshold):
+                    m = int(np.argmax(units @ centre))
+                    ready = out.add(int(ids[m]), now[0], radius, centre.tobytes(), units[m].tobytes(), units.tobytes(), size=units.nbytes)
+                return ready
+
+            for c, block, node, unit in rows(batches, "component", "block", "node", "unit"):
+                if (c, block) != now:
+                    if group and done():
+                        yield out.take()
+                    now, group = (c, block), []
+                group.append((node, unit))
+            if group:
+                done()
+            yield out.take()
+
+        spread = placed.select("component", "block", "node", "unit").repartition(parts(nodes.sparkSession), "component", "block").sortWithinPartitions("component", "block", "node")
+        found = written(spread.mapInArrow(cover, "ball bigint, component bigint, radius double, centre binary, medoid binary, units binary"), "balls")
+        told = found.agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).first()
+        if told["low"] == told["high"]:
+            return clusters
+        blocks = int(np.ceil(told["n"] / self.block))
+        dealt = found.select("ball", "component", "radius", "centre", "medoid", F.pmod(F.xxhash64("ball"), F.lit(blocks)).cast("int").alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        keyed = dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("side"), "ball", "component", "radius", "centre", "medoid")
+        pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("linked", pa.bool_())])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, now, group = Writer(pair, 20_000), None, []
+
+            def done() -> Iterator[pa.RecordBatch]:
+                side = np.array([g[0] for g in group])
+                ids, comps, radii = (np.array([g[i] for g in group], t) for i, t in ((1, np.int64), (2, np.int64), (3, np.float64)))
+                centres, medoids = (np.stack([np.frombuffer(g[i]) for g in group]) for i in (4, 5))
+                one, two = (np.arange(len(ids)),) * 2 if now[0] == now[1] else (np.flatnonzero(~side), np.flatnonzero(side))
+                trees = Forest()
+                for last in (False, True):  # first the medoids that are linked, then what they leave open
+                    root = np.array([trees.root(c) for c in comps.tolist()], np.int64)
+                    for i in one.tolist():
+                        if last:
+                            hit = centres[two] @ centres[i] >= np.cos(np.minimum(radii[two] + radii[i] + angle, np.pi)) - 1e-9
+                        else:
+                            hit = medoids[two] @ medoids[i] >= threshold
+                        for j in two[hit & (root[two] != root[i]) & ((two > i) | (now[0] != now[1]))].tolist():
+                            if last or trees.join(int(comps[i]), int(comps[j])):
+                                if out.add(int(ids[i]), int(ids[j]), int(comps[i]), int(comps[j]), not last):
+                                    yield out.take()
+
+            for low, high, *row in rows(batches, "low", "high", "side", "ball", "component", "radius", "centre", "medoid"):
+                if (low, high) != now:
+                    if group:
+                        yield from done()
+                    now, group = (low, high), []
+                group.append(row)
+            if group:
+                yield from done()
+            yield out.take()
+
+        tasks = keyed.repartition(parts(nodes.sparkSession), "low", "high").sortWithinPartitions("low", "high", "ball")
+        met = written(tasks.mapInArrow(meet, "a bigint, b bigint, x bigint, y bigint, linked boolean"), "ball-pairs")
+        united = components(met.where("linked"), "x", "y")
+        left, right = (united.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root")) for c in "xy")
+        open_ = met.where("NOT linked").join(left, "x", "left").join(right, "y", "left").where(F.coalesce("x_root", "x") != F.coalesce("y_root", "y"))
+        lines = open_.select("a", "b", "x", "y", F.explode(F.array("a", "b")).alias("ball")).join(found.select("ball", "units"), "ball")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, now, first = Writer(pair, 20_000), None, b""
+            for a, b, x, y, units in rows(batches, "a", "b", "x", "y", "units"):
+                if (a, b) != now:
+                    now, first = (a, b), units
+                    continue
+                one, two = (np.frombuffer(u).reshape(-1, dims) for u in (first, units))
+                if any((one[s : s + 500] @ two.T >= threshold).any() for s in range(0, len(one), 500)) and out.add(a, b, x, y, True):
+                    yield out.take()
+            yield out.take()
+
+        dims = found.select(F.length("centre").alias("n")).first()["n"] // 8
+        pairs = lines.select("a", "b", "x", "y", "units").repartition(parts(nodes.sparkSession), "a", "b").sortWithinPartitions("a", "b")
+        more = pairs.mapInArrow(compare, "a bigint, b bigint, x bigint, y bigint, linked boolean")
+        united = components(met.where("linked").unionByName(more), "x", "y").select(F.col("node").alias("component"), F.col("component").alias("root"))
+        return written(clusters.join(united, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "clusters")
+
+    def exact(self, lists: DataFrame, nodes: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         """(id, n): vectors linked to each representative outside its class; (a, b): a forest of the links."""
         near = self.threshold - self.margin
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -251,6 +358,7 @@ class NnDescent:
             yield out.take()
 
         clusters = written(components(lists.select("node", "ids", "sims").mapInArrow(ties, "a bigint, b bigint")), "clusters")
+        clusters = self.tied(clusters, lists, nodes, k)
         whole = clusters.groupBy("component").agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
         placed = clusters.join(whole, "component").join(nodes.select("node", "members", "unit"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -315,9 +423,12 @@ class NnDescent:
         lists, k, trees = None, self.k, range(self.trees)
         for repeat in range(self.repeats + 1):
             lists = self.graph(nodes, n, lists, trees, k)
-            counted, forest = self.exact(lists, nodes)
+            counted, forest = self.exact(lists, nodes, k)
             self.found_recall = self.audited(nodes, counted)
-            if self.found_recall >= self.recall or repeat == self.repeats:
+            if self.found_recall >= self.recall:
+                break
+            if repeat == self.repeats:
+                warnings.warn(f"{self.found_recall:.4f} of the audited links were found, less than {self.recall}", stacklevel=2)
                 break
             k, trees = 2 * k, range(trees.stop, trees.stop + self.trees)
         linked_ = components(forest)
@@ -338,6 +449,19 @@ def low_ends(k: int):
     return run
 
 
+def balls(ids: np.ndarray, units: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """A cover: ids and units of what is linked to one of them, their mean direction, and the largest angle to it."""
+    rest = np.arange(len(ids))
+    while len(rest):
+        near = units[rest] @ units[rest[0]] >= threshold
+        near[0] = True
+        own = rest[near]
+        centre = units[own].sum(axis=0)
+        centre = centre / np.sqrt(centre @ centre) if np.sqrt(centre @ centre) > 1e-9 else units[own[0]]
+        yield ids[own], units[own], centre, float(np.arccos(np.clip((units[own] @ centre).min(), -1, 1))) + 1e-6
+        rest = rest[~near]
+
+
 def linked(ids: np.ndarray, members: np.ndarray, sides: np.ndarray, units: np.ndarray, same: bool, threshold: float, strip: int = 1000) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Linked vectors of each row, and forest edges; rows of one block with each other, or of two blocks across."""
     counts, forest, edges = np.zeros(len(ids), np.int64), Forest(), []

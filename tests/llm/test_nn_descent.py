@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tessera.llm.nn_descent import NnDescent, best, linked, sketch, sketches, usable
+from tessera.llm.nn_descent import NnDescent, balls, best, linked, sketch, sketches, usable
 
 
 def brute(data, threshold=0.9):
@@ -55,6 +55,46 @@ def test_dense_group_in_blocks(spark):
     assert got(NnDescent(block=90, k=6).links(df)) == brute(data)
 
 
+@pytest.mark.parametrize("block", [40, 4000])
+def test_links_between_tight_groups_larger_than_the_lists(spark, block):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(64)
+    base /= np.linalg.norm(base)
+    data = []
+    for g in range(8):  # centres at a cosine of about 0.93, members at more than 0.99
+        c = base + 0.27 * np.linalg.qr(np.stack([base, rng.standard_normal(64)]).T)[0][:, 1]
+        data += [(100 * g + i, (c + rng.standard_normal(64) * 0.004).tolist()) for i in range(70)]
+    data += [(5000 + i, rng.standard_normal(64).tolist()) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    want = brute(data)
+    assert max(n for n, _, _ in want.values()) > 400
+    op = NnDescent(k=6, block=block)
+    assert got(op.links(df)) == want and op.found_recall == 1.0
+
+
+def test_links_between_the_ends_of_two_arcs(spark):
+    """Dense arcs of 40 degrees, 20 apart: the medoids of their balls are not linked, the ends are."""
+    basis = np.linalg.qr(np.random.default_rng(4).standard_normal((64, 2)))[0].T
+    at = np.radians(np.concatenate([np.linspace(0, 40, 200), np.linspace(60, 100, 200)]))
+    data = [(i, (np.cos(t) * basis[0] + np.sin(t) * basis[1]).tolist()) for i, t in enumerate(at)]
+    assert got(NnDescent(k=4, repeats=0, block=150).links(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"))) == brute(data)
+
+
+def test_balls_cover_all_within_their_radius():
+    x = np.stack([usable(v, 8) for v in np.random.default_rng(3).standard_normal((200, 8)).tolist()])
+    seen = []
+    for ids, units, centre, radius in balls(np.arange(200), x, 0.8):
+        assert (np.arccos(np.clip(units @ centre, -1, 1)) <= radius).all()
+        seen += ids.tolist()
+    assert sorted(seen) == list(range(200))
+
+
+def test_a_failed_audit_is_reported(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    with pytest.warns(UserWarning, match="audited links"):
+        NnDescent(recall=1.1, repeats=0, rounds=1).links(df)
+
+
 def test_sketches_are_close():
     x = np.stack([usable(v, 64) for v in np.random.default_rng(0).standard_normal((50, 64)).tolist()])
     s = sketches([sketch(v) for v in x])
