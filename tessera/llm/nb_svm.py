@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Writer, only, rows, table, word_bounds
-from tessera.llm.labelled import remainder, training_sample
+from tessera.llm.labelled import labelled, remainder, training_sample
 
 BITS = 18
 #: Character classes of bytes: other, lower, upper, digit, stop, bracket or quote, sign, part of a longer character.
@@ -158,10 +158,10 @@ class NaiveBayesSvm:
                 found = [features(t).astype("<u4").tobytes() for t in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "x"])
 
-        sample = training_sample(docs, labels, self.label, self.modulus, self.held_out, {0: self.per_class, 1: self.per_class}, id_col, text_col)
+        known = labelled(docs, labels, self.label, self.modulus, self.held_out, id_col, text_col)
+        sample = training_sample(docs, labels, self.label, self.modulus, self.held_out, {0: self.per_class, 1: self.per_class}, id_col, text_col, known)
         got = sorted(sample.mapInArrow(run, "doc_id bigint, label int, x binary").collect(), key=lambda r: (hash((r.doc_id * 2654435761) % 4294967291), r.doc_id))
-        usable = labels.where(F.col(f"`{self.label}`").isNotNull() & (remainder(F.col(f"`{id_col}`"), self.modulus) != self.held_out))
-        share = usable.agg(F.avg(F.col(f"`{self.label}`").cast("double"))).first()[0]
+        share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
         ys = np.array([r.label for r in got])
         self.model, self.length = fit([np.frombuffer(r.x, "<u4").astype(np.int64) for r in got], ys, min(max(share or 0.5, 0.01), 0.99))
         return self

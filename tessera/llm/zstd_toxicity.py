@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Writer, only, rows, table
-from tessera.llm.labelled import remainder, training_sample
+from tessera.llm.labelled import labelled, remainder, training_sample
 from tessera.llm.nb_svm import logistic
 
 EDGE = b".,!?;:|#*%&$\"'()"
@@ -145,7 +145,8 @@ class CompressionToxicity:
         self.model = Model()
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CompressionToxicity:
-        sample = training_sample(docs, labels, self.label, self.modulus, self.held_out, {0: 2 * self.per_class, 1: self.per_class}, id_col, text_col)
+        known = labelled(docs, labels, self.label, self.modulus, self.held_out, id_col, text_col)
+        sample = training_sample(docs, labels, self.label, self.modulus, self.held_out, {0: 2 * self.per_class, 1: self.per_class}, id_col, text_col, known)
         limit = self.sample_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +154,7 @@ class CompressionToxicity:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([spread(t, limit) for t in b.column(2).to_pylist()], pa.string())], names=["doc_id", "label", "text"])
 
         got = sorted(sample.mapInArrow(run, "doc_id bigint, label int, text string").collect(), key=lambda r: ((r.doc_id * 2654435761) % 4294967291, r.doc_id))
-        usable = labels.where(F.col(f"`{self.label}`").isNotNull() & (remainder(F.col(f"`{id_col}`"), self.modulus) != self.held_out))
-        share = usable.agg(F.avg(F.col(f"`{self.label}`").cast("double"))).first()[0]
+        share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
         self.model = fit([r.text for r in got], np.array([r.label for r in got]), share if share is not None else 0.5)
         return self
 

@@ -45,6 +45,24 @@ def test_held_out_labels_are_not_read(spark):
     assert len(got) <= 40 and not any(held_out(r.doc_id, 3, 1) for r in got) and len({r.doc_id for r in got}) == len(got)
 
 
+def test_sample_is_chosen_among_the_documents_at_hand(spark):
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(3000)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame([(k, None if k % 7 == 0 else "some text") for k in range(2000, 3000)], "doc_id bigint, text string")
+    there = [k for k in range(2000, 3000) if k % 7 and not held_out(k, 3, 1)]
+    got = training_sample(docs, labels, "quality", 3, 1, {0: 100, 1: 100}).collect()
+    assert sum(r.label == 0 for r in got) == 100 and sum(r.label == 1 for r in got) == min(100, sum(k % 10 == 0 for k in there))
+
+
+def test_prior_is_of_the_documents_at_hand(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr("tessera.llm.nb_svm.fit", lambda xs, ys, prior: seen.append(prior) or (None, None))
+    labels = spark.createDataFrame([(k, int(k < 100)) for k in range(1000)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame([(k, "some text") for k in range(200)], "doc_id bigint, text string")
+    NaiveBayesSvm().fit(docs, labels)
+    there = [k for k in range(200) if not held_out(k, 3, 1)]
+    assert seen == [pytest.approx(np.mean([k < 100 for k in there]))]
+
+
 @pytest.mark.parametrize("make", [NaiveBayesSvm, CompressionToxicity])
 def test_odd_rows(spark, make):
     data = [(1, None), (2, ""), (2, ""), (None, "x"), (3, "word " * 100000), (4, "é!!")]
