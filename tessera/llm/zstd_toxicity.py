@@ -99,8 +99,9 @@ def spread(text: str, limit: int, piece: int = 400) -> str:
     return " ".join(text[i * (len(text) - piece) // max(1, n - 1) :][:piece] for i in range(n))
 
 
-def telling_words(toxic: list[str], ordinary: list[str], ratio: float = 20.0, least: int = 4) -> set[bytes]:
-    """Words that toxic texts hold `ratio` times as often as ordinary ones, counted once a text."""
+def telling_words(toxic: list[str], ordinary: list[str], ratio: float = 20.0, least: int = 4, significant: float = 10.83) -> set[bytes]:
+    """Words that toxic texts hold `ratio` times as often as ordinary ones, counted once a text, in at least `least` of
+    them, where the log-likelihood ratio of the two counts is `significant` (one in a thousand by chance)."""
     def count(texts: list[str]) -> Counter:
         out: Counter = Counter()
         for t in texts:
@@ -109,7 +110,11 @@ def telling_words(toxic: list[str], ordinary: list[str], ratio: float = 20.0, le
 
     a, b = count(toxic), count(ordinary)
     n, m = max(1, len(toxic)), max(1, len(ordinary))
-    return {w for w, c in a.items() if len(w) >= 3 and c >= least and c / n > ratio * (b[w] + 0.5) / m}
+
+    def evidence(c: int, d: int) -> float:
+        return 2 * (c * np.log(c * (n + m) / ((c + d) * n)) + (d * np.log(d * (n + m) / ((c + d) * m)) if d else 0.0))
+
+    return {w for w, c in a.items() if len(w) >= 3 and c >= least and c / n > ratio * (b[w] + 0.5) / m and evidence(c, b[w]) >= significant}
 
 
 def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary_bytes: int = 32768, toxic_bytes: int = 3072) -> Model:
@@ -120,7 +125,7 @@ def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary
     inner = np.arange(len(texts)) % 3 != 2
     toxic = list(dict.fromkeys(texts[i] for i in np.flatnonzero(inner & (ys == 1))))
     ordinary = list(dict.fromkeys(texts[i] for i in np.flatnonzero(inner & (ys == 0))))
-    telling = telling_words(toxic, ordinary, least=max(3, 3 * len(toxic) // 200))
+    telling = telling_words(toxic, ordinary)
     marked = [b" " + w + b" " for t in toxic for w in t.lower().encode("utf-8", "surrogatepass").split() if w.strip(EDGE) in telling]
     common = list(dict.fromkeys(w for t in ordinary for w in windows(t, size)))
     rng = np.random.default_rng(5)

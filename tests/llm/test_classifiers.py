@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tessera.llm import zstd_toxicity
 from tessera.llm.labelled import training_sample
 from tessera.llm.nb_svm import NaiveBayesSvm, dual_coordinate_descent, features, fit, log_count_ratios
 from tessera.llm.zstd_toxicity import CompressionToxicity, Model, spread, trained, windows
@@ -106,6 +107,14 @@ def test_known_text_gains():
     assert len(model.gains("")) == 0 and model.score(None) == pytest.approx(0.5)
 
 
+def test_rare_insults_are_learned_from_large_samples(monkeypatch):
+    seen = []
+    monkeypatch.setattr(zstd_toxicity, "trained", lambda samples, size: seen.append(samples) or b"")
+    texts = [f"calm words {k}" + (" zurgle" if k % 2 and k < 40 else "") for k in range(4500)]
+    zstd_toxicity.fit(texts, np.arange(4500) % 2, 0.5)
+    assert b" zurgle " in seen[1] and b" calm " not in seen[1]
+
+
 def test_spread_reaches_the_end():
     text = "".join(chr(97 + i % 26) for i in range(100_000))
     got = spread(text, 4000)
