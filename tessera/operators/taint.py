@@ -172,18 +172,18 @@ def fold(files: DataFrame, tainting: set[str] = frozenset(), sink_params: set[tu
     return files.where("ext = 'py'").select("path", "content").mapInPandas(run, EVENTS)
 
 
-def taint_findings(files: DataFrame, most_rounds: int = 10, most_facts: int = 100_000) -> DataFrame:
+def taint_findings(files: DataFrame, most_facts: int = 100_000) -> DataFrame:
     """(path, func, line_no, rule, severity, verified): findings after the two fixpoints have settled.
 
     What functions return and which parameters reach sinks are facts about names of one project; beyond most_facts of
     them the project is too large to treat as one, which raises."""
     tainting, sink_params = set(), set()
-    for _ in range(most_rounds):
+    while True:  # facts only grow, up to most_facts
         events = fold(files, tainting, sink_params)
         got = events.where("kind <> 'finding'").select("func", "kind", "param", "rule").distinct().limit(most_facts + 1).collect()
         if len(got) > most_facts:
             raise ValueError("too many facts for one project")
-        new = {r.func for r in got if r.kind == "returns"}, {(r.func, r.param, r.rule) for r in got if r.kind == "param"}
+        new = tainting | {r.func for r in got if r.kind == "returns"}, sink_params | {(r.func, r.param, r.rule) for r in got if r.kind == "param"}
         if new == (tainting, sink_params):
             break
         tainting, sink_params = new

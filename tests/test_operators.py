@@ -188,6 +188,13 @@ def test_taint(spark):
     assert got == [("a", "sast/taint-command-exec"), ("c", "sast/taint-command-exec"), ("d", "sast/taint-dynamic-exec"), ("e", "sast/taint-path"), ("f", "sast/taint-sql")]
 
 
+def test_taint_through_many_wrappers(spark):
+    calls = "".join(f"def w{k}(x):\n    w{k + 1}(x)\n\n" for k in range(13))
+    text = "def top():\n    w0(request.args['a'])\n\n" + calls + "def w13(x):\n    os.system(x)\n"
+    got = {(r.func, r.rule) for r in taint_findings(as_files(spark, ("w.py", text))).collect()}
+    assert ("top", "sast/taint-command-exec") in got
+
+
 def test_structural(spark):
     f = as_files(spark, ("s.py", "os.system('ls')\nos.system(cmd)\npickle.loads(x)\njson.loads(x)\nyaml.load(x, Loader=SafeLoader)\ncur.execute(f'select {x}')\ncur.execute('select 1')"))
     assert sorted((r.line_no, r.rule) for r in structural_findings(f).collect()) == [(2, "sast/dynamic-exec"), (3, "sast/unsafe-deserialize"), (6, "sast/sql-injection")]
