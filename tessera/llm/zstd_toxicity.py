@@ -117,8 +117,9 @@ def telling_words(toxic: list[str], ordinary: list[str], ratio: float = 20.0, le
     return {w for w, c in a.items() if len(w) >= 3 and c >= least and c / n > ratio * (b[w] + 0.5) / m and evidence(c, b[w]) >= significant}
 
 
-def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary_bytes: int = 32768, toxic_bytes: int = 3072) -> Model:
-    """Two thirds of the texts train the dictionaries, the rest calibrates."""
+def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary_bytes: int = 32768, toxic_bytes: int = 3072, most_windows: int = 100_000) -> tuple[Model, np.ndarray]:
+    """Two thirds of the texts train the dictionaries; the model, yet without weights, and the places of the rest, which
+    calibrate(). The ordinary dictionary is trained on `most_windows` windows at most, taken at random."""
     model = Model(size=size)
     p = min(max(prior, 1e-3), 1 - 1e-3)
     model.weights[-1] = float(np.log(p / (1 - p)))
@@ -129,24 +130,30 @@ def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary
     marked = [b" " + w + b" " for t in toxic for w in t.lower().encode("utf-8", "surrogatepass").split() if w.strip(EDGE) in telling]
     common = list(dict.fromkeys(w for t in ordinary for w in windows(t, size)))
     rng = np.random.default_rng(5)
-    common = [common[i] for i in rng.permutation(len(common))[:100_000]]
+    common = [common[i] for i in rng.permutation(len(common))[:most_windows]]
     model.ordinary, model.toxic = trained(common, ordinary_bytes), trained(marked, toxic_bytes)
     out = np.flatnonzero(~inner)
     if not model.toxic or len(set(ys[out].tolist())) < 2:
         model.toxic = b""
-        return model
-    z = np.stack([model.measures(texts[i]) for i in out])
-    share = ys[out].mean()
-    weigh = np.where(ys[out] == 1, p / share, (1 - p) / (1 - share))
-    model.weights = logistic(z, ys[out], weigh, 0.05).tolist()
-    return model
+        return model, out[:0]
+    return model, out
+
+
+def calibrate(model: Model, z: np.ndarray, ys: np.ndarray, prior: float) -> None:
+    """Weights for the measures z of whole texts."""
+    p = min(max(prior, 1e-3), 1 - 1e-3)
+    share = ys.mean()
+    weigh = np.where(ys == 1, p / share, (1 - p) / (1 - share))
+    model.weights = logistic(z, ys, weigh, 0.05).tolist()
 
 
 class CompressionToxicity:
-    """per_class bounds the labelled documents of each class; sample_chars what is read of one for training."""
+    """per_class bounds the labelled documents of each class; sample_chars what is read of one to
+    train the dictionaries, most_windows the windows of the ordinary one. Whole texts calibrate."""
 
-    def __init__(self, label: str = "toxic", modulus: int = 4, held_out: int = 2, per_class: int = 2400, sample_chars: int = 20_000) -> None:
+    def __init__(self, label: str = "toxic", modulus: int = 4, held_out: int = 2, per_class: int = 2400, sample_chars: int = 20_000, most_windows: int = 100_000) -> None:
         self.label, self.modulus, self.held_out, self.per_class, self.sample_chars = label, modulus, held_out, per_class, sample_chars
+        self.most_windows = most_windows
         self.model = Model()
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CompressionToxicity:
@@ -160,7 +167,20 @@ class CompressionToxicity:
 
         got = sorted(sample.mapInArrow(run, "doc_id bigint, label int, text string").collect(), key=lambda r: ((r.doc_id * 2654435761) % 4294967291, r.doc_id))
         share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
-        self.model = fit([r.text for r in got], np.array([r.label for r in got]), share if share is not None else 0.5)
+        prior = share if share is not None else 0.5
+        model, out = fit([r.text for r in got], np.array([r.label for r in got]), prior, most_windows=self.most_windows)
+        if len(out):
+            rest = {got[i].doc_id for i in out}
+
+            def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    kept = [(k, y, model.measures(t).tolist()) for k, y, t in zip(*[c.to_pylist() for c in b.columns], strict=True) if k in rest]
+                    ids, ys, z = zip(*kept, strict=True) if kept else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(z, pa.list_(pa.float64()))], names=["doc_id", "label", "z"])
+
+            measured = sorted(sample.mapInArrow(measure, "doc_id bigint, label int, z array<double>").collect(), key=lambda r: r.doc_id)
+            calibrate(model, np.array([r.z for r in measured]), np.array([r.label for r in measured]), prior)
+        self.model = model
         return self
 
     def scores(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -115,6 +115,16 @@ def test_rare_insults_are_learned_from_large_samples(monkeypatch):
     assert b" zurgle " in seen[1] and b" calm " not in seen[1]
 
 
+def test_whole_texts_calibrate(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(zstd_toxicity, "calibrate", lambda model, z, ys, prior: seen.append(z))
+    docs = spark.createDataFrame([(k, " ".join(f"calm{(k * 7 + i) % 997} words" for i in range(300)) + (" zurgle" * 9 if k % 2 else "")) for k in range(300)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id bigint, toxic int")
+    op = CompressionToxicity(sample_chars=2000, most_windows=5000).fit(docs, labels)
+    whole = sorted(tuple(op.model.measures(r.text)) for r in docs.collect())
+    assert len(seen[0]) > 10 and all(tuple(z) in whole for z in seen[0])
+
+
 def test_spread_reaches_the_end():
     text = "".join(chr(97 + i % 26) for i in range(100_000))
     got = spread(text, 4000)
