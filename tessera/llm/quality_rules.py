@@ -1,18 +1,22 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule reads a few figures of a text. On a bounded sample the rules' cost (seconds a text) and selectivity (share of
-texts that they reject) are measured; the cascade then runs them by rejection per cost, and a text that one rule rejects
-is not shown to the later ones. The order changes the cost only: the verdict is the conjunction of all rules.
+Each rule reads a few figures of a text, and a figure is computed when a rule first reads it. On a sample of texts, the
+first by hash over the whole table, the executors measure each rule's cost (seconds a text) and selectivity (share of
+texts that it rejects); the cascade then runs them by rejection per cost, and a text that one rule rejects is not shown to
+the later ones, so their figures are never computed. The order changes the cost only: the verdict is the conjunction of
+all rules.
 
 Nulls and empty texts have no words, so they fail the base rule and are not kept. A null doc_id is carried through.
-Repeated rows each get their own row. An empty table gives an empty result. Extra columns are left alone.
+Repeated rows each get their own row; rules of equal score keep the given order. Very long texts are read whole, one at a
+time, in the sample too. An empty table gives an empty result. Extra columns are left alone.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Writer, only, rows, table
 
 SYMBOLS = "#*$%&|<>"
+BLANK = " \t\n\r\x0b\x0c"
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]").search
 
 
 class Figures:
@@ -44,6 +50,13 @@ class Figures:
             self.__dict__["words"] = self.text.encode("utf-8", "surrogatepass").split()
         return self.__dict__["words"]
 
+    @property
+    def lines(self) -> list[str]:
+        """Lines with a word."""
+        if "lines" not in self.__dict__:
+            self.__dict__["lines"] = [x for x in self.text.split("\n") if x.strip(BLANK)]
+        return self.__dict__["lines"]
+
 
 def n_words(f: Figures) -> int:
     return len(f.words)
@@ -58,8 +71,7 @@ def n_symbols(f: Figures) -> int:
 
 
 def n_dup_lines(f: Figures) -> int:
-    lines = [x for x in f.text.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
-    return len(lines) - len(set(lines))
+    return len(f.lines) - len(set(f.lines))
 
 
 def n_repeat_words(f: Figures) -> int:
@@ -79,7 +91,22 @@ def n_repeat_words(f: Figures) -> int:
     return covered
 
 
-FIGURES: dict[str, Callable[[Figures], int]] = {f.__name__: f for f in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)}
+def n_letter_words(f: Figures) -> int:
+    """Words with a letter of ASCII or any character beyond it."""
+    return sum(map(bool, map(LETTER, f.words)))
+
+
+def n_bullet_lines(f: Figures) -> int:
+    return sum(x.lstrip(BLANK).startswith(("-", "*", "\u2022")) for x in f.lines)
+
+
+def n_ellipsis_lines(f: Figures) -> int:
+    return sum(x.rstrip(BLANK).endswith(("...", "\u2026")) for x in f.lines)
+
+
+#: The figures that the query returns; the others serve their rules alone.
+TOLD = (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)
+FIGURES: dict[str, Callable[[Figures], int]] = {f.__name__: f for f in (*TOLD, n_letter_words, n_bullet_lines, n_ellipsis_lines)}
 
 
 @dataclass(frozen=True)
@@ -97,6 +124,9 @@ RULES = (
     Rule("symbols", lambda f: 100 * f.n_symbols > 10 * f.n_words, "100 * n_symbols > 10 * n_words"),
     Rule("word_length", lambda f: word_length_off(f.n_words, f.word_chars), "word_chars < 2 * n_words OR word_chars > 25 * n_words"),
     Rule("dup_lines", lambda f: 100 * f.n_dup_lines > 30 * (f.text.count("\n") + 1), "100 * n_dup_lines > 30 * n_lines"),
+    Rule("letters", lambda f: 100 * f.n_letter_words < 70 * f.n_words, "100 * n_letter_words < 70 * n_words"),
+    Rule("bullets", lambda f: 100 * f.n_bullet_lines > 90 * len(f.lines), "100 * n_bullet_lines > 90 * n_filled"),
+    Rule("ellipses", lambda f: 100 * f.n_ellipsis_lines > 30 * len(f.lines), "100 * n_ellipsis_lines > 30 * n_filled"),
 )
 
 
@@ -115,15 +145,21 @@ class Measured:
         self.score = self.rejected / max(self.seconds, 1e-9)
 
 
-def measure(texts: list[str | None], rules: tuple[Rule, ...]) -> list[Measured]:
-    """Cost and selectivity of each rule on its own, best rejection per cost first; ties keep the given order."""
-    out = []
-    for rule in rules:
-        began = time.perf_counter()
-        hits = sum(rule.rejects(Figures(t)) for t in texts)
-        n = max(1, len(texts))
-        out.append(Measured(rule, (time.perf_counter() - began) / n, hits / n))
-    return sorted(out, key=lambda m: -m.score)
+def measure(texts: Iterable[str | None], rules: tuple[Rule, ...]) -> list[tuple[float, int, int]]:
+    """(seconds, rejected texts, texts) of each rule on its own."""
+    seconds, hits, n = [0.0] * len(rules), [0] * len(rules), 0
+    for t in texts:
+        n += 1
+        for i, rule in enumerate(rules):
+            began = time.perf_counter()
+            hits[i] += rule.rejects(Figures(t))
+            seconds[i] += time.perf_counter() - began
+    return [(s, h, n) for s, h in zip(seconds, hits, strict=True)]
+
+
+def ordered(rules: tuple[Rule, ...], told: list[tuple[float, int, int]]) -> list[Measured]:
+    """Best rejection per cost first; ties keep the given order."""
+    return sorted((Measured(r, s / max(1, n), h / max(1, n)) for r, (s, h, n) in zip(rules, told, strict=True)), key=lambda m: -m.score)
 
 
 class Cascade:
@@ -133,9 +169,19 @@ class Cascade:
         self.rules = rules
 
     def planned(self, docs: DataFrame, text_col: str = "text", sample_rows: int = 300) -> Cascade:
-        """The same rules ordered by what sample_rows texts show; the sample orders them and decides nothing else."""
-        sample = [r[0] for r in only(docs, text=text_col).limit(sample_rows).collect()]
-        return Cascade(tuple(m.rule for m in measure(sample, self.rules)))
+        """The same rules ordered by what sample_rows texts show, those of the smallest hashes in the table; the sample
+        orders them and decides nothing else. Only sums reach the driver."""
+        rules, hashed = self.rules, only(docs, text=text_col).withColumn("h", F.xxhash64("text"))
+        last = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+        schema = pa.schema([("rule", pa.int32()), ("seconds", pa.float64()), ("hits", pa.int64()), ("n", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told = measure((t for (t,) in rows(batches, "text")), rules)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(i, *x) for i, x in enumerate(told)], strict=True), schema, strict=True)], schema=schema)
+
+        sample = hashed.where(F.col("h") <= F.lit(0 if last is None else last)).limit(sample_rows).select("text")
+        sums = {r.rule: (r.s, r.h, r.k) for r in sample.mapInArrow(run, "rule int, seconds double, hits bigint, n bigint").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("hits").alias("h"), F.sum("n").alias("k")).collect()}
+        return Cascade(tuple(m.rule for m in ordered(rules, [sums.get(i, (0.0, 0, 0)) for i in range(len(rules))])))
 
     def first_rejection(self, f: Figures) -> str | None:
         for rule in self.rules:
@@ -144,8 +190,8 @@ class Cascade:
         return None
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", figures: bool = False) -> DataFrame:
-        """One row per document: doc_id, kept, rejected_by (the first rule that rejects it) and, on request, all figures."""
-        rules, names = self.rules, list(FIGURES) if figures else []
+        """One row per document: doc_id, kept, rejected_by (the first rule that rejects it) and, on request, the figures of TOLD."""
+        rules, names = self.rules, [f.__name__ for f in TOLD] if figures else []
         schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.bool_()), ("rejected_by", pa.string()), *[(n, pa.int64()) for n in names]])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +244,16 @@ WITH t AS (
          CAST(len(text) - len(regexp_replace(text, '[^\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
          CAST(len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, n_lines
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, n_lines, len(l) AS n_filled,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) AS n_bullet_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines
   FROM lines l LEFT JOIN repeats r ON l.doc_id = r.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 10 * n_words
-            OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept
+            OR word_chars < 2 * n_words OR word_chars > 25 * n_words OR 100 * n_dup_lines > 30 * n_lines
+            OR 100 * n_letter_words < 70 * n_words OR 100 * n_bullet_lines > 90 * n_filled OR 100 * n_ellipsis_lines > 30 * n_filled) AS kept
 FROM f
 """
