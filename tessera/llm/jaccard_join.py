@@ -2,20 +2,24 @@
 
 1. Every document's set of five-word shingles gives a 128-bit digest and a MinHash signature. Documents with one digest
    form a class (copies); only the class's smallest id goes on.
-2. Bands of the signature put similar representatives into one bucket. Each bucket's members are tied to its smallest
-   one, never to each other, and the ties' connected components are the candidate clusters: no pair is written down.
-3. A cluster is compared within one task, or, if it is large, in blocks of bounded size, each pair of blocks in a task.
-   There signatures are compared piece by piece: a pair goes as soon as, under a uniform prior, the probability that it
-   reaches the threshold falls below the tolerance. What is left is verified exactly on the shingles themselves.
+2. Bands of the signature put similar representatives into one bucket; buckets of the same members count once. A bucket
+   is worked through in pairs of bounded blocks. There signatures (eight bits a value, so that equal ones can only be
+   overstated) are compared piece by piece: a pair goes as soon as, under a uniform prior, the probability that it
+   reaches the threshold falls below the tolerance. Pairs within one tree of the block's forest are not compared again,
+   and only the forest of the pairs that are left is returned: what merely shares a bucket ties nothing together.
+3. The forest's components are the candidate clusters. A cluster is compared within one task, or, if it is large, in
+   blocks of bounded size, each pair of blocks in a task: full signatures are pruned alike, and what is left is verified
+   exactly on the shingles themselves.
 4. Tasks return link counts and a spanning forest of the links, whose components are the classes of near duplicates.
 
 With 32 bands of 4 values a pair at the threshold 0.8 shares no bucket with probability below 5e-8, and pruning adds the
-tolerance, 1e-7 by default.
+tolerance, 1e-7 by default, at each of the two steps.
 
 A text of fewer than five words has one shingle, all its words; a text without words, or null, has none and links with
 nothing. Words are `[^\\x20\\x09-\\x0D]+`. Rows with a null id are left out, as nothing could refer to them. Rows that
-repeat an id count as one document, that of the smallest text. Equal texts are always linked. Empty tables give empty
-results; extra columns are ignored.
+repeat an id count as one document, that whose shingles have the smallest digest, however the rows are dealt. Equal texts
+are always linked; of copies the smallest id stands for all. Very long texts are read whole; one that exceeds a block is
+a block of its own cluster's work. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,6 +61,10 @@ def hashed(found: set[bytes]) -> np.ndarray:
     return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
 
 
+def digest_of(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
 def signature(h: np.ndarray) -> np.ndarray:
     a, b = permutations()
     low = (h ^ (h >> np.uint64(32))).astype(np.uint32)
@@ -123,6 +131,24 @@ def survivors(a: np.ndarray, b: np.ndarray, same: bool, threshold: float, tolera
             yield i + at, j
 
 
+def forest_of(sig: np.ndarray, side: np.ndarray, needs: tuple[tuple[int, int], ...]) -> list[tuple[int, int]]:
+    """Index pairs that tie together what pruning leaves of the pairs of a block (no True in side) or of two blocks."""
+    root, edges = np.arange(len(sig)), []
+    across = bool(side.any())
+    for i in np.flatnonzero(~side).tolist() if across else range(len(sig) - 1):
+        left = np.flatnonzero(side & (root != root[i])) if across else i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        count, low = np.zeros(len(left), np.int64), 0
+        for high, need in needs:
+            if not len(left):
+                break
+            count += (sig[left, low:high] == sig[i, low:high]).sum(axis=1)
+            left, count, low = left[count >= need], count[count >= need], high
+        for j in left[np.unique(root[left], return_index=True)[1]].tolist():
+            edges.append((i, j))
+            root[root == root[j]] = root[i]
+    return edges
+
+
 class Verifier:
     """Exact intersections of shingle sets, which share one numbering."""
 
@@ -184,13 +210,20 @@ class Forest:
         return a != b
 
 
-def compared(ids: list[int], weights: list[int], sides: list[bool], texts: list[str], n: int, threshold: float, tolerance: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Linked documents of each id, and forest edges. sides: None-like False marks block one, True block two; if all are
-    False, the block is compared with itself."""
-    verifier, sigs, sizes = Verifier(), [], []
-    for t in texts:
+def compared(group: list[tuple[int, int, bool, bytes, str]], n: int, threshold: float, tolerance: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Linked documents of each id, and forest edges. group: id, members of its class, side, digest, text; side False
+    marks block one, True block two; if all are False, the block is compared with itself. Of rows that repeat an id the
+    one with the digest counts."""
+    verifier, sigs, sizes, ids, weights, sides = Verifier(), [], [], [], [], []
+    for doc_id, members, side, digest, t in group:
         found = shingles(t, n)
-        sigs.append(signature(hashed(found)))
+        h = hashed(found)
+        if digest_of(h) != digest or (ids and ids[-1] == doc_id):
+            continue
+        ids.append(doc_id)
+        weights.append(members)
+        sides.append(side)
+        sigs.append(signature(h))
         sizes.append(len(found))
         verifier.add(found)
     verifier.numbers.clear()
@@ -212,51 +245,91 @@ def compared(ids: list[int], weights: list[int], sides: list[bool], texts: list[
 
 
 class JaccardJoin:
-    def __init__(self, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, block_shingles: int = 1_000_000) -> None:
-        self.n, self.threshold, self.tolerance, self.block_shingles = n, threshold, tolerance, block_shingles
+    def __init__(self, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, block_shingles: int = 1_000_000, block: int = 2000) -> None:
+        self.n, self.threshold, self.tolerance, self.block_shingles, self.block = n, threshold, tolerance, block_shingles, block
 
     def sketched(self, docs: DataFrame) -> DataFrame:
-        """doc_id, digest, n_shingles, keys: a row for every document that has words."""
+        """doc_id, digest, n_shingles, keys, low (the low bytes of the signature): a row for every document that has words."""
         n = self.n
-        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_shingles", pa.int64()), ("keys", pa.list_(pa.int64())), ("low", pa.binary())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = Writer(schema, 5000)
             for doc_id, text in rows(batches, "doc_id", "text"):
                 h = hashed(shingles(text, n))
-                if len(h) and out.add(doc_id, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), len(h), band_keys(signature(h)).tolist()):
-                    yield out.take()
+                if len(h):
+                    sig = signature(h)
+                    if out.add(doc_id, digest_of(h), len(h), band_keys(sig).tolist(), sig.astype(np.uint8).tobytes()):
+                        yield out.take()
             yield out.take()
 
-        return docs.mapInArrow(run, "doc_id bigint, digest binary, n_shingles bigint, keys array<bigint>")
+        return docs.mapInArrow(run, "doc_id bigint, digest binary, n_shingles bigint, keys array<bigint>, low binary")
 
     def links(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, class_id (smallest id reachable by links), n_links (other documents linked directly), copy_of."""
         named = only(docs, doc_id=id_col, text=text_col).where("doc_id IS NOT NULL")
         sketched = written(self.sketched(named), "sketches")
-        copies = written(sketched.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("members"), F.first("n_shingles").alias("n_shingles")), "classes")
-        bands = sketched.join(copies.select("digest", "rep"), "digest").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", F.explode("keys").alias("key"))
-        bands = written(bands, "bands")
-        buckets = bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-        ties = bands.join(buckets, "key").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
-        clusters = written(components(ties), "clusters")
+        names = written(sketched.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles")).alias("d")).select("doc_id", "d.digest", "d.n_shingles"), "names")
+        copies = written(names.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"), F.first("n_shingles").alias("n_shingles")), "classes")
+        # By id and digest: a large class of copies is one row here.
+        reps = sketched.join(copies.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id"])
+        reps = written(reps.select("doc_id", "keys", "low"), "representatives")
+        clusters = written(components(self.ties(reps)), "clusters")
         counted, forest = self.verified(named, clusters, copies)
         linked = components(forest)
-        reps = copies.join(counted, copies["rep"] == counted["id"], "left").join(linked, copies["rep"] == linked["node"], "left")
-        reps = reps.select("digest", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n"))
-        by_doc = sketched.select("doc_id", "digest").join(reps, "digest").groupBy("doc_id").agg(F.min("component").alias("class_id"), F.max("n").alias("n_links"), F.min("rep").alias("copy_of"))
-        wordless = named.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id").distinct().join(sketched.select("doc_id"), "doc_id", "left_anti")
+        told = copies.join(counted, copies["rep"] == counted["id"], "left").join(linked, copies["rep"] == linked["node"], "left")
+        told = told.select("digest", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+        by_doc = names.select("doc_id", "digest").join(told, "digest").select("doc_id", "class_id", "n_links", F.col("rep").alias("copy_of"))
+        wordless = named.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("doc_id").distinct().join(names.select("doc_id"), "doc_id", "left_anti")
         return by_doc.unionByName(wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("copy_of")))
 
+    def ties(self, reps: DataFrame) -> DataFrame:
+        """(a, b): forests of what pruning leaves of the pairs of each bucket."""
+        bands = reps.select("doc_id", F.explode("keys").alias("key"))
+        buckets = bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("p"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("q")).where("n > 1")
+        buckets = written(buckets.groupBy("least", "n", "p", "q").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / self.block).cast("int").alias("blocks")), "buckets")
+        held = bands.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        spread = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keyed = spread.select("key", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), (F.col("block") > F.col("other")).alias("side"), "doc_id")
+        keyed = keyed.join(reps.select("doc_id", "low"), "doc_id")
+        needs = least_matches(self.threshold, self.tolerance)
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out, now, group = Writer(schema, 20_000), None, []
+
+            def done() -> None:
+                ids, sides, low = zip(*group, strict=True)
+                side = np.array(sides)
+                if now[1] != now[2] and (side.all() or not side.any()):
+                    return
+                for i, j in forest_of(np.frombuffer(b"".join(low), np.uint8).reshape(-1, HASHES), side, needs):
+                    out.add(ids[i], ids[j])
+
+            for key, lower, upper, *row in rows(batches, "key", "lower", "upper", "doc_id", "side", "low"):
+                if (key, lower, upper) != now:
+                    if len(group) > 1:
+                        done()
+                    if len(out.cells[0]) >= out.limit:
+                        yield out.take()
+                    now, group = (key, lower, upper), []
+                group.append(row)
+            if len(group) > 1:
+                done()
+            yield out.take()
+
+        tasks = keyed.repartition(parts(reps.sparkSession), "key", "lower", "upper").sortWithinPartitions("key", "lower", "upper", "doc_id")
+        return tasks.mapInArrow(run, "a bigint, b bigint").distinct()
+
     def verified(self, named: DataFrame, clusters: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(id, n): documents linked to each representative outside its class; (a, b): a forest of the links."""
-        sized = clusters.join(copies, clusters["node"] == copies["rep"]).select("node", "component", "members", "n_shingles")
+        sized = clusters.join(copies, clusters["node"] == copies["rep"]).select("node", "component", "members", "n_shingles", "digest")
         whole = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / self.block_shingles).cast("int").alias("blocks"))
         placed = sized.join(whole, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        texts = named.join(placed, named["doc_id"] == placed["node"]).groupBy("doc_id", "component", "members", "blocks", "block").agg(F.min("text").alias("text"))
+        texts = named.join(placed, named["doc_id"] == placed["node"])
         # A task's key is (cluster, lower block, upper block); each document goes to the tasks of its own block's pairs.
         spread = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        keyed = spread.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("side"), "doc_id", "members", "text")
+        keyed = spread.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("side"), "doc_id", "members", "digest", "text")
         n, threshold, tolerance = self.n, self.threshold, self.tolerance
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
@@ -265,21 +338,20 @@ class JaccardJoin:
 
             def done() -> None:
                 if len(group) > 1:
-                    ids, weights, sides, texts_ = map(list, zip(*group, strict=True))
-                    if now[1] == now[2] or 0 < sum(sides) < len(sides):
-                        counts, edges = compared(ids, weights, sides, texts_, n, threshold, tolerance)
+                    if now[1] == now[2] or 0 < sum(g[2] for g in group) < len(group):
+                        counts, edges = compared(group, n, threshold, tolerance)
                         for x, c in counts.items():
                             out.add(x, None, c)
                         for x, y in edges:
                             out.add(x, y, None)
 
-            for c, low, high, side, doc_id, members, text in rows(batches, "component", "low", "high", "side", "doc_id", "members", "text"):
+            for c, low, high, *row in rows(batches, "component", "low", "high", "doc_id", "members", "side", "digest", "text"):
                 if (c, low, high) != now:
                     done()
                     if len(out.cells[0]) >= out.limit:
                         yield out.take()
                     now, group = (c, low, high), []
-                group.append((doc_id, members, side, text))
+                group.append(row)
             done()
             yield out.take()
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.components import components
-from tessera.llm.jaccard_join import JaccardJoin, Verifier, hashed, least_matches, shingles, signature, survivors, upper_tail
+from tessera.llm.jaccard_join import JaccardJoin, Verifier, digest_of, forest_of, hashed, least_matches, shingles, signature, survivors, upper_tail
 
 
 def brute(texts, threshold=0.8):
@@ -51,7 +51,25 @@ def test_large_group_of_near_copies(spark):
             w[at] = f"x{k}"
         texts[k] = " ".join(w)
     df = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
-    assert got(JaccardJoin(block_shingles=15_000).links(df)) == brute(texts)
+    assert got(JaccardJoin(block_shingles=15_000, block=70).links(df)) == brute(texts)
+
+
+@pytest.mark.parametrize("deal", [1, 2, 3, 5, 7])
+def test_repeated_ids_count_as_the_text_of_the_smallest_digest(spark, deal):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(5, " ".join(w)), (5, " ".join(w[::-1])), (8, " ".join([*w[:-1], "x"])), (9, " ".join(w[::-1][1:])), (5, None)]
+    own = min((t for k, t in rows if k == 5 and t), key=lambda t: digest_of(hashed(shingles(t))))
+    df = spark.createDataFrame(rows * 2, "doc_id bigint, text string").repartition(deal, "text")
+    assert got(JaccardJoin().links(df)) == brute({5: own, 8: rows[2][1], 9: rows[3][1]})
+
+
+def test_forests_tie_what_pruning_leaves_and_nothing_else():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 256, (3, 128))
+    sig = np.array([np.where(rng.random(128) < 0.05, rng.integers(0, 256, 128), base[k % 3]) for k in range(30)], np.uint8)
+    for side in (np.zeros(30, bool), np.arange(30) >= 15):
+        edges = forest_of(sig, side, least_matches(0.8, 1e-7))
+        assert len(edges) == 27 and all(i % 3 == j % 3 for i, j in edges)
 
 
 def test_products_equal_intersections():
