@@ -6,15 +6,17 @@ indicator is scaled by its log-count ratio between the classes, rows are brought
 model is fitted to them by dual coordinate descent (Hsieh et al. 2008). A logistic curve over the margins of documents
 that were kept out of the fit turns margins into probabilities.
 
-The model is fitted on at most `per_class` labelled documents a class; every document is scored on its whole text. Null
+The model is fitted on at most `per_class` labelled documents a class, of which the driver holds 32 KB each at most: their
+indicators as a list or, where there are many, as bits. Every document is scored on its whole text, however long. Null
 and empty texts have no features and score by the bias alone. Null ids are scored and count as an empty text for the held
-out rows. Repeated rows are scored alike. Where a class has no labelled rows, every score is the share of the other class.
-Empty tables give an empty result; extra columns are ignored.
+out rows. Repeated rows and equal texts score alike; labelled documents of equal hash are taken by id. Labels of no
+document and ids that are labelled both ways are not learned from. Where a class has no labelled rows, every score is the
+share of the other class. Empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,7 +62,37 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(seen)
 
 
-def log_count_ratios(xs: list[np.ndarray], ys: np.ndarray, alpha: float = 1.0) -> np.ndarray:
+def packed(x: np.ndarray) -> bytes:
+    """Sorted features as 32-bit numbers, or as bits where those take less room."""
+    if 4 * len(x) < 1 << (BITS - 3):
+        return x.astype("<u4").tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[x] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(body: bytes) -> np.ndarray:
+    if len(body) < 1 << (BITS - 3):
+        return np.frombuffer(body, "<u4").astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(body, np.uint8)))
+
+
+class Lazy(Sequence):
+    """Items that are made when they are read."""
+
+    def __init__(self, n: int, make: Callable[[int], np.ndarray]) -> None:
+        self.n, self.make = n, make
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if not -self.n <= i < self.n:
+            raise IndexError(i)
+        return self.make(int(i))
+
+
+def log_count_ratios(xs: Sequence[np.ndarray], ys: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     """Of each indicator, between label 1 and label 0, each side's counts scaled to sum to one."""
     counts = np.full((2, 1 << BITS), alpha)
     for x, y in zip(xs, ys, strict=True):
@@ -69,7 +101,7 @@ def log_count_ratios(xs: list[np.ndarray], ys: np.ndarray, alpha: float = 1.0) -
     return np.log(p[1] / p[0])
 
 
-def dual_coordinate_descent(xs: list[np.ndarray], values: list[np.ndarray], ys: np.ndarray, cost: float = 1.0, passes: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(xs: Sequence[np.ndarray], values: Sequence[np.ndarray], ys: np.ndarray, cost: float = 1.0, passes: int = 12, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of the L1-loss support vector machine with rows of sparse values; the classes weigh alike."""
     w, bias, sign = np.zeros(1 << BITS), 0.0, np.where(ys == 1, 1.0, -1.0)
     share = np.array([max(1, (ys == k).sum()) for k in (0, 1)]) / max(1, len(ys))
@@ -79,11 +111,12 @@ def dual_coordinate_descent(xs: list[np.ndarray], values: list[np.ndarray], ys:
     for _ in range(passes):
         most = 0.0
         for i in order.permutation(len(xs)):
-            g = sign[i] * (w[xs[i]] @ values[i] + bias) - 1
+            x, v = xs[i], values[i]
+            g = sign[i] * (w[x] @ v + bias) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), upper[i])
             step = (new - alpha[i]) * sign[i]
             if step:
-                w[xs[i]] += step * values[i]
+                w[x] += step * v
                 bias += step
                 most = max(most, abs(step))
                 alpha[i] = new
@@ -123,17 +156,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(xs: list[np.ndarray], ys: np.ndarray, prior: float, cost: float = 1.0) -> tuple[Model, np.ndarray]:
+def fit(xs: Sequence[np.ndarray], ys: np.ndarray, prior: float, cost: float = 1.0) -> tuple[Model, np.ndarray]:
     """The model and the squared scale of each indicator, by which rows are brought to unit length."""
     if len(set(ys.tolist())) < 2:
         p = min(max(float(ys.mean()) if len(ys) else 0.5, 1e-3), 1 - 1e-3)
         return Model(np.zeros(1 << BITS), 0.0, 0.0, float(np.log(p / (1 - p)))), np.ones(1 << BITS, np.float32)
     kept_out = np.arange(len(xs)) % 5 == 4
     inner = [i for i in range(len(xs)) if not kept_out[i]]
-    ratio = log_count_ratios([xs[i] for i in inner], ys[inner])
+    own = Lazy(len(inner), lambda i: xs[inner[i]])
+    ratio = log_count_ratios(own, ys[inner])
     length = (ratio**2).astype(np.float32)
-    values = [ratio[xs[i]] / max(np.sqrt(length[xs[i]].sum()), 1e-9) for i in inner]
-    w, bias = dual_coordinate_descent([xs[i] for i in inner], values, ys[inner], cost)
+    scale = [max(np.sqrt(length[x].sum()), 1e-9) for x in own]
+    w, bias = dual_coordinate_descent(own, Lazy(len(inner), lambda i: ratio[own[i]] / scale[i]), ys[inner], cost)
     model = Model(w * ratio, bias, 1.0, 0.0)
     out = np.flatnonzero(kept_out)
     if len(set(ys[out].tolist())) == 2:
@@ -155,7 +189,7 @@ class NaiveBayesSvm:
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> NaiveBayesSvm:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [features(t).astype("<u4").tobytes() for t in b.column(2).to_pylist()]
+                found = [packed(features(t)) for t in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "x"])
 
         known = labelled(docs, labels, self.label, self.modulus, self.held_out, id_col, text_col)
@@ -163,7 +197,7 @@ class NaiveBayesSvm:
         got = sorted(sample.mapInArrow(run, "doc_id bigint, label int, x binary").collect(), key=lambda r: (hash((r.doc_id * 2654435761) % 4294967291), r.doc_id))
         share = known.agg(F.avg(F.col("label").cast("double"))).first()[0]
         ys = np.array([r.label for r in got])
-        self.model, self.length = fit([np.frombuffer(r.x, "<u4").astype(np.int64) for r in got], ys, min(max(share or 0.5, 0.01), 0.99))
+        self.model, self.length = fit(Lazy(len(got), lambda i: unpacked(got[i].x)), ys, min(max(share or 0.5, 0.01), 0.99))
         return self
 
     def scores(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

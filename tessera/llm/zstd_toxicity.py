@@ -1,17 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary documents, one on windows of toxic documents. As a
-toxic document is mostly ordinary text, the toxic side is trained on the words that toxic training documents use far more often
-than ordinary ones, each as a window of its own and as often as it occurs. Every window of a text is compressed with the ordinary dictionary and with the
-ordinary dictionary extended by the toxic one, so ordinary text compresses alike and the difference of the lengths shows
-what only the toxic dictionary knows. The share of windows whose gain reaches each of a few thresholds, and the largest
-gain, enter a logistic curve whose weights are calibrated on documents that neither dictionary has seen.
+Zstandard dictionaries are trained on windows of ordinary documents, `VIEWS` of them on windows of their own, and one on
+toxic documents. A toxic document is mostly ordinary text, and a dictionary of all its windows tells little (README), so
+the toxic one is trained on the words that toxic training documents use far more often than ordinary ones, each as a
+window of its own and as often as it occurs. Every window of a text is compressed with each ordinary dictionary and with
+the same one extended by the toxic one; the smallest difference of the lengths is the window's gain, so what one ordinary
+dictionary lacks by chance doesn't count. The share of windows whose gain reaches each of a few thresholds, and the largest
+gain, enter a logistic curve whose weights are calibrated on whole documents that no dictionary has seen.
 
 At most `per_class` labelled documents a class are used (twice as many ordinary ones), and of a text of more than
-`sample_chars` characters pieces spread over all of it, both documented bounds of the fit alone; every document is scored on its whole text. Null and empty texts have no windows and no gain. Null ids
-are scored and count as an empty text for the held-out rows. Repeated rows score alike. Where a class has too few labelled
-windows to train a dictionary, every score is the share of label 1. Empty tables give an empty result; extra columns are
-ignored.
+`sample_chars` characters pieces spread over all of it, both documented bounds of the fit alone; every document is scored
+on its whole text, however long. Null and empty texts have no windows and no gain. Null ids are scored and count as an
+empty text for the held-out rows. Repeated rows score alike, and so do equal texts; labelled documents of equal hash are
+taken by id. Labels of no document and ids that are labelled both ways are not learned from. Where a class has too few
+labelled windows to train a dictionary, every score is the share of label 1. Empty tables give an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from tessera.llm.labelled import labelled, remainder, training_sample
 from tessera.llm.nb_svm import logistic
 
 EDGE = b".,!?;:|#*%&$\"'()"
-THRESHOLDS = (3, 4, 5, 6, 8)
+THRESHOLDS = (1, 2, 3, 4, 5, 6, 8)
+VIEWS = 3
 
 
 def windows(text: str | None, size: int) -> list[bytes]:
@@ -60,7 +64,7 @@ def trained(samples: list[bytes], size: int) -> bytes:
     return whole[min(len(whole) // 4, 300) :]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=4 * VIEWS)
 def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=level)
@@ -69,17 +73,22 @@ def compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
 
 @dataclass
 class Model:
-    ordinary: bytes = b""
+    ordinary: tuple[bytes, ...] = ()
     toxic: bytes = b""
     size: int = 30
     level: int = 3
     weights: list[float] = field(default_factory=lambda: [0.0] * (len(THRESHOLDS) + 2))
 
     def gains(self, text: str | None) -> np.ndarray:
+        """What the toxic dictionary saves of each window, by the ordinary one beside which it saves least."""
         if not self.toxic:
             return np.zeros(0)
-        plain, both = compressor(self.ordinary, self.level).compress, compressor(self.ordinary + self.toxic, self.level).compress
-        return np.array([len(plain(w)) - len(both(w)) for w in windows(text, self.size)])
+        found, out = windows(text, self.size), None
+        for o in self.ordinary:
+            plain, both = compressor(o, self.level).compress, compressor(o + self.toxic, self.level).compress
+            g = np.array([len(plain(w)) - len(both(w)) for w in found])
+            out = g if out is None else np.minimum(out, g)
+        return out
 
     def measures(self, text: str | None) -> np.ndarray:
         g = self.gains(text)
@@ -119,7 +128,7 @@ def telling_words(toxic: list[str], ordinary: list[str], ratio: float = 20.0, le
 
 def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary_bytes: int = 32768, toxic_bytes: int = 3072, most_windows: int = 100_000) -> tuple[Model, np.ndarray]:
     """Two thirds of the texts train the dictionaries; the model, yet without weights, and the places of the rest, which
-    calibrate(). The ordinary dictionary is trained on `most_windows` windows at most, taken at random."""
+    calibrate(). The ordinary dictionaries are trained on `most_windows` windows at most together, taken at random."""
     model = Model(size=size)
     p = min(max(prior, 1e-3), 1 - 1e-3)
     model.weights[-1] = float(np.log(p / (1 - p)))
@@ -131,7 +140,7 @@ def fit(texts: list[str], ys: np.ndarray, prior: float, size: int = 30, ordinary
     common = list(dict.fromkeys(w for t in ordinary for w in windows(t, size)))
     rng = np.random.default_rng(5)
     common = [common[i] for i in rng.permutation(len(common))[:most_windows]]
-    model.ordinary, model.toxic = trained(common, ordinary_bytes), trained(marked, toxic_bytes)
+    model.ordinary, model.toxic = tuple(trained(common[i::VIEWS], ordinary_bytes) for i in range(VIEWS)), trained(marked, toxic_bytes)
     out = np.flatnonzero(~inner)
     if not model.toxic or len(set(ys[out].tolist())) < 2:
         model.toxic = b""
@@ -149,7 +158,7 @@ def calibrate(model: Model, z: np.ndarray, ys: np.ndarray, prior: float) -> None
 
 class CompressionToxicity:
     """per_class bounds the labelled documents of each class; sample_chars what is read of one to
-    train the dictionaries, most_windows the windows of the ordinary one. Whole texts calibrate."""
+    train the dictionaries, most_windows the windows of the ordinary ones. Whole texts calibrate."""
 
     def __init__(self, label: str = "toxic", modulus: int = 4, held_out: int = 2, per_class: int = 2400, sample_chars: int = 20_000, most_windows: int = 100_000) -> None:
         self.label, self.modulus, self.held_out, self.per_class, self.sample_chars = label, modulus, held_out, per_class, sample_chars
