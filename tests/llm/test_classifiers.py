@@ -187,7 +187,7 @@ def test_scores_against_plain_compression(spark):
         z = m.weights[-1] + sum(w * (sum(g >= t for g in gains) / (len(gains) + 5)) ** 0.5 for w, t in zip(m.weights, zstd_toxicity.THRESHOLDS, strict=False))
         z += m.weights[-2] * min(max(max(gains, default=0), 0), 12) / 12
         assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
-    assert np.mean([got[k] for k in range(1, 400, 2)]) > 0.8 > 0.2 > np.mean([got[k] for k in range(0, 400, 2)])
+    assert np.mean([got[k] for k in range(1, 400, 2)]) > 0.7 > 0.3 > np.mean([got[k] for k in range(0, 400, 2)])
 
 
 def test_spread_reaches_the_end():
