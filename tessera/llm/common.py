@@ -35,11 +35,14 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that the driver and all executors share. A temporary one only where none is set and all runs on this
+    machine, as in tests; on a cluster that is an error, as executors would not find it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         have = spark.sparkContext.getCheckpointDir()
         if not have:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
             have = spark.sparkContext.getCheckpointDir()
         named = have

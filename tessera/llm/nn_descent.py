@@ -5,18 +5,19 @@
 2. Each random-hyperplane tree deals the sketches to leaves, which are worked through in pieces of bounded size; the best
    `k` of a piece start the neighbour lists.
 3. A round joins neighbours of neighbours: every node gets the sketches of its neighbours and of those that list it, in
-   pieces of bounded size, compares pairs of which one is new, and offers each member what beats its list. Rounds end
-   when few lists change.
+   pieces of bounded size, compares pairs of which one is new, and offers each member what beats its list. A list that
+   is saturated with links grows to four times its length. Rounds end when few lists change.
 4. Edges near the threshold tie clusters together. A cluster is compared exactly, in double precision, in one task or in
    pairs of bounded blocks; tasks return link counts and a spanning forest of the links. So a list that is saturated with
    links loses none of them: its cluster's other links are counted here. Clusters that only links between saturated
    lists tie are found by covering those nodes with balls and comparing the balls that a bound on angles does not part.
 5. Recall is audited: `audit` vectors of all, chosen by hash, are compared with every vector. While the links found fall
-   short, lists are enlarged, trees added and rounds repeated. What remains is reported in a warning.
+   short of `recall`, all lists are enlarged, trees added and rounds repeated. What then remains below it is reported in
+   a warning; a recall below `least_recall` is an error, never a result.
 
 Null, zero and non-finite vectors, and those of another length than most, link with nothing. Rows with a null id are left
-out. Rows that repeat an id count as one, the first by its bytes. Empty tables give empty results; extra columns are
-ignored.
+out. Rows that repeat an id count as one, the first by its bytes. Equal similarities are ordered by id. Very long vectors
+are compared whole. Empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from tessera.llm.components import components
 from tessera.llm.jaccard_join import Forest
 
 PIECE = 256
+#: A saturated list grows to so many times its length.
+WIDER = 4
 LISTS = pa.schema([("node", pa.int64()), ("ids", pa.binary()), ("sims", pa.binary()), ("fresh", pa.binary())])
 LISTS_SQL = "node bigint, ids binary, sims binary, fresh binary"
 
@@ -61,12 +64,13 @@ def sketches(found: list[bytes]) -> np.ndarray:
     return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
 
 
-def best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k most similar of distinct ids, ties by id."""
+def best(ids: np.ndarray, sims: np.ndarray, k: int, linked_: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """The k most similar of distinct ids, ties by id; up to WIDER * k while they are at least as similar as linked_."""
     order = np.lexsort((ids, -sims))
     ids, sims = ids[order], sims[order]
     _, first = np.unique(ids, return_index=True)
     first.sort()
+    k = max(k, min(WIDER * k, int((sims[first] >= linked_).sum())))
     return ids[first[:k]], sims[first[:k]]
 
 
@@ -84,9 +88,9 @@ def pieces(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, ...]
 
 
 class NnDescent:
-    def __init__(self, threshold: float = 0.9, k: int = 12, trees: int = 8, rounds: int = 6, settled: float = 0.01, margin: float = 0.03, block: int = 4000, audit: int = 200, recall: float = 0.995, repeats: int = 2) -> None:
+    def __init__(self, threshold: float = 0.9, k: int = 12, trees: int = 8, rounds: int = 6, settled: float = 0.01, margin: float = 0.03, block: int = 4000, audit: int = 200, recall: float = 0.995, repeats: int = 2, least_recall: float = 0.9) -> None:
         self.threshold, self.k, self.trees, self.rounds, self.settled = threshold, k, trees, rounds, settled
-        self.margin, self.block, self.audit, self.recall, self.repeats = margin, block, audit, recall, repeats
+        self.margin, self.block, self.audit, self.recall, self.repeats, self.least_recall = margin, block, audit, recall, repeats, least_recall
 
     def unit_vectors(self, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(vec_id, rep) of every vector, rep null where it links with nothing; (node, members, unit, sketch)."""
@@ -160,6 +164,8 @@ class NnDescent:
     def merged(self, old: DataFrame | None, offers: DataFrame, k: int) -> DataFrame:
         """Lists after the offers; `fresh` marks what the old list had not."""
 
+        near = self.threshold
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out, now, group = Writer(LISTS, 5000), None, []
 
@@ -167,7 +173,7 @@ class NnDescent:
                 had = [np.frombuffer(i, np.int64) for i, _, f in group if f is not None]
                 ids = np.concatenate([np.frombuffer(i, np.int64) for i, _, _ in group])
                 sims = np.concatenate([np.frombuffer(s, np.float32) for _, s, _ in group])
-                ids, sims = best(ids, sims, k)
+                ids, sims = best(ids, sims, k, near)
                 return out.add(now, ids.tobytes(), sims.tobytes(), (~np.isin(ids, had[0]) if had else np.ones(len(ids), bool)).tobytes())
 
             for node, ids, sims, fresh in rows(batches, "node", "ids", "sims", "fresh"):
@@ -180,7 +186,7 @@ class NnDescent:
                 if len(group) > 64:  # folded, so that a node with very many offers stays small
                     own = next((g for g in group if g[2] is not None), None)
                     rest = [g for g in group if g is not own]
-                    i, s = best(np.concatenate([np.frombuffer(g[0], np.int64) for g in rest]), np.concatenate([np.frombuffer(g[1], np.float32) for g in rest]), 2 * k)
+                    i, s = best(np.concatenate([np.frombuffer(g[0], np.int64) for g in rest]), np.concatenate([np.frombuffer(g[1], np.float32) for g in rest]), 2 * k, near)
                     group = [*([own] if own else []), (i.tobytes(), s.tobytes(), None)]
             if group:
                 done()
@@ -206,7 +212,7 @@ class NnDescent:
                 if cells[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cells, edge, strict=True)], schema=edge)
 
-        lows = lists.select("node", "sims").mapInArrow(low_ends(k), "node bigint, low float")
+        lows = lists.select("node", "sims").mapInArrow(low_ends(k, self.threshold), "node bigint, low float")
         facts = nodes.select("node", "sketch").join(lows, "node", "left")
         met = lists.mapInArrow(edges, "at bigint, node bigint, fresh boolean").groupBy("at", "node").agg(F.max("fresh").alias("fresh"))
         sent = met.join(facts, "node").select("at", "node", "fresh", "sketch", F.coalesce("low", F.lit(-1.0)).cast("float").alias("low"))
@@ -428,6 +434,8 @@ class NnDescent:
             if self.found_recall >= self.recall:
                 break
             if repeat == self.repeats:
+                if self.found_recall < self.least_recall:
+                    raise RuntimeError(f"only {self.found_recall:.4f} of the audited links were found, less than {self.least_recall}")
                 warnings.warn(f"{self.found_recall:.4f} of the audited links were found, less than {self.recall}", stacklevel=2)
                 break
             k, trees = 2 * k, range(trees.stop, trees.stop + self.trees)
@@ -438,12 +446,13 @@ class NnDescent:
         return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def low_ends(k: int):
-    """The similarity that an offer must beat: the last of a full list."""
+def low_ends(k: int, threshold: float):
+    """The similarity that an offer must beat: the last of a full list, or the threshold where that list may grow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low = [float(np.frombuffer(s, np.float32)[-1]) if len(s) >= 4 * k else -1.0 for s in b.column(1).to_pylist()]
+            ends = [(len(s) // 4, float(np.frombuffer(s, np.float32)[-1]) if s else -1.0) for s in b.column(1).to_pylist()]
+            low = [-1.0 if n < k else min(last, threshold) if n < WIDER * k else last for n, last in ends]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.float32())], names=["node", "low"])
 
     return run

@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": chat_format.op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_suffix_dedup": suffix_index.OP5_SQL,
     "op6_substring_dedup": prefix_trees.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op10_chat_format": chat_format.OP10_SQL,

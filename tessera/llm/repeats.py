@@ -2,35 +2,43 @@
 
 A window is L consecutive symbols of one document; symbols are bytes or words. What starts in two documents must meet:
 
-1. Documents are gathered in blocks of bounded size and written to the shared folder.
-2. In a block, each run of neighbouring windows that share the smallest gram hash (their minimizer) is cut out as one
-   string. Equal strings of a block are sent once, with the smallest and largest id that holds them, to the bucket of
-   their minimizer, so a passage costs a block one string however many documents hold it. Equal windows have equal
-   minimizers, so every repeat meets in its bucket, whole.
-3. A bucket drops strings of which one document alone holds what stands around the minimizer, and hands the rest to a matcher (suffix arrays or suffix
-   trees), which gives for each window the smallest id in which it starts. Minimizers never share windows, so a bucket
-   is worked through in portions of bounded size.
-4. Each block gets back, for its strings, the windows that start in smaller ids, and marks its documents.
+1. Documents are gathered in blocks of bounded size and written to the shared folder, each block of one batch of ids.
+2. The smallest gram hash of a window, the first one if it stands there twice, is the window's anchor. Either what follows
+   the anchor for half a window or what precedes it lies within the window; this is its flank. Neighbouring windows with
+   one anchor and one flank are a run. Equal windows have equal flanks, so a run whose flank no other document has repeats
+   nowhere: blocks send hashes of their flanks, and get back a bit for each that tells whether others have it. Hashes are
+   even, so a bucket of them is of bounded size whatever the texts hold.
+3. A block's runs with a shared flank are cut out as strings; equal strings count once, with the smallest and largest id
+   that holds them, so a passage costs a block one string however many of its documents hold it.
+4. The operator deals the strings to groups by their flanks or by prefixes of them, finds for each window the smallest id
+   in which it starts, and answers each block with the windows that start in smaller ids than some asker has.
+5. Each block gets its answers and marks its documents.
 
 Ids are bigint. Rows with a null id neither hide nor are hidden. Rows that repeat an id don't hide one another.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.llm.common import SPACE, Writer, pack, parts, rows, unpack, word_bounds, written
 
 NO_ID = np.iinfo(np.int64).max
-#: A matcher gets distinct strings, smallest ids first, with these ids; it gives for every window of every string, one
-#: after the other, the smallest id of a string that holds it.
-Matcher = Callable[[list[bytes], np.ndarray], np.ndarray]
+#: Buckets or groups for each partition of a shuffle; a task holds one of them at a time.
+GROUPS = 8
+#: Kinds of rows beside those of groups, which count from 0: a block's documents, and its runs.
+STORED, RUNS = -1, -2
 C1, C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BYTE_KEYS = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
 
@@ -55,7 +63,8 @@ class Bytes:
     """Symbols are bytes."""
 
     def __init__(self, window: int = 50, gram: int = 8) -> None:
-        self.window, self.gram = window, gram
+        #: A flank is so many grams from the anchor on, or as many before it and the anchor.
+        self.window, self.gram, self.reach = window, gram, max(1, window // (2 * gram))
 
     def prepared(self, text: str | None) -> bytes:
         return (text or "").encode("utf-8", "surrogatepass")
@@ -76,7 +85,7 @@ class Words:
     """Symbols are words, whatever white space is between."""
 
     def __init__(self, window: int = 13, gram: int = 2) -> None:
-        self.window, self.gram = window, gram
+        self.window, self.gram, self.reach = window, gram, max(1, window // (2 * gram))
 
     def prepared(self, text: str | None) -> bytes:
         return (text or "").encode("utf-8", "surrogatepass")
@@ -114,7 +123,7 @@ Symbols = Bytes | Words
 
 
 class Block:
-    """Documents of a block in one buffer, a space after each, and their runs of windows."""
+    """Documents of a block in one buffer, a space after each."""
 
     def __init__(self, kind: Symbols, texts: list[bytes]) -> None:
         self.kind = kind
@@ -127,136 +136,116 @@ class Block:
             self.first_symbol, self.last_symbol = self.doc_start, self.doc_end
         else:
             self.first_symbol, self.last_symbol = np.searchsorted(self.start, self.doc_start), np.searchsorted(self.start, self.doc_end)
-        self.runs()
 
     def byte_span(self, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte bounds of symbols first..stop-1."""
         return (first, stop) if self.start is None else (self.start[first], self.end[stop - 1])
 
-    def runs(self, segment: int = 1 << 19) -> None:
-        """`at`, `size`: first window and number of windows of each run, in order; `doc`: its document."""
+    def doc_of(self, symbol: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first_symbol, symbol, "right") - 1
+
+    def runs(self, known: np.ndarray, segment: int = 1 << 19) -> Runs:
+        """The runs of the documents marked in known, in order."""
         kind, L = self.kind, self.kind.window
-        w, total = L - kind.gram + 1, int(self.last_symbol[-1]) if len(self.last_symbol) else 0
+        gram, w, total = kind.gram, L - kind.gram + 1, int(self.last_symbol[-1]) if len(self.last_symbol) else 0
         valid = np.zeros(total + 1, bool)
-        for s, e in zip(self.first_symbol.tolist(), self.last_symbol.tolist(), strict=True):
+        for s, e in zip(self.first_symbol[known].tolist(), self.last_symbol[known].tolist(), strict=True):
             if e - s >= L:
                 valid[s : e - L + 1] = True
-        at, size = [], []
+        low_bits = np.uint64((1 << 20) - 1)
+        out: list[tuple] = []
         for lo in range(0, max(total - L + 1, 0), segment):
             hi = min(lo + segment, total - L + 1)
             p = np.flatnonzero(valid[lo:hi])
             if not len(p):
                 continue
-            least = sliding_min(kind.grams(self.body, self.start, self.end, lo, hi + w - 1), w)[p]
+            grams = kind.grams(self.body, self.start, self.end, lo, hi + w - 1)
+            # The place within the segment breaks ties, so the minimum tells where the anchor is.
+            anchor = (sliding_min((grams & ~low_bits) | np.arange(len(grams), dtype=np.uint64), w)[p] & low_bits).astype(np.int64)
+            left = anchor - p > L - gram * kind.reach
             new = np.ones(len(p), bool)
-            new[1:] = (least[1:] != least[:-1]) | (np.diff(p) != 1)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1]) | (np.diff(p) != 1)
             head = np.flatnonzero(new)
-            place = np.arange(len(p)) - np.repeat(head, np.diff(np.append(head, len(p))))
-            head = np.flatnonzero(place % w == 0)
-            at.append(p[head] + lo)
-            size.append(np.diff(np.append(head, len(p))))
-        self.at = np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64)
-        self.size = np.concatenate([*size, np.zeros(0, np.int64)]).astype(np.int64)
-        self.doc = np.searchsorted(self.first_symbol, self.at, "right") - 1
-
-    def strings(self) -> tuple[list[bytes], np.ndarray]:
+            at, where, before = p[head], anchor[head], left[head]
+            key = np.where(before, C1, C2)
+            first = where - before * gram * kind.reach
+            for k in range(kind.reach + 1):
+                more = before | (k < kind.reach)
+                key[more] = mix(key[more] + grams[first[more] + gram * k])
+            out.append((at + lo, np.diff(np.append(head, len(p))), key, first - at))
+        cells = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return Runs(cells[0].astype(np.int64), cells[1].astype(np.int64), cells[2].astype(np.uint64), cells[3].astype(np.int64))
+
+    def strings(self, runs: Runs) -> tuple[list[bytes], np.ndarray]:
         """The distinct strings of the runs in order of first use, and the number of each run's string."""
-        a, b = self.byte_span(self.at, self.at + self.size + self.kind.window - 1)
+        a, b = self.byte_span(runs.at, runs.at + runs.size + self.kind.window - 1)
         raw, number = self.raw, {}
         of = np.fromiter((number.setdefault(raw[i:j], len(number)) for i, j in zip(a.tolist(), b.tolist(), strict=True)), np.int64, len(a))
         return list(number), of
 
 
-def portions(n: int, size: int = 1 << 14) -> Iterator[tuple[int, int]]:
-    for at in range(0, n, size):
-        yield at, min(at + size, n)
+class Runs(NamedTuple):
+    """First window and number of windows of each run, the hash of its flank, and where in the run the flank starts."""
 
+    at: np.ndarray
+    size: np.ndarray
+    key: np.ndarray
+    flank: np.ndarray
 
-def minimizers(kind: Symbols, strings: list[bytes]) -> np.ndarray:
-    """The smallest gram hash of each string."""
-    return np.concatenate([Anchored(kind, strings[a:b]).key for a, b in portions(len(strings))] + [np.zeros(0, np.uint64)])
+    def some(self, chosen: np.ndarray) -> Runs:
+        return Runs(*[c[chosen] for c in self])
 
 
-class Anchored:
-    """Strings with `key`, the smallest gram hash of each, and their anchors, the places where that gram stands."""
+SENT = pa.schema([("block", pa.int64()), ("batch", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
+SENT_SQL = "block bigint, batch int, bucket int, body binary"
 
-    def __init__(self, kind: Symbols, strings: list[bytes]) -> None:
-        self.kind = kind
-        raw = b"".join([s + b" " for s in strings])
-        body = np.frombuffer(raw + b"\0" * 8, np.uint8)
-        stop = np.cumsum([len(s) + 1 for s in strings])
-        first = np.concatenate([[0], stop[:-1]])
-        start, end = kind.bounds(body[:-8])
-        if start is not None:
-            first, stop = np.searchsorted(start, first), np.searchsorted(start, stop) + 1
-        #: Grams of string i start at symbols first[i]..last[i] - 1.
-        self.first, self.last = first, stop - kind.gram
-        total = int(self.last[-1])
-        self.grams = np.append(kind.grams(body, start, end, 0, total), np.uint64(0))
-        edges = np.empty(2 * len(strings), np.int64)
-        edges[::2], edges[1::2] = self.first, self.last
-        self.key = np.minimum.reduceat(self.grams, edges)[::2]
-
-    def flanks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each anchor its string, and hashes of what follows and of what precedes it; 0 where the string is too short.
-
-        Both reach half a window. Strings that share a window share an anchor in it with one of the two, so a string
-        whose flanks no other document has shares none.
-        """
-        gram, n = self.kind.gram, self.kind.window // (2 * self.kind.gram)
-        counts = self.last - self.first
-        owner = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts - self.first, counts)
-        here = self.grams[at] == self.key[owner]
-        owner, at = owner[here], at[here]
-        out = []
-        for sign, count in ((1, n), (-1, n + 1)):
-            ends = at + sign * gram * (count - 1)
-            ok = (ends >= self.first[owner]) & (ends < self.last[owner])
-            h = np.zeros(len(at), np.uint64)
-            for k in range(count):
-                h[ok] = mix(h[ok] + self.grams[at[ok] + sign * gram * k])
-            out.append(h)
-        return owner, *out
-
-
-SENT = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
-SENT_SQL = "block bigint, bucket int, body binary"
-
-
-def blocks(docs: DataFrame, kind: Symbols, block_bytes: int) -> DataFrame:
-    """docs has doc_id, text and carried. Rows of (block, -1, body), the documents of a body by id."""
+
+def blocks(docs: DataFrame, kind: Symbols, block_bytes: int, bounds: list[int]) -> DataFrame:
+    """docs has doc_id, text and any other columns, which go along as they are. Rows of (block, batch, STORED, body), the
+    documents of a body by id; batch b has the ids of at least bounds[b - 1] and less than bounds[b]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        number, group, size = (context.partitionId() if context else 0) << 32, [], 0
+        number = (context.partitionId() if context else 0) << 32
+        groups: dict[int, list] = defaultdict(list)
+        sizes: dict[int, int] = defaultdict(int)
         out = Writer(SENT)
 
-        def done() -> None:
-            group.sort(key=lambda g: (g[0] is None, g[0] or 0, *g[1:]))
+        def done(batch: int) -> None:
+            group = sorted(groups.pop(batch), key=lambda g: (g[0] is None, g[0] or 0, g[1]))
+            sizes.pop(batch)
             ids, null = np.array([NO_ID if g[0] is None else g[0] for g in group], np.int64), np.array([g[0] is None for g in group], np.uint8)
-            cells = [c for k in (1, 2) for c in (np.array([len(g[k]) for g in group], np.int64), np.frombuffer(b"".join([g[k] for g in group]), np.uint8))]
-            out.add(number, -1, pack(ids, null, *cells, level=3))
-
-        for doc_id, text, carried in rows(batches, "doc_id", "text", "carried"):
-            t = kind.prepared(text)
-            group.append((doc_id, t, (carried or "").encode()))
-            size += len(t) + 1
-            if size >= block_bytes or len(group) >= 20_000:
-                done()
-                yield out.take()
-                number, size = number + 1, 0
-                group.clear()
-        if group:
-            done()
+            texts = np.array([len(g[1]) for g in group], np.int64), np.frombuffer(b"".join([g[1] for g in group]), np.uint8)
+            sink = pa.BufferOutputStream()
+            if group[0][2] is not None:
+                carried = pa.Table.from_batches([g[2] for g in group]).combine_chunks()
+                with pa.ipc.new_stream(sink, carried.schema) as stream:
+                    stream.write_table(carried)
+            body = pack(ids, null, *texts, np.frombuffer(sink.getvalue(), np.uint8), level=3)
+            out.add(number, batch, STORED, body, size=len(body))
+
+        for b in batches:
+            carried = b.select(b.schema.names[2:]) if b.num_columns > 2 else None
+            for i, (doc_id, text) in enumerate(rows(iter([b]), "doc_id", "text")):
+                t = kind.prepared(text)
+                batch = bisect_right(bounds, doc_id) if doc_id is not None else 0
+                groups[batch].append((doc_id, t, carried.slice(i, 1) if carried is not None else None))
+                sizes[batch] += len(t) + 1
+                if sizes[batch] >= block_bytes or len(groups[batch]) >= 20_000:
+                    done(batch)
+                    yield out.take()
+                    number += 1
+        for batch in sorted(groups):
+            done(batch)
+            number += 1
             yield out.take()
 
     return written(docs.mapInArrow(run, SENT_SQL), "repeat-blocks")
 
 
-def opened(body: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
-    ids, null, *cells = unpack(body)
-    return ids, null.astype(bool), cut(*cells[:2]), cut(*cells[2:])
+def opened(body: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], pa.Table | None]:
+    ids, null, sizes, flat, carried = unpack(body)
+    return ids, null.astype(bool), cut(sizes, flat), pa.ipc.open_stream(carried.tobytes()).read_all() if len(carried) else None
 
 
 def cut(sizes: np.ndarray, flat: np.ndarray) -> list[bytes]:
@@ -264,137 +253,209 @@ def cut(sizes: np.ndarray, flat: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def sent(kind: Symbols, buckets: int) -> Callable:
-    """Each block's distinct strings, by the bucket of their minimizer."""
+def known_runs(kind: Symbols, body: bytes) -> tuple[Block, Runs, np.ndarray, np.ndarray, np.ndarray]:
+    """A block, its runs, the distinct flank hashes with the place of each run's among them, and the ids of the runs."""
+    ids, null, texts, _ = opened(body)
+    b = Block(kind, texts)
+    runs = b.runs(~null)
+    keys, of = np.unique(runs.key, return_inverse=True)
+    return b, runs, keys, of, ids[b.doc_of(runs.at)] if len(runs.at) else np.zeros(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bucket_bounds(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The bucket of each of the sorted keys by its upper half, and where each bucket that has some starts and ends."""
+    by = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    head = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.zeros(0, np.int64)
+    return by, list(zip(head.tolist(), [*head[1:].tolist(), len(by)], strict=True)) if len(by) else []
+
+
+def extremes(of: np.ndarray, n: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest id of each of n things; of tells whose an id is."""
+    low, high = np.full(n, NO_ID), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, of, ids)
+    np.maximum.at(high, of, ids)
+    return low, high
+
+
+def shared(stored: DataFrame, kind: Symbols, n: int) -> DataFrame:
+    """(block, batch, bucket, bits): whether others have a flank, for each of a block's in order of its hash."""
+    buckets = n * GROUPS
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Writer(SENT)
-        for block, body in rows(batches, "block", "body"):
-            ids, null, texts, _ = opened(body)
-            b = Block(kind, texts)
-            strings, of = b.strings()
-            if not strings:
+        for block, batch, body in rows(batches, "block", "batch", "body"):
+            _, _, keys, of, ids = known_runs(kind, body)
+            low, high = extremes(of, len(keys), ids)
+            by, bounds = bucket_bounds(keys, buckets)
+            for a, z in bounds:
+                if out.add(block, batch, int(by[a]), keys[a:z].astype("<u4").tobytes() + np.packbits(low[a:z] != high[a:z]).tobytes()):
+                    yield out.take()
+            yield out.take()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, group = Writer(SENT, limit_bytes=4 << 20), None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            counts = [len(body) * 8 // 33 for _, _, body in group]
+            hashes = np.concatenate([np.frombuffer(body, "<u4", k) for (_, _, body), k in zip(group, counts, strict=True)])
+            several = np.concatenate([np.unpackbits(np.frombuffer(body, np.uint8)[4 * k :], count=k) for (_, _, body), k in zip(group, counts, strict=True)]).astype(bool)
+            order = np.argsort(hashes, kind="stable")
+            same = hashes[order[1:]] == hashes[order[:-1]]
+            several[order[1:][same]] = True
+            several[order[:-1][same]] = True
+            for (block, batch, _), bits in zip(group, np.split(several, np.cumsum(counts)[:-1]), strict=True):
+                if bits.any() and out.add(block, batch, now, np.packbits(bits).tobytes(), size=len(bits) // 8):
+                    yield out.take()
+            group.clear()
+
+        for block, batch, bucket, body in rows(batches, "block", "batch", "bucket", "body"):
+            if bucket != now and group:
+                yield from done()
+            now = bucket
+            group.append((block, batch, body))
+        if group:
+            yield from done()
+        yield out.take()
+
+    return stored.mapInArrow(ask, SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, SENT_SQL)
+
+
+def candidates(stored: DataFrame, kind: Symbols, n: int) -> DataFrame:
+    """Of each block a row of its runs with shared flanks, (at, size, string), and a row 0 of the distinct strings of
+    those: hashes and places of the flanks, smallest ids, spans to the largest ones, lengths, bytes."""
+    buckets = n * GROUPS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, now, got = Writer(SENT), None, []
+        for block, batch, bucket, body in rows(batches, "block", "batch", "bucket", "body"):
+            if block != now:
+                now, got = block, []
+            if bucket != STORED:
+                got.append((bucket, body))
+                continue
+            if not got:
                 continue
-            of_known, doc = of[~null[b.doc]], b.doc[~null[b.doc]]
-            low, high = np.full(len(strings), NO_ID), np.full(len(strings), np.iinfo(np.int64).min)
-            low[of_known[::-1]] = ids[doc[::-1]]
-            high[of_known] = ids[doc]
-            by = (minimizers(kind, strings) >> np.uint64(20)) % np.uint64(buckets)
+            b, runs, keys, of, ids = known_runs(kind, body)
+            by, bounds = bucket_bounds(keys, buckets)
+            place, several = {int(by[a]): (a, z) for a, z in bounds}, np.zeros(len(keys), bool)
+            for told, bits in got:
+                a, z = place[told]
+                several[a:z] = np.unpackbits(np.frombuffer(bits, np.uint8), count=z - a).astype(bool)
+            chosen = np.flatnonzero(several[of])
+            some = runs.some(chosen)
+            strings, number = b.strings(some)
+            low, high = extremes(number, len(strings), ids[chosen])
+            first = np.full(len(strings), len(number))
+            np.minimum.at(first, number, np.arange(len(number)))
+            out.add(block, batch, RUNS, pack(np.diff(some.at, prepend=0), some.size.astype(np.uint16), number.astype(np.uint32), level=3))
+            out.add(block, batch, 0, pack(some.key[first], some.flank[first].astype(np.uint16), low, high - low, np.array([len(x) for x in strings], np.uint32), np.frombuffer(b"".join(strings), np.uint8), level=3))
+            yield out.take()
+        yield out.take()
+
+    together = stored.unionByName(shared(stored, kind, n)).repartition(n, "block").sortWithinPartitions("block", F.col("bucket") == STORED)
+    return written(together.mapInArrow(run, SENT_SQL), "repeat-strings")
+
+
+class Strings(NamedTuple):
+    """Strings of a block with their numbers there."""
+
+    number: np.ndarray
+    key: np.ndarray
+    flank: np.ndarray
+    low: np.ndarray
+    span: np.ndarray
+    text: list[bytes]
+
+    def packed(self, some: np.ndarray) -> bytes:
+        texts = [self.text[i] for i in some.tolist()]
+        return pack(np.diff(self.number[some], prepend=0).astype(np.uint32), self.low[some], self.span[some], np.array([len(t) for t in texts], np.uint32), np.frombuffer(b"".join(texts), np.uint8), level=3)
+
+
+def strings_of(body: bytes) -> Strings:
+    key, flank, low, span, sizes, flat = unpack(body)
+    return Strings(np.arange(len(key)), key, flank, low, span, cut(sizes, flat))
+
+
+def routed(asks: DataFrame, group_of: Callable[[Strings], np.ndarray]) -> DataFrame:
+    """The strings of each block by the group that group_of gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Writer(SENT)
+        for block, batch, body in rows(batches, "block", "batch", "body"):
+            s = strings_of(body)
+            by = group_of(s)
             order = np.argsort(by, kind="stable")
-            order = order[low[order] != NO_ID]
             for some in np.split(order, np.flatnonzero(np.diff(by[order])) + 1):
-                if len(some):
-                    flat = b"".join([strings[i] for i in some.tolist()])
-                    sizes = np.array([len(strings[i]) for i in some.tolist()], np.uint32)
-                    out.add(block, int(by[some[0]]), pack(np.diff(some, prepend=0).astype(np.uint32), np.diff(low[some], prepend=0), high[some] - low[some], sizes, np.frombuffer(flat, np.uint8), level=3))
-            yield out.take()
+                packed = s.packed(some)
+                if out.add(block, batch, int(by[some[0]]), packed, size=len(packed)):
+                    yield out.take()
         yield out.take()
 
-    return run
+    return asks.where(F.col("bucket") == 0).mapInArrow(run, SENT_SQL)
 
 
-def matched(kind: Symbols, matcher: Callable[[], Matcher], portion: int) -> Callable:
-    """Rows come bucket by bucket; the replies go to the blocks."""
+class Group:
+    """The strings of a group, from several blocks."""
 
-    def reply(group: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        block, number, low, high, strings = [], [], [], [], []
-        for name, body in group:
+    def __init__(self, found: list[tuple[int, bytes]]) -> None:
+        """found: (block, packed strings)."""
+        block, number, low, high, self.text = [], [], [], [], []
+        for name, body in found:
             some, lows, span, sizes, flat = unpack(body)
-            lows = np.cumsum(lows)
             block.append(np.full(len(some), name))
             number.append(np.cumsum(some.astype(np.int64)))
             low.append(lows)
             high.append(lows + span)
-            strings += cut(sizes, flat)
-        group.clear()
-        block, number, low, high = map(np.concatenate, (block, number, low, high))
-        key, flanks = [], []
-        for a, b in portions(len(strings)):
-            some = Anchored(kind, strings[a:b])
-            owner, *hashes = some.flanks()
-            key.append(some.key)
-            flanks.append((owner + a, *hashes))
-        key, (owner, *hashes) = np.concatenate(key), map(np.concatenate, zip(*flanks, strict=True))
-        keep = np.zeros(len(strings), bool)
-        for h in hashes:
-            known = np.flatnonzero(h)
-            by_hash = known[np.argsort(h[known], kind="stable")]
-            if len(by_hash):
-                head = np.flatnonzero(np.append(True, np.diff(h[by_hash]) != 0))
-                shared = np.minimum.reduceat(low[owner[by_hash]], head) != np.maximum.reduceat(high[owner[by_hash]], head)
-                keep[owner[by_hash[np.repeat(shared, np.diff(np.append(head, len(by_hash))))]]] = True
-        order = np.flatnonzero(keep)
-        if not len(order):
-            return
-        order = order[np.argsort(key[order], kind="stable")]
-        group_of = np.cumsum(np.append(False, np.diff(key[order]) != 0))
-        lengths = np.fromiter((len(strings[i]) for i in order.tolist()), np.int64, len(order))
-        at = np.cumsum(lengths) // portion
-        # A portion ends with its minimizer's last string.
-        at = at[np.searchsorted(group_of, group_of, "right") - 1]
-        found: dict[int, list] = {}
-        for some in np.split(order, np.flatnonzero(np.diff(at)) + 1):
-            for name, *arrays in answers(some, [strings[i] for i in some.tolist()], block, number, low, high):
-                found.setdefault(name, []).append(arrays)
-        for name, replies in found.items():
-            yield name, pack(*[np.concatenate(x) for x in zip(*replies, strict=True)], level=3)
-
-    def answers(some: np.ndarray, texts: list[bytes], block: np.ndarray, number: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple]:
-        distinct: dict[bytes, int] = {}
-        of = np.fromiter((distinct.setdefault(t, len(distinct)) for t in texts), np.int64, len(texts))
-        least = np.full(len(distinct), NO_ID)
-        np.minimum.at(least, of, low[some])
-        by_id = np.argsort(least, kind="stable")
-        names = list(distinct)
-        first = matcher()([names[i] for i in by_id.tolist()], least[by_id])
-        windows = np.fromiter((kind.count(names[i]) - kind.window + 1 for i in by_id.tolist()), np.int64, len(by_id))
-        begin = np.empty(len(by_id), np.int64)
-        begin[by_id] = np.cumsum(windows) - windows
-        n = np.empty(len(by_id), np.int64)
-        n[by_id] = windows
-        # All windows of all asking strings, then runs of those that start in a smaller id than some asker has.
-        size = n[of]
-        owner = np.repeat(np.arange(len(some)), size)
+            self.text += cut(sizes, flat)
+        self.block, self.number, self.low, self.high = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (block, number, low, high))
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct strings, the smallest id of each, and the place of each string's among them."""
+        places: dict[bytes, int] = {}
+        of = np.fromiter((places.setdefault(t, len(places)) for t in self.text), np.int64, len(self.text))
+        least = np.full(len(places), NO_ID)
+        np.minimum.at(least, of, self.low)
+        return list(places), least, of
+
+    def answers(self, of: np.ndarray, windows: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """For each block the runs of windows that start in a smaller id than some asker has. windows: how many each
+        distinct string has; first: the smallest id of each of them, one string after the other."""
+        begin, size = np.cumsum(windows) - windows, windows[of]
+        owner = np.repeat(np.arange(len(of)), size)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
         ids = first[np.repeat(begin[of], size) + place]
-        hidden = np.flatnonzero(ids < high[some][owner])
+        hidden = np.flatnonzero(ids < self.high[owner])
         if not len(hidden):
             return
         o, p, v = owner[hidden], place[hidden], ids[hidden]
         head = np.flatnonzero(np.append(True, (np.diff(o) != 0) | (np.diff(p) != 1) | (np.diff(v) != 0)))
         last = np.append(head[1:], len(o)) - 1
         o, a, z, v = o[head], p[head].astype(np.uint16), p[last].astype(np.uint16), v[head]
-        asker = some[o]
-        to = block[asker]
-        order = np.lexsort((number[asker], to))
-        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-            yield int(to[part[0]]), number[asker[part]].astype(np.uint32), a[part], z[part], v[part]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now, group = Writer(SENT, limit_bytes=4 << 20), None, []
+        order = np.lexsort((self.number[o], self.block[o]))
+        for part in np.split(order, np.flatnonzero(np.diff(self.block[o][order])) + 1):
+            yield int(self.block[o[part[0]]]), pack(self.number[o[part]].astype(np.uint32), a[part], z[part], v[part], level=3)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for name, body in reply(group) if group else ():
-                if out.add(name, 0, body, size=len(body)):
-                    yield out.take()
-
-        for block, bucket, body in rows(batches, "block", "bucket", "body"):
-            if bucket != now:
-                yield from flush()
-                now = bucket
-            group.append((block, body))
-        yield from flush()
-        yield out.take()
 
-    return run
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """(group, [(block, batch, body)]) of rows that come group by group."""
+    now, group = None, []
+    for block, batch, bucket, body in rows(batches, "block", "batch", "bucket", "body"):
+        if bucket != now and group:
+            yield now, group
+            group = []
+        now = bucket
+        group.append((block, batch, body))
+    if group:
+        yield now, group
 
 
-def hidden_symbols(b: Block, ids: np.ndarray, null: np.ndarray, replies: list[list[np.ndarray]]) -> np.ndarray:
+def hidden_symbols(b: Block, ids: np.ndarray, runs: bytes | None, replies: list[list[np.ndarray]]) -> np.ndarray:
     """A mark for each symbol of the block that a window starting in a smaller id covers."""
     total = int(b.last_symbol[-1]) if len(b.last_symbol) else 0
     change = np.zeros(total + 1, np.int32)
-    if replies and len(b.at):
-        _, of = b.strings()
+    if replies and runs is not None:
+        at, _, of = unpack(runs)
+        at = np.cumsum(at)
         number, a, z, first = (np.concatenate(x) for x in zip(*replies, strict=True))
         order = np.argsort(number, kind="stable")
         number, a, z, first = number[order], a[order].astype(np.int64), z[order].astype(np.int64), first[order]
@@ -402,38 +463,51 @@ def hidden_symbols(b: Block, ids: np.ndarray, null: np.ndarray, replies: list[li
         n = hi - lo
         run = np.repeat(np.arange(len(of)), n)
         item = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        ok = (first[item] < ids[b.doc[run]]) & ~null[b.doc[run]]
+        ok = first[item] < ids[b.doc_of(at[run])]
         run, item = run[ok], item[ok]
-        np.add.at(change, b.at[run] + a[item], 1)
-        np.add.at(change, b.at[run] + z[item] + b.kind.window, -1)
+        np.add.at(change, at[run] + a[item], 1)
+        np.add.at(change, at[run] + z[item] + b.kind.window, -1)
     return np.cumsum(change)[:total] > 0
 
 
-def repeats(docs: DataFrame, kind: Symbols, matcher: Callable[[], Matcher], finish: Callable, schema: pa.Schema, schema_sql: str, block_bytes: int, portion: int) -> DataFrame:
-    """finish(doc_id, text, hidden symbol marks, carried) gives a document's row; docs has doc_id, text and perhaps carried,
-    a string that goes along."""
+def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
+    """Ids that part the documents in batches of about like size; fewer where ids repeat."""
+    if batches < 2:
+        return []
+    got = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    return sorted(set(got))
+
+
+def repeats(docs: DataFrame, kind: Symbols, solve: Callable[[DataFrame, int, int], DataFrame], finish: Callable, fields: StructType, block_bytes: int, batches: int = 1) -> DataFrame:
+    """solve(strings of candidates(), batches, partitions) gives the answers, (block, batch, bucket, body) with buckets from
+    0; finish(doc_id, text, hidden symbol marks) a document's cells for the columns of fields. docs has doc_id, text and
+    perhaps more columns, which follow these."""
     n = parts(docs.sparkSession)
-    stored = blocks(docs if "carried" in docs.columns else docs.withColumn("carried", F.lit("")), kind, block_bytes)
-    asked = stored.mapInArrow(sent(kind, n), SENT_SQL).repartition(n, "bucket").sortWithinPartitions("bucket")
-    replies = asked.mapInArrow(matched(kind, matcher, portion), SENT_SQL)
+    bounds = batch_bounds(docs, batches)
+    stored = blocks(docs, kind, block_bytes, bounds)
+    asks = candidates(stored, kind, n)
+    answers = solve(asks, len(bounds) + 1, n)
+    schema = StructType([*fields, *docs.schema[2:]])
+    arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a block come together, its documents last."""
-        out, now, got = Writer(schema, limit_bytes=8 << 20), None, []
+        now, got, runs = None, [], None
         for block, bucket, body in rows(batches, "block", "bucket", "body"):
             if block != now:
-                now, got = block, []
-            if bucket >= 0:
+                now, got, runs = block, [], None
+            if bucket == RUNS:
+                runs = body
+            elif bucket != STORED:
                 got.append(unpack(body))
-                continue
-            ids, null, texts, carried = opened(body)
-            b = Block(kind, texts)
-            marks = hidden_symbols(b, ids, null, got)
-            for i, text in enumerate(texts):
-                row = finish(None if null[i] else int(ids[i]), text, marks[b.first_symbol[i] : b.last_symbol[i]], carried[i].decode())
-                if out.add(*row, size=len(text)):
-                    yield out.take()
-        yield out.take()
-
-    together = stored.unionByName(replies).repartition(n, "block").sortWithinPartitions("block", F.col("bucket") < 0)
-    return together.mapInArrow(run, schema_sql)
+            else:
+                ids, null, texts, carried = opened(body)
+                b = Block(kind, texts)
+                marks = hidden_symbols(b, ids, runs, got)
+                cells = [finish(None if null[i] else int(ids[i]), text, marks[b.first_symbol[i] : b.last_symbol[i]]) for i, text in enumerate(texts)]
+                own = [pa.array(c, f.type) for c, f in zip(zip(*cells, strict=True), arrow, strict=True)]
+                rest = carried.combine_chunks().to_batches()[0].columns if carried is not None else []
+                yield pa.RecordBatch.from_arrays([*own, *rest], names=schema.names)
+
+    together = stored.unionByName(asks.where(F.col("bucket") == RUNS)).unionByName(answers).repartition(n, "block").sortWithinPartitions("block", F.col("bucket") == STORED)
+    return together.mapInArrow(run, schema)

@@ -95,6 +95,17 @@ def test_a_failed_audit_is_reported(spark):
         NnDescent(recall=1.1, repeats=0, rounds=1).links(df)
 
 
+def test_a_recall_below_the_least_is_an_error(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    with pytest.raises(RuntimeError, match="audited links"):
+        NnDescent(recall=1.1, least_recall=1.05, repeats=0, rounds=1).links(df)
+
+
+def test_saturated_lists_grow():
+    ids, sims = np.arange(40), np.linspace(1, 0.8, 40).astype(np.float32)
+    assert len(best(ids, sims, 4)[0]) == 4 and len(best(ids, sims, 4, 0.95)[0]) == 10 and len(best(ids, sims, 4, 0.85)[0]) == 16
+
+
 def test_sketches_are_close():
     x = np.stack([usable(v, 64) for v in np.random.default_rng(0).standard_normal((50, 64)).tolist()])
     s = sketches([sketch(v) for v in x])
