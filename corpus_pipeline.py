@@ -36,11 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of 13-word windows that start in a document of smaller id; n_chars follows."""
-    rest = [f for f in docs.schema if f.name not in ("doc_id", "text", "n_chars")]
-    out = SubstringDedup().remove(docs, carry=[f.name for f in rest] or None)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    told = F.from_json("carried", fields) if rest else None
-    columns = {f.name: told[f.name] for f in rest} | {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = SubstringDedup().remove(docs, carry=rest)
+    columns = {c: F.col(f"c{i}") for i, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
     return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
