@@ -9,7 +9,7 @@ from tessera.functions.text import module_of, occurrences, without_credentials
 from tessera.sources.files import is_test_path, language
 
 #: Tokens that open a branch, counted per line without overlap.
-BRANCHES = ("if ", "else if", "for ", "while ", "case ", "catch", "&&", "||", "?", "match ", "elif ", "except")
+BRANCHES = (" if ", " elif ", " for ", " while ", " case ", " match ", " when ", "catch", " and ", " or ", "&&", "||")
 LONG_FILE, COMPLEX_FILE, MANY_DEFS, DEEP = 400, 50, 30, 6
 IDENTIFIER = r"([\p{L}_][\p{L}\p{N}_]+)"
 
@@ -184,14 +184,29 @@ def layer_violations(edges: DataFrame, layers: DataFrame) -> DataFrame:
     return inside.join(layers, (F.col("src") == F.col("module")) & (F.col("dst") == F.col("allowed")), "left_anti").select("src", "dst").distinct()
 
 
-def constitution(files: DataFrame, rules: DataFrame) -> DataFrame:
+def constitution(files: DataFrame, rules: DataFrame, most_rules: int = 2000) -> DataFrame:
     """(directive, needle, path): forbidden words and where they stand, required ones that no file has, and files that lack
-    what each must have. rules is what a project states, and the only side that is small by nature; Spark decides."""
-    holds = F.col("content").contains(F.col("needle"))
-    forbidden = files.join(rules.where("directive = 'FORBID'"), holds).select("directive", "needle", "path")
-    missing = rules.where("directive = 'REQUIRE'").join(files, holds, "left_anti").select("directive", "needle", F.lit(None).cast("string").alias("path"))
-    each = files.join(rules.where("directive = 'REQUIRE_EACH'"), ~holds).select("directive", "needle", "path")
-    return forbidden.unionByName(missing).unionByName(each)
+    what each must have. Only the code of sources counts, not comments, strings and tests.
+
+    rules is what a project states by hand; beyond most_rules it is no such statement, which raises. So the rules become
+    literals of one projection, and the files are read once for each kind of rule, without a join."""
+    from tessera.operators.project import masked
+
+    stated = rules.select("directive", "needle").distinct().limit(most_rules + 1).collect()
+    if len(stated) > most_rules:
+        raise ValueError(f"more than {most_rules} rules")
+    source = files.where((language(F.col("ext")) != "text") & ~is_test_path(F.col("path")))
+    code = source.select("path", masked(F.col("content"), F.col("ext")).alias("code"))
+    holds = lambda needle: F.col("code").contains(F.lit(needle))
+    each = [F.when(holds(r.needle) if r.directive == "FORBID" else ~holds(r.needle), F.struct(F.lit(r.directive).alias("directive"), F.lit(r.needle).alias("needle"))) for r in stated if r.directive != "REQUIRE"]
+    told = F.array_compact(F.array(*each)) if each else F.array().cast("array<struct<directive:string,needle:string>>")
+    here = code.select("path", F.explode(told).alias("r")).select("r.directive", "r.needle", "path")
+    required = [r.needle for r in stated if r.directive == "REQUIRE"]
+    if not required:
+        return here
+    seen = code.agg(*[F.coalesce(F.bool_or(holds(n)), F.lit(False)).alias(f"n{i}") for i, n in enumerate(required)])
+    absent = F.array_compact(F.array(*[F.when(~F.col(f"n{i}"), F.lit(n)) for i, n in enumerate(required)]))
+    return here.unionByName(seen.select(F.lit("REQUIRE").alias("directive"), F.explode(absent).alias("needle"), F.lit(None).cast("string").alias("path")))
 
 
 def imports(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,20 +63,39 @@ def text_dependencies(locks: DataFrame) -> DataFrame:
 
 
 def package_lock(locks: DataFrame) -> DataFrame:
-    """(ecosystem, name, version, licence) of package-lock.json, by its flat list or, in old files, its nested one to three
-    levels of nesting."""
-    entry = "struct<version:string,license:string>"
-    old = f"map<string,struct<version:string,dependencies:map<string,struct<version:string,dependencies:map<string,{entry}>>>>>"
-    parsed = locks.where("kind = 'package-lock.json'").select("ecosystem", F.from_json("content", f"packages map<string,{entry}>, dependencies {old}").alias("j"))
-    flat = parsed.select("ecosystem", F.explode("j.packages").alias("k", "v")).where("k <> ''").select("ecosystem", F.regexp_extract("k", r"(?:^|.*node_modules/)((?:@[^/]+/)?[^/]+)$", 1).alias("name"), "v.version", F.col("v.license").alias("licence"))
-    one = parsed.where("j.packages IS NULL").select("ecosystem", F.explode("j.dependencies").alias("name", "v"))
-    two = one.select("ecosystem", F.explode("v.dependencies").alias("name", "v"))
-    three = two.select("ecosystem", F.explode("v.dependencies").alias("name", "v"))
-    nested = [d.select("ecosystem", "name", "v.version", F.lit(None).cast("string").alias("licence")) for d in (one, two, three)]
-    out = flat
-    for d in nested:
-        out = out.unionByName(d)
-    return out.where("version IS NOT NULL").distinct()
+    """(ecosystem, name, version, licence) of package-lock.json, by its flat list or, in old files, its nested one, however
+    deep. A file is one JSON value, so the nesting is walked where the file is."""
+
+    def walk(found: dict) -> Iterator[tuple[str, str]]:
+        todo = [found]
+        while todo:
+            for name, meta in todo.pop().items():
+                if isinstance(meta, dict):
+                    if isinstance(meta.get("version"), str):
+                        yield name.lower(), meta["version"]
+                    if isinstance(meta.get("dependencies"), dict):
+                        todo.append(meta["dependencies"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for ecosystem, content in zip(batch["ecosystem"], batch["content"], strict=True):
+                try:
+                    lock = json.loads(content)
+                except ValueError:
+                    continue
+                if isinstance(lock, dict) and isinstance(lock.get("packages"), dict):
+                    for path, meta in lock["packages"].items():
+                        name = path.rpartition("node_modules/")[2]
+                        if path and name and isinstance(meta, dict) and isinstance(meta.get("version"), str):
+                            licence = meta.get("license")
+                            rows.append((ecosystem, name.lower(), meta["version"], licence if isinstance(licence, str) else None))
+                elif isinstance(lock, dict) and isinstance(lock.get("dependencies"), dict):
+                    rows += [(ecosystem, name, version, None) for name, version in walk(lock["dependencies"])]
+            yield pd.DataFrame(rows, columns=["ecosystem", "name", "version", "licence"])
+
+    found = locks.where("kind = 'package-lock.json'").select("ecosystem", "content")
+    return found.mapInPandas(run, "ecosystem string, name string, version string, licence string").distinct()
 
 
 def dependencies(files: DataFrame) -> DataFrame:
@@ -100,8 +123,15 @@ def vulnerable(deps: DataFrame, vulns: DataFrame) -> DataFrame:
 
 
 def uncovered(deps: DataFrame, vulns: DataFrame) -> DataFrame:
-    """Dependencies of which the snapshot knows nothing."""
-    return deps.join(vulns.select(F.lower("package").alias("p")), F.lower("name") == F.col("p"), "left_anti")
+    """Dependencies of which the snapshot knows nothing; a package of one name in another ecosystem is another package."""
+    v = vulns.select(F.lower("package").alias("p"), F.lower("ecosystem").alias("e"))
+    return deps.join(v, (F.lower("name") == F.col("p")) & (F.lower("ecosystem") == F.col("e")), "left_anti")
+
+
+def covered(deps: DataFrame, vulns: DataFrame) -> DataFrame:
+    """Dependencies whose package the snapshot has, whatever the version."""
+    v = vulns.select(F.lower("package").alias("p"), F.lower("ecosystem").alias("e"))
+    return deps.join(v, (F.lower("name") == F.col("p")) & (F.lower("ecosystem") == F.col("e")), "left_semi")
 
 
 def unknown_ecosystems(deps: DataFrame, vulns: DataFrame) -> DataFrame:

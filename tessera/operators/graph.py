@@ -6,6 +6,7 @@ The lineage is cut each round by checkpoint() where the session names a folder f
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 
@@ -50,14 +54,51 @@ def blast_radius(changed: DataFrame, calls: DataFrame) -> DataFrame:
     return closure_from(changed, back).join(changed.select("node"), "node", "left_anti")
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that may lie on a cycle: again and again without those whose start nothing enters or whose end nothing
+    leaves."""
+    n = None
+    while True:
+        there = edges.count()
+        if there == n or not there:
+            return edges
+        n = there
+        entered, left = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = cut(edges.join(entered, "src", "left_semi").join(left, "dst", "left_semi").select("src", "dst"))
+
+
+def cycles(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(node, component, size): nodes of strongly connected components of more than one; a component is named by its
-    smallest node."""
-    r = reachable(edges.where("src <> dst"))
-    back = r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = r.join(back, ["src", "dst"]).where("src <> dst")
-    named = mutual.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.min("src")).alias("component"))
-    return named.join(named.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "component", "size")
+    smallest node.
+
+    Every node gets the smallest node that reaches it as its colour. Those of a colour that reach the node that names it
+    are its component; they go, and what is left is trimmed and coloured again. Tables stay linear in the edges."""
+    spark, parts = edges.sparkSession, []
+    left = trimmed(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        colours = cut(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node")))
+        while True:
+            offered = left.join(colours, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("at")).agg(F.min("colour").alias("offer"))
+            least = F.least("colour", F.coalesce("offer", "colour"))
+            now = cut(colours.join(offered, F.col("node") == F.col("at"), "left").select("node", least.alias("colour"), (least < F.col("colour")).alias("moved")))
+            colours = now.select("node", "colour")
+            if now.where("moved").isEmpty():
+                break
+        of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))  # noqa: E731, B023
+        inside = cut(left.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select("src", "dst"))
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        found = cut(closure_from(colours.where("node = colour"), back).join(colours, "node"))
+        parts.append(found.select("node", F.col("colour").alias("component")))
+        gone = found.select("node")
+        left = trimmed(cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
+    else:
+        raise RuntimeError("the components did not settle")
+    if not parts:
+        return spark.createDataFrame([], f"node {edges.schema['src'].dataType.simpleString()}, component {edges.schema['src'].dataType.simpleString()}, size bigint")
+    named = reduce(DataFrame.unionByName, parts)
+    return named.join(named.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "component").select("node", "component", "size")
 
 
 def call_edges(calls: DataFrame, defs: DataFrame) -> DataFrame:

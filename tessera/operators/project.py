@@ -3,28 +3,35 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tomllib
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import diagram_label, module_of, occurrences, without_credentials
+from tessera.functions.text import diagram_label, module_of, without_credentials
 from tessera.operators.gate import Policy
 from tessera.sources.files import is_test_path
 
-#: Files that mark a stack.
+#: Files that mark a stack, and endings that do.
 MARKERS = {
-    "Cargo.toml": "rust", "go.mod": "go", "package.json": "node", "pyproject.toml": "python", "requirements.txt": "python", "setup.py": "python", "pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "kotlin",
-    "composer.json": "php", "Gemfile": "ruby", "Package.swift": "swift", "pubspec.yaml": "dart", "build.sbt": "scala", "CMakeLists.txt": "cpp", "Makefile": "make", "tauri.conf.json": "tauri",
+    "Cargo.toml": "Rust", "go.mod": "Go", "package.json": "Node/JS/TS", "pyproject.toml": "Python", "requirements.txt": "Python", "setup.py": "Python", "pom.xml": "Java/Maven", "build.gradle": "JVM/Gradle",
+    "build.gradle.kts": "Kotlin/Gradle", "build.sbt": "Scala/sbt", "Gemfile": "Ruby", "composer.json": "PHP", "Package.swift": "Swift/SwiftPM", "Podfile": "iOS/CocoaPods", "pubspec.yaml": "Flutter/Dart",
+    "CMakeLists.txt": "C/C++ (CMake)", "Makefile": "Make",
 }
+ENDINGS = {".csproj": "C#/.NET", ".sln": "C#/.NET", ".xcodeproj": "Swift/Xcode"}
 
 
 def stacks(files: DataFrame) -> DataFrame:
-    """(stack, n): stacks by their marker files."""
+    """(stack, n): stacks by their marker files in the root folder; a folder that marks one counts by any file below it."""
     names = F.create_map(*[F.lit(x) for kv in MARKERS.items() for x in kv])
-    base = F.regexp_extract("path", r"([^/]*)$", 1)
-    return files.where(base.isin(*MARKERS)).groupBy(F.element_at(names, base).alias("stack")).agg(F.count("*").alias("n"))
+    top = F.regexp_extract("path", r"^([^/]*)", 1)
+    stack = F.when(top == F.col("path"), F.element_at(names, top))
+    for ending, name in ENDINGS.items():
+        stack = F.coalesce(stack, F.when(top.endswith(ending), F.lit(name)))
+    return files.select(stack.alias("stack"), top.alias("marker")).where("stack IS NOT NULL").distinct().groupBy("stack").agg(F.count("*").alias("n"))
 
 
 def entry_points(lines: DataFrame) -> DataFrame:
@@ -34,15 +41,30 @@ def entry_points(lines: DataFrame) -> DataFrame:
     return lines.where(~is_test_path(F.col("path"))).groupBy("path").agg(F.bool_or(named | main).alias("entry")).where("entry").select("path")
 
 
-def masked(content: Column) -> Column:
-    """Comments and string contents of C-like and Python-like code blanked, lines kept: what is left is code."""
-    blank = lambda text, pattern: F.regexp_replace(text, pattern, "")
-    out = F.regexp_replace(content, r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", "\"\"")
-    out = blank(out, r"(?m)(?://|#).*$")
-    # A block comment gives way to as many line feeds as it has.
-    parts = F.split(out, r"/\*", -1)
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.repeat(F.lit("\n"), occurrences(F.substring_index(p, "*/", 1), "\n").cast("int")), F.when(F.instr(p, "*/") > 0, F.regexp_replace(p, r"(?s)^.*?\*/", "")).otherwise(F.lit(""))))
-    return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+#: Extensions by how their comments begin; those of all others begin with two slashes.
+HASH, SLASH = ("py", "rb", "ex", "exs"), ("go", "rs", "ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "kt", "kts", "swift", "cs", "c", "cc", "cpp", "h", "hpp", "scala", "dart")
+_STRINGS = r""""(?:\\.|[^"\\])*(?:"|\Z)|'(?:\\.|[^'\\])*(?:'|\Z)|`(?:\\.|[^`\\])*(?:`|\Z)"""
+_BLOCK, _SLASHES, _HASHES, _TRIPLE = r"/\*.*?(?:\*/|\Z)", r"//[^\n]*", r"#[^\n]*", r'"""' + r'.*?(?:"""|\Z)'
+
+
+def hidden(ext: str) -> re.Pattern:
+    """Comments and strings of a language."""
+    kinds = [_TRIPLE] if ext == "py" else [_BLOCK] if ext in (*SLASH, "php") else []
+    kinds += {"php": [_SLASHES, _HASHES], "clj": [r";[^\n]*"]}.get(ext, [_HASHES] if ext in HASH else [_SLASHES])
+    return re.compile("|".join([*kinds, _STRINGS]), re.S)
+
+
+def masked(content: Column, ext: Column) -> Column:
+    """The text with every character of its comments and strings blanked, line feeds aside: what is left is code, at its
+    place. One pass of one pattern a text, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def blanked(texts: pd.Series, exts: pd.Series) -> pd.Series:
+        patterns = {e: hidden(e) for e in exts.unique()}
+        blank = re.compile(r"[^\n]")
+        return pd.Series([None if t is None else patterns[e].sub(lambda m: blank.sub(" ", m[0]), t) for t, e in zip(texts, exts, strict=True)])
+
+    return blanked(content, ext)
 
 
 def rust_test_regions(lines: DataFrame) -> DataFrame:
@@ -78,7 +100,9 @@ def outbound_calls(lines: DataFrame) -> DataFrame:
 
 
 #: Calls whose result is a model's output, and what must not get it.
-MODEL_CALLS = ("chat.completions.create", "completions.create", "messages.create", "generate_content", "llm.invoke", "llm.predict", "chain.run", "chain.invoke", "client.chat", "model.generate", "pipeline(", "ollama.generate", "ollama.chat", "completion(", "ask_llm(")
+MODEL_CALLS = (
+    "openai", "anthropic", "chatcompletion", "chat.completions", ".messages.create", "client.messages", ".generate(", "generatecontent", ".complete(", ".completion(", ".invoke(", ".predict(", "llm(", ".chat(", ".ask(",
+)
 
 
 def model_output_findings(lines: DataFrame) -> DataFrame:
@@ -89,7 +113,7 @@ def model_output_findings(lines: DataFrame) -> DataFrame:
     region = source.withColumn("region", F.sum(F.col("line").rlike(r"^(?:export\s+)?(?:async\s+)?(?:def|function|class)\b").cast("int")).over(frame))
     called = F.lit(False)
     for c in MODEL_CALLS:
-        called = called | F.col("line").contains(c)
+        called = called | F.lower("line").contains(c)
     name = F.regexp_extract("line", r"^\s*(?:const|let|var)?\s*(\w+)\s*=[^=]", 1)
     direct = region.where(called & (name != "")).select("path", "region", name.alias("var"), F.col("line_no").alias("since"))
     alias = region.where(name != "").select("path", "region", name.alias("to"), F.regexp_extract("line", r"=\s*(?:await\s+)?(\w+)[.\[]?", 1).alias("var"), "line_no").join(direct, ["path", "region", "var"]).where("line_no > since").select("path", "region", F.col("to").alias("var"), F.col("line_no").alias("since"))

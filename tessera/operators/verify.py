@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What stands in place of a secret; rules whose pattern is strict enough to ignore it; rules that a comment refutes.
-PLACEHOLDERS = ("example", "changeme", "placeholder", "your_", "your-", "dummy", "xxxx", "<", "todo", "sample", "test_key", "redacted", "insert", "fake", "none", "null", "${")
-STRICT = ("aws-access-key", "github-token", "stripe-key", "google-api-key", "gitlab-token", "slack-token", "sendgrid-key", "npm-token", "private-key", "gcp-private-key", "digitalocean-token")
-IN_CODE = ("swallowed-error", "panic-path", "dangerous-exec", "sql-injection", "insecure-deser", "empty-catch")
+from tessera.functions.text import shown
+from tessera.plans.rules import PRECISE
+
+#: What stands in place of a secret; rules whose form proves a secret; rules that a comment refutes whatever
+#: their source; what a file with a hardened XML parser holds.
+PLACEHOLDERS = (
+    "changeme", "change-me", "change me", "your_", "your-", "<your", "example", "placeholder", "todo", "dummy", "fake", "sample", "xxxxxxxx", "смени", "замени", "вставь", "измени",
+)
+STRICT = ("aws-access-key", "llm-api-key", "github-token", "stripe-key", "gitlab-token", "slack-token", "sendgrid-key", "npm-token", "azure-account-key", "google-api-key", "private-key")
+IN_CODE = ("panic-path", "swallowed-error", "unimplemented-stub", "empty-catch", "empty-except", "empty-function")
+HARDENED = ("import defusedxml", "from defusedxml", "disallow-doctype-decl", "feature_secure_processing")
+#: Signs that a line states a search pattern; the first two kinds are beyond doubt.
+FLAGS = ("(?i)", "(?m)", "(?s)", "(?x)", "(?:")
+MAKERS = ("Regex::new(", "regexp.MustCompile(", "re.compile(")
+TESTS = ('.contains("', '.ends_with("', '.starts_with("', '.find("')
+#: Where the value stands in a line that a secret rule has found: pattern and group.
+VALUES = {
+    "aws-access-key": (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0), "github-token": (r"\bgh[pousr]_[0-9A-Za-z]{36}\b", 0), "stripe-key": (r"\bsk_(?:live|test)_[0-9A-Za-z]{16,}\b", 0), "google-api-key": (r"\bAIza[0-9A-Za-z_\-]{35}\b", 0),
+    "gitlab-token": (r"\bglpat-[0-9A-Za-z_\-]{20,}", 0), "slack-token": (r"\bxox[abposr]-[0-9A-Za-z\-]{10,}\b", 0), "sendgrid-key": (r"\bSG\.[0-9A-Za-z_\-]{16,}\.[0-9A-Za-z_\-]{16,}\b", 0), "npm-token": (r"\bnpm_[0-9A-Za-z]{36}\b", 0),
+    "azure-account-key": (r"(?i)AccountKey=([0-9A-Za-z+/=]{40,})", 1), "llm-api-key": (r"\bsk-[A-Za-z0-9_\-]{20,}\b|\bhf_[A-Za-z0-9]{30,}\b", 0), "private-key": (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----", 0), "twilio-sid": (r"\bAC[0-9a-f]{32}\b", 0),
+    "jwt": (r"\beyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\b", 0),
+    "generic-secret": (r"""(?i)\b(?:password|passwd|secret|api[_-]?key|apikey|access[_-]?key|client[_-]?secret|auth[_-]?token|token)\b\s*[:=]\s*["']([^"'\s]{12,})["']""", 1), "aws-secret-key": (r"""(?i)\baws.{0,20}["']([0-9A-Za-z/+]{40})["']""", 1),
+}
 
 
 def with_context(findings: DataFrame, lines: DataFrame) -> DataFrame:
@@ -19,9 +38,9 @@ def with_context(findings: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def ignored(rule: Column, line: Column) -> Column:
-    """A marker without a list speaks of every rule, one with a list of those named."""
-    names = F.transform(F.split(F.regexp_extract(line, r"tessera:ignore\[([^\]]*)\]", 1), ","), F.trim)
-    listed = line.rlike(r"tessera:ignore\[")
+    """A marker without a list speaks of every rule, one with a list of those named. The first marker of a line counts."""
+    names = F.transform(F.split(F.regexp_extract(line, r"^.*?tessera:ignore\[([^\]]*)\]", 1), ","), F.trim)
+    listed = line.rlike(r"^(?:(?!tessera:ignore).)*tessera:ignore\[[^\]]*\]")
     return F.coalesce(F.when(listed, F.array_contains(names, rule)).otherwise(line.rlike("tessera:ignore")), F.lit(False))
 
 
@@ -43,31 +62,56 @@ def numeric_placeholder(value: Column) -> Column:
     return digit_run(value) >= F.greatest(F.lit(6), F.ceil(F.length(value) / 2).cast("int"))
 
 
-def value_of(text: Column) -> Column:
-    """What an assignment assigns: the quoted part, else what follows the sign."""
-    quoted = F.regexp_extract(text, r"""[:=]\s*["']([^"']*)["']""", 1)
-    return F.when(F.length(quoted) > 0, quoted).otherwise(F.regexp_extract(text, r"[:=]\s*(\S+)", 1))
+def value_of(rule: Column, line: Column) -> Column:
+    """The value that a finding is about: by its rule's form, else the first quoted text, else what follows the first sign
+    of assignment, else the line."""
+    out = F.lit(None).cast("string")
+    for name, (pattern, group) in VALUES.items():
+        out = F.when(rule == name, F.nullif(F.regexp_extract(line, pattern, group), F.lit(""))).otherwise(out)
+    quoted = F.nullif(F.regexp_extract(line, r"""["']([^"']{1,200})["']""", 1), F.lit(""))
+    assigned = F.nullif(F.trim(F.regexp_extract(line, r"^[^=:]*[=:](.*)$", 1)), F.lit(""))
+    return F.coalesce(out, quoted, assigned, line)
 
 
-def refuted_by(rule: Column, cap: Column, line: Column, above: Column) -> Column:
-    """Why a finding falls, or null."""
-    value = F.lower(value_of(line))
-    placeholder = F.lit(False)
-    for needle in PLACEHOLDERS:
-        placeholder = placeholder | value.contains(needle)
+def _holds(line: Column, needles: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for n in needles:
+        out = out | line.contains(n)
+    return out
+
+
+def refuted_by(rule: Column, cap: Column, line: Column, above: Column, hardened: Column) -> Column:
+    """Why a finding falls, or null; the first reason counts."""
+    security = cap.contains("security") | cap.contains("pii")
+    strict = rule.isin(*STRICT)
+    critical = cap.startswith("security.ai") | (security & (rule.isin(*PRECISE) | rule.startswith("sast/") | rule.startswith("taint")))
+    sure = _holds(line, (*FLAGS, *MAKERS))
+    stated = F.ltrim(line).rlike("^(?:FORBID|REQUIRE) ") | sure | _holds(line, TESTS)
     comment = F.ltrim(line).rlike(r"^(//|#|\*|/\*|<!--)")
-    guarded = cap.isin("security.scan/secret", "security.scan/pii", "security.scan/owasp") | rule.isin(*IN_CODE)
-    secretish = cap == "security.scan/secret"
+    value = value_of(rule, line)
     return (
         F.when(ignored(rule, line) | ignored(rule, above), "ignored")
-        .when(line.rlike(r"(?:Regex::new|re\.compile|Pattern\.compile|new RegExp|contains|startsWith)\s*\(") & ~rule.isin(*STRICT), "rule-definition")
-        .when(comment & guarded & ~rule.isin(*STRICT), "comment")
-        .when(secretish & ~rule.isin(*STRICT) & (placeholder | numeric_placeholder(value)), "placeholder")
+        .when((rule == "xxe-parser-default") & hardened, "hardened")
+        .when(~strict & stated & (~critical | sure), "rule-definition")
+        .when((security | rule.isin(*IN_CODE)) & comment, "comment")
+        .when(security & ~strict & _holds(F.lower(value), PLACEHOLDERS), "placeholder")
+        .when(security & ~strict & numeric_placeholder(value), "number")
     )
 
 
+def hardened_files(lines: DataFrame) -> DataFrame:
+    """(path): files that show that their XML parser resolves no entities."""
+    low = F.lower("line")
+    return lines.where(_holds(low, HARDENED) | F.replace(low, F.lit(" "), F.lit("")).contains("resolve_entities=false")).select("path").distinct()
+
+
 def verify(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Findings with `verified` and `refuted_by`."""
+    """Findings with `verified` and `refuted_by`; what is shown of confirmed ones is cleared of control characters and cut."""
     seen = with_context(findings, lines)
-    why = refuted_by(F.col("rule"), F.col("cap"), F.coalesce("line", F.lit("")), F.coalesce("above", F.lit("")))
-    return seen.withColumn("refuted_by", why).withColumn("verified", F.col("refuted_by").isNull()).drop("line", "above")
+    safe = hardened_files(lines).select(F.col("path").alias("safe"))
+    seen = seen.join(safe, (F.col("rule") == "xxe-parser-default") & (F.col("path") == F.col("safe")), "left")
+    why = refuted_by(F.col("rule"), F.col("cap"), F.coalesce("line", F.lit("")), F.coalesce("above", F.lit("")), F.col("safe").isNotNull())
+    out = seen.withColumn("refuted_by", why).withColumn("verified", F.col("refuted_by").isNull()).drop("line", "above", "safe")
+    if "evidence" in findings.columns:
+        out = out.withColumn("evidence", F.when(F.col("verified"), shown(F.col("evidence"))).otherwise(F.col("evidence")))
+    return out

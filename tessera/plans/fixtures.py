@@ -13,7 +13,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "checks": ("id, state, reason", ("('security.scan/secret', 'ran', '')", "('security.scan/owasp', 'ran', '')", "('security.scan/deps', 'skipped', 'no lock file')", "('verify/test', 'failed', 'timed out')", "('quality.check/smell', 'ran', '')", "('compliance.ru/consent', 'ran', '')", "('security.scan/injection', 'ran', '')")),
     "vulns": ("id, ecosystem, package, introduced, fixed, severity", (
         "('V-1', 'PyPI', 'requests', '0', '2.20.0', 'HIGH')", "('V-2', 'npm', 'lodash', '4.0.0', '4.17.21', 'CRIT')", "('V-3', 'npm', 'minimist', '0', '1.2.6', 'MED')", "('V-4', 'Go', 'golang.org/x/net', '0', '0.7.0', 'HIGH')", "('V-5', 'crates.io', 'time', '0.1.0', '0.2.23', 'MED')")),
-    "deps": ("ecosystem, name, version", ("('PyPI', 'requests', '2.18.0')", "('PyPI', 'requests', '2.20.0')", "('PyPI', 'flask', '2.0.0')", "('npm', 'lodash', '4.17.20')", "('npm', 'Lodash', '3.9.9')", "('npm', 'minimist', '1.2.5')", "('Go', 'golang.org/x/net', '0.10.0')", "('crates.io', 'time', '0.1.44')", "('Pub', 'http', '1.0.0')")),
+    "deps": ("ecosystem, name, version", ("('PyPI', 'requests', '2.18.0')", "('PyPI', 'requests', '2.20.0')", "('PyPI', 'flask', '2.0.0')", "('npm', 'lodash', '4.17.20')", "('npm', 'Lodash', '3.9.9')", "('npm', 'minimist', '1.2.5')", "('Go', 'golang.org/x/net', '0.10.0')", "('crates.io', 'time', '0.1.44')", "('Pub', 'http', '1.0.0')", "('npm', 'requests', '1.0.0')")),
     "licences": ("package, licence", ("('a', 'MIT')", "('b', 'GPL-3.0')", "('c', 'AGPL-3.0-only')", "('d', 'LGPL-2.1')", "('e', 'Apache-2.0')", "('f', 'MIT')")),
     "edges": ("src, dst", ("('a', 'b')", "('b', 'a')", "('c', 'd')", "('d', 'e')", "('e', 'c')", "('e', 'f')", "('f', 'g')", "('x', 'x')", "('b', 'c')")),
     "defs": ("name, path, entry, dispatched", ("('main', 'm.py', true, false)", "('helper', 'm.py', false, false)", "('orphan', 'm.py', false, false)", "('twice', 'm.py', false, false)", "('twice', 'n.py', false, false)", "('on_event', 'n.py', false, true)", "('caller', 'n.py', false, false)", "('looped', 'n.py', false, false)")),
@@ -24,7 +24,7 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
     "code": ("path, ext, content", (
         "('a.py', 'py', 'import os\ndef f(a):\n    # TODO later\n    os.system(a)\n    return eval(a)')", "('b.js', 'js', 'const x = 1;\nel.innerHTML = x;\nif (x && y) { go(); }')", "('c.yaml', 'yaml', 'spec:\n  hostNetwork: true\n  image: web:latest')",
         "('d.txt', 'txt', 'nothing here')", "('e.py', 'py', 'class Model:\n    pass\nprint(1)')")),
-    "constitution": ("directive, needle", ("('FORBID', 'eval(')", "('REQUIRE', 'LICENSE')", "('REQUIRE', 'class')", "('REQUIRE_EACH', 'e')")),
+    "constitution": ("directive, needle", ("('FORBID', 'eval(')", "('REQUIRE', 'LICENSE')", "('REQUIRE', 'class')", "('REQUIRE_EACH', 'e')", "('REQUIRE_EACH', 'class')", "('FORBID', 'later')")),
     "commits": ("ord, message", ("(1, 'feat: one')", "(2, 'fix(core): two')", "(3, 'feat!: three')", "(4, 'loose words')", "(5, 'fix: four')")),
     "marks": ("path, line_no, line", ("('m', 1, 'tessera:ignore')", "('m', 2, 'bad')", "('m', 3, 'bad')", "('m', 4, 'bad # tessera:ignore')", "('n', 1, 'bad')", "('n', 2, 'type Alpha struct {')", "('n', 3, 'x')", "('n', 4, 'type Beta struct {')", "('n', 5, 'y }')")),
 }

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import LONG_LINE, evidence, slug
+from tessera.functions.text import evidence, slug
 from tessera.operators import codeintel, deps, gate, graph, markup, rank, scan, verify
 from tessera.operators.taint import taint_findings
+from tessera.plans import oracle
 from tessera.plans import rules as R
 from tessera.plans.fixtures import fixture, sql
 from tessera.plans.registry import registry
@@ -43,38 +44,9 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.lit("html").alias("ext"), F.col("html").alias("content"))
 
 
-LINES = r"""lines AS (
-  SELECT CAST(doc_id AS VARCHAR) AS path, i AS line_no, regexp_replace(l[i], '\r$', '') AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) t, unnest(range(1, len(t.l) + 1)) AS r(i)
-)"""
-
-
-def _sql_string(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _bits_sql(v: str) -> str:
-    share = f"(len(list_filter(string_split({v}, ''), lambda d: d = c)) / CAST(length({v}) AS DOUBLE))"
-    return f"-list_sum(list_transform(list_distinct(string_split({v}, '')), lambda c: {share} * log2({share})))"
-
-
 #: Rules that apply to text without an extension.
-PLAIN = [r for r in [*R.SECRET, *R.PII, *R.SMELL] if not r.exts and r.kind in ("line", "entropy")]
-
-
-def _findings_sql() -> str:
-    order = {c: i for i, c in enumerate(dict.fromkeys(r.cap for r in PLAIN))}
-    parts = []
-    for r in PLAIN:
-        head = f"SELECT path, line_no, '{r.id}' AS rule, {r.severity} AS severity, '{r.cap}' AS cap, {order[r.cap]} AS cap_ord FROM lines WHERE "
-        if r.kind == "line":
-            parts.append(head + f"strlen(line) <= {LONG_LINE} AND regexp_matches(line, {_sql_string(r.pattern)})")
-        else:
-            parts.append(head + f"len(list_filter(regexp_extract_all(line, {_sql_string(r.pattern)}, 1), lambda v: {_bits_sql('v')} >= {r.bits})) > 0")
-    return f"WITH {LINES}, found AS (" + " UNION ALL ".join(parts) + ")"
-
-
-FINDINGS_SQL = _findings_sql()
+PLAIN = [r for r in [*R.SECRET, *R.PII, *R.SMELL] if not r.exts]
+LINES, FINDINGS_SQL = oracle.LINES, oracle.FINDINGS
 
 
 def doc_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,18 +69,7 @@ def findings_by_source(spark, sf_dir):
     return gate.by_source(doc_findings(spark, sf_dir))
 
 
-_HEUR = ", ".join(f"'{x}'" for x in R.HEURISTIC)
-_SCORE = f"""
-, kept AS (SELECT *, row_number() OVER (PARTITION BY rule, path, line_no ORDER BY cap_ord) AS k FROM found),
-b AS (SELECT *, CASE WHEN severity >= 3 THEN 'blocking' WHEN rule IN ({_HEUR}) THEN 'advisory' ELSE 'warning' END AS bucket FROM kept WHERE k = 1)
-SELECT count(*) FILTER (WHERE bucket = 'blocking') AS blocking, count(*) FILTER (WHERE bucket = 'warning') AS warning,
-       count(*) FILTER (WHERE bucket = 'advisory') AS advisory, CAST(0 AS BIGINT) AS dropped,
-       CAST(greatest(0, least(100, 100 - coalesce(sum(CASE WHEN bucket <> 'advisory' THEN list_extract([0, 1, 4, 12, 25], severity + 1) END), 0))) AS BIGINT) AS score,
-       count(*) FILTER (WHERE bucket = 'blocking') = 0 AS passed
-FROM b"""
-
-
-@query(FINDINGS_SQL + _SCORE)
+@query(FINDINGS_SQL + oracle.SCORE)
 def gate_score(spark, sf_dir):
     found = gate.keep_first(doc_findings(spark, sf_dir)).withColumn("verified", F.lit(True))
     return gate.verdict(gate.bucketed(found))
@@ -120,17 +81,18 @@ def sarif(spark, sf_dir):
     return sarif_rows(doc_findings(spark, sf_dir))
 
 
-@query()
+@query(FINDINGS_SQL + oracle.VERIFIED)
 def verified_findings(spark, sf_dir):
     files = doc_files(spark, sf_dir)
     return verify.verify(doc_findings(spark, sf_dir), src.lines(files)).select("path", "line_no", "rule", "severity", "verified", "refuted_by")
 
 
 _LONG = next(r for r in R.SECRET if r.id == "generic-secret-long")
+_LONG_SQL = next(pattern for _, rule, _, pattern, _, _ in oracle.PLAIN if rule == "generic-secret-long")
 
 
-@query(f"""WITH {LINES}, v AS (SELECT path, line_no, regexp_extract(line, {_sql_string(_LONG.pattern)}, 1) AS value FROM lines WHERE strlen(line) <= {LONG_LINE})
-SELECT path, line_no, value, round({_bits_sql('value')}, 6) AS bits FROM v WHERE value <> '' AND {_bits_sql('value')} >= {_LONG.bits}""")
+@query(f"""WITH {LINES}, v AS (SELECT path, line_no, regexp_extract(line, {oracle.quoted(_LONG_SQL)}, 1) AS value FROM lines WHERE strlen(line) <= 2000)
+SELECT path, line_no, value, round({oracle.bits('value')}, 6) AS bits FROM v WHERE value <> '' AND {oracle.bits('value')} >= 3.0""")
 def secret_entropy(spark, sf_dir):
     out = scan.secrets_by_entropy(src.lines(doc_files(spark, sf_dir)), _LONG.pattern, _LONG.bits)
     return out.select("path", "line_no", "value", F.round("bits", 6).alias("bits"))
@@ -154,7 +116,7 @@ def window_rule(spark, sf_dir):
     return scan.window_findings(src.lines(doc_files(spark, sf_dir)), [_WINDOW], {"demo": 0}).select("path", "line_no")
 
 
-@query(f"WITH {LINES} SELECT count(DISTINCT path) AS files_scanned, count(*) FILTER (WHERE strlen(line) > {LONG_LINE}) AS long_lines_out_of_scope, count(*) AS n_lines FROM lines")
+@query(f"WITH {LINES} SELECT count(DISTINCT path) AS files_scanned, count(*) FILTER (WHERE strlen(line) > 2000) AS long_lines_out_of_scope, count(*) AS n_lines FROM lines")
 def long_lines(spark, sf_dir):
     files = doc_files(spark, sf_dir)
     return scan.coverage(files, src.lines(files))
@@ -167,8 +129,7 @@ def ident_freq(spark, sf_dir):
     return codeintel.identifiers(doc_files(spark, sf_dir)).orderBy(F.desc("n"), "ident").limit(100)
 
 
-_TOKENS = " + ".join(f"(length(line) - length(replace(line, {_sql_string(t)}, ''))) // {len(t)}" for t in codeintel.BRANCHES)
-_METRICS = f"WITH {LINES}, m AS (SELECT path, count(*) AS n_lines, CAST(1 + sum({_TOKENS}) AS BIGINT) AS complexity FROM lines GROUP BY path)"
+_METRICS = oracle.METRICS
 
 
 @query(_METRICS + "SELECT path, n_lines, complexity FROM m ORDER BY complexity DESC, path LIMIT 10")
@@ -281,10 +242,7 @@ def dedup_first(spark, sf_dir):
     return gate.keep_first(found).select("rule", "severity", "path", "line_no", "cap")
 
 
-_CATS = ", ".join(f"('{c}', '{r}')" for c, ids in R.CATEGORIES.items() for r in (ids or ("",)))
-
-
-@query(f"""WITH {sql('found')}, c AS (SELECT * FROM (VALUES {_CATS}) AS t(category, rule))
+@query(f"""WITH {sql('found')}, {oracle.CATEGORIES}
 SELECT category, count(found.rule) AS n, count(*) FILTER (WHERE found.severity >= 3) AS n_high FROM c LEFT JOIN found ON c.rule = found.rule GROUP BY category""")
 def owasp_matrix(spark, sf_dir):
     return gate.matrix(fixture(spark, "found"))
@@ -296,12 +254,7 @@ def rigor(spark, sf_dir):
     return gate.rigor(fixture(spark, "checks")).withColumn("rigor", F.col("rigor").cast("double"))
 
 
-_AXES = ", ".join(f"('{a}', '{s}', {str(h).lower()})" for a, s, h in gate.AXES)
-_AXIS_SQL = f"""WITH {sql('found', 'checks')}, a AS (SELECT * FROM (VALUES {_AXES}) AS t(axis, source, hard)),
-w AS (SELECT axis, hard, count(*) FILTER (WHERE state = 'ran') AS n_ran FROM a LEFT JOIN checks ON id = source OR (source LIKE '%.' AND starts_with(id, source)) GROUP BY axis, hard),
-f AS (SELECT axis, count(*) AS n, count(*) FILTER (WHERE severity >= 3) AS n_high FROM a JOIN found ON cap = source OR (source LIKE '%.' AND starts_with(cap, source)) GROUP BY axis),
-states AS (SELECT w.axis, hard, CASE WHEN n_ran = 0 THEN 'not run' WHEN coalesce(n_high, 0) > 0 THEN 'failed' ELSE 'confirmed' END AS state, coalesce(n, 0) AS n, coalesce(n_high, 0) AS n_high FROM w LEFT JOIN f ON w.axis = f.axis)
-"""
+_AXIS_SQL = f"WITH {sql('found', 'checks')}, {oracle.AXES}\n"
 
 
 @query(_AXIS_SQL + "SELECT * FROM states")
@@ -353,7 +306,7 @@ def osv_range(spark, sf_dir):
     return deps.vulnerable(fixture(spark, "deps"), fixture(spark, "vulns"))
 
 
-@query(f"WITH {sql('deps', 'vulns')} SELECT ecosystem, name, version FROM deps WHERE lower(name) NOT IN (SELECT lower(package) FROM vulns)")
+@query(f"WITH {sql('deps', 'vulns')} SELECT ecosystem, name, version FROM deps d WHERE NOT EXISTS (SELECT 1 FROM vulns v WHERE lower(v.package) = lower(d.name) AND lower(v.ecosystem) = lower(d.ecosystem))")
 def osv_uncovered(spark, sf_dir):
     return deps.uncovered(fixture(spark, "deps"), fixture(spark, "vulns"))
 
@@ -392,9 +345,7 @@ def layers(spark, sf_dir):
     return codeintel.layer_violations(fixture(spark, "edges"), fixture(spark, "layers"))
 
 
-@query(f"""WITH {sql('code', 'constitution')} SELECT directive, needle, path FROM code, constitution WHERE directive = 'FORBID' AND contains(content, needle)
-UNION ALL SELECT directive, needle, NULL FROM constitution WHERE directive = 'REQUIRE' AND NOT EXISTS (SELECT 1 FROM code WHERE contains(content, needle))
-UNION ALL SELECT directive, needle, path FROM code, constitution WHERE directive = 'REQUIRE_EACH' AND NOT contains(content, needle)""")
+@query("""SELECT * FROM (VALUES ('FORBID', 'eval(', 'a.py'), ('REQUIRE', 'LICENSE', NULL), ('REQUIRE_EACH', 'class', 'a.py'), ('REQUIRE_EACH', 'class', 'b.js')) AS t(directive, needle, path)""")
 def constitution(spark, sf_dir):
     return codeintel.constitution(fixture(spark, "code"), fixture(spark, "constitution"))
 

@@ -21,15 +21,25 @@ def test_registry(spark):
 def test_stack_entry_containers_calls(spark):
     f = as_files(spark, ("go.mod", ""), ("x/package.json", "{}"), ("m.py", "if __name__ == '__main__':\n  requests.get('https://u:p@h.example/x')"), ("Dockerfile", "FROM a:1\nRUN x"), ("c.yml", "version: 3\nservices:\n  web:\n    image: y\n  db:\nvolumes:\n  v:\n"))
     lines = src.lines(f)
-    assert {r.stack for r in project.stacks(f).collect()} == {"go", "node"} and [r.path for r in project.entry_points(lines).collect()] == ["m.py"]
+    assert {r.stack for r in project.stacks(f.union(as_files(spark, ("package.json", "{}"), ("App.xcodeproj/p", ""), ("x.sln", "")))).collect()} == {"Go", "Node/JS/TS", "Swift/Xcode", "C#/.NET"} and [r.path for r in project.entry_points(lines).collect()] == ["m.py"]
     assert sorted((r.kind, r.name) for r in project.containers(lines).collect()) == [("image", "a:1"), ("service", "db"), ("service", "web")]
     assert [(r.target, r.protocol) for r in project.outbound_calls(lines).collect()] == [("https://h.example/x", "http")]
 
 
-def test_masking_keeps_lines(spark):
-    text = 'a = "secret" // c\n/* x\ny */ b\n# z\nd'
-    got = spark.createDataFrame([(text,)], "content string").select(project.masked(F.col("content"))).first()[0]
-    assert got == 'a = "" \n\n b\n\nd'
+def test_masking_keeps_lines_and_places(spark):
+    text = 'a = "se\\"c" // c\n/* x\ny */ b\n\'q\' d'
+    rows = [(text, "go"), ('x = """a\nb""" # z\ny = 1 // 2', "py"), ("f(1) ; note", "clj"), (None, "py")]
+    got = [r[0] for r in spark.createDataFrame(rows, "content string, ext string").select(project.masked(F.col("content"), F.col("ext"))).collect()]
+    assert got[0] == "a = " + " " * 12 + "\n    \n     b\n    d" and got[1] == "x =     \n" + " " * 8 + "\ny = 1 // 2" and got[2] == "f(1)       " and got[3] is None
+
+
+def test_constitution_reads_code_only(spark):
+    f = as_files(spark, ("a.py", "# eval(x)\nt = 'eval(y)'\nz = 1"), ("tests/b.py", "eval(z)"), ("c.go", "eval(q) // need"), ("d.txt", "eval(r)"))
+    rules = spark.createDataFrame([("FORBID", "eval("), ("REQUIRE", "need"), ("REQUIRE", "eval"), ("REQUIRE_EACH", "z = ")], "directive string, needle string")
+    assert {tuple(r) for r in codeintel.constitution(f, rules).collect()} == {("FORBID", "eval(", "c.go"), ("REQUIRE", "need", None), ("REQUIRE_EACH", "z = ", "c.go")}
+    assert {tuple(r) for r in codeintel.constitution(f.limit(0), rules).collect()} == {("REQUIRE", "need", None), ("REQUIRE", "eval", None)}
+    plan = codeintel.constitution(f, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
 
 def test_rust_test_regions(spark):

@@ -40,6 +40,17 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 1 and set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(__spark_entry__.oracle_sql())
 
 
-def test_line_rules_stay_native_and_read_two_columns(spark):
+def test_line_rules_stay_native_and_read_what_they_need(spark):
     plan = QUERIES["pii_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Python" not in plan and "Pandas" not in plan
+    assert "ReadSchema: struct<text:string>" in plan and "Python" not in plan and "Pandas" not in plan
+    plan = QUERIES["evidence_lines"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_sql_states_its_own_literals():
+    """No text of the SQL comes from the rule tables: a changed rule must make its query differ."""
+    import inspect
+
+    from tessera.plans import oracle
+
+    assert "import" not in inspect.getsource(oracle).replace("from __future__ import annotations", "")
