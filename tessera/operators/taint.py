@@ -1,8 +1,9 @@
-"""Taint in Python sources: what comes from a request reaches a sink without a cleaner of the sink's class.
+"""Taint: what comes from a request reaches a sink without a cleaner of the sink's class.
 
-Each function is folded by itself, in order, over its syntax tree; branches join as the union of what is tainted and the
-intersection of what is cleaned. Between functions, two fixpoints run over tables: functions that return taint, and
-parameters that reach a sink.
+Each text is read once: Python by its syntax tree, other languages by `flow`. A function is folded by itself, in order;
+branches join as the union of what is tainted and the intersection of what is cleaned. Origins are symbolic, so what
+crosses functions is left to tables: functions that give taint back and parameters that reach a sink are two closures of
+joins over the events, within a project.
 """
 
 from __future__ import annotations
@@ -14,25 +15,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where untrusted data comes from, what is dangerous to reach, and what makes data safe for which sinks.
-SOURCES = ("request.args", "request.form", "request.values", "request.json", "request.data", "request.cookies", "request.headers", "request.GET", "request.POST", "os.environ", "os.getenv", "self.get_argument")
+from tessera.operators.flow import ALL_BUT_SIZE, COMMAND, LANGUAGES, MASKS, MUTATORS, NONE, PATH, SOURCE, SQL, WHOLE, Reader, Value, cleaned_for, joined, personal
+from tessera.operators.graph import cut
+from tessera.sources.files import language
+
+DYNAMIC, XPATH, LDAP, REDIRECT, XSS, BOUNDARY = "sast/taint-dynamic-exec", "sast/taint-xpath", "sast/taint-ldap", "sast/taint-open-redirect", "sast/taint-xss", "sast/taint-trust-boundary"
+#: Where untrusted data comes from in Python, and what is dangerous to reach: last names and whole names.
+SOURCES = (
+    "request.args", "request.form", "request.values", "request.json", "request.data", "request.get_json", "request.cookies", "request.headers", "request.GET", "request.POST", "request.query_params", "request.META", "request.FILES",
+    "self.get_argument", "os.environ", "os.getenv", "flask.request",
+)
 SINKS = {
-    "sast/taint-command-exec": ("os.system", "os.popen", "subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output", "subprocess.check_call"),
-    "sast/taint-dynamic-exec": ("eval", "exec"),
-    "sast/taint-sql": (".execute", ".executemany", ".executescript"),
-    "sast/taint-path": ("open", "os.open", "io.open"),
-    "sast/taint-xpath": (".xpath",),
-    "sast/taint-ldap": (".search_s",),
-    "sast/taint-open-redirect": ("redirect",),
-    "sast/taint-xss": ("render_template_string", "Markup", "make_response"),
+    DYNAMIC: ((), ("eval", "exec", "builtins.eval", "builtins.exec", "__builtins__.eval", "__builtins__.exec")),
+    COMMAND: ((), ("os.system", "os.popen", *[f"subprocess.{n}" for n in ("run", "call", "popen", "check_output", "check_call", "getoutput", "getstatusoutput")])),
+    SQL: (("execute", "executemany", "executescript"), ()),
+    PATH: (("read_text", "read_bytes", "write_text", "write_bytes", "exists", "is_file", "is_dir", "unlink", "iterdir", "glob", "open"), ("open", "os.open", "io.open", "codecs.open")),
+    XPATH: (("xpath",), ("elementpath.select",)),
+    LDAP: (("search", "search_s", "search_ext_s", "search_st"), ()),
+    REDIRECT: (("redirect", "httpresponseredirect", "redirectresponse"), ()),
+    XSS: (("render_template_string", "markup", "make_response"), ("response",)),
 }
-SEVERITY = {"sast/taint-command-exec": 4, "sast/taint-dynamic-exec": 4, "sast/taint-open-redirect": 2}
-CLEANERS = {
-    "shlex.quote": ("sast/taint-command-exec",), "pipes.quote": ("sast/taint-command-exec",), "html.escape": ("sast/taint-xss",), "markupsafe.escape": ("sast/taint-xss",), "escape": ("sast/taint-xss",),
-    "os.path.basename": ("sast/taint-path",), "os.path.realpath": ("sast/taint-path",), "secure_filename": ("sast/taint-path",),
-    "int": tuple(SINKS), "float": tuple(SINKS), "bool": tuple(SINKS), "len": tuple(SINKS),
-}
-MUTATORS = ("append", "add", "insert", "extend", "update", "write")
+SEVERITY = {COMMAND: 4, DYNAMIC: 4, REDIRECT: 2, BOUNDARY: 2, "sast/taint-buffer": 4, "sast/use-after-free": 4, "sast/double-free": 4}
 
 
 def dotted(node: ast.AST) -> str:
@@ -46,151 +49,252 @@ def dotted(node: ast.AST) -> str:
 
 
 def sink_of(name: str) -> str | None:
-    for rule, names in SINKS.items():
-        if any(name == n or (n.startswith(".") and name.endswith(n)) for n in names):
+    full = name.lower()
+    leaf = full.rpartition(".")[2]
+    for rule, (leaves, names) in SINKS.items():
+        if full in names or (leaf in leaves and not (rule == LDAP and full.startswith(("re.", "regex.")))):
             return rule
     return None
 
 
 class Function:
-    """The fold over one function. state: name -> (origins, rules it is clean of); origins are 'source' and 'param:i'."""
+    """The fold over one function; state: name -> value."""
+
+    def __init__(self, name: str, params: list[str]) -> None:
+        self.name = name
+        self.state = {p: {f"param:{i}": frozenset()} for i, p in enumerate(params)}
+        self.events: list[tuple] = []
 
-    def __init__(self, params: list[str], sources: set[str], tainting: set[str], sink_params: set[tuple[str, int, str]]) -> None:
-        self.state = {p: (frozenset({f"param:{i}"}), frozenset()) for i, p in enumerate(params)}
-        self.tainting, self.sink_params = tainting, sink_params
-        self.returns: set[str] = set()
-        self.reached: set[tuple[str, int, str]] = set()
+    def emit(self, kind: str, line: int, value: Value, rule: str | None = None, callee: str | None = None, arg: int | None = None) -> None:
+        for o in sorted(value):
+            event = (self.name, kind, line, o, rule, callee, arg, sorted(value[o]))
+            if event not in self.events:
+                self.events.append(event)
 
-    def taint(self, e: ast.AST | None) -> tuple[frozenset, frozenset]:
+    def taint(self, e: ast.AST | None) -> Value:
         """Origins of an expression and the rules that it is clean of."""
         if e is None or isinstance(e, ast.Constant):
-            return frozenset(), frozenset()
+            return NONE
         name = dotted(e)
         if any(name == s or name.startswith(s + ".") for s in SOURCES):
-            return frozenset({"source"}), frozenset()
+            return SOURCE
         if isinstance(e, ast.Name):
-            return self.state.get(e.id, (frozenset(), frozenset()))
+            return self.state.get(e.id, NONE)
+        if isinstance(e, ast.Attribute) and name in self.state:
+            return self.state[name]
+        if isinstance(e, ast.NamedExpr):
+            got = self.taint(e.value)
+            self.bind(e.target, got)
+            return got
         if isinstance(e, ast.IfExp) and isinstance(e.test, ast.Constant):
             return self.taint(e.body if e.test.value else e.orelse)
+        if isinstance(e, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
+            held = dict(self.state)
+            for g in e.generators:
+                self.bind(g.target, self.taint(g.iter))
+            got = joined([self.taint(c) for c in ([e.key, e.value] if isinstance(e, ast.DictComp) else [e.elt])])
+            self.state = held
+            return got
         if isinstance(e, ast.Call):
             inner = [self.taint(a) for a in [*e.args, *[k.value for k in e.keywords]]]
             if isinstance(e.func, ast.Attribute):
                 inner.append(self.taint(e.func.value))
-            origins, clean = self.union(inner)
-            if name in CLEANERS:
-                clean = clean | frozenset(CLEANERS[name])
-            if name in self.tainting:
-                origins, clean = origins | {"source"}, frozenset()
-            return origins, clean
-        return self.union([self.taint(c) for c in ast.iter_child_nodes(e) if isinstance(c, (ast.expr, ast.keyword, ast.comprehension, ast.FormattedValue))])
-
-    @staticmethod
-    def union(parts: list[tuple[frozenset, frozenset]]) -> tuple[frozenset, frozenset]:
-        dirty = [p for p in parts if p[0]]
-        if not dirty:
-            return frozenset(), frozenset()
-        return frozenset().union(*[o for o, _ in dirty]), frozenset.intersection(*[c for _, c in dirty])
+            got, low = joined(inner), name.lower()
+            clean = cleaned_for(low, low.rpartition(".")[2])
+            return {o: c | clean for o, c in got.items()} if clean else joined([got, {f"ret:{low.rpartition('.')[2]}": frozenset()}])
+        return joined([self.taint(c) for c in ast.iter_child_nodes(e) if isinstance(c, (ast.expr, ast.keyword, ast.FormattedValue))])
+
+    def reach(self, rule: str, value: Value, line: int) -> None:
+        self.emit("sink", line, {o: c for o, c in value.items() if rule not in c and ALL_BUT_SIZE not in c}, rule)
 
     def calls(self, e: ast.AST) -> None:
+        """What the calls within an expression or statement reach; names that its comprehensions bind hold within it."""
+        inner = [g for n in ast.walk(e) if isinstance(n, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)) for g in n.generators]
+        held = {k: self.state.get(k) for g in inner for k in (n.id for n in ast.walk(g.target) if isinstance(n, ast.Name))}
+        for g in inner:
+            self.bind(g.target, self.taint(g.iter))
+        self.each_call(e)
+        for k, v in held.items():
+            if v is None:
+                self.state.pop(k, None)
+            else:
+                self.state[k] = v
+
+    def each_call(self, e: ast.AST) -> None:
         for call in [n for n in ast.walk(e) if isinstance(n, ast.Call)]:
-            name, rule = dotted(call.func), sink_of(dotted(call.func))
-            args = call.args[:1] if rule == "sast/taint-sql" else [*call.args, *[k.value for k in call.keywords]]
-            hits = [(rule, a) for a in args] if rule else []
-            hits += [(r, call.args[i]) for f, i, r in self.sink_params if f == name and i < len(call.args)]
-            for r, a in hits:
-                origins, clean = self.taint(a)
-                if r not in clean:
-                    self.reached |= {(o, call.lineno, r) for o in origins}
-            if isinstance(call.func, ast.Attribute) and call.func.attr in MUTATORS and isinstance(call.func.value, ast.Name):
-                got = self.union([self.taint(a) for a in call.args] + [self.state.get(call.func.value.id, (frozenset(), frozenset()))])
-                if got[0]:
-                    self.state[call.func.value.id] = got
-
-    def bind(self, target: ast.AST, value: tuple[frozenset, frozenset], keep: bool = False) -> None:
-        for n in ast.walk(target):
-            if isinstance(n, ast.Name):
-                both = self.union([value, self.state.get(n.id, (frozenset(), frozenset()))]) if keep else value
-                self.state[n.id] = both
+            name = dotted(call.func)
+            rule, leaf = sink_of(name), name.lower().rpartition(".")[2]
+            every = [*call.args, *[k.value for k in call.keywords]]
+            if rule:
+                for a in every if rule in WHOLE else every[:1]:
+                    self.reach(rule, self.taint(a), call.lineno)
+                if rule == PATH and isinstance(call.func, ast.Attribute):
+                    self.reach(rule, self.taint(call.func.value), call.lineno)
+            for i, a in enumerate(call.args):
+                self.emit("pass", call.lineno, self.taint(a), callee=leaf, arg=i)
+            low = name.lower()
+            if "log" in low or "console." in low or low.startswith("print"):
+                text = " ".join(ast.unparse(a) for a in every)
+                names = [n.id if isinstance(n, ast.Name) else n.attr for a in every for n in ast.walk(a) if isinstance(n, (ast.Name, ast.Attribute))]
+                if any(map(personal, names)) and not any(m in text.lower() for m in MASKS):
+                    self.events.append((self.name, "finding", call.lineno, "source", "pdn-log-dynamic", None, None, []))
+            if isinstance(call.func, ast.Attribute) and call.func.attr in MUTATORS:
+                key = dotted(call.func.value)
+                got = joined([self.taint(a) for a in call.args] + [self.state.get(key, NONE)])
+                if got:
+                    self.state[key] = got
+
+    def bind(self, target: ast.AST, value: Value, keep: bool = False) -> None:
+        if isinstance(target, (ast.Tuple, ast.List)):
+            for t in target.elts:
+                self.bind(t, value, keep)
+            return
+        keep = keep or isinstance(target, ast.Subscript)
+        key = dotted(target)
+        if key:
+            self.state[key] = joined([value, self.state.get(key, NONE)]) if keep else value
+
+    def boundary(self, target: ast.AST, value: Value, line: int) -> None:
+        if isinstance(target, ast.Subscript) and (dotted(target.value).lower() == "session" or dotted(target.value).lower().endswith(".session")):
+            self.emit("sink", line, joined([value, self.taint(target.slice)]), BOUNDARY)
+
+    def either(self, ways: list[dict]) -> None:
+        self.state = {n: joined([w.get(n, NONE) for w in ways]) for n in set().union(*ways)}
+
+    def along(self, body: list[ast.stmt], start: dict) -> dict:
+        self.state = dict(start)
+        self.run(body)
+        return self.state
 
     def run(self, body: list[ast.stmt]) -> None:
         for s in body:
             if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 continue
-            if isinstance(s, (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.AsyncFor)):
-                for head in (getattr(s, "test", None), getattr(s, "iter", None), *[i.context_expr for i in getattr(s, "items", ())]):
-                    if head is not None:
-                        self.calls(head)
-                if getattr(s, "iter", None) is not None:
-                    self.bind(s.target, self.taint(s.iter))
-                before, ends = dict(self.state), []
-                for branch in (s.body, getattr(s, "orelse", []), getattr(s, "finalbody", []), *[h.body for h in getattr(s, "handlers", ())]):
-                    self.state = dict(before)
-                    self.run(branch)
-                    ends.append(self.state)
-                if isinstance(s, (ast.With, ast.AsyncWith)):
-                    ends = ends[:1]
-                self.state = {n: self.union([e.get(n, (frozenset(), frozenset())) for e in ends]) for n in set().union(*ends)}
-                continue
-            self.calls(s)
-            if isinstance(s, ast.Assign):
-                for t in s.targets:
-                    self.bind(t, self.taint(s.value))
-            elif isinstance(s, ast.AnnAssign) and s.value is not None:
-                self.bind(s.target, self.taint(s.value))
-            elif isinstance(s, ast.AugAssign):
-                self.bind(s.target, self.taint(s.value), keep=True)
-            elif isinstance(s, ast.Return):
-                self.returns |= self.taint(s.value)[0]
-
-
-EVENTS = "path string, func string, kind string, line_no int, param int, rule string"
-
-
-def fold(files: DataFrame, tainting: set[str] = frozenset(), sink_params: set[tuple[str, int, str]] = frozenset()) -> DataFrame:
-    """Events of every function: 'finding', 'returns' (taint) and 'param' (a parameter that reaches a sink)."""
+            if isinstance(s, ast.If):
+                self.calls(s.test)
+                self.taint(s.test)
+                before = dict(self.state)
+                self.either([self.along(s.body, before), self.along(s.orelse, before)])
+            elif isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
+                head = s.test if isinstance(s, ast.While) else s.iter
+                self.calls(head)
+                before = dict(self.state)
+                for _ in range(2):  # what the end of a round taints, its start may use
+                    if not isinstance(s, ast.While):
+                        self.bind(s.target, self.taint(s.iter))
+                    self.either([before, self.along(s.body, self.state)])
+                self.run(s.orelse)
+            elif isinstance(s, ast.Try):
+                before = dict(self.state)
+                done = self.along(s.body, before)
+                thrown = {n: joined([before.get(n, NONE), done.get(n, NONE)]) for n in {*before, *done}}
+                ways = [self.along(s.orelse, done), *[self.along(h.body, thrown) for h in s.handlers]]
+                self.either(ways)
+                self.run(s.finalbody)
+            elif isinstance(s, (ast.With, ast.AsyncWith)):
+                for item in s.items:
+                    self.calls(item.context_expr)
+                    if item.optional_vars is not None:
+                        self.bind(item.optional_vars, self.taint(item.context_expr))
+                self.run(s.body)
+            elif isinstance(s, ast.Match):
+                self.calls(s.subject)
+                before = dict(self.state)
+                self.either([before, *[self.along(c.body, before) for c in s.cases]])
+            else:
+                self.simple(s)
+
+    def simple(self, s: ast.stmt) -> None:
+        self.calls(s)
+        if isinstance(s, ast.Assign):
+            got = self.taint(s.value)
+            for t in s.targets:
+                self.boundary(t, got, s.lineno)
+                self.bind(t, got)
+        elif isinstance(s, ast.AnnAssign) and s.value is not None:
+            self.bind(s.target, self.taint(s.value))
+        elif isinstance(s, ast.AugAssign):
+            self.bind(s.target, self.taint(s.value), keep=True)
+        elif isinstance(s, ast.Return):
+            got = self.taint(s.value)
+            self.emit("returns", s.lineno, got)
+            if s.value is not None and not isinstance(s.value, ast.Call):
+                self.reach(XSS, got, s.lineno)
+        elif isinstance(s, ast.Expr):
+            self.taint(s.value)
+
+
+def read_python(text: str) -> list[tuple]:
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return []
+    out = []
+    for f in [None, *[n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]]:
+        fn = Function("" if f is None else f.name.lower(), [] if f is None else [a.arg for a in f.args.args])
+        fn.run(tree.body if f is None else f.body)
+        out += fn.events
+    return out
+
+
+EVENTS = "project string, path string, func string, kind string, line_no int, origin string, rule string, callee string, arg int, clean array<string>"
+
+
+def fold(files: DataFrame) -> DataFrame:
+    """Events of every function: 'sink' (origin reaches rule), 'pass' (origin is argument arg of callee), 'returns' (origin
+    is given back), 'finding' (rule, whatever the origin)."""
+    named = files.withColumn("project", F.col("project") if "project" in files.columns else F.lit("")).withColumn("lang", language(F.col("ext")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    tree = ast.parse(content)
-                except (SyntaxError, ValueError):
-                    continue
-                for f in [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]:
-                    fn = Function([a.arg for a in f.args.args], set(), set(tainting), set(sink_params))
-                    fn.run(f.body)
-                    if "source" in fn.returns:
-                        rows.append((path, f.name, "returns", None, None, None))
-                    for origin, line, rule in sorted(fn.reached):
-                        if origin == "source":
-                            rows.append((path, f.name, "finding", line, None, rule))
-                        else:
-                            rows.append((path, f.name, "param", None, int(origin.split(":")[1]), rule))
-            yield pd.DataFrame(rows, columns=["path", "func", "kind", "line_no", "param", "rule"])
-
-    return files.where("ext = 'py'").select("path", "content").mapInPandas(run, EVENTS)
-
-
-def taint_findings(files: DataFrame, most_facts: int = 100_000) -> DataFrame:
-    """(path, func, line_no, rule, severity, verified): findings after the two fixpoints have settled.
-
-    What functions return and which parameters reach sinks are facts about names of one project; beyond most_facts of
-    them the project is too large to treat as one, which raises."""
-    tainting, sink_params = set(), set()
-    while True:  # facts only grow, up to most_facts
-        events = fold(files, tainting, sink_params)
-        got = events.where("kind <> 'finding'").select("func", "kind", "param", "rule").distinct().limit(most_facts + 1).collect()
-        if len(got) > most_facts:
-            raise ValueError("too many facts for one project")
-        new = tainting | {r.func for r in got if r.kind == "returns"}, sink_params | {(r.func, r.param, r.rule) for r in got if r.kind == "param"}
-        if new == (tainting, sink_params):
-            break
-        tainting, sink_params = new
+            for project, path, lang, content in zip(batch["project"], batch["path"], batch["lang"], batch["content"], strict=True):
+                events = read_python(content) if lang == "python" else Reader(lang, content).read()
+                rows += [(project, path, *e) for e in events]
+            yield pd.DataFrame(rows, columns=["project", "path", "func", "kind", "line_no", "origin", "rule", "callee", "arg", "clean"]).astype({"arg": "Int32", "line_no": "Int32"})
+
+    known = named.where(F.col("lang").isin("python", *LANGUAGES) & F.col("content").isNotNull())
+    return known.select("project", "path", "lang", "content").mapInPandas(run, EVENTS)
+
+
+def _settled(start: DataFrame, step, keys: list[str]) -> DataFrame:
+    """start and all that step() adds to what is new, until nothing is."""
+    seen = frontier = cut(start.select(*keys).distinct())
+    while not frontier.isEmpty():
+        frontier = cut(step(frontier).select(*keys).distinct().join(seen, keys, "left_anti"))
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def resolve(events: DataFrame) -> DataFrame:
+    """(path, func, line_no, rule): what holds once taint has crossed all calls."""
+    events = cut(events)
+    returns, passed, sinks = (events.where(F.col("kind") == k) for k in ("returns", "pass", "sink"))
+    called = F.expr("CASE WHEN origin LIKE 'ret:%' THEN substr(origin, 5) END")
+    back = returns.select("project", F.col("func").alias("outer"), called.alias("func")).where("func IS NOT NULL").distinct()
+    tainting = _settled(returns.where("origin = 'source'"), lambda new: back.join(new, ["project", "func"]).select("project", F.col("outer").alias("func")), ["project", "func"])
+    number = F.expr("CASE WHEN origin LIKE 'param:%' THEN CAST(substr(origin, 7) AS INT) END")
+    inward = passed.withColumn("outer_arg", number).where("outer_arg IS NOT NULL").select("project", F.col("func").alias("outer"), "outer_arg", F.col("callee").alias("func"), "arg", "clean")
+    open_ = ~F.array_contains("clean", F.col("rule")) & (~F.array_contains("clean", F.lit(ALL_BUT_SIZE)) | (F.col("rule") == "sast/taint-alloc-size"))
+
+    def up(new: DataFrame) -> DataFrame:
+        return inward.join(new, ["project", "func", "arg"]).where(open_).select("project", F.col("outer").alias("func"), F.col("outer_arg").alias("arg"), "rule")
+
+    reaching = _settled(sinks.withColumn("arg", number).where("arg IS NOT NULL"), up, ["project", "func", "arg", "rule"])
+    dirty = lambda df: df.withColumn("called", called).join(tainting.select("project", F.col("func").alias("called"), F.lit(True).alias("back")), ["project", "called"], "left").where("origin = 'source' OR back")
+    here = dirty(sinks).select("path", "func", "line_no", "rule")
+    within = reaching.select("project", F.col("func").alias("callee"), "arg", F.col("rule").alias("reached"))
+    across = dirty(passed).drop("rule").join(within, ["project", "callee", "arg"]).withColumnRenamed("reached", "rule").where(open_).select("path", "func", "line_no", "rule")
+    return here.unionByName(across).unionByName(events.where("kind = 'finding'").select("path", "func", "line_no", "rule")).distinct()
+
+
+def taint_findings(files: DataFrame) -> DataFrame:
+    """(path, func, line_no, rule, severity, verified). files: path, ext, content and perhaps project, within which names
+    of functions are looked up."""
     severity = F.lit(3)
     for rule, level in SEVERITY.items():
         severity = F.when(F.col("rule") == rule, level).otherwise(severity)
-    return events.where("kind = 'finding'").select("path", "func", "line_no", "rule", severity.alias("severity"), F.lit(False).alias("verified")).distinct()
+    return resolve(fold(files)).select("path", "func", "line_no", "rule", severity.alias("severity"), F.lit(False).alias("verified"))
 
 
 #: Structural rules: a call of these with an argument that is not constant.

@@ -201,7 +201,7 @@ def f():
 
 def test_taint(spark):
     got = sorted((r.func, r.rule) for r in taint_findings(as_files(spark, ("t.py", TAINT), ("bad.py", "def ("))).collect())
-    assert got == [("a", "sast/taint-command-exec"), ("c", "sast/taint-command-exec"), ("d", "sast/taint-dynamic-exec"), ("e", "sast/taint-path"), ("f", "sast/taint-sql")]
+    assert got == [("a", "sast/taint-command-exec"), ("c", "sast/taint-command-exec"), ("d", "sast/taint-dynamic-exec"), ("e", "sast/taint-path"), ("f", "sast/taint-sql"), ("get", "sast/taint-xss")]
 
 
 def test_taint_through_many_wrappers(spark):
@@ -211,6 +211,44 @@ def test_taint_through_many_wrappers(spark):
     assert ("top", "sast/taint-command-exec") in got
 
 
+PLACES = """
+import os
+q = request.args['a']
+os.system(q)
+def one(request):
+    try:
+        x = request.form['x']
+    finally:
+        x = 'clean'
+    os.system(x)
+def two():
+    for i in range(3):
+        os.system(y)
+        y = os.environ['Y']
+def three():
+    session['k'] = request.args['k']
+    logger.info(user.passport_number)
+    logger.info(mask(user.passport_number))
+    if (z := request.args['z']):
+        cur.execute(f'select {z}')
+    [os.system(w) for w in request.args]
+def four(base):
+    p = base / request.args['p']
+    return p.read_text()
+"""
+
+
+def test_taint_of_statements(spark):
+    got = sorted((r.func, r.rule, r.line_no) for r in taint_findings(as_files(spark, ("t.py", PLACES))).collect())
+    assert got == [("", "sast/taint-command-exec", 4), ("four", "sast/taint-path", 24), ("three", "pdn-log-dynamic", 17), ("three", "sast/taint-command-exec", 21), ("three", "sast/taint-sql", 20), ("three", "sast/taint-trust-boundary", 16), ("two", "sast/taint-command-exec", 13)]
+
+
+def test_projects_do_not_share_names(spark):
+    rows = [("p", "a.py", "py", "def f():\n    g(request.args['a'])\n"), ("q", "b.py", "py", "def g(x):\n    os.system(x)\n"), ("q", "c.go", "go", "func h(r *Request) {\n  g(r.FormValue(\"a\"))\n}\n")]
+    df = spark.createDataFrame(rows, "project string, path string, ext string, content string")
+    assert [(r.path, r.rule) for r in taint_findings(df).collect()] == [("c.go", "sast/taint-command-exec")]
+
+
 def test_structural(spark):
     f = as_files(spark, ("s.py", "os.system('ls')\nos.system(cmd)\npickle.loads(x)\njson.loads(x)\nyaml.load(x, Loader=SafeLoader)\ncur.execute(f'select {x}')\ncur.execute('select 1')"))
     assert sorted((r.line_no, r.rule) for r in structural_findings(f).collect()) == [(2, "sast/dynamic-exec"), (3, "sast/unsafe-deserialize"), (6, "sast/sql-injection")]
