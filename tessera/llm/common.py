@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,12 +50,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a table in the shared folder, perhaps in folders by a column: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def dropped(table_: DataFrame, folder: str = "") -> None:
+    """Deletes a written table, or a folder of it, that nothing will read again."""
+    spark = table_.sparkSession
+    files = table_.inputFiles()
+    if files:
+        root = re.sub(r"(/[^/]*-[0-9a-f]{32})/.*$", r"\1", files[0])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}".rstrip("/"))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:

@@ -25,22 +25,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import Writer, only, pack, table, unpack, written
+from tessera.llm.common import Writer, dropped, only, pack, table, unpack, written
 from tessera.llm.repeats import GROUPS, SENT, SENT_SQL, Bytes, Group, Strings, grouped, repeats, routed
 
 
 class SuffixArray(NamedTuple):
-    """Suffixes in order of their first `length` bytes, none twice: where each starts in flat, and the smallest id that
-    has it."""
+    """Suffixes in order of their first `length` bytes, none twice: where each starts in flat, which consists of pieces
+    that begin at `begin`; a piece's id is the smallest that has each of the suffixes that start in it."""
 
     length: int
     flat: np.ndarray
+    begin: np.ndarray
+    piece_id: np.ndarray
     at: np.ndarray
-    ids: np.ndarray
 
     def keys(self) -> np.ndarray:
         return heads(self.flat, self.at, self.length)
 
+    def ids(self) -> np.ndarray:
+        return self.piece_id[np.searchsorted(self.begin, self.at, "right") - 1] if len(self.at) else np.zeros(0, np.int64)
+
     def some(self, chosen: np.ndarray) -> SuffixArray:
         """Only the chosen suffixes, and of the text what they need."""
         at = self.at[chosen]
@@ -48,10 +52,22 @@ class SuffixArray(NamedTuple):
         np.add.at(change, at, 1)
         np.add.at(change, at + self.length, -1)
         needed = np.cumsum(change)[:-1] > 0
-        return SuffixArray(self.length, self.flat[needed], (np.cumsum(needed) - 1)[at], self.ids[chosen])
+        first = needed.copy()
+        first[1:] &= ~needed[:-1]
+        first[self.begin[needed[self.begin]]] = True
+        place = np.cumsum(needed) - 1
+        head = np.flatnonzero(first)
+        return SuffixArray(self.length, self.flat[needed], place[head], self.piece_id[np.searchsorted(self.begin, head, "right") - 1], place[at])
 
     def packed(self) -> bytes:
-        return pack(self.flat, self.at.astype(np.uint32), self.ids, level=3)
+        planes = np.ascontiguousarray(self.at.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+        return pack(self.flat, np.diff(self.begin, prepend=0).astype(np.uint32), self.piece_id, planes, level=3)
+
+    @staticmethod
+    def unpacked(length: int, body: bytes) -> SuffixArray:
+        flat, begin, ids, planes = unpack(body)
+        at = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        return SuffixArray(length, flat, np.cumsum(begin.astype(np.int64)), ids, at)
 
 
 def heads(flat: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -77,31 +93,38 @@ def order_of(flat: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def suffix_array(strings: list[bytes], ids: np.ndarray, length: int) -> tuple[SuffixArray, np.ndarray]:
-    """The suffix array of strings that have these ids, and the rank there of every suffix, string by string."""
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    n = np.maximum(size - length + 1, 0)
-    begin = np.cumsum(size) - size
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - begin, n)
+    """The suffix array of strings with their ids, and the rank there of every suffix, string by string."""
+    n = np.maximum(np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1, 0)
+    # Strings of small ids come first, so of equal suffixes the first stands in the string of the smallest id.
+    by_id = np.argsort(ids, kind="stable")
+    flat = np.frombuffer(b"".join([strings[i] for i in by_id.tolist()]), np.uint8)
+    size = (n + length - 1)[by_id] if len(n) and n.min() else np.fromiter((len(strings[i]) for i in by_id.tolist()), np.int64, len(strings))
+    begin, count = np.cumsum(size) - size, n[by_id]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(count) - count - begin, count)
     if not len(at):
-        return SuffixArray(length, flat, at, np.zeros(0, np.int64)), at
+        return SuffixArray(length, flat, begin, ids[by_id], at), at
     order = order_of(flat, at, length)
     keys = heads(flat, at[order], length)
     head = np.append(True, keys[1:] != keys[:-1])
     rank = np.empty(len(at), np.int64)
     rank[order] = np.cumsum(head) - 1
-    return SuffixArray(length, flat, at[order[head]], np.minimum.reduceat(np.repeat(ids, n)[order], np.flatnonzero(head))), rank
+    # From the order of ids back to that of the strings.
+    start = np.empty(len(strings), np.int64)
+    start[by_id] = np.cumsum(count) - count
+    back = np.arange(len(at)) - np.repeat(np.cumsum(n) - n - start, n)
+    return SuffixArray(length, flat, begin, ids[by_id], at[order[head]]), rank[back]
 
 
 def scanned(new: SuffixArray, levels: list[SuffixArray]) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix of a new batch the smallest id that has it, here or in a level, and whether no level has it."""
-    keys, first, alone = new.keys(), new.ids.copy(), np.ones(len(new.at), bool)
+    keys, first = new.keys(), new.ids()
+    alone = np.ones(len(keys), bool)
     for level in levels:
         have = level.keys()
         if len(have) and len(keys):
             at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
             hit = have[at] == keys
-            first[hit] = np.minimum(first[hit], level.ids[at[hit]])
+            first[hit] = np.minimum(first[hit], level.ids()[at[hit]])
             alone &= ~hit
     return first, alone
 
@@ -111,9 +134,9 @@ def merged(arrays: list[SuffixArray]) -> SuffixArray:
     if len(arrays) == 1:
         return arrays[0]
     offset = np.cumsum([0, *[len(a.flat) for a in arrays[:-1]]])
-    flat, at = np.concatenate([a.flat for a in arrays]), np.concatenate([a.at + o for a, o in zip(arrays, offset, strict=True)])
+    flat, begin, at = (np.concatenate(c) for c in ([a.flat for a in arrays], [a.begin + o for a, o in zip(arrays, offset, strict=True)], [a.at + o for a, o in zip(arrays, offset, strict=True)]))
     order = order_of(flat, at, arrays[0].length) if len(at) else np.zeros(0, np.int64)
-    return SuffixArray(arrays[0].length, flat, at[order], np.concatenate([a.ids for a in arrays])[order])
+    return SuffixArray(arrays[0].length, flat, begin, np.concatenate([a.piece_id for a in arrays]), at[order])
 
 
 class IndexFamily:
@@ -138,7 +161,7 @@ class IndexFamily:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = Writer(SENT, limit_bytes=4 << 20)
             for group, found in grouped(batches):
-                levels = {batch: SuffixArray(length, f, at.astype(np.int64), ids) for _, batch, body in found if batch < 0 for f, at, ids in [unpack(body)]}
+                levels = {batch: SuffixArray.unpacked(length, body) for _, batch, body in found if batch < 0}
                 asked = Group([(block, body) for block, batch, body in found if batch >= 0])
                 texts, least, of = asked.distinct()
                 new, rank = suffix_array(texts, least, length)
@@ -152,9 +175,12 @@ class IndexFamily:
                         yield out.take()
             yield out.take()
 
-        got = written(rows_.repartition(self.partitions, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, SENT_SQL), "suffix-level")
+        got = written(rows_.repartition(self.partitions, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(run, SENT_SQL), "suffix-level", by="batch")
         if keep:
-            self.levels = [*self.levels[: len(self.levels) - len(merging)], (size, name, got.where(F.col("batch") == name))]
+            keep_, gone = self.levels[: len(self.levels) - len(merging)], self.levels[len(self.levels) - len(merging) :]
+            self.levels = [*keep_, (size, name, got.where(F.col("batch") == name))]
+            for _, old, level in gone:
+                dropped(level, f"batch={old}")
         self.batches += 1
         return got.where("batch = 0")
 

@@ -120,7 +120,9 @@ def test_suffix_arrays_scan_and_merge():
     assert all(f == min(i for i, t in enumerate(texts) if k in t) for k, f in zip(b.keys().tolist(), first, strict=True))
     both = merged([a, b.some(alone)])
     assert both.keys().tolist() == sorted({t[p : p + 9] for t in texts for p in range(12)})
-    assert all(f == min(i for i, t in enumerate(texts) if k in t) for k, f in zip(both.keys().tolist(), both.ids, strict=True))
+    assert all(f == min(i for i, t in enumerate(texts) if k in t) for k, f in zip(both.keys().tolist(), both.ids(), strict=True))
+    again = type(both).unpacked(9, both.packed())
+    assert again.keys().tolist() == both.keys().tolist() and again.ids().tolist() == both.ids().tolist()
 
 
 def test_hot_strings_and_contexts(spark):
