@@ -91,9 +91,32 @@ def module_cards(symbols_: DataFrame) -> DataFrame:
     return s.groupBy("module").agg(F.count("*").alias("n"), F.count_if("exported").alias("n_exported"), F.sort_array(F.collect_set("lang")).alias("langs"), names.alias("first_exports"))
 
 
+def symbol_counts(symbols_: DataFrame) -> DataFrame:
+    """(level, name, n, n_exported): definitions by language, by file and by folder."""
+    s = symbols_.withColumn("module", module_of(F.col("path")))
+    out = s.groupingSets([["lang"], ["path"], ["module"]], "lang", "path", "module").agg(F.count("*").alias("n"), F.count_if("exported").alias("n_exported"))
+    level = F.when(F.col("lang").isNotNull(), "language").when(F.col("path").isNotNull(), "file").otherwise("module")
+    return out.select(level.alias("level"), F.coalesce("lang", "path", "module").alias("name"), "n", "n_exported")
+
+
+def folder_map(lines: DataFrame, symbols_: DataFrame) -> DataFrame:
+    """(folder, files, lines, langs, symbols): what the folders of a project hold."""
+    tagged = lines.withColumn("lang", language(F.col("ext"))).where("lang <> 'text'").withColumn("folder", module_of(F.col("path")))
+    held = tagged.groupBy("folder", "path", "lang").agg(F.count("*").alias("lines")).groupBy("folder").agg(F.count("*").alias("files"), F.sum("lines").alias("lines"), F.sort_array(F.collect_set("lang")).alias("langs"))
+    counted = symbols_.groupBy(module_of(F.col("path")).alias("folder")).agg(F.count("*").alias("symbols"))
+    return held.join(counted, "folder", "left").select("folder", "files", "lines", "langs", F.coalesce("symbols", F.lit(0)).alias("symbols"))
+
+
+def homonyms(symbols_: DataFrame) -> DataFrame:
+    """(name, n): names that several definitions bear."""
+    return symbols_.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def dead_exports(symbols_: DataFrame, files: DataFrame) -> DataFrame:
     """Public definitions, methods aside, whose name occurs nowhere else; tests and entry points are none."""
-    once = symbols_.where("exported AND kind <> 'method'").where(~is_test_path(F.col("path"))).where(~F.col("name").isin("main", "init", "setup", "handler"))
+    from tessera.operators.graph import is_entry
+
+    once = symbols_.where("exported AND kind <> 'method'").where(~is_test_path(F.col("path")) & ~is_entry(F.col("name"), F.col("path")))
     return once.join(identifiers(files), F.col("name") == F.col("ident"), "left").where(F.coalesce("n", F.lit(0)) <= 1).select("path", "line_no", "name")
 
 
@@ -113,13 +136,27 @@ def symbol_in_container(symbols_: DataFrame, container: str, leaf: str) -> DataF
     return a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("b.line_no") <= F.col("a.line_no")), "left_semi")
 
 
-def documented(lines: DataFrame, symbols_: DataFrame) -> DataFrame:
-    """One row: public symbols, those with a comment right above (or a docstring right below), and the share in percent."""
+def documentation(lines: DataFrame, symbols_: DataFrame, docstring_lines: int = 6) -> DataFrame:
+    """Public symbols with `documented`: a comment ends right above, blank lines and decorators aside, or a docstring follows
+    its head."""
     frame = Window.partitionBy("path").orderBy("line_no")
-    near = lines.select("path", "line_no", F.lag("line").over(frame).alias("above"), F.lead("line").over(frame).alias("below"))
+    text = F.trim("line")
+    solid = F.when((text != "") & ~text.rlike(r"^(?:@|#\[|\[)"), text)
+    above = F.last(solid, ignorenulls=True).over(frame.rowsBetween(Window.unboundedPreceding, -1))
+    below = F.array_join(F.collect_list(text).over(frame.rowsBetween(0, docstring_lines)), "\n")
+    near = lines.select("path", "line_no", above.alias("above"), below.alias("below"))
     s = symbols_.where("exported").join(near, ["path", "line_no"], "left")
-    has = F.when(F.col("lang") == "python", F.trim("below").rlike("^[rRbBuU]*(\"\"\"|''')")).otherwise(F.trim("above").rlike(r"^(///?|/\*|\*|#|--)"))
-    return s.agg(F.count("*").alias("n"), F.count_if(has).alias("n_documented")).withColumn("percent", F.when(F.col("n") > 0, 100.0 * F.col("n_documented") / F.col("n")))
+    commented = F.coalesce(F.col("above").rlike(r"^(///?|/\*|\*|#|--)|\*/$"), F.lit(False))
+    # A head may take several lines; the text that follows it must be a docstring.
+    head = r"^(?:[^\n]*[^:\s]\s*\n){0,5}[^\n]*:\s*\n\s*[rRbBuU]*(\"{3}|'{3})"
+    opened = F.coalesce(F.col("below").rlike(head), F.lit(False)) & (F.col("lang") == "python")
+    return s.select(*symbols_.columns, (commented | opened).alias("documented"))
+
+
+def documented(lines: DataFrame, symbols_: DataFrame) -> DataFrame:
+    """One row: public symbols, those that are documented, and the share in percent."""
+    s = documentation(lines, symbols_)
+    return s.agg(F.count("*").alias("n"), F.count_if("documented").alias("n_documented")).withColumn("percent", F.when(F.col("n") > 0, 100.0 * F.col("n_documented") / F.col("n")))
 
 
 #: Patterns of group 1 for what a program offers and needs.

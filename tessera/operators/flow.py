@@ -149,15 +149,18 @@ def personal(name: str) -> bool:
     return any(t in PII for t in tokens) or any(a + b == "birthdate" for a, b in zip(tokens, tokens[1:], strict=False))
 
 
+def last_of(name: str) -> str:
+    return re.split(r"\.|->|::", name)[-1]
+
+
 def leaf_of(name: str) -> str:
-    return re.split(r"\.|->|::", name)[-1].lower()
+    return last_of(name).lower()
 
 
 @dataclass
 class Scope:
     name: str
     state: dict[str, Value]
-    depth: int
     freed: set[str] = field(default_factory=set)
     last: Value = field(default_factory=dict)
 
@@ -169,7 +172,7 @@ class Reader:
         self.lang, self.language = lang, LANGUAGES[lang]
         self.tokens = lex(text, self.language)
         self.events: list[tuple] = []
-        self.scopes = [Scope("", {}, -1)]
+        self.scopes = [Scope("", {})]
         self.blocks: list[dict | None] = []
 
     @property
@@ -275,8 +278,9 @@ class Reader:
         return joined(out)
 
     def call(self, full: str, args: list[tuple[int, int]], receiver: Value, line: int) -> Value:
-        low, leaf = full.lower(), leaf_of(full)
+        low, leaf, named = full.lower(), leaf_of(full), last_of(full).lstrip("$@")
         values = [self.value(x, y) for x, y in args]
+        self.events.append((self.scope.name, "call", line, "", None, named, len(args), []))
         rule = sink_of(self.language, low, leaf)
         if rule:
             at = 0
@@ -289,7 +293,7 @@ class Reader:
                 self.reach(rule, receiver, line)
         for i, v in enumerate(values):
             if v:
-                self.emit("pass", line, v, callee=leaf, arg=i)
+                self.emit("pass", line, v, callee=named, arg=i)
         if self.lang in ("c", "cpp"):
             self.memory(leaf, args, values, line)
         if ("log" in low or "console." in low or low.startswith(("print", "fmt."))) and any(personal(t.text) for x, y in args for t in self.tokens[x:y] if t.kind == "chain") and not any(m in "".join(t.text for x, y in args for t in self.tokens[x:y]).lower() for m in MASKS):
@@ -303,7 +307,7 @@ class Reader:
             return receiver
         out = joined([*values, receiver])
         clean = cleaned_for(low, leaf)
-        return {o: c | clean for o, c in out.items()} if clean else joined([out, {f"ret:{leaf}": frozenset()}])
+        return {o: c | clean for o, c in out.items()} if clean else joined([out, {f"ret:{named}": frozenset()}])
 
     def reach(self, rule: str, value: Value, line: int) -> None:
         self.emit("sink", line, {o: c for o, c in value.items() if rule not in c and (ALL_BUT_SIZE not in c or rule == ALLOC)}, rule)
@@ -379,7 +383,11 @@ class Reader:
         i = a
         while i < b and self.tokens[i].kind == "nl":
             i += 1
-        if i >= b or self.tokens[i].text in (*CONTROL, "class", "struct", "interface", "enum", "impl", "namespace", "object", "module", "return", "}"):
+        while i + 1 < b and self.tokens[i].text == "#" and self.tokens[i + 1].text == "[":  # attributes
+            i = self.close(i + 1, b) + 1
+            while i < b and self.tokens[i].kind == "nl":
+                i += 1
+        if i >= b or self.tokens[i].text in (*CONTROL, "class", "struct", "interface", "enum", "impl", "namespace", "object", "module", "mod", "trait", "union", "protocol", "extension", "return", "}"):
             return None
         found, start = None, i - a
         while i < b:
@@ -398,7 +406,7 @@ class Reader:
         return found
 
     def read(self) -> list[tuple]:
-        tokens, n, start, i, depth = self.tokens, len(self.tokens), 0, 0, 0
+        tokens, n, start, i = self.tokens, len(self.tokens), 0, 0
         while i < n:
             t = tokens[i]
             if t.kind == "op" and t.text in ("(", "["):
@@ -408,13 +416,13 @@ class Reader:
                 bracket = next((j for j in range(i, end) if tokens[j].text == "("), None)
                 params = self.parameters(bracket + 1, self.close(bracket, end)) if bracket is not None else []
                 self.leave()
-                self.enter(tokens[i + 1].text if i + 1 < n else "", params, -1)
+                self.enter(last_of(tokens[i + 1].text) if i + 1 < n else "", params, t.line)
                 i = end
                 start = i + 1
             elif t.kind == "op" and t.text == "{" and self.lang != "ruby":
                 head = self.header(start, i)
                 if head:
-                    self.enter(leaf_of(head[0]), head[1], depth)
+                    self.enter(last_of(head[0]), head[1], t.line)
                     self.blocks.append(None)
                 elif start < i and tokens[i - 1].kind == "op" and tokens[i - 1].text in ("=", ":=", "(", ",", ":", "return", "=>"):
                     i = self.close(i, n)  # a literal within a statement
@@ -423,11 +431,10 @@ class Reader:
                 else:
                     self.statement(start, i)
                     self.blocks.append(dict(self.scope.state))
-                depth += 1
                 start = i + 1
             elif t.kind == "op" and t.text == "}" and self.lang != "ruby":
                 self.statement(start, i)
-                start, depth = i + 1, depth - 1
+                start = i + 1
                 before = self.blocks.pop() if self.blocks else {}
                 if before is None:
                     self.leave()
@@ -442,8 +449,9 @@ class Reader:
         self.leave()
         return self.events
 
-    def enter(self, name: str, params: list[str], depth: int) -> None:
-        self.scopes.append(Scope(name.lower(), {p: {f"param:{i}": frozenset()} for i, p in enumerate(params)}, depth))
+    def enter(self, name: str, params: list[str], line: int) -> None:
+        self.events.append((name, "def", line, "", None, None, len(params), []))
+        self.scopes.append(Scope(name, {p: {f"param:{i}": frozenset()} for i, p in enumerate(params)}))
 
     def leave(self) -> None:
         if len(self.scopes) > 1:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -110,14 +110,41 @@ def unresolved(calls: DataFrame, defs: DataFrame) -> DataFrame:
     return calls.join(defs.select(F.col("name").alias("callee")), "callee", "left_anti").select("callee").distinct()
 
 
+#: Names that a runtime calls, beginnings of such names, files whose exports a framework calls, and its hooks.
+ENTRY, ENTRY_STARTS = ("main", "init"), ("Test", "Benchmark", "Example", "Fuzz")
+FRAMEWORK_FILES = (
+    "page.tsx", "page.jsx", "page.ts", "page.js", "route.ts", "route.js", "layout.tsx", "layout.jsx", "middleware.ts", "middleware.js", "+page.svelte", "+server.ts",
+)
+HOOKS = ("getServerSideProps", "getStaticProps", "getStaticPaths", "generateMetadata", "generateStaticParams", "generateViewport")
+
+
+def is_entry(name: Column, path: Column) -> Column:
+    """Whether a test runner, a runtime or a framework calls a definition, so that nothing in the project need."""
+    low = F.lower(path)
+    base = F.regexp_extract(low, r"([^/]*)$", 1)
+    test = low.rlike(r"_test\.go$|/test|__tests__|\.test\.|\.spec\.") | base.startswith("test_")
+    framework = base.isin(*FRAMEWORK_FILES) | base.rlike(r"\.config\.(?:ts|js|mjs)$") | name.isin(*HOOKS)
+    started = name.isin(*ENTRY)
+    for s in ENTRY_STARTS:
+        started = started | name.startswith(s)
+    return test | framework | started
+
+
 def unreachable(defs: DataFrame, calls: DataFrame) -> DataFrame:
     """Defined functions that nothing calls, without entry points, names defined twice and those that dispatch may call."""
     twice = defs.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    own = calls.where("caller <> callee").select(F.col("callee").alias("name"))
+    own = calls.where("caller <> callee").select(F.col("callee").alias("name")).distinct()
     alone = defs.where("NOT entry AND NOT dispatched")
     return alone.join(own, "name", "left_anti").join(twice, "name", "left_anti").select("name", "path")
 
 
+def diff_scope(changed: DataFrame, defs: DataFrame, calls: DataFrame) -> DataFrame:
+    """(name, role): the functions that changed files (path) define, and all that call them, directly or not."""
+    centre = defs.join(changed.select("path").distinct(), "path", "left_semi").select(F.col("name").alias("node")).distinct()
+    reached = blast_radius(centre, call_edges(calls, defs))
+    return centre.select(F.col("node").alias("name"), F.lit("changed").alias("role")).unionByName(reached.select(F.col("node").alias("name"), F.lit("affected").alias("role")).where("name <> ''"))
+
+
 def mermaid(edges: DataFrame) -> DataFrame:
     """One row: the graph as a Mermaid text, edges in order."""
     line = F.concat(F.lit('  "'), F.col("src"), F.lit('" --> "'), F.col("dst"), F.lit('"'))

@@ -173,3 +173,24 @@ def fix_accepted(before: DataFrame, after: DataFrame, rule: str) -> DataFrame:
 def obligations(rules: DataFrame, flags: list[str]) -> DataFrame:
     """Rules (id, flag, text) of the flags that a profile has; those without a flag hold for all."""
     return rules.where(F.col("flag").isNull() | F.col("flag").isin(*flags)).select("id", "text")
+
+
+#: Fixed values: (kind, platform, pattern of the paths that mark it).
+PLATFORMS = (
+    ("mobile", "android", r"(^|/)AndroidManifest\.xml$"), ("mobile", "ios", r"(^|/)[^/]+\.xcodeproj(/|$)|(^|/)Podfile$"), ("mobile", "flutter", r"(^|/)pubspec\.yaml$"),
+    ("desktop", "tauri", r"(^|/)tauri\.conf\.json$"), ("desktop", "electron", r"(^|/)electron(?:-builder)?\.(?:json|js|yml|config\.[jt]s)$"),
+)
+
+
+def platforms(files: DataFrame) -> DataFrame:
+    """(kind, platform, folder): mobile and desktop projects, nested ones too, by their marker files."""
+    hits = F.array_compact(F.array(*[F.when(F.col("path").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(n).alias("platform"))) for k, n, p in PLATFORMS]))
+    return files.select(F.explode(hits).alias("h"), module_of(F.col("path")).alias("folder")).select("h.kind", "h.platform", "folder").distinct()
+
+
+def coverage_tool(files: DataFrame) -> DataFrame:
+    """(stack, command): how the stacks found measure coverage."""
+    #: Commands by stack.
+    plans = {"Rust": "cargo llvm-cov", "Go": "go test -cover ./...", "Python": "python -m pytest --cov", "Node/JS/TS": "npm test -- --coverage", "Java/Maven": "mvn verify", "JVM/Gradle": "gradle test jacocoTestReport", "C#/.NET": "dotnet test --collect:\"XPlat Code Coverage\"", "Ruby": "bundle exec rspec", "PHP": "vendor/bin/phpunit --coverage-text", "Flutter/Dart": "flutter test --coverage"}
+    command = F.element_at(F.create_map(*[F.lit(x) for kv in plans.items() for x in kv]), F.col("stack"))
+    return stacks(files).select("stack", command.alias("command")).where("command IS NOT NULL")

@@ -101,7 +101,7 @@ class Function:
                 inner.append(self.taint(e.func.value))
             got, low = joined(inner), name.lower()
             clean = cleaned_for(low, low.rpartition(".")[2])
-            return {o: c | clean for o, c in got.items()} if clean else joined([got, {f"ret:{low.rpartition('.')[2]}": frozenset()}])
+            return {o: c | clean for o, c in got.items()} if clean else joined([got, {f"ret:{name.rpartition('.')[2]}": frozenset()}])
         return joined([self.taint(c) for c in ast.iter_child_nodes(e) if isinstance(c, (ast.expr, ast.keyword, ast.FormattedValue))])
 
     def reach(self, rule: str, value: Value, line: int) -> None:
@@ -123,7 +123,8 @@ class Function:
     def each_call(self, e: ast.AST) -> None:
         for call in [n for n in ast.walk(e) if isinstance(n, ast.Call)]:
             name = dotted(call.func)
-            rule, leaf = sink_of(name), name.lower().rpartition(".")[2]
+            rule, leaf = sink_of(name), name.rpartition(".")[2]
+            self.events.append((self.name, "call", call.lineno, "", None, leaf, len(call.args), []))
             every = [*call.args, *[k.value for k in call.keywords]]
             if rule:
                 for a in every if rule in WHOLE else every[:1]:
@@ -231,7 +232,9 @@ def read_python(text: str) -> list[tuple]:
         return []
     out = []
     for f in [None, *[n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]]:
-        fn = Function("" if f is None else f.name.lower(), [] if f is None else [a.arg for a in f.args.args])
+        fn = Function("" if f is None else f.name, [] if f is None else [a.arg for a in f.args.args])
+        if f is not None:
+            fn.events.append((f.name, "def", f.lineno, "", None, None, len(f.args.args), []))
         fn.run(tree.body if f is None else f.body)
         out += fn.events
     return out
@@ -242,7 +245,7 @@ EVENTS = "project string, path string, func string, kind string, line_no int, or
 
 def fold(files: DataFrame) -> DataFrame:
     """Events of every function: 'sink' (origin reaches rule), 'pass' (origin is argument arg of callee), 'returns' (origin
-    is given back), 'finding' (rule, whatever the origin)."""
+    is given back), 'finding' (rule, whatever the origin), 'def' (a function of arg parameters) and 'call' (of callee)."""
     named = files.withColumn("project", F.col("project") if "project" in files.columns else F.lit("")).withColumn("lang", language(F.col("ext")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,6 +260,16 @@ def fold(files: DataFrame) -> DataFrame:
     return known.select("project", "path", "lang", "content").mapInPandas(run, EVENTS)
 
 
+def definitions(events: DataFrame) -> DataFrame:
+    """(name, path, line_no, params) of the functions."""
+    return events.where("kind = 'def'").select(F.col("func").alias("name"), "path", "line_no", F.col("arg").alias("params")).distinct()
+
+
+def calls(events: DataFrame) -> DataFrame:
+    """(caller, callee, path), each once; calls outside any function have an empty caller."""
+    return events.where("kind = 'call'").select(F.col("func").alias("caller"), "callee", "path").distinct()
+
+
 def _settled(start: DataFrame, step, keys: list[str]) -> DataFrame:
     """start and all that step() adds to what is new, until nothing is."""
     seen = frontier = cut(start.select(*keys).distinct())
@@ -268,7 +281,7 @@ def _settled(start: DataFrame, step, keys: list[str]) -> DataFrame:
 
 def resolve(events: DataFrame) -> DataFrame:
     """(path, func, line_no, rule): what holds once taint has crossed all calls."""
-    events = cut(events)
+    events = cut(events.where("kind NOT IN ('def', 'call')"))
     returns, passed, sinks = (events.where(F.col("kind") == k) for k in ("returns", "pass", "sink"))
     called = F.expr("CASE WHEN origin LIKE 'ret:%' THEN substr(origin, 5) END")
     back = returns.select("project", F.col("func").alias("outer"), called.alias("func")).where("func IS NOT NULL").distinct()
