@@ -218,7 +218,9 @@ def blocks(docs: DataFrame, kind: Symbols, block_bytes: int, bounds: list[int])
             texts = np.array([len(g[1]) for g in group], np.int64), np.frombuffer(b"".join([g[1] for g in group]), np.uint8)
             sink = pa.BufferOutputStream()
             if group[0][2] is not None:
-                carried = pa.Table.from_batches([g[2] for g in group]).combine_chunks()
+                sources = list({id(g[2]): g[2] for g in group}.values())
+                begin = dict(zip(map(id, sources), np.cumsum([0, *[x.num_rows for x in sources[:-1]]]).tolist(), strict=True))
+                carried = pa.Table.from_batches(sources).take([begin[id(g[2])] + g[3] for g in group]).combine_chunks()
                 with pa.ipc.new_stream(sink, carried.schema) as stream:
                     stream.write_table(carried)
             body = pack(ids, null, *texts, np.frombuffer(sink.getvalue(), np.uint8), level=3)
@@ -229,7 +231,7 @@ def blocks(docs: DataFrame, kind: Symbols, block_bytes: int, bounds: list[int])
             for i, (doc_id, text) in enumerate(rows(iter([b]), "doc_id", "text")):
                 t = kind.prepared(text)
                 batch = bisect_right(bounds, doc_id) if doc_id is not None else 0
-                groups[batch].append((doc_id, t, carried.slice(i, 1) if carried is not None else None))
+                groups[batch].append((doc_id, t, carried, i))
                 sizes[batch] += len(t) + 1
                 if sizes[batch] >= block_bytes or len(groups[batch]) >= 20_000:
                     done(batch)
