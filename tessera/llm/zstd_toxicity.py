@@ -80,14 +80,18 @@ class Model:
     weights: list[float] = field(default_factory=lambda: [0.0] * (len(THRESHOLDS) + 2))
 
     def gains(self, text: str | None) -> np.ndarray:
-        """What the toxic dictionary saves of each window, by the ordinary one beside which it saves least."""
+        """What the toxic dictionary saves of each window, by the ordinary one beside which it saves least, or 0 where
+        that is nothing: once a window saves nothing, the other ordinary dictionaries aren't asked."""
         if not self.toxic:
             return np.zeros(0)
-        found, out = windows(text, self.size), None
+        found = windows(text, self.size)
+        out, left = np.zeros(len(found), np.int64), [(i, w, 1 << 30) for i, w in enumerate(found)]
         for o in self.ordinary:
             plain, both = compressor(o, self.level).compress, compressor(o + self.toxic, self.level).compress
-            g = np.array([len(plain(w)) - len(both(w)) for w in found])
-            out = g if out is None else np.minimum(out, g)
+            left = [(i, w, min(g, len(plain(w)) - len(both(w)))) for i, w, g in left]
+            left = [x for x in left if x[2] > 0]
+        for i, _, g in left:
+            out[i] = g
         return out
 
     def measures(self, text: str | None) -> np.ndarray:
