@@ -25,6 +25,16 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
         "('a.py', 'py', 'import os\ndef f(a):\n    # TODO later\n    os.system(a)\n    return eval(a)')", "('b.js', 'js', 'const x = 1;\nel.innerHTML = x;\nif (x && y) { go(); }')", "('c.yaml', 'yaml', 'spec:\n  hostNetwork: true\n  image: web:latest')",
         "('d.txt', 'txt', 'nothing here')", "('e.py', 'py', 'class Model:\n    pass\nprint(1)')")),
     "constitution": ("directive, needle", ("('FORBID', 'eval(')", "('REQUIRE', 'LICENSE')", "('REQUIRE', 'class')", "('REQUIRE_EACH', 'e')", "('REQUIRE_EACH', 'class')", "('FORBID', 'later')")),
+    "sources": ("path, ext, content", (
+        "('v.py', 'py', 'def view():\n    q = request.args.get(''q'')\n    run(q)\n    os.system(shlex.quote(q))\n\ndef run(x):\n    os.system(''ls '' + x)\n')",
+        "('a.js', 'js', 'function f(req, db) {\n  const q = req.query.q;\n  db.query(q);\n  g(parseInt(q));\n}\nfunction g(n) { eval(n); }\n')",
+        "('b.go', 'go', 'func h(r *Request) {\n  n := r.FormValue(\"n\")\n  os.Open(n)\n}\nfunc lonely() {\n  h(nil)\n}\n')",
+        "('c.c', 'c', 'void k(char* p) {\n  char b[9];\n  gets(b);\n  system(b);\n  free(p);\n  free(p);\n}\n')",
+        "('lib/D.java', 'java', 'class D {\n  void m(HttpServletRequest req) {\n    String p = req.getParameter(\"p\");\n    Runtime.getRuntime().exec(p);\n    logger.info(user.passportNumber);\n  }\n}\n')")),
+    "pages_made": ("path, ext, content", (
+        "('p.html', 'html', '<html><head><meta name=\"viewport\" content=\"user-scalable=no\"></head><img src=\"x\"><img src=\"y\" alt=\"y\"><a href=\"https://a.example/x\">a</a><a href=\"//b.example\">b</a><a href=\"https://a.example/y\">c</a></html>')",
+        "('q.html', 'html', '<html><input type=\"text\"><div onclick=\"go()\">x</div></html>')")),
+    "changed": ("path", ("('v.py')", "('b.go')")),
     "commits": ("ord, message", ("(1, 'feat: one')", "(2, 'fix(core): two')", "(3, 'feat!: three')", "(4, 'loose words')", "(5, 'fix: four')")),
     "marks": ("path, line_no, line", ("('m', 1, 'tessera:ignore')", "('m', 2, 'bad')", "('m', 3, 'bad')", "('m', 4, 'bad # tessera:ignore')", "('n', 1, 'bad')", "('n', 2, 'type Alpha struct {')", "('n', 3, 'x')", "('n', 4, 'type Beta struct {')", "('n', 5, 'y }')")),
 }

@@ -42,6 +42,7 @@ PLAIN = (
 LINES = r"""lines AS (
   SELECT CAST(doc_id AS VARCHAR) AS path, i AS line_no, regexp_replace(l[i], '\r$', '') AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) t, unnest(range(1, len(t.l) + 1)) AS r(i)
+  WHERE NOT (i = len(t.l) AND l[i] = '')
 )"""
 
 

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import evidence, slug
-from tessera.operators import codeintel, deps, gate, graph, markup, rank, scan, verify
-from tessera.operators.taint import taint_findings
+from tessera.operators import codeintel, deps, derived, gate, graph, markup, rank, scan, taint, verify
 from tessera.plans import oracle
 from tessera.plans import rules as R
 from tessera.plans.fixtures import fixture, sql
@@ -105,18 +104,18 @@ def pii_counts(spark, sf_dir):
     return scan.scan(files, src.lines(files), some).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-_WINDOW = R.Rule("demo", "split-licence", 1, "window", (), r"(?i)license[^\n]{0,80}\n[^\n]*\b(?:the|la|der|de)\b", 3)
+_WINDOW = R.Rule("demo", "split-of-the", 1, "window", (), r"(?i)\bof\.\n[^\n]{0,60}\bthe\b", 3)
 
 
 @query(f"""WITH {LINES}, f AS (SELECT path, line_no, array_to_string(list(line) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), chr(10)) AS frame FROM lines),
-h AS (SELECT path, line_no, frame, regexp_extract(frame, '(?is)^(.*?)(?:license[^\\n]{{0,80}}\\n[^\\n]*\\b(?:the|la|der|de)\\b)', 1) AS head FROM f
-      WHERE strlen(frame) <= 6000 AND regexp_matches(frame, '(?i)license[^\\n]{{0,80}}\\n[^\\n]*\\b(?:the|la|der|de)\\b'))
+h AS (SELECT path, line_no, frame, regexp_extract(frame, '(?is)^(.*?)(?:\\bof\\.\\n[^\\n]{{0,60}}\\bthe\\b)', 1) AS head FROM f
+      WHERE strlen(frame) <= 6000 AND regexp_matches(frame, '(?i)\\bof\\.\\n[^\\n]{{0,60}}\\bthe\\b'))
 SELECT DISTINCT path, CAST(line_no + length(head) - length(replace(head, chr(10), '')) AS INTEGER) AS line_no FROM h""")
 def window_rule(spark, sf_dir):
     return scan.window_findings(src.lines(doc_files(spark, sf_dir)), [_WINDOW], {"demo": 0}).select("path", "line_no")
 
 
-@query(f"WITH {LINES} SELECT count(DISTINCT path) AS files_scanned, count(*) FILTER (WHERE strlen(line) > 2000) AS long_lines_out_of_scope, count(*) AS n_lines FROM lines")
+@query(f"WITH {LINES} SELECT (SELECT count(*) FROM documents) AS files_scanned, count(*) FILTER (WHERE strlen(line) > 2000) AS long_lines_out_of_scope, count(*) AS n_lines FROM lines")
 def long_lines(spark, sf_dir):
     files = doc_files(spark, sf_dir)
     return scan.coverage(files, src.lines(files))
@@ -181,21 +180,35 @@ def viewport_missing(spark, sf_dir):
     return markup.markup_findings(page_files(spark, sf_dir), ("ui-viewport-missing",))
 
 
-@query("""WITH t AS (SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)(<img\\b[^>]*>)', 1), lambda t: NOT regexp_matches(t, '(?is)\\s(?:alt|:alt|v-bind:alt)\\b'))) AS n FROM pages)
-SELECT CAST(page_id AS VARCHAR) AS path, 'ui-img-without-alt' AS rule, 2 AS severity, CAST(n AS BIGINT) AS n FROM t WHERE n > 0""")
+_ALL_PAGES = f"WITH {sql('pages_made')}, all_pages AS (SELECT CAST(page_id AS VARCHAR) AS path, html FROM pages UNION ALL SELECT path, content FROM pages_made)"
+
+
+def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's pages and two that are made to hold what it has not."""
+    return page_files(spark, sf_dir).unionByName(fixture(spark, "pages_made"))
+
+
+@query(_ALL_PAGES + """, t AS (SELECT path, len(list_filter(regexp_extract_all(html, '(?is)(<img\\b[^>]*>)', 1), lambda t: NOT regexp_matches(t, '(?is)\\s(?:alt|:alt|v-bind:alt)\\b'))) AS n FROM all_pages)
+SELECT path, 'ui-img-without-alt' AS rule, 2 AS severity, CAST(n AS BIGINT) AS n FROM t WHERE n > 0""")
 def img_no_alt(spark, sf_dir):
-    return markup.markup_findings(page_files(spark, sf_dir), ("ui-img-without-alt",))
+    return markup.markup_findings(all_pages(spark, sf_dir), ("ui-img-without-alt",))
 
 
-@query()
+@query(_ALL_PAGES + """, f AS (
+  SELECT path, 'ui-viewport-missing' AS rule, 2 AS severity, CASE WHEN regexp_matches(html, '(?i)<html\\b') AND NOT regexp_matches(html, '(?is)<meta\\b[^>]*name\\s*=\\s*["'']?viewport') THEN 1 ELSE 0 END AS n FROM all_pages
+  UNION ALL SELECT path, 'ui-viewport-zoom-blocked', 2, len(regexp_extract_all(html, '(?is)<meta\\b[^>]*user-scalable=no[^>]*>')) FROM all_pages
+  UNION ALL SELECT path, 'ui-img-without-alt', 2, len(list_filter(regexp_extract_all(html, '(?is)<img\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?is)\\salt\\b'))) FROM all_pages
+  UNION ALL SELECT path, 'ui-input-without-label', 2, len(list_filter(regexp_extract_all(html, '(?is)<(?:input|select|textarea)\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?is)\\s(?:aria-label|aria-labelledby|id|title)\\b|type\\s*=\\s*["'']?(?:hidden|submit|button|reset|image)'))) FROM all_pages
+  UNION ALL SELECT path, 'ui-clickable-nonsemantic', 2, len(list_filter(regexp_extract_all(html, '(?is)<(?:div|span)\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\sonclick\\b') AND NOT regexp_matches(t, '(?i)\\s(?:role|onkeydown|onkeyup|onkeypress)\\b'))) FROM all_pages)
+SELECT path, rule, severity, CAST(n AS BIGINT) AS n FROM f WHERE n > 0""")
 def markup_all(spark, sf_dir):
-    return markup.markup_findings(page_files(spark, sf_dir))
+    return markup.markup_findings(all_pages(spark, sf_dir))
 
 
-@query("""WITH u AS (SELECT CAST(page_id AS VARCHAR) AS path, unnest(regexp_extract_all(html, 'href=["''](?:https?:)?//([^/"''?#]+)', 1)) AS host FROM pages)
+@query(_ALL_PAGES + """, u AS (SELECT path, unnest(regexp_extract_all(html, 'href=["''](?:https?:)?//([^/"''?#]+)', 1)) AS host FROM all_pages)
 SELECT path, host, count(*) AS n FROM u GROUP BY path, host""")
 def links_outbound(spark, sf_dir):
-    return markup.links(page_files(spark, sf_dir))
+    return markup.links(all_pages(spark, sf_dir))
 
 
 # Vectors
@@ -387,16 +400,73 @@ def release_notes(spark, sf_dir):
     return codeintel.commits_by_type(fixture(spark, "commits")).withColumn("messages", F.array_join("messages", "; "))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('a.py', 3, 'debt-marker', 0, 'quality.check/smell'), ('a.py', 4, 'dangerous-exec', 3, 'security.scan/owasp'), ('b.js', 2, 'xss-sink', 2, 'security.scan/owasp'),
+  ('b.js', 2, 'raw-innerhtml', 3, 'security.scan/injection'), ('c.yaml', 2, 'host-network', 3, 'security.scan/iac'), ('c.yaml', 3, 'image-latest-tag', 2, 'security.scan/iac')) AS t(path, line_no, rule, severity, cap)""")
 def code_findings(spark, sf_dir):
     files = fixture(spark, "code")
     return scan.scan(files, src.lines(files), R.ALL).select("path", "line_no", "rule", "severity", "cap")
 
 
-@query()
+_EXPECTED = """SELECT * FROM (VALUES ('v.py', 'view', 3, 'sast/taint-command-exec', 4, false), ('a.js', 'f', 3, 'sast/taint-sql', 3, false), ('b.go', 'h', 3, 'sast/taint-path', 3, false), ('c.c', 'k', 4, 'sast/taint-command-exec', 4, false),
+  ('c.c', 'k', 6, 'sast/double-free', 4, false), ('lib/D.java', 'm', 4, 'sast/taint-command-exec', 4, false), ('lib/D.java', 'm', 5, 'pdn-log-dynamic', 3, false)) AS t(path, func, line_no, rule, severity, verified)"""
+
+
+@query(_EXPECTED + " WHERE path = 'v.py'")
 def taint_python(spark, sf_dir):
-    text = "def view():\n    q = request.args.get('q')\n    run(q)\n    os.system(shlex.quote(q))\n\ndef run(x):\n    os.system('ls ' + x)\n"
-    return taint_findings(spark.createDataFrame([("v.py", "py", text)], "path string, ext string, content string"))
+    return taint.taint_findings(fixture(spark, "sources").where("ext = 'py'"))
+
+
+@query(_EXPECTED)
+def taint_languages(spark, sf_dir):
+    return taint.taint_findings(fixture(spark, "sources"))
+
+
+@query("SELECT * FROM (VALUES ('view', 'run'), ('f', 'g'), ('lonely', 'h')) AS t(src, dst)")
+def call_graph(spark, sf_dir):
+    events = taint.fold(fixture(spark, "sources"))
+    return graph.call_edges(taint.calls(events), taint.definitions(events))
+
+
+@query(f"""WITH RECURSIVE {sql('changed')}, d AS (SELECT * FROM (VALUES ('view', 'v.py'), ('run', 'v.py'), ('f', 'a.js'), ('g', 'a.js'), ('h', 'b.go'), ('lonely', 'b.go'), ('k', 'c.c'), ('m', 'lib/D.java')) AS t(name, path)),
+c AS (SELECT * FROM (VALUES ('view', 'run'), ('f', 'g'), ('lonely', 'h')) AS t(src, dst)), centre AS (SELECT name FROM d WHERE path IN (SELECT path FROM changed)),
+r(name) AS (SELECT name FROM centre UNION SELECT c.src FROM r JOIN c ON c.dst = r.name)
+SELECT name, CASE WHEN name IN (SELECT name FROM centre) THEN 'changed' ELSE 'affected' END AS role FROM r""")
+def diff_scope(spark, sf_dir):
+    events = taint.fold(fixture(spark, "sources"))
+    return graph.diff_scope(fixture(spark, "changed"), taint.definitions(events), taint.calls(events))
+
+
+@query("""SELECT * FROM (VALUES ('(root)', 4, 27, 'c,go,javascript,python', 7), ('lib', 1, 7, 'java', 1)) AS t(folder, files, lines, langs, symbols)""")
+def folder_map(spark, sf_dir):
+    lines = src.lines(fixture(spark, "sources"))
+    return codeintel.folder_map(lines, codeintel.symbols(lines)).withColumn("langs", F.array_join("langs", ","))
+
+
+@query("""SELECT * FROM (VALUES ('language', 'c', 1, 1), ('language', 'go', 2, 0), ('language', 'java', 1, 0), ('language', 'javascript', 2, 0), ('language', 'python', 2, 2)) AS t(level, name, n, n_exported)""")
+def symbol_counts(spark, sf_dir):
+    return codeintel.symbol_counts(codeintel.symbols(src.lines(fixture(spark, "sources")))).where("level = 'language'")
+
+
+@query(f"""WITH {sql('deps', 'vulns')} SELECT ecosystem, name, version FROM deps d WHERE EXISTS (SELECT 1 FROM vulns v WHERE lower(v.package) = lower(d.name) AND lower(v.ecosystem) = lower(d.ecosystem))""")
+def osv_covered(spark, sf_dir):
+    return deps.covered(fixture(spark, "deps"), fixture(spark, "vulns"))
+
+
+@query(_METRICS + """, f AS (SELECT 'long-file' AS rule, 1 AS severity, path FROM m WHERE n_lines > 400 UNION ALL SELECT 'high-complexity', 2, path FROM m WHERE complexity > 50)
+SELECT rule, severity, path, true AS verified, 'quality.check/complexity' AS cap, CASE WHEN severity >= 3 THEN 'blocking' ELSE 'advisory' END AS bucket FROM f""")
+def derived_findings(spark, sf_dir):
+    """Metrics of files as findings, in the bucket that the gate gives them."""
+    found = derived.metrics(codeintel.file_metrics(src.lines(doc_files(spark, sf_dir))))
+    return gate.bucketed(found).drop("confidence", "line_no")
+
+
+@query(FINDINGS_SQL + oracle.SCORE.replace("SELECT count(*) FILTER", ", s AS (SELECT count(*) FILTER", 1) + """) SELECT CASE WHEN passed THEN 'Ready to ship. Quality ' || score || '/100, 5 checks passed, no blockers.'
+  ELSE 'Not ready to ship. Quality ' || score || '/100, ' || blocking || ' blocker(s) need your decision.' END || ' Tests: not run.' AS headline FROM s""")
+def headline(spark, sf_dir):
+    verdict = gate_score(spark, sf_dir)
+    checks = fixture(spark, "checks")
+    tests = derived.test_status(checks.where("id <> 'verify/test'"), doc_findings(spark, sf_dir), serious=True)
+    return derived.headline(verdict, checks, tests)
 
 
 @query(f"WITH {sql('commits')} SELECT ord, trim(regexp_replace(lower(message), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM commits")
@@ -426,15 +496,15 @@ def join_semi(spark, sf_dir):
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_mktsegment")
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) GROUP BY c_mktsegment")
 def join_anti(spark, sf_dir):
-    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").where("o_totalprice > 300000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def except_keys(spark, sf_dir):
-    big = read(spark, sf_dir, "lineitem").where("l_quantity > 30").select(F.col("l_partkey").alias("key"))
+    big = read(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("key"))
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key")).subtract(big)
 
 
@@ -485,14 +555,15 @@ def union_counts(spark, sf_dir):
 # Project data
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('security.scan', 'core', 10), ('security.scan', 'enterprise', 2), ('security.ai', 'core', 3), ('quality.check', 'core', 9), ('quality.ui', 'core', 6), ('code.intel', 'core', 9), ('verify', 'core', 7), ('generate', 'core', 11),
+  ('deliver', 'core', 2), ('setup', 'core', 2), ('spec.check', 'core', 1), ('spec', 'core', 1), ('compliance.ru', 'core', 5), ('compliance.ru', 'enterprise', 1), ('memory', 'core', 3), ('backlog', 'core', 2)) AS t(family, tier, n)""")
 def capability_counts(spark, sf_dir):
     return registry(spark).groupBy("family", "tier").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT id, CAST(score AS DOUBLE) AS score FROM (VALUES ('security.scan/secret', 0.4), ('compliance.ru/pdn-logs', 0.3), ('compliance.ru/pdn-logs-ast', 0.3), ('security.scan/pii', 0.3), ('code.intel/call_graph', 0.1), ('code.intel/find_usages', 0.1)) AS t(id, score)""")
 def router_topk(spark, sf_dir):
-    return rank.router(registry(spark), "find leaked secrets and personal data in logs")
+    return rank.router(registry(spark), "find leaked secrets and personal data in logs").withColumn("score", F.round("score", 6))
 
 
 @query("""WITH g AS (SELECT doc_id, label FROM (SELECT d.doc_id, CASE WHEN regexp_matches(d.text, '@example\\.com') THEN 'mail' WHEN regexp_matches(d.text, '[0-9]{16}') THEN 'card' ELSE 'none' END AS label FROM documents d))
@@ -511,3 +582,42 @@ def asof_purchase(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
     bought = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
     return e.withColumn("p", F.max(bought).over(frame)).where("event_type = 'error'").select("event_id", "user_id", F.coalesce("p.event_id", F.lit(-1)).alias("last_purchase"))
+
+
+@query("""SELECT coalesce(c.c_nationkey, s.s_nationkey) AS nation, coalesce(c.n, 0) AS customers, coalesce(s.n, 0) AS suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c
+FULL OUTER JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1) s ON c.c_nationkey = s.s_nationkey""")
+def join_outer(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
+    s = read(spark, sf_dir, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
+    return c.join(s, "nation", "full").select("nation", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
+@query("""SELECT o_custkey, o_orderkey, coalesce(lead(o_orderkey) OVER w, -1) AS next_order, ntile(4) OVER w AS quarter, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS priority_rank, percent_rank() OVER w AS share FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def window_ranks(spark, sf_dir):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    p = Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.coalesce(F.lead("o_orderkey").over(w), F.lit(-1)).alias("next_order"), F.ntile(4).over(w).alias("quarter"), F.dense_rank().over(p).alias("priority_rank"), F.percent_rank().over(w).alias("share"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(stddev_samp(l_extendedprice), 4) AS deviation FROM lineitem GROUP BY 1")
+def percentiles(spark, sf_dir):
+    l = read(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    return l.agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("deviation"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def cube(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("bigint").alias("quantity"))
+
+
+@query("SELECT o_orderpriority AS priority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+def pivot(spark, sf_dir):
+    out = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).pivot("o_orderstatus", ["F", "O", "P"]).count()
+    return out.select("priority", *[F.coalesce(c, F.lit(0)).alias(c.lower()) for c in ("F", "O", "P")])
+
+
+@query("SELECT symbol, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))) AS symbol FROM documents) GROUP BY 1")
+def symbol_spread(spark, sf_dir):
+    """In how many documents each sign stands."""
+    d = read(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[#*$%&|<>]"), F.lit(0)))).alias("symbol"))
+    return d.groupBy("symbol").agg(F.count("*").alias("n"))

@@ -48,12 +48,17 @@ def in_scope(files: DataFrame) -> DataFrame:
     return text.select("path", ext.alias("ext"), language(ext).alias("lang"), "content")
 
 
+def oversized(files: DataFrame) -> DataFrame:
+    """(path): files in scope but for their size."""
+    return files.where(excluded(F.col("path")).isNull() & (F.col("bytes") > MAX_BYTES)).select("path")
+
+
 def walk_counts(files: DataFrame) -> DataFrame:
-    """One row: files seen, hidden, in service folders, oversized, and the names of the oversized."""
+    """One row: files seen, hidden, in service folders, oversized; oversized() names the last."""
     why, big = excluded(F.col("path")), F.col("bytes") > MAX_BYTES
     return files.agg(
         F.count("*").alias("files"), F.count_if(why == "hidden").alias("hidden"), F.count_if(why == "service").alias("service"),
-        F.count_if(why.isNull() & big).alias("oversized"), F.sort_array(F.collect_list(F.when(why.isNull() & big, F.col("path")))).alias("oversized_files"),
+        F.count_if(why.isNull() & big).alias("oversized"),
     )
 
 
@@ -67,6 +72,9 @@ def from_documents(docs: DataFrame) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """Lines with 1-based numbers; one carriage return at an end is no part of a line."""
-    parts = files.select("path", "ext", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+    """Lines with 1-based numbers; one carriage return at an end is no part of a line, and a line feed at the end of a file
+    begins none."""
+    pieces = F.split("content", "\n", -1)
+    own = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    parts = files.select("path", "ext", F.posexplode(own).alias("pos", "line"))
     return parts.select("path", "ext", (F.col("pos") + 1).alias("line_no"), F.regexp_replace("line", r"\r\z", "").alias("line"))

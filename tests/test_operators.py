@@ -287,7 +287,9 @@ def test_folder_walk(spark, tmp_path):
     raw = src.from_folder(spark, str(tmp_path))
     assert {r.path: r.lang for r in src.in_scope(raw).collect()} == {"a.py": "python", "src/b.rs": "rust", ".well-known/e.txt": "text"}
     row = src.walk_counts(raw).first()
-    assert (row.files, row.hidden, row.service, row.oversized, row.oversized_files) == (6, 0, 1, 1, ["big.txt"])
+    assert (row.files, row.hidden, row.service, row.oversized) == (6, 0, 1, 1) and [r.path for r in src.oversized(raw).collect()] == ["big.txt"]
+    ends = spark.createDataFrame([("a", "x", "p\n"), ("b", "x", ""), ("c", "x", "\n\n"), ("d", "x", "p\n\nq")], "path string, ext string, content string")
+    assert sorted((r.path, r.line_no, r.line) for r in src.lines(ends).collect()) == [("a", 1, "p"), ("c", 1, ""), ("c", 2, ""), ("d", 1, "p"), ("d", 2, ""), ("d", 3, "q")]
     assert [r.line for r in src.lines(src.in_scope(raw).where("ext = 'rs'")).collect()] == ["y", "z"]
 
 
