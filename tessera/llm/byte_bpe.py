@@ -83,12 +83,15 @@ def plain(text: str) -> bool:
 
 
 def planes(codes: np.ndarray) -> list[np.ndarray]:
-    """The bytes of numbers below 2**24, low ones first: each plane compresses by itself."""
-    return [(codes >> np.uint32(8 * k)).astype(np.uint8) for k in range(3)]
+    """The bytes of numbers, low ones first: three planes, or four where a number needs them; each compresses by itself."""
+    return [(codes >> np.uint32(8 * k)).astype(np.uint8) for k in range(3 if not len(codes) or codes.max() < 1 << 24 else 4)]
 
 
-def from_planes(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint32) | (mid.astype(np.uint32) << np.uint32(8)) | (high.astype(np.uint32) << np.uint32(16))
+def from_planes(*parts_: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(parts_[0]), np.uint32)
+    for k, part in enumerate(parts_):
+        out |= part.astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def bucket_of(words: list[bytes], n: int) -> np.ndarray:

@@ -9,7 +9,7 @@ recorded. Each turn is formatted by itself, so no conversation is ever gathered
 Escaping doubles each backslash and puts `\\.` after the first character of each control string, wherever one starts;
 it is undone by reading `\\\\` as a backslash and `\\.` as nothing. A line feed within a role is written `\\n`.
 
-Null texts, roles, part lists and parts are empty; unknown part types raise. Turns with equal numbers are ordered by
+Very long texts are formatted whole, a turn at a time. Null texts, roles, part lists and parts are empty; unknown part types raise. Turns with equal numbers are ordered by
 role, then by formatted text; null turns come first; rows without a conversation form one of their own. Repeated rows are
 repeated turns. Empty tables give empty results; extra columns are ignored.
 """

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Writer, only, parts, rows, table, written
+from tessera.llm.common import Writer, dropped, only, parts, rows, table, written
 from tessera.llm.components import components
 from tessera.llm.jaccard_join import Forest
 
@@ -239,7 +239,8 @@ class NnDescent:
     def graph(self, nodes: DataFrame, n: int, lists: DataFrame | None, trees: range, k: int) -> DataFrame:
         lists = self.merged(lists, self.leaves(nodes, n, trees, k), k)
         for _ in range(self.rounds):
-            lists = self.merged(lists, self.offers(lists, nodes, k), k)
+            before, lists = lists, self.merged(lists, self.offers(lists, nodes, k), k)
+            dropped(before)
             changed = lists.agg(F.sum(F.length(F.translate(F.hex("fresh"), "0", "")))).first()[0] or 0
             if changed <= self.settled * n * k:
                 break

@@ -1,13 +1,14 @@
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tessera.llm.byte_bpe import ByteBpe, Words, decode, plain, splitter
+from tessera.llm.byte_bpe import ByteBpe, Words, decode, from_planes, plain, planes, splitter
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [
@@ -29,6 +30,12 @@ def test_fast_split_equals_pattern(text):
     assert [names[i] for i in got] == splitter().findall(text)
 
 
+def test_numbers_beyond_three_bytes():
+    for codes in ([], [5, 1 << 16, (1 << 24) - 1], [1 << 24, 3, (1 << 32) - 1]):
+        got = planes(np.array(codes, np.uint32))
+        assert len(got) == (4 if max(codes, default=0) >= 1 << 24 else 3) and from_planes(*got).tolist() == codes
+
+
 def test_plain():
     assert plain("a b\nc") and not plain("a  b") and not plain(" a") and not plain("a\n b")
 

@@ -40,6 +40,14 @@ def test_odd_rows(spark):
     assert read_back(format_chat(df.limit(0))).count() == 0
 
 
+def test_turns_of_equal_number_are_ordered_by_role_and_text(spark):
+    data = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z"), (1, None, "user", "first")]
+    want = hashlib.sha256(b"user\nfirst\nassistant\nz\nuser\na\nuser\nb\n").hexdigest()
+    for deal in (1, 2, 4):
+        df = spark.createDataFrame(data, "conv_id bigint, turn bigint, role string, text string").repartition(deal, "text")
+        assert [r.turns_sha256 for r in read_back(format_chat(df)).collect()] == [want]
+
+
 def test_struct_parts_through_spark(spark):
     df = spark.sql("SELECT 1L AS conv_id, 0L AS turn, 'user' AS role, array(named_struct('type','image','text',null,'ref','p','width',14,'height',14), named_struct('type','text','text','hi','ref',null,'width',null,'height',null)) AS text")
     row = format_chat(df).collect()[0]

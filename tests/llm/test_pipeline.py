@@ -87,6 +87,17 @@ def test_run_and_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {None, 3}  # 4 is a near copy of 3
 
 
+def test_extra_columns_keep_their_values(spark, steps):
+    import datetime
+    import decimal
+
+    docs = steps[2].limit(5).selectExpr("*", "TIMESTAMP '2024-01-02 03:04:05.123456' AS kept", "CAST(1.25 AS DECIMAL(20,3)) AS carried", "X'00FF' AS c0", "CAST('NaN' AS DOUBLE) AS block")
+    out = corpus_pipeline.repeated_passages(spark, docs, SF)
+    assert out.schema == docs.schema or [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    for r in out.collect():
+        assert r.kept == datetime.datetime(2024, 1, 2, 3, 4, 5, 123456) and r.carried == decimal.Decimal("1.250") and bytes(r.c0) == b"\x00\xff" and r.block != r.block
+
+
 def test_entry_without_the_pipeline(monkeypatch):
     for name in ("corpus_pipeline", "tessera.llm.queries"):
         monkeypatch.setitem(sys.modules, name, None)
