@@ -2,7 +2,10 @@
 
 Each stage takes what the one before it kept, with the columns of `documents`; the last returns the pieces of sequences.
 Null and empty texts have no words and fail the quality rules. Documents without an id are never dropped as near copies,
-nor their passages removed. Rows that repeat an id stay or go together as near copies. Empty tables pass through.
+nor their passages removed. Rows that repeat an id stay or go together as near copies. Of copies and near copies the
+smallest id stays; of equal passages the one in the smallest id. Very long texts are read whole by every stage; one is a
+block of its own where texts are gathered in blocks. Extra columns, of any type and name, go along as they are up to the
+last stage. Empty tables pass through.
 """
 
 from __future__ import annotations
