@@ -10,12 +10,18 @@ LONG_LINE = 2000
 
 
 def entropy(text: Column) -> Column:
-    """Shannon bits per character; 0 for empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    """Shannon bits per character; 0 for empty text. One pass over the sorted characters adds c * log2(c) of each run."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.size(chars).cast("double")
-    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
-    bits = F.aggregate(F.transform(F.array_distinct(chars), share), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-    return F.when(F.length(text) > 0, bits).otherwise(0.0)
+    zero = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+    of = lambda acc: F.when(acc["run"] > 1, acc["run"] * F.log2(acc["run"])).otherwise(0.0)
+
+    def step(acc: Column, c: Column) -> Column:
+        same = c == acc["c"]
+        return F.struct(c.alias("c"), F.when(same, acc["run"] + 1).otherwise(1.0).alias("run"), F.when(same, acc["sum"]).otherwise(acc["sum"] + of(acc)).alias("sum"))
+
+    total = F.aggregate(chars, zero, step, lambda acc: acc["sum"] + of(acc))
+    return F.when(F.length(text) > 0, F.log2(n) - total / n).otherwise(0.0)
 
 
 def evidence(line: Column, width: int = 120) -> Column:

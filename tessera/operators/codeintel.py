@@ -159,18 +159,38 @@ def documented(lines: DataFrame, symbols_: DataFrame) -> DataFrame:
     return s.agg(F.count("*").alias("n"), F.count_if("documented").alias("n_documented")).withColumn("percent", F.when(F.col("n") > 0, 100.0 * F.col("n_documented") / F.col("n")))
 
 
-#: Patterns of group 1 for what a program offers and needs.
+VERBS = "get|post|put|delete|patch|head|options"
+#: Patterns for what a program offers and needs; group 1 is the value, and of a route with two groups the method stands first.
 ROUTES = (
-    r"\b(?:app|router)\.(?:get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]", r"@\w+\.(?:route|get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]",
-    r"@(?:Get|Post|Put|Delete|Patch|Request)Mapping\(\s*(?:value\s*=\s*)?\"([^\"]+)\"", r"\.route\(\s*\"([^\"]+)\"", r"\bpath\(\s*r?['\"]([^'\"]*)['\"]",
-    r"\[Http(?:Get|Post|Put|Delete|Patch)\(\"([^\"]+)\"", r"\.Map(?:Get|Post|Put|Delete|Patch)\(\s*\"([^\"]+)\"", r"Route::(?:get|post|put|delete|patch)\(\s*['\"]([^'\"]+)['\"]", r"\be\.(?:GET|POST|PUT|DELETE|PATCH)\(\s*\"([^\"]+)\"",
-)
+    r"(?i)\b\w+\.(" + VERBS + r")\(\s*['\"`](/[^'\"`]*)['\"`]",  # Express, Ktor, Vapor with a path, echo
+    r"@\w+\.(?:route|" + VERBS + r"|websocket)\(\s*['\"]([^'\"]+)['\"]",  # Flask, FastAPI
+    r"@(?:Get|Post|Put|Delete|Patch|Request)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\{?\"([^\"]+)\"",  # Spring
+    r"\.route\(\s*\"([^\"]+)\"",  # Axum
+    r"\b(?:re_)?path\(\s*r?['\"]([^'\"]*)['\"]",  # Django
+    r"@(?:Get|Post|Put|Delete|Patch|All)\(\s*['\"`]([^'\"`]*)['\"`]",  # NestJS
+    r"\[Http(?:Get|Post|Put|Delete|Patch)\(\"([^\"]+)\"", r"\[Route\(\"([^\"]+)\"", r"\.Map(?:Get|Post|Put|Delete|Patch)\(\s*\"([^\"]+)\"",  # ASP.NET
+    r"Route::(?:" + VERBS + r"|any|resource)\(\s*['\"]([^'\"]+)['\"]",  # Laravel
+    r"^\s*(?:get|post|put|delete|patch)\s+['\"]([^'\"]+)['\"]", r"^\s*resources?\s+:(\w+)",  # Rails
+    r"\b(?:app|routes)\.(?:" + VERBS + r")\(\s*\"([^/\"][^\"]*)\"",  # Vapor
+    r"^\s*(?:get|post|put|delete|patch)\(\s*\"([^\"]+)\"",  # Ktor
+    r"\b\w+\.(?:GET|POST|PUT|DELETE|PATCH)\(\s*\"([^\"]+)\"",  # Go
+    r"^\s*rpc\s+(\w+)\s*\(",  # gRPC
+    r"^(?:GET|POST|PUT|DELETE|PATCH)\s+(/\S*)\s+\S",  # Play
+)
 SETTINGS = (
-    r"os\.environ(?:\.get\(|\[)\s*['\"](\w+)['\"]", r"os\.getenv\(\s*['\"](\w+)['\"]", r"process\.env\.(\w+)", r"os\.Getenv\(\s*\"(\w+)\"", r"env::var\(\s*\"(\w+)\"",
-    r"System\.getenv\(\s*\"(\w+)\"", r"ENV\[\s*['\"](\w+)['\"]", r"getenv\(\s*['\"](\w+)['\"]", r"Environment\.GetEnvironmentVariable\(\s*\"(\w+)\"", r"sys\.env\(\s*\"(\w+)\"",
+    r"os\.environ(?:\.get\(|\[)\s*['\"](\w+)['\"]", r"os\.getenv\(\s*['\"](\w+)['\"]", r"process\.env\.(\w+)", r"process\.env\[\s*['\"](\w+)['\"]", r"import\.meta\.env\.(\w+)", r"os\.(?:Getenv|LookupEnv)\(\s*\"(\w+)\"",
+    r"env::var(?:_os)?\(\s*\"(\w+)\"", r"\benv!\(\s*\"(\w+)\"", r"System\.getenv\(\s*\"(\w+)\"", r"\bENV(?:\[|\.fetch\()\s*['\"](\w+)['\"]", r"(?<![\w.])(?:std::)?getenv\(\s*['\"](\w+)['\"]", r"\$_ENV\[\s*['\"](\w+)['\"]",
+    r"Environment\.GetEnvironmentVariable\(\s*\"(\w+)\"", r"sys\.env(?:\.get)?\(\s*\"(\w+)\"", r"(?:ProcessInfo\.processInfo|Platform)\.environment\[\s*['\"](\w+)['\"]",
+)
+SERVICES = (
+    r"((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis(?:s)?|amqps?|kafka)://[^\s'\"`]+)", r"(https?://(?:[^/@\s'\"`]+@)?[a-z0-9.\-]+\.[a-z]{2,}[^\s'\"`]*)", r"(grpcs?://[^\s'\"`]+)", r"(wss?://[^\s'\"`]+)", r"(nats://[^\s'\"`]+)", r"(s3://[^\s'\"`]+)",
+)
+#: Settings whose name says that a service stands behind them.
+SERVICE_SETTING = r"(?:_URL|_URI|_DSN|_HOST|_ENDPOINT|_BROKERS?)$"
+MODELS = (
+    r"^\s*model\s+(\w+)\s*\{", r"(?i)^\s*create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"]?(\w+)", r"^class\s+(\w+)\(.*(?:models\.Model|Base|db\.Model)\)", r"^class\s+(\w+)\s*<\s*(?:ApplicationRecord|ActiveRecord::Base)", r"class\s+(\w+)\s+extends\s+Model\b",
+    r"\bDbSet<(\w+)>", r"class\s+(\w+)\s+extends\s+Table\b", r"class\s+(\w+)\(\s*\w+\s*:\s*Tag\)\s+extends\s+Table\[",
 )
-SERVICES = (r"((?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|kafka)://[^\s'\"]+)", r"(https?://(?:[^/@\s'\"]+@)?[a-z0-9.\-]+\.[a-z]{2,}[^\s'\"]*)")
-MODELS = (r"^\s*model\s+(\w+)\s*\{", r"(?i)^\s*create\s+table\s+(?:if\s+not\s+exists\s+)?[`\"]?(\w+)", r"^class\s+(\w+)\(.*(?:models\.Model|Base|db\.Model)\)", r"^class\s+(\w+)\s*<\s*(?:ApplicationRecord|ActiveRecord::Base)", r"class\s+(\w+)\s+extends\s+Model\b")
 
 
 def surface(lines: DataFrame) -> DataFrame:
@@ -179,10 +199,23 @@ def surface(lines: DataFrame) -> DataFrame:
     named = []
     for category, patterns in (("route", ROUTES), ("env", SETTINGS), ("service", SERVICES), ("model", MODELS)):
         for p in patterns:
-            value = F.regexp_extract("line", p, 1)
+            two = category == "route" and p.startswith(r"(?i)\b\w+\.(")
+            value = F.regexp_extract("line", p, 2 if two else 1)
             named.append(F.when(F.length(value) > 0, F.struct(F.lit(category).alias("category"), value.alias("value"))))
-    found = text.select("path", "line_no", F.explode(F.array_compact(F.array(*named))).alias("s"))
-    return found.select("s.category", without_credentials(F.col("s.value")).alias("value"), "path", "line_no").distinct()
+    found = text.select("path", "line_no", F.explode(F.array_compact(F.array(*named))).alias("s")).select("s.category", "s.value", "path", "line_no")
+    behind = found.where((F.col("category") == "env") & F.upper("value").rlike(SERVICE_SETTING)).select(F.lit("service").alias("category"), F.concat(F.lit("env:"), "value").alias("value"), "path", "line_no")
+    every = found.unionByName(behind).unionByName(graphql_fields(text))
+    return every.select("category", without_credentials(F.col("value")).alias("value"), "path", "line_no").distinct()
+
+
+def graphql_fields(lines: DataFrame) -> DataFrame:
+    """Fields of the root types of GraphQL schemas as routes."""
+    frame = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    opened = F.when(F.col("line").rlike(r"^\s*(?:extend\s+)?(?:type|input|interface|enum|union|scalar)\s+\w+"), F.regexp_extract("line", r"type\s+(\w+)", 1)).when(F.trim("line") == "}", F.lit(""))
+    held = lines.where(F.col("ext").isin("graphql", "gql")).withColumn("root", F.last(opened, ignorenulls=True).over(frame))
+    field = F.regexp_extract("line", r"^\s+(\w+)\s*[(:]", 1)
+    found = held.where(F.col("root").isin("Query", "Mutation", "Subscription") & (field != ""))
+    return found.select(F.lit("route").alias("category"), F.concat("root", F.lit("."), field).alias("value"), "path", "line_no")
 
 
 def marked_models(lines: DataFrame) -> DataFrame:
@@ -190,7 +223,7 @@ def marked_models(lines: DataFrame) -> DataFrame:
     frame = Window.partitionBy("path").orderBy("line_no")
     seen = lines.withColumn("above", F.lag("line").over(frame))
     name = F.regexp_extract("line", r"\b(?:class|struct)\s+(\w+)", 1)
-    return seen.where(F.col("above").rlike(r"@Entity|@Table|#\[derive\([^)]*(?:Queryable|FromRow|Model)")).select(F.lit("model").alias("category"), name.alias("value"), "path", "line_no").where("value <> ''")
+    return seen.where(F.col("above").rlike(r"@Entity|@Table|@Model\b|#\[derive\([^)]*(?:Queryable|FromRow|Model)")).select(F.lit("model").alias("category"), name.alias("value"), "path", "line_no").where("value <> ''")
 
 
 def carried_type(lines: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import tomllib
 from dataclasses import replace
@@ -79,14 +80,20 @@ def rust_test_regions(lines: DataFrame) -> DataFrame:
 
 
 def containers(lines: DataFrame) -> DataFrame:
-    """(kind, name, path): base images and the services of compose files."""
+    """(kind, name, path): base images, the services of compose files, and the objects of cluster files by kind and name."""
     image = F.regexp_extract("line", r"(?i)^\s*FROM\s+(\S+)", 1)
     base = lines.where("ext = 'dockerfile'").select(F.lit("image").alias("kind"), image.alias("name"), "path").where("name <> ''")
     frame = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     top = F.nullif(F.regexp_extract("line", r"^(\w+):", 1), F.lit(""))
     compose = lines.where(F.col("ext").isin("yml", "yaml")).withColumn("section", F.last(top, ignorenulls=True).over(frame))
     service = compose.where("section = 'services'").select(F.lit("service").alias("kind"), F.regexp_extract("line", r"^  ([\w\-]+):\s*$", 1).alias("name"), "path").where("name <> ''")
-    return base.unionByName(service).distinct()
+    # Documents of a file are parted by three dashes; within one, the first kind and the first name below metadata count.
+    part = F.sum((F.trim("line") == "---").cast("int")).over(frame)
+    told = compose.withColumn("part", part).groupBy("path", "part").agg(
+        F.min_by(F.regexp_extract("line", r"^kind:\s*(\w+)", 1), F.when(F.col("line").rlike(r"^kind:\s*\w"), F.col("line_no"))).alias("object"),
+        F.min_by(F.regexp_extract("line", r"^  name:\s*[\"']?([\w.\-]+)", 1), F.when((F.col("section") == "metadata") & F.col("line").rlike(r"^  name:"), F.col("line_no"))).alias("called"))
+    objects = told.where("object <> '' AND called <> ''").select(F.lit("object").alias("kind"), F.concat_ws("/", "object", "called").alias("name"), "path")
+    return base.unionByName(service).unionByName(objects).distinct()
 
 
 CALLS = ((r"(?:requests|httpx|axios|http)\.(?:get|post|put|delete|patch)\(\s*[rbf]?['\"`]([^'\"`]+)", "http"), (r"\bfetch\(\s*['\"`]([^'\"`]+)", "http"), (r"http\.(?:Get|Post|NewRequest)\([^\"]*\"([^\"]+)\"", "http"), (r"grpc\.(?:Dial|NewClient|insecure_channel)\(\s*['\"]([^'\"]+)", "rpc"), (r"@FeignClient\([^)]*\"([^\"]+)\"", "feign"), (r"(?:WebClient|RestTemplate).*\"(https?://[^\"]+)\"", "http"), (r"reqwest::(?:get|Client).*\"(https?://[^\"]+)\"", "http"))
@@ -125,8 +132,13 @@ def model_output_findings(lines: DataFrame) -> DataFrame:
     return met.withColumn("rule", rule).where("rule IS NOT NULL").select("path", "line_no", "rule", F.when(F.col("rule") == "taint-llm-output-exec", 4).otherwise(3).alias("severity")).distinct()
 
 
-def load_policy(text: str, pin: str | None = None) -> tuple[Policy, list[str]]:
-    """A policy from TOML and what is wrong with it; any fault gives the default policy whole. A pin is the text's SHA-256."""
+def load_policy(text: str, pin: str | None = None, trusted: Policy | None = None) -> tuple[Policy, list[str]]:
+    """A policy from TOML and what is wrong with it; any fault gives the default policy whole. A pin is the text's SHA-256.
+    A trusted policy, which comes from outside the project, stands where the project's would let more pass."""
+    if trusted is not None:
+        own, faults = load_policy(text, pin)
+        weaker = own.weaker_than(trusted)
+        return (trusted, [*faults, *weaker]) if weaker or faults else (own, [])
     if pin and hashlib.sha256(text.encode()).hexdigest() != pin:
         return Policy(), ["the text does not match its pin"]
     try:
@@ -194,3 +206,28 @@ def coverage_tool(files: DataFrame) -> DataFrame:
     plans = {"Rust": "cargo llvm-cov", "Go": "go test -cover ./...", "Python": "python -m pytest --cov", "Node/JS/TS": "npm test -- --coverage", "Java/Maven": "mvn verify", "JVM/Gradle": "gradle test jacocoTestReport", "C#/.NET": "dotnet test --collect:\"XPlat Code Coverage\"", "Ruby": "bundle exec rspec", "PHP": "vendor/bin/phpunit --coverage-text", "Flutter/Dart": "flutter test --coverage"}
     command = F.element_at(F.create_map(*[F.lit(x) for kv in plans.items() for x in kv]), F.col("stack"))
     return stacks(files).select("stack", command.alias("command")).where("command IS NOT NULL")
+
+
+def changed_files(text: str) -> list[tuple[str, str]]:
+    """(path, status) of `git diff --name-status` or `--name-only`; a rename counts by its new name."""
+    out = []
+    for line in text.splitlines():
+        cells = line.strip().split("\t")
+        if cells and cells[-1]:
+            out.append((cells[-1], cells[0][:1] if len(cells) > 1 else "M"))
+    return out
+
+
+def load_vulnerabilities(text: str, digest: str | None = None) -> list[tuple]:
+    """(id, ecosystem, package, introduced, fixed, severity) of a JSON snapshot: a list, or an object with a list `vulns`. A
+    text that does not match its SHA-256, or a record without its parts, is an error: a damaged base would hide matches."""
+    if digest and hashlib.sha256(text.encode()).hexdigest() != digest:
+        raise ValueError("the snapshot does not match its digest")
+    found = json.loads(text)
+    records = found.get("vulns", []) if isinstance(found, dict) else found
+    out = []
+    for r in records:
+        if not all(isinstance(r.get(k), str) and r[k] for k in ("id", "ecosystem", "package")):
+            raise ValueError(f"a record lacks its id, ecosystem or package: {r}")
+        out.append((r["id"], r["ecosystem"], r["package"], r.get("introduced"), r.get("fixed"), r.get("severity") or "MED"))
+    return out

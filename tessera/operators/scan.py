@@ -164,3 +164,12 @@ def secrets_by_entropy(lines: DataFrame, pattern: str, least: float) -> DataFram
 def coverage(files: DataFrame, lines: DataFrame) -> DataFrame:
     """One row: files scanned and lines out of scope."""
     return files.agg(F.count("*").alias("files_scanned")).crossJoin(lines.agg(F.count_if(F.octet_length("line") > LONG_LINE).alias("long_lines_out_of_scope"), F.count("*").alias("n_lines")))
+
+
+def summary(findings: DataFrame, files: DataFrame, caps: list[str]) -> DataFrame:
+    """(cap, state, findings): what each analysis counted; one that had no file to read is skipped, not clean."""
+    counted = findings.groupBy("cap").agg(F.count("*").alias("findings"))
+    read = files.agg(F.count("*").alias("files"))
+    named = files.sparkSession.createDataFrame([(c,) for c in caps], "cap string")
+    state = F.when(F.col("files") == 0, "skipped").otherwise("ran")
+    return named.crossJoin(read).join(counted, "cap", "left").select("cap", state.alias("state"), F.coalesce("findings", F.lit(0)).alias("findings"))

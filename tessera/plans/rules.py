@@ -39,6 +39,11 @@ class Rule:
     also: str = ""
     needles: tuple[str, ...] = ()
 
+    @property
+    def structural(self) -> bool:
+        """Whether the pattern alone decides, over a line or a whole text; windows and pairs of patterns only hint."""
+        return self.kind in ("line", "file", "entropy") and not self.also and not self.unless
+
 
 def table(cap: str, rows: list[tuple], needles: dict[str, tuple[str, ...]] | None = None) -> list[Rule]:
     return [Rule(cap, *r, **({"needles": needles[r[0]]} if needles and r[0] in needles else {})) for r in rows]

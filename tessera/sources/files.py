@@ -24,8 +24,22 @@ def excluded(path: Column) -> Column:
     return F.when(service, "service").when(hidden, "hidden")
 
 
+#: Endings and a beginning of the names of test files, with the extensions that the beginning needs.
+TEST_ENDINGS = (
+    "_test.go", "_test.py", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx", "test.java", "tests.java", "spec.rb", "_spec.rb",
+)
+TEST_START, TEST_START_EXTS = "test_", ("py", "go", "rs", "cc", "cpp", "c")
+
+
 def is_test_path(path: Column) -> Column:
-    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec)/|(_test|\.test|\.spec|_spec|tests?)\.[a-z]+$|(^|/)(test_[^/]*\.py|conftest\.py)$")
+    """Whether a path is a test by its name, or a Rust source in a folder of tests. A folder alone makes no test of others,
+    nor a name's beginning one of what is no source, so nothing is hidden by where it is put."""
+    low = F.lower(path)
+    name = F.regexp_extract(low, r"([^/]*)$", 1)
+    out = name.startswith(TEST_START) & F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*TEST_START_EXTS)
+    for ending in TEST_ENDINGS:
+        out = out | name.endswith(ending)
+    return out | (name.endswith(".rs") & (low.rlike(r"(^|/)tests/") | name.isin("tests.rs", "test.rs")))
 
 
 def from_folder(spark: SparkSession, root: str) -> DataFrame:

@@ -29,9 +29,9 @@ def append_record(spark: SparkSession, root: str, namespace: str, name: str, bod
 
 
 def read_records(spark: SparkSession, root: str, namespace: str) -> DataFrame:
-    """The last body of each name."""
+    """The last body of each name; of those of one moment the greatest."""
     raw = spark.read.schema("name string, body string, written_at timestamp").json(f"{root}/{namespace}")
-    return raw.groupBy("name").agg(F.max_by("body", "written_at").alias("body")).orderBy("name")
+    return raw.groupBy("name").agg(F.max_by("body", F.struct("written_at", "body")).alias("body")).orderBy("name")
 
 
 def next_id(spark: SparkSession, root: str, namespace: str, prefix: str) -> str:

@@ -37,6 +37,7 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, rules: li
             verdict = gate.verdict(gate.bucketed(gate.keep_first(found)))
             verdict.withColumn("cycle", F.lit(number)).write.mode("append").json(os.path.join(out, "events"))
             found.withColumn("cycle", F.lit(number)).write.mode("append").parquet(os.path.join(out, "findings"))
+            flag(verdict, os.path.join(out, "alert"))
             if after:
                 after(verdict, number)
         finally:
@@ -46,6 +47,33 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, rules: li
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+def flag(verdict: DataFrame, path: str) -> None:
+    """A verdict that blocks leaves an alert at path; one that does not takes it away."""
+    spark = verdict.sparkSession
+    if verdict.where("blocking > 0").isEmpty():
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    else:
+        verdict.write.mode("overwrite").json(path)
+
+
+def until_stopped(query: StreamingQuery, folder: str, name: str = "STOP", seconds: float = 1.0) -> None:
+    """Waits for a query until it ends or a file of that name stands in the folder, and then stops it."""
+    spark = SparkSession.active()
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+    files = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while not query.awaitTermination(max(1, int(seconds))):
+        if files.exists(mark):
+            query.stop()
+            return
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts by user and session of a stream or table of events (ts, user_id); a session ends with a gap."""
+    source = events.withWatermark("ts", late) if events.isStreaming else events
+    return source.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("started"), "n")
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Counts by window and type of a stream or table of events (ts, event_type)."""
     source = events.withWatermark("ts", late) if events.isStreaming else events
