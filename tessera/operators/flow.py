@@ -9,6 +9,7 @@ block the state is the union of what holds with and without it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 COMMAND, SQL, PATH, BUFFER, FORMAT = "sast/taint-command-exec", "sast/taint-sql", "sast/taint-path", "sast/taint-buffer", "sast/taint-format-string"
@@ -92,6 +93,8 @@ WHOLE = (COMMAND, BUFFER, "sast/taint-dynamic-exec", "sast/taint-xpath", "sast/t
 FILLS = {"scanf": 1, "sscanf": 2, "fscanf": 2, "gets": 0, "fgets": 0, "fread": 0, "read": 1, "recv": 1, "recvfrom": 1}
 MUTATORS = ("append", "add", "insert", "extend", "push", "update", "put", "write", "concat", "push_str", "addall", "putall", "unshift", "set")
 PII = ("passport", "snils", "inn", "ssn", "birthdate")
+#: Calls that are dangerous by the shape of their arguments, by last name.
+EXECUTES, QUERIES, LOADS = ("system", "popen", "execsync", "execfile", "spawnsync"), ("execute", "query", "rawquery", "executequery", "prepare"), ("load", "full_load", "unsafe_load", "load_all", "loads")
 MASKS = ("mask", "redact", "anonym", "hash(")
 CONTROL = ("if", "for", "while", "switch", "catch", "else", "do", "try", "foreach", "when", "match", "using", "lock", "synchronized", "unless", "guard", "elsif", "case", "with", "defer", "loop")
 TOKEN = re.compile(
@@ -144,6 +147,11 @@ def sink_of(language: Language, full: str, leaf: str) -> str | None:
     return None
 
 
+def unsafe_load(full: str, leaf: str) -> bool:
+    """Whether a call, in lower case, may build any object from data."""
+    return any(p in full for p in ("pickle.load", "marshal.load", "unserialize")) or full.endswith("objectinputstream") or ("yaml" in full and leaf in LOADS)
+
+
 def personal(name: str) -> bool:
     tokens = [t.lower() for t in re.findall(r"[A-Z]?[^A-Z_.$>:-]+|[A-Z]+", name)]
     return any(t in PII for t in tokens) or any(a + b == "birthdate" for a, b in zip(tokens, tokens[1:], strict=False))
@@ -281,6 +289,8 @@ class Reader:
         low, leaf, named = full.lower(), leaf_of(full), last_of(full).lstrip("$@")
         values = [self.value(x, y) for x, y in args]
         self.events.append((self.scope.name, "call", line, "", None, named, len(args), []))
+        for shape in self.shapes(low, leaf, args):
+            self.events.append((self.scope.name, "shape", line, "", shape, None, None, []))
         rule = sink_of(self.language, low, leaf)
         if rule:
             at = 0
@@ -309,6 +319,25 @@ class Reader:
         clean = cleaned_for(low, leaf)
         return {o: c | clean for o, c in out.items()} if clean else joined([out, {f"ret:{named}": frozenset()}])
 
+    def shapes(self, low: str, leaf: str, args: list[tuple[int, int]]) -> Iterator[str]:
+        """Structural rules that a call breaks, whatever its data."""
+        if leaf in EXECUTES and args:
+            x, y = args[0]
+            found = [t for t in self.tokens[x:y] if t.kind != "nl"]
+            if any(t.kind == "chain" and t.text not in ("true", "false", "nil", "null", "None", "nullptr") for t in found) or any(t.kind == "str" and any(map(any, PARTS.findall(t.text))) for t in found):
+                yield "sast/dynamic-exec"
+        if leaf in QUERIES and any(self.built(x, y) for x, y in args):
+            yield "sast/sql-injection"
+        if unsafe_load(low, leaf) and not any(s in "".join(t.text for x, y in args for t in self.tokens[x:y]).lower() for s in ("safeloader", "baseloader")):
+            yield "sast/unsafe-deserialize"
+
+    def built(self, a: int, b: int) -> bool:
+        """Whether an argument is a string put together with something that is no constant."""
+        found = self.tokens[a:b]
+        text, names = [t for t in found if t.kind == "str"], any(t.kind == "chain" for t in found)
+        glued = any(t.kind == "op" and t.text in ("+", ".", "%") for t in found)
+        return bool(text) and ((glued and names) or any(any(map(any, PARTS.findall(t.text))) for t in text if not (self.lang in ("go", "java", "c", "cpp", "rust") or t.text.startswith("'") and self.lang in ("javascript", "typescript", "php", "ruby"))))
+
     def reach(self, rule: str, value: Value, line: int) -> None:
         self.emit("sink", line, {o: c for o, c in value.items() if rule not in c and (ALL_BUT_SIZE not in c or rule == ALLOC)}, rule)
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.flow import ALL_BUT_SIZE, COMMAND, LANGUAGES, MASKS, MUTATORS, NONE, PATH, SOURCE, SQL, WHOLE, Reader, Value, cleaned_for, joined, personal
+from tessera.operators.flow import ALL_BUT_SIZE, COMMAND, EXECUTES, LANGUAGES, MASKS, MUTATORS, NONE, PATH, QUERIES, SOURCE, SQL, WHOLE, Reader, Value, cleaned_for, joined, personal, unsafe_load
 from tessera.operators.graph import cut
 from tessera.sources.files import language
 
@@ -281,7 +281,7 @@ def _settled(start: DataFrame, step, keys: list[str]) -> DataFrame:
 
 def resolve(events: DataFrame) -> DataFrame:
     """(path, func, line_no, rule): what holds once taint has crossed all calls."""
-    events = cut(events.where("kind NOT IN ('def', 'call')"))
+    events = cut(events.where("kind NOT IN ('def', 'call', 'shape')"))
     returns, passed, sinks = (events.where(F.col("kind") == k) for k in ("returns", "pass", "sink"))
     called = F.expr("CASE WHEN origin LIKE 'ret:%' THEN substr(origin, 5) END")
     back = returns.select("project", F.col("func").alias("outer"), called.alias("func")).where("func IS NOT NULL").distinct()
@@ -310,33 +310,44 @@ def taint_findings(files: DataFrame) -> DataFrame:
     return resolve(fold(files)).select("path", "func", "line_no", "rule", severity.alias("severity"), F.lit(False).alias("verified"))
 
 
-#: Structural rules: a call of these with an argument that is not constant.
-STRUCTURAL = {"sast/dynamic-exec": ("system", "popen", "execsync", "execfile", "spawnsync"), "sast/sql-injection": ("execute", "query", "rawquery", "executequery", "prepare"), "sast/unsafe-deserialize": ("pickle.loads", "pickle.load", "yaml.load", "marshal.loads", "marshal.load")}
+def shapes(text: str) -> list[tuple[int, str]]:
+    """(line, rule) of Python calls by the shape of their arguments."""
 
-
-def structural_findings(files: DataFrame) -> DataFrame:
-    """(path, line_no, rule, severity, verified) of calls in Python sources by the shape of their arguments."""
+    def dynamic(e: ast.AST) -> bool:
+        return any(isinstance(n, (ast.Name, ast.Call, ast.Attribute, ast.FormattedValue)) for n in ast.walk(e))
 
     def built(e: ast.AST) -> bool:
-        return any(isinstance(n, (ast.Name, ast.Call, ast.Attribute, ast.FormattedValue)) for n in ast.walk(e))
+        glued = isinstance(e, (ast.BinOp, ast.JoinedStr)) or (isinstance(e, ast.Call) and isinstance(e.func, ast.Attribute) and e.func.attr == "format")
+        return glued and any(isinstance(n, ast.Constant) and isinstance(n.value, str) for n in ast.walk(e)) and dynamic(e)
+
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return []
+    out = []
+    for call in [n for n in ast.walk(tree) if isinstance(n, ast.Call) and n.args]:
+        full = dotted(call.func).lower()
+        leaf = full.rpartition(".")[2]
+        if leaf in EXECUTES and dynamic(call.args[0]):
+            out.append((call.lineno, "sast/dynamic-exec"))
+        if leaf in QUERIES and any(map(built, call.args)):
+            out.append((call.lineno, "sast/sql-injection"))
+        if unsafe_load(full, leaf) and not any(x in ast.unparse(call).lower() for x in ("safeloader", "baseloader")):
+            out.append((call.lineno, "sast/unsafe-deserialize"))
+    return out
+
+
+def structural_findings(files: DataFrame) -> DataFrame:
+    """(path, line_no, rule, severity, verified) of calls by the shape of their arguments."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    tree = ast.parse(content)
-                except (SyntaxError, ValueError):
-                    continue
-                for call in [n for n in ast.walk(tree) if isinstance(n, ast.Call) and n.args]:
-                    name, first = dotted(call.func), call.args[0]
-                    last = name.rpartition(".")[2].lower()
-                    if last in STRUCTURAL["sast/dynamic-exec"] and built(first):
-                        rows.append((path, call.lineno, "sast/dynamic-exec"))
-                    elif last in STRUCTURAL["sast/sql-injection"] and isinstance(first, (ast.BinOp, ast.JoinedStr, ast.Call)) and built(first):
-                        rows.append((path, call.lineno, "sast/sql-injection"))
-                    elif name in STRUCTURAL["sast/unsafe-deserialize"] and not any(x in ast.unparse(call) for x in ("SafeLoader", "BaseLoader")):
-                        rows.append((path, call.lineno, "sast/unsafe-deserialize"))
+            for path, lang, content in zip(batch["path"], batch["lang"], batch["content"], strict=True):
+                found = shapes(content) if lang == "python" else [(e[2], e[4]) for e in Reader(lang, content).read() if e[1] == "shape"]
+                rows += [(path, line, rule) for line, rule in found]
             yield pd.DataFrame(rows, columns=["path", "line_no", "rule"])
 
-    return files.where("ext = 'py'").select("path", "content").mapInPandas(run, "path string, line_no int, rule string").select("path", "line_no", "rule", F.lit(3).alias("severity"), F.lit(True).alias("verified"))
+    known = files.withColumn("lang", language(F.col("ext"))).where(F.col("lang").isin("python", *LANGUAGES) & F.col("content").isNotNull())
+    found = known.select("path", "lang", "content").mapInPandas(run, "path string, line_no int, rule string").distinct()
+    return found.select("path", "line_no", "rule", F.lit(3).alias("severity"), F.lit(True).alias("verified"))
