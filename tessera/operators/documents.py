@@ -123,16 +123,29 @@ def sarif_document(findings: DataFrame, folder: str, tool: str = "tessera") -> N
     document, so no task holds all results."""
     rules = [{"id": r.rule} for r in findings.select("rule").distinct().orderBy("rule").collect()]
     head = json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": []}]})
-    before, after = head[:-4], head[-4:]
     spark = findings.sparkSession
-    results = sarif_lines(findings)
-    first = results.limit(1).count()
-    # Every result but the last of all is followed by a comma: each is led by one, and a first empty element is avoided.
-    led = results.select(F.concat(F.lit(","), "value").alias("value"))
-    parts = spark.range(1).select(F.lit(before + ('{"ruleId":"","message":{"text":"begin"}}' if first else "")).alias("value"))
-    parts.coalesce(1).write.mode("overwrite").text(f"{folder}/0-head")
-    led.write.mode("overwrite").text(f"{folder}/1-results")
-    spark.range(1).select(F.lit(after).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/2-foot")
+    numbered = graph.cut(sarif_lines(findings).withColumn("n", F.monotonically_increasing_id()))
+    first = numbered.agg(F.min("n")).first()[0]
+    line = lambda text: spark.range(1).select(F.lit(text).alias("value")).coalesce(1)
+    line(head[:-4]).write.mode("overwrite").text(f"{folder}/0-head")
+    numbered.select(F.when(F.col("n") == F.lit(first), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value")).write.mode("overwrite").text(f"{folder}/1-results")
+    line(head[-4:]).write.mode("overwrite").text(f"{folder}/2-foot")
+
+
+def delivery_text(states: DataFrame) -> list[str]:
+    """The axes of a delivery as lines, hard ones first, and the verdict; the axes are a fixed list."""
+    rows = sorted(states.collect(), key=lambda r: (not r.hard, r.axis))
+    out = [f"[{'x' if r.state == 'confirmed' else ' '}] {r.axis}: {r.state}" + (f", {r.n} finding(s)" if r.n else "") for r in rows]
+    failed, absent = [r.axis for r in rows if r.hard and r.state == "failed"], [r.axis for r in rows if r.hard and r.state == "not run"]
+    return [*out, "Done." if not failed and not absent else "Not done: " + ", ".join(failed) if failed else "Not confirmed: " + ", ".join(absent) + " did not run."]
+
+
+def skills_pack(registry: DataFrame) -> dict[str, str]:
+    """A page for each family of the catalogue: what there is and when to use it."""
+    pages: dict[str, list[str]] = {}
+    for r in registry.orderBy("ordinal").collect():
+        pages.setdefault(r.family, [f"# {r.family}", ""]).append(f"- `{r.id}`: {r.when_to_use}" + (" (writes)" if r.mutates else ""))
+    return {f"{family}.md": "\n".join(lines) + "\n" for family, lines in pages.items()}
 
 
 def sbom_document(dependencies: DataFrame, name: str = "project", most: int = 100_000) -> str:

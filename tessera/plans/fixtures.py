@@ -31,6 +31,19 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
         "('b.go', 'go', 'func h(r *Request) {\n  n := r.FormValue(\"n\")\n  os.Open(n)\n}\nfunc lonely() {\n  h(nil)\n}\n')",
         "('c.c', 'c', 'void k(char* p) {\n  char b[9];\n  gets(b);\n  system(b);\n  free(p);\n  free(p);\n}\n')",
         "('lib/D.java', 'java', 'class D {\n  void m(HttpServletRequest req) {\n    String p = req.getParameter(\"p\");\n    Runtime.getRuntime().exec(p);\n    logger.info(user.passportNumber);\n  }\n}\n')")),
+    "shop": ("path, ext, content", (
+        "('app/main.py', 'py', 'import app.util.tool\n\nclass Shop(models.Model):\n    pass\n\n# Starts all.\ndef main():\n    helper(1)\n    requests.get(''https://u:p@h.example/x'')\n\ndef helper(x):\n    return x\n')",
+        "('app/util/tool.py', 'py', 'import app.main\n\n@app.get(''/x'')\ndef route():\n    \"\"\"Says x.\"\"\"\n    r = client.messages.create(q)\n    eval(r)\n    return os.environ[''KEY'']\n')",
+        "('core/a.go', 'go', 'package core\n\nimport (\n    \"app/util\"\n)\n\nfunc Alpha() {\n    http.Get(\"https://api.example.com/v1\")\n}\n')",
+        "('go.mod', 'mod', 'module m')", "('requirements.txt', 'txt', 'requests[socks]==2.18.0\nflask>=2\nFoo_Bar==1\n')", "('Cargo.lock', 'lock', '[[package]]\nname = \"foo\"\nversion = \"1.2.3\"\n')",
+        "('package-lock.json', 'json', '{\"packages\": {\"\": {}, \"node_modules/g\": {\"version\": \"1.0.0\", \"license\": \"GPL-3.0\"}}}')",
+        "('Dockerfile', 'dockerfile', 'FROM base:1\nRUN x')", "('c.yml', 'yml', 'services:\n  web:\n    image: y\n  db:\n')", "('k.yaml', 'yaml', 'kind: Service\nmetadata:\n  name: web\n')",
+        "('AndroidManifest.xml', 'xml', '<m><intent-filter><action android:name=\"android.intent.action.VIEW\"/><data android:scheme=\"https\"/></intent-filter></m>')", "('i.plist', 'plist', '<key>get-task-allow</key><true/>')",
+        "('lib.rs', 'rs', 'fn a() {\n}\n#[cfg(test)]\nmod t {\n    fn b() {}\n}\n')")),
+    "walked": ("path, bytes", ("('a.py', 10)", "('node_modules/b.js', 10)", "('.git/c', 10)", "('.well-known/d', 10)", "('big.bin', 2000000)", "('vendor/big.go', 2000000)")),
+    "blocks_then": ("name, body", ("('spec', 'old')", "('c4', 'same')")),
+    "blocks_now": ("name, body", ("('spec', 'new')", "('c4', 'same ')", "('glossary', 'fresh')")),
+    "outcomes": ("id, state, text", ("('verify/test', 'ran', '12 passed in 3s')", "('verify/lint', 'ran', 'sh: eslint: command not found')", "('verify/coverage', 'ran', 'no tests ran')")),
     "pages_made": ("path, ext, content", (
         "('p.html', 'html', '<html><head><meta name=\"viewport\" content=\"user-scalable=no\"></head><img src=\"x\"><img src=\"y\" alt=\"y\"><a href=\"https://a.example/x\">a</a><a href=\"//b.example\">b</a><a href=\"https://a.example/y\">c</a></html>')",
         "('q.html', 'html', '<html><input type=\"text\"><div onclick=\"go()\">x</div></html>')")),

@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import evidence, slug
-from tessera.operators import codeintel, deps, derived, gate, graph, markup, rank, scan, taint, verify
+from tessera.functions.text import evidence, extension, slug
+from tessera.operators import codeintel, deps, derived, gate, graph, markup, project, rank, scan, taint, verify
 from tessera.plans import oracle
 from tessera.plans import rules as R
 from tessera.plans.fixtures import fixture, sql
 from tessera.plans.registry import registry
+from tessera.plans.snippets import POSITIVE
 from tessera.sources import files as src
 from tessera.sources.reports import sarif_rows
-from tessera.streaming.watch import windowed_counts
+from tessera.streaming.watch import session_counts, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -474,6 +475,204 @@ def slugs(spark, sf_dir):
     return fixture(spark, "commits").select("ord", slug(F.col("message")).alias("slug"))
 
 
+# A small project
+
+
+def shop_lines(spark: SparkSession) -> DataFrame:
+    return src.lines(fixture(spark, "shop"))
+
+
+@query("""SELECT * FROM (VALUES ('PyPI', 'requests', '2.18.0'), ('PyPI', 'foo-bar', '1'), ('crates.io', 'foo', '1.2.3'), ('npm', 'g', '1.0.0')) AS t(ecosystem, name, version)""")
+def lock_dependencies(spark, sf_dir):
+    return deps.dependencies(fixture(spark, "shop"))
+
+
+@query("SELECT * FROM (VALUES ('requirements.txt', 'flask>=2')) AS t(path, spec)")
+def unpinned(spark, sf_dir):
+    return deps.unpinned(fixture(spark, "shop"))
+
+
+@query("SELECT * FROM (VALUES ('g', 'GPL-3.0', 2)) AS t(package, licence, severity)")
+def licences_of_locks(spark, sf_dir):
+    found = deps.package_lock(deps.lock_files(fixture(spark, "shop"))).where("licence IS NOT NULL")
+    return deps.copyleft(found.select(F.col("name").alias("package"), "licence"))
+
+
+@query("SELECT * FROM (VALUES ('Go', 1), ('Python', 1)) AS t(stack, n)")
+def stacks(spark, sf_dir):
+    return project.stacks(fixture(spark, "shop"))
+
+
+@query("SELECT 'app/main.py' AS path")
+def entry_points(spark, sf_dir):
+    return project.entry_points(shop_lines(spark))
+
+
+@query("""SELECT * FROM (VALUES ('image', 'base:1', 'Dockerfile'), ('service', 'web', 'c.yml'), ('service', 'db', 'c.yml'), ('object', 'Service/web', 'k.yaml')) AS t(kind, name, path)""")
+def containers(spark, sf_dir):
+    return project.containers(shop_lines(spark))
+
+
+@query("""SELECT * FROM (VALUES ('app', 'https://h.example/x', 'http', 'app/main.py', 9), ('core', 'https://api.example.com/v1', 'http', 'core/a.go', 8)) AS t(module, target, protocol, path, line_no)""")
+def outbound_calls(spark, sf_dir):
+    return project.outbound_calls(shop_lines(spark))
+
+
+@query("""SELECT * FROM (VALUES ('model', 'Shop', 'app/main.py', 3), ('service', 'https://h.example/x', 'app/main.py', 9), ('route', '/x', 'app/util/tool.py', 3), ('env', 'KEY', 'app/util/tool.py', 8), ('service', 'https://api.example.com/v1', 'core/a.go', 8)) AS t(category, value, path, line_no)""")
+def surface(spark, sf_dir):
+    return codeintel.surface(shop_lines(spark))
+
+
+@query("""SELECT * FROM (VALUES ('app', 'app/util'), ('app/util', 'app'), ('core', 'app/util')) AS t(src, dst)""")
+def module_edges(spark, sf_dir):
+    return codeintel.imports(shop_lines(spark))
+
+
+@query("""SELECT * FROM (VALUES ('import-cycle', 2, 'app', CAST(true AS BOOLEAN), 'quality.check/cycles')) AS t(rule, severity, path, verified, cap)""")
+def import_cycles(spark, sf_dir):
+    return derived.import_cycles(graph.cycles(codeintel.imports(shop_lines(spark)))).drop("line_no")
+
+
+@query("""SELECT * FROM (VALUES ('app', 3, 3, 'python', 'Shop,main,helper'), ('app/util', 1, 1, 'python', 'route'), ('core', 1, 1, 'go', 'Alpha'), ('(root)', 2, 0, 'rust', '')) AS t(module, n, n_exported, langs, first_exports)""")
+def module_cards(spark, sf_dir):
+    return codeintel.module_cards(codeintel.symbols(shop_lines(spark))).withColumns({"langs": F.array_join("langs", ","), "first_exports": F.array_join("first_exports", ",")})
+
+
+@query("""SELECT * FROM (VALUES ('app/main.py', 3, 'python', 'class', 'Shop', true), ('app/main.py', 7, 'python', 'function', 'main', true), ('app/main.py', 11, 'python', 'function', 'helper', true), ('app/util/tool.py', 4, 'python', 'function', 'route', true),
+  ('core/a.go', 7, 'go', 'function', 'Alpha', true), ('lib.rs', 1, 'rust', 'function', 'a', false), ('lib.rs', 5, 'rust', 'function', 'b', false)) AS t(path, line_no, lang, kind, name, exported)""")
+def symbols(spark, sf_dir):
+    return codeintel.symbols(shop_lines(spark))
+
+
+@query("""SELECT * FROM (VALUES ('app/main.py', 3, 'Shop'), ('app/util/tool.py', 4, 'route'), ('core/a.go', 7, 'Alpha')) AS t(path, line_no, name)""")
+def dead_exports(spark, sf_dir):
+    return codeintel.dead_exports(codeintel.symbols(shop_lines(spark)), fixture(spark, "shop"))
+
+
+@query("SELECT * FROM (VALUES (5, 2, CAST(40 AS DOUBLE))) AS t(n, n_documented, percent)")
+def documented_share(spark, sf_dir):
+    lines = shop_lines(spark)
+    return codeintel.documented(lines, codeintel.symbols(lines))
+
+
+@query("SELECT * FROM (VALUES ('undocumented-api', 0, 'app/main.py', 3, true, 'quality.check/undocumented')) AS t(rule, severity, path, line_no, verified, cap)")
+def undocumented_finding(spark, sf_dir):
+    lines = shop_lines(spark)
+    return derived.undocumented(lines, codeintel.symbols(lines))
+
+
+@query("SELECT * FROM (VALUES ('app/main.py', 8), ('app/main.py', 11)) AS t(path, line_no)")
+def find_usages(spark, sf_dir):
+    return codeintel.find_usages(shop_lines(spark), "helper")[0].select("path", "line_no")
+
+
+@query("SELECT * FROM (VALUES ('app/util/tool.py', 7, 'taint-llm-output-exec', 4)) AS t(path, line_no, rule, severity)")
+def model_output(spark, sf_dir):
+    return project.model_output_findings(shop_lines(spark))
+
+
+@query("SELECT * FROM (VALUES ('lib.rs', 4), ('lib.rs', 5), ('lib.rs', 6)) AS t(path, line_no)")
+def rust_test_regions(spark, sf_dir):
+    return project.rust_test_regions(shop_lines(spark))
+
+
+@query("SELECT * FROM (VALUES ('mobile', 'android', '(root)')) AS t(kind, platform, folder)")
+def platforms(spark, sf_dir):
+    return project.platforms(fixture(spark, "shop"))
+
+
+@query("SELECT * FROM (VALUES ('Go', 'go test -cover ./...'), ('Python', 'python -m pytest --cov')) AS t(stack, command)")
+def coverage_tools(spark, sf_dir):
+    return project.coverage_tool(fixture(spark, "shop"))
+
+
+@query("SELECT * FROM (VALUES ('AndroidManifest.xml', 'mobile-deeplink-no-autoverify', 1)) AS t(path, rule, n)")
+def deep_links(spark, sf_dir):
+    return markup.deep_links(fixture(spark, "shop"))
+
+
+@query("SELECT * FROM (VALUES ('i.plist', 'mobile-ios-get-task-allow', 2)) AS t(path, rule, severity)")
+def plist_entitlements(spark, sf_dir):
+    return markup.plist_findings(fixture(spark, "shop"))
+
+
+@query("SELECT * FROM (VALUES ('Shop', 'app/main.py')) AS t(name, path)")
+def glossary(spark, sf_dir):
+    return project.glossary(codeintel.symbols(shop_lines(spark)))
+
+
+@query("SELECT * FROM (VALUES ('v.py', 4, 'sast/dynamic-exec', 3, true), ('v.py', 7, 'sast/dynamic-exec', 3, true), ('c.c', 4, 'sast/dynamic-exec', 3, true)) AS t(path, line_no, rule, severity, verified)")
+def structural_calls(spark, sf_dir):
+    return taint.structural_findings(fixture(spark, "sources"))
+
+
+@query(f"""WITH {sql('walked')}, w AS (SELECT *, CASE WHEN regexp_matches(path, '(^|/)(target|node_modules|vendor|dist|build|__pycache__)/') THEN 'service' WHEN regexp_matches(path, '(^|/)\\.[^/]+') AND NOT regexp_matches(path, '(^|/)\\.well-known') THEN 'hidden' END AS why FROM walked)
+SELECT count(*) AS files, count(*) FILTER (WHERE why = 'hidden') AS hidden, count(*) FILTER (WHERE why = 'service') AS service, count(*) FILTER (WHERE why IS NULL AND bytes > 1000000) AS oversized FROM w""")
+def walk_counters(spark, sf_dir):
+    return src.walk_counts(fixture(spark, "walked"))
+
+
+@query(f"""WITH {sql('blocks_then', 'blocks_now')} SELECT n.name, CASE WHEN t.body IS NULL THEN 'doc-missing' ELSE 'doc-drift' END AS rule FROM blocks_now n LEFT JOIN blocks_then t ON n.name = t.name WHERE t.body IS NULL OR trim(t.body) <> trim(n.body)""")
+def doc_drift(spark, sf_dir):
+    return project.drift(fixture(spark, "blocks_then"), fixture(spark, "blocks_now"))
+
+
+@query("SELECT * FROM (VALUES ('verify/test', 'ran', true), ('verify/lint', 'failed', false), ('verify/coverage', 'ran', false)) AS t(id, state, proven)")
+def tool_outcomes(spark, sf_dir):
+    o = fixture(spark, "outcomes")
+    return o.select("id", gate.outcome(F.col("state"), F.col("text")).alias("state"), gate.proves_tests(F.col("text")).alias("proven"))
+
+
+@query(f"""WITH {sql('found')}, b AS (SELECT *, CASE WHEN NOT verified THEN 'dropped' WHEN severity >= 3 THEN 'blocking' WHEN rule IN ('debt-marker', 'ssn-us') THEN 'advisory' ELSE 'warning' END AS bucket FROM found)
+SELECT rule, cap, bucket FROM b""")
+def buckets(spark, sf_dir):
+    return derived.escalated(gate.bucketed(fixture(spark, "found"))).select("rule", "cap", "bucket")
+
+
+@query(f"""WITH {sql('found')} SELECT cap, count(*) AS findings, 'ran' AS state FROM found GROUP BY cap""")
+def scan_summary(spark, sf_dir):
+    found = fixture(spark, "found")
+    return scan.summary(found, fixture(spark, "shop"), [r[0] for r in found.select("cap").distinct().collect()])
+
+
+@query("""WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, session""")
+def session_windows(spark, sf_dir):
+    return session_counts(read(spark, sf_dir, "events"))
+
+
+# Every rule finds the text that is made for it
+
+
+def _own_texts(rules: list[R.Rule]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = [(f"{i}/{POSITIVE[r.id][0]}", POSITIVE[r.id][1], r.id) for i, r in enumerate(rules)]
+        made = spark.createDataFrame(rows, "path string, content string, own string")
+        files = made.select("path", extension(F.col("path")).alias("ext"), "content")
+        found = scan.scan(files, src.lines(files), rules).select("path", "rule").distinct()
+        return found.join(made.select("path", F.col("own").alias("rule")), ["path", "rule"], "left_semi").select("rule")
+
+    return run
+
+
+for _name, _rules, _ids in (
+    ("rules_secret", R.SECRET, "aws-access-key github-token stripe-key google-api-key jwt gitlab-token slack-token sendgrid-key npm-token twilio-sid twilio-auth-token azure-account-key aws-secret-key llm-api-key digitalocean-token mailgun-key mapbox-secret-token sentry-dsn firebase-fcm-key db-uri-password private-key gcp-private-key generic-secret generic-secret-long generic-passphrase generic-secret-unquoted generic-secret-plist generic-secret-xml"),
+    ("rules_owasp", R.OWASP, "permissive-authz cors-wildcard cors-reflect-origin idor-direct-ref weak-hash weak-cipher ecb-mode hardcoded-crypto-material insecure-random tls-verify-off sql-injection dangerous-exec xss-sink ssti debug-enabled jwt-none jwt-alg-confusion weak-pw-hash insecure-deser pii-in-log ssrf ssrf-internal-host"),
+    ("rules_pii", R.PII, "ssn-us credit-card pii-in-log email-literal"), ("rules_smell", R.SMELL, "swallowed-error panic-path debt-marker"),
+    ("rules_web", R.WEB_RULES, "ssrf-sink ssrf-internal-host open-redirect path-traversal ssti xxe xxe-parser-default insecure-deserialize unsafe-yaml-load command-exec-runtime tls-verify-disabled cors-wildcard cors-reflect-origin insecure-cookie csrf-disabled"),
+    ("rules_api", R.API, "jwt-none-alg jwt-alg-confusion graphql-introspection mass-assignment"),
+    ("rules_injection", R.INJECTION, "raw-innerhtml raw-outerhtml insert-adjacent-html react-raw-html angular-bypass-sanitizer vue-raw-html document-write html-string-concat template-literal-html sql-string-concat"),
+    ("rules_iac", R.IAC, "privileged-container host-network host-pid allow-priv-escalation cap-add-all run-as-root image-latest-tag from-latest-tag add-remote-url dockerfile-curl-bash"),
+    ("rules_ai", R.AI, "llm-prompt-untrusted-concat llm-prompt-build-untrusted llm-output-exec llm-output-raw-html"), ("rules_completeness", R.COMPLETENESS, "unimplemented-stub empty-catch swallowed-rescue empty-except empty-function"),
+    ("rules_compliance", R.COMPLIANCE, "pdn-in-logs pdn-in-logs-multiline foreign-db-host foreign-region foreign-tracker pre-checked-consent foreign-crypto-primitive"),
+    ("rules_mobile", R.MOBILE, "mobile-exported-no-permission mobile-cleartext-traffic mobile-cleartext-permitted mobile-debuggable mobile-allow-backup mobile-ats-arbitrary-loads mobile-ats-arbitrary-media mobile-ats-insecure-http mobile-assetlinks-wildcard-fingerprint mobile-aasa-wildcard-paths mobile-firebase-cloud-messaging-key mobile-mapbox-secret-token mobile-token-in-sharedprefs mobile-token-in-userdefaults"),
+    ("rules_desktop", R.DESKTOP, "desktop/electron-node-integration desktop/electron-context-isolation-off desktop/electron-remote-module desktop/electron-websecurity-off desktop/electron-insecure-content desktop/electron-sandbox-off desktop/electron-loadurl-cleartext desktop/tauri-allowlist-all desktop/tauri-shell-execute desktop/tauri-csp-null desktop/tauri-remote-ipc desktop/tauri-updater-cleartext desktop/tauri-updater-no-pubkey"),
+):
+    QUERIES[_name] = _own_texts(_rules)
+    ORACLE_SQL[_name] = f"SELECT unnest(string_split('{_ids}', ' ')) AS rule"
+
+
 # The star schema
 
 

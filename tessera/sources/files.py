@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import extension
 
-#: Folders that hold no own source, and the largest file that is read.
+#: Folders that hold no own source, the largest file that is read and how deep it may lie.
 SERVICE_DIRS = ("target", "node_modules", "vendor", "dist", "build", "__pycache__")
-MAX_BYTES = 1_000_000
+MAX_BYTES, MAX_DEPTH = 1_000_000, 64
 #: Language of an extension.
 LANGUAGES = {
     "rs": "rust", "go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript",
@@ -57,7 +57,8 @@ def from_folder(spark: SparkSession, root: str) -> DataFrame:
 def in_scope(files: DataFrame) -> DataFrame:
     """(path, ext, lang, content) of valid UTF-8 files that no exclusion names."""
     ext = extension(F.col("path"))
-    kept = files.where((F.col("bytes") <= MAX_BYTES) & excluded(F.col("path")).isNull())
+    shallow = F.size(F.split("path", "/")) <= MAX_DEPTH + 1
+    kept = files.where((F.col("bytes") <= MAX_BYTES) & shallow & excluded(F.col("path")).isNull())
     text = kept.where(F.expr("is_valid_utf8(raw)")).withColumn("content", F.col("raw").cast("string"))
     return text.select("path", ext.alias("ext"), language(ext).alias("lang"), "content")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import codeintel, derived, documents, gate, graph, project, taint
 from tessera.plans.capabilities import CAPABILITIES, Project, findings
-from tessera.plans.registry import ROWS
+from tessera.plans.registry import ROWS, registry
 from tessera.sources import files as src
 
 FILES = {
@@ -82,7 +82,26 @@ def test_sarif_document(spark, tmp_path):
     documents.sarif_document(spark.createDataFrame(rows, "rule string, severity int, path string, line_no int"), str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").rglob("part-*"), key=lambda p: (p.parent.name, p.name)))
     run = json.loads(text)["runs"][0]
-    assert [r["ruleId"] for r in run["results"]] == ["", "r1", "r2"] or [r["ruleId"] for r in run["results"]] == ["r1", "r2"]
+    assert [r["ruleId"] for r in run["results"]] == ["r1", "r2"] and run["tool"]["driver"]["rules"] == [{"id": "r1"}, {"id": "r2"}]
+    documents.sarif_document(spark.createDataFrame(rows[:0], "rule string, severity int, path string, line_no int"), str(tmp_path / "none"))
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").rglob("part-*"), key=lambda p: (p.parent.name, p.name))))["runs"][0]["results"] == []
+
+
+def test_delivery_text_and_skills(spark):
+    states = spark.createDataFrame([("b", True, "confirmed", 0), ("a", True, "failed", 2), ("c", False, "not run", 0)], "axis string, hard boolean, state string, n int")
+    assert documents.delivery_text(states) == ["[ ] a: failed, 2 finding(s)", "[x] b: confirmed", "[ ] c: not run", "Not done: a"]
+    assert documents.delivery_text(states.where("axis <> 'a'"))[-1] == "Done." and documents.delivery_text(states.selectExpr("axis", "true AS hard", "if(axis = 'a', 'confirmed', state) AS state", "n"))[-1] == "Not confirmed: c did not run."
+    pages = documents.skills_pack(registry(spark))
+    assert "security.scan.md" in pages and "`security.scan/secret`" in pages["security.scan.md"] and sum(p.count("- `") for p in pages.values()) == 74
+
+
+def test_deadline_cancels_jobs(spark):
+    from tessera.session import within
+
+    assert within(spark, 60, lambda: spark.range(10).count()) == 10
+    slow = spark.range(4).repartition(4).selectExpr("id", "java_method('java.lang.Thread', 'sleep', 20000L) AS x")
+    with pytest.raises(TimeoutError):
+        within(spark, 1.0, lambda: slow.collect())
 
 
 def test_words_of_a_verdict(spark):
