@@ -362,3 +362,29 @@ class JaccardJoin:
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin().links(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+#: All pairs that share a shingle, and what the smallest id of a component reaches.
+OP9_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END)) AS g FROM t
+), n AS (
+  SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n AS i ON i.doc_id = x JOIN n AS j ON j.doc_id = y WHERE 18 * c >= 8 * (i.k + j.k)
+), linked AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), reached(doc_id, least) AS (
+  SELECT doc_id, doc_id FROM t UNION SELECT y, least FROM reached JOIN linked ON x = reached.doc_id AND least < y
+), degrees AS (
+  SELECT x, count(*) AS n_links FROM linked GROUP BY x
+), classes AS (
+  SELECT doc_id, min(least) AS class_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM classes LEFT JOIN degrees ON x = doc_id
+"""

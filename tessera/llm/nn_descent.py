@@ -499,3 +499,22 @@ def linked(ids: np.ndarray, members: np.ndarray, sides: np.ndarray, units: np.nd
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NnDescent().links(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs of vectors, and what the smallest id of a component reaches.
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), usable AS (
+  SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0
+), linked AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reached(vec_id, least) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT y, least FROM reached JOIN linked ON x = reached.vec_id AND least < y
+), degrees AS (
+  SELECT x, count(*) AS n_links FROM linked GROUP BY x
+), classes AS (
+  SELECT vec_id, min(least) AS component_id FROM reached GROUP BY vec_id
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM classes LEFT JOIN degrees ON x = vec_id
+"""

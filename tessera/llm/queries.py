@@ -24,5 +24,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": suffix_index.OP5_SQL,
     "op6_substring_dedup": prefix_trees.OP6_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op8_nn_descent": nn_descent.OP8_SQL,
+    "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
 }
