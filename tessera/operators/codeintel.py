@@ -84,11 +84,14 @@ def symbols(lines: DataFrame) -> DataFrame:
     return tagged.select("path", "line_no", "lang", F.explode(found).alias("s")).select("path", "line_no", "lang", "s.kind", "s.name", "s.exported")
 
 
-def module_cards(symbols_: DataFrame) -> DataFrame:
-    """Per folder: definitions, public ones, languages, the first five public names in order of appearance."""
+def module_cards(symbols_: DataFrame, shown: int = 5) -> DataFrame:
+    """Per folder: definitions, public ones, languages, the first public names in order of appearance."""
     s = symbols_.withColumn("module", module_of(F.col("path")))
-    names = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("exported"), F.struct("path", "line_no", "name")))), 1, 5), lambda x: x["name"])
-    return s.groupBy("module").agg(F.count("*").alias("n"), F.count_if("exported").alias("n_exported"), F.sort_array(F.collect_set("lang")).alias("langs"), names.alias("first_exports"))
+    first = Window.partitionBy("module").orderBy("path", "line_no", "name")
+    top = s.where("exported").withColumn("k", F.row_number().over(first)).where(F.col("k") <= shown)
+    names = top.groupBy("module").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda x: x["name"]).alias("first_exports"))
+    counts = s.groupBy("module").agg(F.count("*").alias("n"), F.count_if("exported").alias("n_exported"), F.sort_array(F.collect_set("lang")).alias("langs"))
+    return counts.join(names, "module", "left").select("module", "n", "n_exported", "langs", F.coalesce("first_exports", F.array().cast("array<string>")).alias("first_exports"))
 
 
 def symbol_counts(symbols_: DataFrame) -> DataFrame:

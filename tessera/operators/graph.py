@@ -145,7 +145,9 @@ def diff_scope(changed: DataFrame, defs: DataFrame, calls: DataFrame) -> DataFra
     return centre.select(F.col("node").alias("name"), F.lit("changed").alias("role")).unionByName(reached.select(F.col("node").alias("name"), F.lit("affected").alias("role")).where("name <> ''"))
 
 
-def mermaid(edges: DataFrame) -> DataFrame:
-    """One row: the graph as a Mermaid text, edges in order."""
+def mermaid(edges: DataFrame, most: int = 20_000) -> DataFrame:
+    """One row: the graph as a Mermaid text, edges in order. A picture of more than `most` edges is none, which raises."""
     line = F.concat(F.lit('  "'), F.col("src"), F.lit('" --> "'), F.col("dst"), F.lit('"'))
-    return edges.select("src", "dst").distinct().agg(F.array_join(F.concat(F.array(F.lit("graph LR")), F.sort_array(F.collect_list(line))), "\n").alias("diagram"))
+    few = edges.select("src", "dst").distinct().limit(most + 1)
+    text = F.array_join(F.concat(F.array(F.lit("graph LR")), F.sort_array(F.collect_list(line))), "\n")
+    return few.agg(F.when(F.count("*") > most, F.raise_error(F.lit(f"more than {most} edges"))).otherwise(text).alias("diagram"))

@@ -246,6 +246,9 @@ def test_outcome_words(spark):
 
 def test_graph(spark):
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)], "src string, dst string")
+    with pytest.raises(Exception, match="more than 3 edges"):
+        graph.mermaid(edges, most=3).collect()
+    assert graph.mermaid(edges, most=20).first()[0].count("-->") == 20
     assert graph.reachable(edges).count() == 210 and graph.cycles(edges).count() == 0
     rings = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)] + [("a", "r3"), ("r5", "s1"), ("s1", "s2"), ("s2", "s3"), ("s3", "s1"), ("s3", "t"), ("t", "u"), ("u", "u"), ("r2", "r7")]
     got = {r.node: (r.component, r.size) for r in graph.cycles(spark.createDataFrame(rings, "src string, dst string")).collect()}
