@@ -245,7 +245,7 @@ def compared(group: list[tuple[int, int, bool, bytes, str]], n: int, threshold:
 
 
 class JaccardJoin:
-    def __init__(self, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, block_shingles: int = 1_000_000, block: int = 2000) -> None:
+    def __init__(self, n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, block_shingles: int = 500_000, block: int = 2000) -> None:
         self.n, self.threshold, self.tolerance, self.block_shingles, self.block = n, threshold, tolerance, block_shingles, block
 
     def sketched(self, docs: DataFrame) -> DataFrame:
