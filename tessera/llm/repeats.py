@@ -355,7 +355,7 @@ def candidates(stored: DataFrame, kind: Symbols, n: int) -> DataFrame:
         yield out.take()
 
     together = stored.unionByName(shared(stored, kind, n)).repartition(n, "block").sortWithinPartitions("block", F.col("bucket") == STORED)
-    return written(together.mapInArrow(run, SENT_SQL), "repeat-strings")
+    return written(together.mapInArrow(run, SENT_SQL), "repeat-strings", by="bucket")
 
 
 class Strings(NamedTuple):

@@ -208,6 +208,9 @@ class SuffixDedup:
             for b in range(batches):
                 got = family.add(routed(asks.where(F.col("batch") == b), by_flank), keep=b + 1 < batches)
                 answers = got if answers is None else answers.unionByName(got)
+            for _, name, level in family.levels:
+                dropped(level, f"batch={name}")
+            dropped(asks, "bucket=0")
             return answers
 
         def finish(doc_id: int | None, text: bytes, hidden: np.ndarray) -> tuple:
