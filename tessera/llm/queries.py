@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chat_format, jaccard_join, nb_svm, nn_descent, packing, piece_bpe, prefix_trees, quality_rules, suffix_index, zstd_toxicity
+from tessera.llm import byte_bpe, chat_format, jaccard_join, merkle_manifest, nb_svm, nn_descent, packing, piece_bpe, prefix_trees, quality_rules, suffix_index, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_piece_bpe": piece_bpe.op11_piece_bpe,
+    "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": suffix_index.OP5_SQL,
