@@ -37,36 +37,36 @@ from tessera.llm.common import Writer, only, rows, table
 
 SPACE_MARK = "▁"
 #: Characters that are worked on at a time, and the longest span that is worked out abreast with others.
-CHUNK_CHARS, LONGEST = 3_000_000, 64
+CHUNK_CHARS, LONGEST = 1_000_000, 64
 #: Characters with a column in the automaton's table, the most frequent in pieces; spans with others go one by one.
-COLUMNS = 160
+COLUMNS = 128
 #: Slots of the table of pairs; when half full, it is begun anew.
-PAIR_SLOTS = 1 << 21
+PAIR_SLOTS = 1 << 20
+
+
+def model_of(path: str) -> tuple[list[str], dict[str, float], list[int], bool]:
+    """The pieces by id, the scores of those that text is made of, the ids of bytes, and whether a space mark is put first."""
+    from sentencepiece import sentencepiece_model_pb2 as model
+
+    proto = model.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    kind, norm = model.ModelProto.SentencePiece, proto.normalizer_spec
+    if proto.trainer_spec.model_type != model.TrainerSpec.BPE or not proto.trainer_spec.byte_fallback:
+        raise ValueError("a merge-type model with byte tokens is needed")
+    if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in proto.pieces):
+        raise ValueError("models that rewrite characters or white space, or have pieces by hand, are not supported")
+    names = [p.piece for p in proto.pieces]
+    return names, {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}, [names.index(f"<0x{b:02X}>") for b in range(256)], norm.add_dummy_prefix
 
 
 class Vocabulary:
     """Pieces of a merge-type model: scores, byte tokens, and how each piece comes about by merges."""
 
     def __init__(self, path: str) -> None:
-        from sentencepiece import sentencepiece_model_pb2 as model
-
-        proto = model.ModelProto()
-        with open(path, "rb") as f:
-            proto.ParseFromString(f.read())
-        kind, norm = model.ModelProto.SentencePiece, proto.normalizer_spec
-        if proto.trainer_spec.model_type != model.TrainerSpec.BPE or not proto.trainer_spec.byte_fallback:
-            raise ValueError("a merge-type model with byte tokens is needed")
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in proto.pieces):
-            raise ValueError("models that rewrite characters or white space, or have pieces by hand, are not supported")
-        self.mark_first = norm.add_dummy_prefix
-        self.names = [p.piece for p in proto.pieces]
+        self.names, self.scores, self.byte_ids, self.mark_first = model_of(path)
         self.lengths = [len(n) for n in self.names]
         self.sizes = np.array(self.lengths, np.int32)
-        self.scores = {p.piece: p.score for p in proto.pieces if p.type == kind.NORMAL}
-        self.byte_ids = [self.names.index(f"<0x{b:02X}>") for b in range(256)]
-        self.bytes = [p.piece.replace(SPACE_MARK, " ").encode() if p.type == kind.NORMAL else b"" for p in proto.pieces]
-        for b, i in enumerate(self.byte_ids):
-            self.bytes[i] = bytes([b])
         self.grown: dict[str, list[tuple[float, str, str]] | None] = {}
         tokens = [(n, i) for i, n in enumerate(self.names) if n in self.scores and self.growth(n) is not None]
         self.single = np.full(0x110000, -1, np.int32)
@@ -180,7 +180,7 @@ class Pairs:
 
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
     def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) << 32 | right
@@ -416,7 +416,7 @@ class PieceBpe:
                 ends = np.cumsum(counts)
                 begin = 0
                 while begin < len(counts):
-                    end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 500_000, side="right")))
+                    end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 200_000, side="right")))
                     some = ids[ends[begin] - counts[begin] : ends[end - 1]]
                     texts = spelled.of(some, counts[begin:end])
                     names = numerals.of(some, counts[begin:end]) if digests else texts
@@ -457,8 +457,11 @@ class Spelling:
 @lru_cache(maxsize=2)
 def spellings(path: str) -> tuple[Spelling, Spelling, bool]:
     """The bytes of each id, its decimal name with a comma, and whether a leading space mark is the encoder's own."""
-    vocab = vocabulary(path)
-    return Spelling(vocab.bytes, vocab.byte_ids), Spelling([b"%d," % i for i in range(len(vocab.bytes))], vocab.byte_ids), vocab.mark_first
+    names, scores, byte_ids, mark_first = model_of(path)
+    strings = [n.replace(SPACE_MARK, " ").encode() if n in scores else b"" for n in names]
+    for b, i in enumerate(byte_ids):
+        strings[i] = bytes([b])
+    return Spelling(strings, byte_ids), Spelling([b"%d," % i for i in range(len(names))], byte_ids), mark_first
 
 
 def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
