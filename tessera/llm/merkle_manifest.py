@@ -231,3 +231,52 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
     lowered = {"text": F.translate("text", UPPER, UPPER.lower())}
     return Manifest().proofs(docs, lowered, tampered).drop("lefts", "rights")
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes by group, level and place, from (g, idx, digest, n)."""
+    return f"""{name} AS (
+  SELECT g, 0 AS level, idx, digest, n FROM {leaves}
+  UNION ALL
+  SELECT g, level + 1, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)), (n + 7) // 8 FROM {name} WHERE n > 1 GROUP BY g, level, idx // 8, n)"""
+
+
+def _sides(tree: str, nodes: str) -> str:
+    """For each of some nodes (g, pos) and each level what stands left and right in its run."""
+    return f"""SELECT x.g, x.pos, t.level, coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (WHERE t.idx < x.pos // CAST(pow(8, t.level) AS BIGINT)), '') AS l,
+    coalesce(string_agg(t.digest, '' ORDER BY t.idx) FILTER (WHERE t.idx > x.pos // CAST(pow(8, t.level) AS BIGINT)), '') AS r
+  FROM {nodes} x JOIN {tree} t ON t.g = x.g AND t.n > 1 AND t.idx // 8 = x.pos // CAST(pow(8, t.level + 1) AS BIGINT) GROUP BY x.g, x.pos, t.level"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen(CAST({name} AS VARCHAR)) || ':' || {name}, '-')"
+
+
+#: crc32 by its table of 256 remainders, each from eight shifts; leaves, a recursive tree, and the fold along each leaf's way.
+OP12_SQL = f"""WITH RECURSIVE remainders AS (
+  SELECT list(v ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1))) AS v FROM range(256) r(n))),
+told AS (
+  SELECT d.*, CASE WHEN xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]))) % 3 = 0 THEN translate(text, '{UPPER}', '{UPPER.lower()}') ELSE text END AS changed FROM documents d CROSS JOIN remainders),
+hashed AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS g, sha256({" || ".join(map(_field, FIELDS))}) AS leaf, sha256({" || ".join(_field("changed" if f == "text" else f) for f in FIELDS)}) AS told FROM told),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+first AS (SELECT g, pos AS idx, leaf AS digest, n FROM leaves),
+{_tree("tree", "first")},
+subroots AS MATERIALIZED (
+  SELECT g AS name, digest, '' AS g, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+groups AS (SELECT g, pos AS idx, digest, n FROM subroots),
+{_tree("top", "groups")},
+lower AS ({_sides("tree", "leaves")}),
+upper AS ({_sides("top", "subroots")}),
+ways AS (
+  SELECT g, pos, level, l, r FROM lower
+  UNION ALL
+  SELECT v.g, v.pos, 100 + u.level, u.l, u.r FROM upper u JOIN subroots s ON s.pos = u.pos JOIN leaves v ON v.g = s.name),
+listed AS (SELECT g, pos, list(l || '|' || r ORDER BY level) AS sides, string_agg(l || r, '' ORDER BY level) AS proof FROM ways GROUP BY g, pos),
+folded AS (
+  SELECT v.doc_id, v.leaf, s.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(coalesce(w.proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(v.told, coalesce(w.sides, [])), lambda d, x: sha256(split_part(x, '|', 1) || d || split_part(x, '|', 2))) AS folded_root
+  FROM leaves v JOIN subroots s ON s.name = v.g LEFT JOIN listed w ON w.g = v.g AND w.pos = v.pos)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import byte_bpe, chat_format, jaccard_join, merkle_manifest, nb_svm, nn_descent, packing, piece_bpe, prefix_trees, quality_rules, suffix_index, zstd_toxicity
+from tessera.llm import byte_bpe, centroids, chat_format, jaccard_join, merkle_manifest, nb_svm, nn_descent, packing, piece_bpe, prefix_trees, quality_rules, suffix_index, zstd_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_piece_bpe": piece_bpe.op11_piece_bpe,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
+    "op13_centroids": centroids.op13_centroids,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": suffix_index.OP5_SQL,
@@ -29,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_nn_descent": nn_descent.OP8_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op10_chat_format": chat_format.OP10_SQL,
+    "op12_merkle_manifest": merkle_manifest.OP12_SQL,
+    "op13_centroids": centroids.OP13_SQL,
 }
