@@ -73,15 +73,22 @@ DEFINITIONS = {
 }
 
 
+def defined(text: Column, kind: str, pattern: str, public: str) -> Column:
+    """All that a pattern defines on a line."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name"), text.rlike(public).alias("exported")))
+
+
 def symbols(lines: DataFrame) -> DataFrame:
-    """(path, line_no, lang, kind, name, exported) of definitions, by line patterns."""
+    """(path, line_no, lang, kind, name, exported) of definitions, by line patterns: all on a line, each name once."""
     found = F.array().cast("array<struct<kind:string,name:string,exported:boolean>>")
     text = F.col("line")
     for lang, rows in DEFINITIONS.items():
-        here = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract(text, p, 1).alias("name"), text.rlike(public).alias("exported"))) for k, p, public in rows]))
-        found = F.when(F.col("lang") == lang, F.slice(here, 1, 1)).otherwise(found)
+        here = F.flatten(F.array(*[defined(text, k, p, public) for k, p, public in rows]))
+        found = F.when(F.col("lang") == lang, here).otherwise(found)
     tagged = lines.withColumn("lang", language(F.col("ext"))).where(F.col("lang").isin(*DEFINITIONS))
-    return tagged.select("path", "line_no", "lang", F.explode(found).alias("s")).select("path", "line_no", "lang", "s.kind", "s.name", "s.exported")
+    told = tagged.select("path", "line_no", "lang", found.alias("all")).where(F.size("all") > 0)
+    new = F.filter("all", lambda s, i: ~F.exists(F.slice("all", 1, i), lambda t: t["name"] == s["name"]))
+    return told.select("path", "line_no", "lang", F.explode(new).alias("s")).select("path", "line_no", "lang", "s.kind", "s.name", "s.exported")
 
 
 def module_cards(symbols_: DataFrame, shown: int = 5) -> DataFrame:

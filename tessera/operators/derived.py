@@ -25,7 +25,7 @@ def as_findings(df: DataFrame, rule: str | Column, severity: int | Column, cap:
 
 
 def dead_exports(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    return as_findings(codeintel.dead_exports(symbols, files), "dead-export", 0, "quality.check/dead-code", line_no="line_no")
+    return as_findings(codeintel.dead_exports(symbols, files), "dead-export", 1, "quality.check/dead-code", line_no="line_no")
 
 
 def god_files(symbols: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def god_files(symbols: DataFrame) -> DataFrame:
 
 
 def deep_nesting(lines: DataFrame, deepest: int = codeintel.DEEP) -> DataFrame:
-    return as_findings(codeintel.deepest(lines).where(F.col("depth") > deepest), "deep-nesting", 1, "quality.check/antipattern", line_no="line_no")
+    return as_findings(codeintel.deepest(lines).where(F.col("depth") > deepest), "deep-nesting", 2, "quality.check/antipattern", line_no="line_no")
 
 
 def metrics(metrics_: DataFrame) -> DataFrame:
@@ -46,16 +46,16 @@ def import_cycles(cycles: DataFrame) -> DataFrame:
 
 
 def layer_violations(violations: DataFrame) -> DataFrame:
-    return as_findings(violations, "layer-violation", 3, "quality.check/layers", path="src")
+    return as_findings(violations, "layer-violation", 2, "quality.check/layers", path="src")
 
 
 def constitution(broken: DataFrame) -> DataFrame:
     rule = F.when(F.col("directive") == "FORBID", "constitution-forbid").otherwise("constitution-require")
-    return as_findings(broken, rule, 3, "quality.check/constitution")
+    return as_findings(broken, rule, F.when(F.col("directive") == "FORBID", 3).otherwise(2), "quality.check/constitution")
 
 
 def api_break(changes: DataFrame) -> DataFrame:
-    return as_findings(changes.where("change = 'removed'"), "api-break", 3, "verify/api-break", path=None)
+    return as_findings(changes.where("change = 'removed'"), "api-break", 2, "verify/api-break", path=None)
 
 
 def drift(drifted: DataFrame) -> DataFrame:

@@ -19,20 +19,30 @@ MODULES = 200
 
 def bullets(found: DataFrame, column: str, most: int) -> str:
     """The first values in order as a list, and how many more there are."""
+    shown, rest = first(found, column, most)
+    lines = [f"- {v}" for v in shown] + more(rest)
+    return "\n".join(lines) if lines else "- none found"
+
+
+def more(rest: int) -> list[str]:
+    """Says how many a list leaves out."""
+    return [f"- ... {rest} more"] if rest > 0 else []
+
+
+def first(found: DataFrame, column: str, most: int) -> tuple[list[str], int]:
+    """The first values in order, and how many there are beyond them."""
     values = found.select(column).distinct()
     shown = [r[0] for r in values.orderBy(column).limit(most).collect()]
-    rest = values.count() - len(shown)
-    lines = [f"- {v}" for v in shown] + ([f"- ... {rest} more"] if rest > 0 else [])
-    return "\n".join(lines) if lines else "- none found"
+    return shown, values.count() - len(shown)
 
 
 def modules_block(cards: DataFrame, exports: bool = True) -> str:
-    rows = cards.orderBy("module").limit(MODULES).collect()
+    rows, rest = cards.orderBy("module").limit(MODULES).collect(), max(0, cards.count() - MODULES)
     out = []
     for r in rows:
         named = f". Among them: {', '.join(sorted(r.first_exports))}" if exports and r.first_exports else ""
         out.append(f"- **{r.module}**: {r.n} definitions ({r.n_exported} public){named}")
-    return "\n".join(out) if out else "- no modules found"
+    return "\n".join(out + more(rest)) if out else "- no modules found"
 
 
 def spec_block(symbols: DataFrame, lines: DataFrame) -> str:
@@ -49,9 +59,10 @@ def spec_block(symbols: DataFrame, lines: DataFrame) -> str:
 def architecture_block(files: DataFrame, lines: DataFrame, symbols: DataFrame, edges: DataFrame, decisions: int = 0) -> str:
     surface = codeintel.surface(lines)
     stack = ", ".join(r.stack for r in project.stacks(files).orderBy("stack").collect()) or "unknown"
-    entries = ", ".join(r.path for r in project.entry_points(lines).orderBy("path").limit(STAGED).collect()) or "none found"
-    rings = graph.cycles(edges).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes")).orderBy("component").limit(MODULES).collect()
-    told = "\n".join(f"- {' -> '.join(r.nodes)}" for r in rings) or "No cycles between modules."
+    starts, others = first(project.entry_points(lines), "path", STAGED)
+    entries = ", ".join(starts + ([f"{others} more"] if others else [])) or "none found"
+    rings = graph.cycles(edges).groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    told = "\n".join([f"- {' -> '.join(r.nodes)}" for r in rings.orderBy("component").limit(MODULES).collect()] + more(rings.count() - MODULES)) or "No cycles between modules."
     return "\n".join([
         "## From the code", "", "### Context", "Services:", bullets(surface.where("category = 'service'"), "value", SERVICES), "", "Settings:", bullets(surface.where("category = 'env'"), "value", SETTINGS), "",
         "### Building blocks", modules_block(codeintel.module_cards(symbols), exports=False), "", "### Deployment", f"Stack: {stack}. Entry points: {entries}.", "", "### Decisions", f"Recorded: {decisions}.", "", "### Risks", told])
@@ -70,8 +81,9 @@ def overview_block(symbols: DataFrame, edges: DataFrame) -> str:
 
 def c4_block(files: DataFrame, lines: DataFrame, symbols: DataFrame, edges: DataFrame) -> str:
     """Context, containers and components as diagrams."""
-    services = [r.value for r in codeintel.surface(lines).where("category = 'service'").select("value").distinct().orderBy("value").limit(SERVICES).collect()]
-    boxes = [f"{r.kind}: {r.name}" for r in project.containers(lines).orderBy("kind", "name").limit(SERVICES).collect()]
+    services, unnamed = first(codeintel.surface(lines).where("category = 'service'"), "value", SERVICES)
+    boxes, unboxed = first(project.containers(lines).select(F.concat_ws(": ", "kind", "name").alias("box")), "box", SERVICES)
+    services, boxes = services + [f"{unnamed} more"] * (unnamed > 0), boxes + [f"{unboxed} more"] * (unboxed > 0)
     label = lambda text: re.sub(r'["\[\]{}|<>]', "'", text)
     context = ["graph LR"] + [f'  "system" --> "{label(s)}"' for s in services]
     holders = ["graph LR"] + [f'  "system" --> "{label(b)}"' for b in boxes]

@@ -91,7 +91,8 @@ ALL_BUT_SIZE = "all"
 WHOLE = (COMMAND, BUFFER, "sast/taint-dynamic-exec", "sast/taint-xpath", "sast/taint-ldap", "sast/taint-xss")
 #: Calls that fill a buffer with input, and the first argument that is one.
 FILLS = {"scanf": 1, "sscanf": 2, "fscanf": 2, "gets": 0, "fgets": 0, "fread": 0, "read": 1, "recv": 1, "recvfrom": 1}
-MUTATORS = ("append", "add", "insert", "extend", "push", "update", "put", "write", "concat", "push_str", "addall", "putall", "unshift", "set")
+#: Methods that hand what their argument holds to the receiver.
+MUTATORS = ("append", "push", "push_str", "add", "insert", "extend", "put", "addall", "concat", "write", "set", "unshift", "merge", "update")
 PII = ("passport", "snils", "inn", "ssn", "birthdate")
 #: Calls that are dangerous by the shape of their arguments, by last name.
 EXECUTES, QUERIES, LOADS = ("system", "popen", "execsync", "execfile", "spawnsync"), ("execute", "query", "rawquery", "executequery", "prepare"), ("load", "full_load", "unsafe_load", "load_all", "loads")

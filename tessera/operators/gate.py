@@ -30,10 +30,9 @@ class Policy:
 
 def keep_first(findings: DataFrame) -> DataFrame:
     """One finding for a rule, file and line: the first by registration and emission. Those without a place all stay."""
-    placed = findings.where("path IS NOT NULL AND line_no IS NOT NULL")
     frame = Window.partitionBy("rule", "path", "line_no").orderBy("cap_ord", "phase", "rule_ord")
-    first = placed.withColumn("__n", F.row_number().over(frame)).where("__n = 1").drop("__n")
-    return first.unionByName(findings.where("path IS NULL OR line_no IS NULL"))
+    numbered = findings.withColumn("__n", F.row_number().over(frame))
+    return numbered.where("__n = 1 OR path IS NULL OR line_no IS NULL").drop("__n")
 
 
 def confidence(rule: Column) -> Column:

@@ -240,6 +240,8 @@ def read_python(text: str) -> list[tuple]:
     return out
 
 
+#: What a text gives that is nested too deeply to be read: an event of its own, which no rule takes.
+UNREAD = [("", "unread", 1, "", None, None, None, [])]
 EVENTS = "project string, path string, func string, kind string, line_no int, origin string, rule string, callee string, arg int, clean array<string>"
 
 
@@ -252,7 +254,10 @@ def fold(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for project, path, lang, content in zip(batch["project"], batch["path"], batch["lang"], batch["content"], strict=True):
-                events = read_python(content) if lang == "python" else Reader(lang, content).read()
+                try:
+                    events = read_python(content) if lang == "python" else Reader(lang, content).read()
+                except RecursionError:  # nested too deeply, as generated code may be
+                    events = UNREAD
                 rows += [(project, path, *e) for e in events]
             yield pd.DataFrame(rows, columns=["project", "path", "func", "kind", "line_no", "origin", "rule", "callee", "arg", "clean"]).astype({"arg": "Int32", "line_no": "Int32"})
 
@@ -260,6 +265,11 @@ def fold(files: DataFrame) -> DataFrame:
     return known.select("project", "path", "lang", "content").mapInPandas(run, EVENTS)
 
 
+def unread(events: DataFrame) -> DataFrame:
+    """(path): texts that are nested too deeply to be read."""
+    return events.where("kind = 'unread'").select("path").distinct()
+
+
 def definitions(events: DataFrame) -> DataFrame:
     """(name, path, line_no, params) of the functions."""
     return events.where("kind = 'def'").select(F.col("func").alias("name"), "path", "line_no", F.col("arg").alias("params")).distinct()
@@ -281,7 +291,7 @@ def _settled(start: DataFrame, step, keys: list[str]) -> DataFrame:
 
 def resolve(events: DataFrame) -> DataFrame:
     """(path, func, line_no, rule): what holds once taint has crossed all calls."""
-    events = cut(events.where("kind NOT IN ('def', 'call', 'shape')"))
+    events = cut(events.where("kind NOT IN ('def', 'call', 'shape', 'unread')"))
     returns, passed, sinks = (events.where(F.col("kind") == k) for k in ("returns", "pass", "sink"))
     called = F.expr("CASE WHEN origin LIKE 'ret:%' THEN substr(origin, 5) END")
     back = returns.select("project", F.col("func").alias("outer"), called.alias("func")).where("func IS NOT NULL").distinct()
@@ -344,7 +354,10 @@ def structural_findings(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, lang, content in zip(batch["path"], batch["lang"], batch["content"], strict=True):
-                found = shapes(content) if lang == "python" else [(e[2], e[4]) for e in Reader(lang, content).read() if e[1] == "shape"]
+                try:
+                    found = shapes(content) if lang == "python" else [(e[2], e[4]) for e in Reader(lang, content).read() if e[1] == "shape"]
+                except RecursionError:
+                    found = []
                 rows += [(path, line, rule) for line, rule in found]
             yield pd.DataFrame(rows, columns=["path", "line_no", "rule"])
 

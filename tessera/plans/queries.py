@@ -20,6 +20,9 @@ from tessera.streaming.watch import session_counts, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries that work on small tables stated here, with their SQL; see `example`.
+EXAMPLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EXAMPLE_SQL: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
@@ -32,6 +35,18 @@ def query(oracle: str | None = None):
     return add
 
 
+def example(oracle: str | None = None):
+    """A query over literals: the tests run it, the catalogue doesn't hold it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        EXAMPLES[f.__name__] = f
+        if oracle:
+            EXAMPLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -189,13 +204,13 @@ def all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_files(spark, sf_dir).unionByName(fixture(spark, "pages_made"))
 
 
-@query(_ALL_PAGES + """, t AS (SELECT path, len(list_filter(regexp_extract_all(html, '(?is)(<img\\b[^>]*>)', 1), lambda t: NOT regexp_matches(t, '(?is)\\s(?:alt|:alt|v-bind:alt)\\b'))) AS n FROM all_pages)
+@example(_ALL_PAGES + """, t AS (SELECT path, len(list_filter(regexp_extract_all(html, '(?is)(<img\\b[^>]*>)', 1), lambda t: NOT regexp_matches(t, '(?is)\\s(?:alt|:alt|v-bind:alt)\\b'))) AS n FROM all_pages)
 SELECT path, 'ui-img-without-alt' AS rule, 2 AS severity, CAST(n AS BIGINT) AS n FROM t WHERE n > 0""")
 def img_no_alt(spark, sf_dir):
     return markup.markup_findings(all_pages(spark, sf_dir), ("ui-img-without-alt",))
 
 
-@query(_ALL_PAGES + """, f AS (
+@query("""WITH all_pages AS (SELECT CAST(page_id AS VARCHAR) AS path, html FROM pages), f AS (
   SELECT path, 'ui-viewport-missing' AS rule, 2 AS severity, CASE WHEN regexp_matches(html, '(?i)<html\\b') AND NOT regexp_matches(html, '(?is)<meta\\b[^>]*name\\s*=\\s*["'']?viewport') THEN 1 ELSE 0 END AS n FROM all_pages
   UNION ALL SELECT path, 'ui-viewport-zoom-blocked', 2, len(regexp_extract_all(html, '(?is)<meta\\b[^>]*user-scalable=no[^>]*>')) FROM all_pages
   UNION ALL SELECT path, 'ui-img-without-alt', 2, len(list_filter(regexp_extract_all(html, '(?is)<img\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?is)\\salt\\b'))) FROM all_pages
@@ -203,10 +218,21 @@ def img_no_alt(spark, sf_dir):
   UNION ALL SELECT path, 'ui-clickable-nonsemantic', 2, len(list_filter(regexp_extract_all(html, '(?is)<(?:div|span)\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\sonclick\\b') AND NOT regexp_matches(t, '(?i)\\s(?:role|onkeydown|onkeyup|onkeypress)\\b'))) FROM all_pages)
 SELECT path, rule, severity, CAST(n AS BIGINT) AS n FROM f WHERE n > 0""")
 def markup_all(spark, sf_dir):
+    return markup.markup_findings(page_files(spark, sf_dir))
+
+
+@example(_ALL_PAGES + """, f AS (
+  SELECT path, 'ui-viewport-missing' AS rule, 2 AS severity, CASE WHEN regexp_matches(html, '(?i)<html\\b') AND NOT regexp_matches(html, '(?is)<meta\\b[^>]*name\\s*=\\s*["'']?viewport') THEN 1 ELSE 0 END AS n FROM all_pages
+  UNION ALL SELECT path, 'ui-viewport-zoom-blocked', 2, len(regexp_extract_all(html, '(?is)<meta\\b[^>]*user-scalable=no[^>]*>')) FROM all_pages
+  UNION ALL SELECT path, 'ui-img-without-alt', 2, len(list_filter(regexp_extract_all(html, '(?is)<img\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?is)\\salt\\b'))) FROM all_pages
+  UNION ALL SELECT path, 'ui-input-without-label', 2, len(list_filter(regexp_extract_all(html, '(?is)<(?:input|select|textarea)\\b[^>]*>'), lambda t: NOT regexp_matches(t, '(?is)\\s(?:aria-label|aria-labelledby|id|title)\\b|type\\s*=\\s*["'']?(?:hidden|submit|button|reset|image)'))) FROM all_pages
+  UNION ALL SELECT path, 'ui-clickable-nonsemantic', 2, len(list_filter(regexp_extract_all(html, '(?is)<(?:div|span)\\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\\sonclick\\b') AND NOT regexp_matches(t, '(?i)\\s(?:role|onkeydown|onkeyup|onkeypress)\\b'))) FROM all_pages)
+SELECT path, rule, severity, CAST(n AS BIGINT) AS n FROM f WHERE n > 0""")
+def markup_made(spark, sf_dir):
     return markup.markup_findings(all_pages(spark, sf_dir))
 
 
-@query(_ALL_PAGES + """, u AS (SELECT path, unnest(regexp_extract_all(html, 'href=["''](?:https?:)?//([^/"''?#]+)', 1)) AS host FROM all_pages)
+@example(_ALL_PAGES + """, u AS (SELECT path, unnest(regexp_extract_all(html, 'href=["''](?:https?:)?//([^/"''?#]+)', 1)) AS host FROM all_pages)
 SELECT path, host, count(*) AS n FROM u GROUP BY path, host""")
 def links_outbound(spark, sf_dir):
     return markup.links(all_pages(spark, sf_dir))
@@ -249,20 +275,20 @@ def events_props(spark, sf_dir):
 # Verdicts over fixtures
 
 
-@query(f"""WITH {sql('found')}, k AS (SELECT *, row_number() OVER (PARTITION BY rule, path, line_no ORDER BY cap_ord) AS n FROM found)
+@example(f"""WITH {sql('found')}, k AS (SELECT *, row_number() OVER (PARTITION BY rule, path, line_no ORDER BY cap_ord) AS n FROM found)
 SELECT rule, severity, path, line_no, cap FROM k WHERE n = 1""")
 def dedup_first(spark, sf_dir):
     found = fixture(spark, "found").withColumns({"phase": F.lit(0), "rule_ord": F.lit(0)})
     return gate.keep_first(found).select("rule", "severity", "path", "line_no", "cap")
 
 
-@query(f"""WITH {sql('found')}, {oracle.CATEGORIES}
+@example(f"""WITH {sql('found')}, {oracle.CATEGORIES}
 SELECT category, count(found.rule) AS n, count(*) FILTER (WHERE found.severity >= 3) AS n_high FROM c LEFT JOIN found ON c.rule = found.rule GROUP BY category""")
 def owasp_matrix(spark, sf_dir):
     return gate.matrix(fixture(spark, "found"))
 
 
-@query(f"""WITH {sql('checks')} SELECT count(*) FILTER (WHERE state = 'ran') AS n_ran, count(*) FILTER (WHERE state = 'skipped') AS n_skipped, count(*) FILTER (WHERE state = 'failed') AS n_failed,
+@example(f"""WITH {sql('checks')} SELECT count(*) FILTER (WHERE state = 'ran') AS n_ran, count(*) FILTER (WHERE state = 'skipped') AS n_skipped, count(*) FILTER (WHERE state = 'failed') AS n_failed,
 100.0 * count(*) FILTER (WHERE state = 'ran') / count(*) FILTER (WHERE state IN ('ran', 'skipped')) AS rigor FROM checks""")
 def rigor(spark, sf_dir):
     return gate.rigor(fixture(spark, "checks")).withColumn("rigor", F.col("rigor").cast("double"))
@@ -271,12 +297,12 @@ def rigor(spark, sf_dir):
 _AXIS_SQL = f"WITH {sql('found', 'checks')}, {oracle.AXES}\n"
 
 
-@query(_AXIS_SQL + "SELECT * FROM states")
+@example(_AXIS_SQL + "SELECT * FROM states")
 def dod_axes(spark, sf_dir):
     return gate.axis_states(fixture(spark, "found"), fixture(spark, "checks"), gate.axes(spark))
 
 
-@query(_AXIS_SQL + "SELECT bool_and(NOT hard OR state = 'confirmed') AS confirmed, count(*) FILTER (WHERE hard AND state = 'failed') AS hard_failed, count(*) FILTER (WHERE hard AND state = 'not run') AS hard_not_run FROM states")
+@example(_AXIS_SQL + "SELECT bool_and(NOT hard OR state = 'confirmed') AS confirmed, count(*) FILTER (WHERE hard AND state = 'failed') AS hard_failed, count(*) FILTER (WHERE hard AND state = 'not run') AS hard_not_run FROM states")
 def dod_verdict(spark, sf_dir):
     return gate.done(gate.axis_states(fixture(spark, "found"), fixture(spark, "checks"), gate.axes(spark)))
 
@@ -290,7 +316,7 @@ def confusion(spark, sf_dir):
     return out.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("recall", "fpr", "precision", "youden")])
 
 
-@query(f"""WITH {sql('marks')}, c AS (SELECT *, lag(line) OVER (PARTITION BY path ORDER BY line_no) AS above FROM marks)
+@example(f"""WITH {sql('marks')}, c AS (SELECT *, lag(line) OVER (PARTITION BY path ORDER BY line_no) AS above FROM marks)
 SELECT path, line_no FROM c WHERE line LIKE 'bad%' AND NOT (line LIKE '%tessera:ignore%' OR coalesce(above, '') LIKE '%tessera:ignore%')""")
 def ignore_above(spark, sf_dir):
     m = fixture(spark, "marks")
@@ -298,12 +324,12 @@ def ignore_above(spark, sf_dir):
     return verify.verify(found, m).where("verified").select("path", "line_no")
 
 
-@query(f"""WITH {sql('marks')} SELECT path, line_no, last_value(nullif(regexp_extract(line, '^type\\s+(\\w+)\\s+struct', 1), '') IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) AS type FROM marks""")
+@example(f"""WITH {sql('marks')} SELECT path, line_no, last_value(nullif(regexp_extract(line, '^type\\s+(\\w+)\\s+struct', 1), '') IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) AS type FROM marks""")
 def carried_type(spark, sf_dir):
     return codeintel.carried_type(fixture(spark, "marks")).select("path", "line_no", "type")
 
 
-@query(f"""WITH {sql('marks')} SELECT path, line_no, CAST(sum((length(line) - length(replace(line, '{{', ''))) - (length(line) - length(replace(line, '}}', '')))) OVER (PARTITION BY path ORDER BY line_no) AS BIGINT) AS depth FROM marks""")
+@example(f"""WITH {sql('marks')} SELECT path, line_no, CAST(sum((length(line) - length(replace(line, '{{', ''))) - (length(line) - length(replace(line, '}}', '')))) OVER (PARTITION BY path ORDER BY line_no) AS BIGINT) AS depth FROM marks""")
 def brace_depth(spark, sf_dir):
     return codeintel.brace_depth(fixture(spark, "marks")).select("path", "line_no", "depth")
 
@@ -314,33 +340,33 @@ def brace_depth(spark, sf_dir):
 _KEY = lambda c: f"list_transform(string_split({c}, '.'), lambda x: CAST(x AS BIGINT))"
 
 
-@query(f"""WITH {sql('deps', 'vulns')} SELECT v.id, d.ecosystem, d.name, d.version, v.severity, true AS certain FROM deps d JOIN vulns v ON lower(d.ecosystem) = lower(v.ecosystem) AND lower(d.name) = lower(v.package)
+@example(f"""WITH {sql('deps', 'vulns')} SELECT v.id, d.ecosystem, d.name, d.version, v.severity, true AS certain FROM deps d JOIN vulns v ON lower(d.ecosystem) = lower(v.ecosystem) AND lower(d.name) = lower(v.package)
 WHERE {_KEY('v.introduced')} <= {_KEY('d.version')} AND {_KEY('d.version')} < {_KEY('v.fixed')}""")
 def osv_range(spark, sf_dir):
     return deps.vulnerable(fixture(spark, "deps"), fixture(spark, "vulns"))
 
 
-@query(f"WITH {sql('deps', 'vulns')} SELECT ecosystem, name, version FROM deps d WHERE NOT EXISTS (SELECT 1 FROM vulns v WHERE lower(v.package) = lower(d.name) AND lower(v.ecosystem) = lower(d.ecosystem))")
+@example(f"WITH {sql('deps', 'vulns')} SELECT ecosystem, name, version FROM deps d WHERE NOT EXISTS (SELECT 1 FROM vulns v WHERE lower(v.package) = lower(d.name) AND lower(v.ecosystem) = lower(d.ecosystem))")
 def osv_uncovered(spark, sf_dir):
     return deps.uncovered(fixture(spark, "deps"), fixture(spark, "vulns"))
 
 
-@query(f"WITH {sql('deps', 'vulns')} SELECT DISTINCT ecosystem FROM deps WHERE lower(ecosystem) NOT IN (SELECT lower(ecosystem) FROM vulns)")
+@example(f"WITH {sql('deps', 'vulns')} SELECT DISTINCT ecosystem FROM deps WHERE lower(ecosystem) NOT IN (SELECT lower(ecosystem) FROM vulns)")
 def osv_ecosystems(spark, sf_dir):
     return deps.unknown_ecosystems(fixture(spark, "deps"), fixture(spark, "vulns"))
 
 
-@query(f"""WITH {sql('deps')} SELECT name, version, 'pkg:' || CASE ecosystem WHEN 'PyPI' THEN 'pypi' WHEN 'npm' THEN 'npm' WHEN 'Go' THEN 'golang' WHEN 'crates.io' THEN 'cargo' ELSE lower(ecosystem) END || '/' || name || '@' || version AS purl FROM deps""")
+@example(f"""WITH {sql('deps')} SELECT name, version, 'pkg:' || CASE ecosystem WHEN 'PyPI' THEN 'pypi' WHEN 'npm' THEN 'npm' WHEN 'Go' THEN 'golang' WHEN 'crates.io' THEN 'cargo' ELSE lower(ecosystem) END || '/' || name || '@' || version AS purl FROM deps""")
 def sbom(spark, sf_dir):
     return deps.components(fixture(spark, "deps")).select("name", "version", "purl")
 
 
-@query(f"""WITH {sql('licences')} SELECT package, licence, CASE WHEN upper(licence) LIKE '%AGPL%' THEN 3 WHEN upper(licence) LIKE '%LGPL%' THEN 1 ELSE 2 END AS severity FROM licences WHERE upper(licence) LIKE '%GPL%'""")
+@example(f"""WITH {sql('licences')} SELECT package, licence, CASE WHEN upper(licence) LIKE '%AGPL%' THEN 3 WHEN upper(licence) LIKE '%LGPL%' THEN 1 ELSE 2 END AS severity FROM licences WHERE upper(licence) LIKE '%GPL%'""")
 def licence_risk(spark, sf_dir):
     return deps.copyleft(fixture(spark, "licences"))
 
 
-@query(f"WITH {sql('licences')} SELECT licence, count(*) AS n FROM licences GROUP BY licence")
+@example(f"WITH {sql('licences')} SELECT licence, count(*) AS n FROM licences GROUP BY licence")
 def licence_histogram(spark, sf_dir):
     return fixture(spark, "licences").groupBy("licence").agg(F.count("*").alias("n"))
 
@@ -348,29 +374,29 @@ def licence_histogram(spark, sf_dir):
 # Structure
 
 
-@query(f"WITH {sql('api_old', 'api_new')} (SELECT key, 'removed' AS change FROM (SELECT key FROM api_old EXCEPT SELECT key FROM api_new)) UNION ALL (SELECT key, 'added' FROM (SELECT key FROM api_new EXCEPT SELECT key FROM api_old))")
+@example(f"WITH {sql('api_old', 'api_new')} (SELECT key, 'removed' AS change FROM (SELECT key FROM api_old EXCEPT SELECT key FROM api_new)) UNION ALL (SELECT key, 'added' FROM (SELECT key FROM api_new EXCEPT SELECT key FROM api_old))")
 def api_break(spark, sf_dir):
     return codeintel.api_changes(fixture(spark, "api_old"), fixture(spark, "api_new"))
 
 
-@query(f"""WITH {sql('edges', 'layers')} SELECT DISTINCT src, dst FROM edges e WHERE src <> dst AND src IN (SELECT module FROM layers) AND dst IN (SELECT module FROM layers)
+@example(f"""WITH {sql('edges', 'layers')} SELECT DISTINCT src, dst FROM edges e WHERE src <> dst AND src IN (SELECT module FROM layers) AND dst IN (SELECT module FROM layers)
 AND NOT EXISTS (SELECT 1 FROM layers l WHERE l.module = e.src AND l.allowed = e.dst)""")
 def layers(spark, sf_dir):
     return codeintel.layer_violations(fixture(spark, "edges"), fixture(spark, "layers"))
 
 
-@query("""SELECT * FROM (VALUES ('FORBID', 'eval(', 'a.py'), ('REQUIRE', 'LICENSE', NULL), ('REQUIRE_EACH', 'class', 'a.py'), ('REQUIRE_EACH', 'class', 'b.js')) AS t(directive, needle, path)""")
+@example("""SELECT * FROM (VALUES ('FORBID', 'eval(', 'a.py'), ('REQUIRE', 'LICENSE', NULL), ('REQUIRE_EACH', 'class', 'a.py'), ('REQUIRE_EACH', 'class', 'b.js')) AS t(directive, needle, path)""")
 def constitution(spark, sf_dir):
     return codeintel.constitution(fixture(spark, "code"), fixture(spark, "constitution"))
 
 
-@query(f"""WITH {sql('defs', 'calls')} SELECT name, path FROM defs WHERE NOT entry AND NOT dispatched AND name NOT IN (SELECT callee FROM calls WHERE caller <> callee)
+@example(f"""WITH {sql('defs', 'calls')} SELECT name, path FROM defs WHERE NOT entry AND NOT dispatched AND name NOT IN (SELECT callee FROM calls WHERE caller <> callee)
 AND name NOT IN (SELECT name FROM defs GROUP BY name HAVING count(*) > 1)""")
 def unreachable(spark, sf_dir):
     return graph.unreachable(fixture(spark, "defs"), fixture(spark, "calls"))
 
 
-@query(f"WITH {sql('defs', 'calls')} SELECT DISTINCT callee FROM calls WHERE callee NOT IN (SELECT name FROM defs)")
+@example(f"WITH {sql('defs', 'calls')} SELECT DISTINCT callee FROM calls WHERE callee NOT IN (SELECT name FROM defs)")
 def unresolved_calls(spark, sf_dir):
     return graph.unresolved(fixture(spark, "calls"), fixture(spark, "defs"))
 
@@ -378,30 +404,30 @@ def unresolved_calls(spark, sf_dir):
 _CLOSURE = f"WITH RECURSIVE {sql('edges')}, r(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM r JOIN edges e ON r.dst = e.src)"
 
 
-@query(f"WITH RECURSIVE {sql('edges')}, r(node) AS (SELECT 'f' UNION SELECT e.src FROM r JOIN edges e ON e.dst = r.node) SELECT node FROM r WHERE node <> 'f'")
+@example(f"WITH RECURSIVE {sql('edges')}, r(node) AS (SELECT 'f' UNION SELECT e.src FROM r JOIN edges e ON e.dst = r.node) SELECT node FROM r WHERE node <> 'f'")
 def blast_radius(spark, sf_dir):
     return graph.blast_radius(spark.createDataFrame([("f",)], "node string"), fixture(spark, "edges"))
 
 
-@query(_CLOSURE + """, m AS (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst),
+@example(_CLOSURE + """, m AS (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst),
 c AS (SELECT src AS node, least(min(dst), src) AS component FROM m GROUP BY src)
 SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM c""")
 def scc(spark, sf_dir):
     return graph.cycles(fixture(spark, "edges"))
 
 
-@query(f"""WITH {sql('edges')}, e AS (SELECT DISTINCT src, dst FROM edges) SELECT 'graph LR' || chr(10) || string_agg('  "' || src || '" --> "' || dst || '"', chr(10) ORDER BY src, dst) AS diagram FROM e""")
+@example(f"""WITH {sql('edges')}, e AS (SELECT DISTINCT src, dst FROM edges) SELECT 'graph LR' || chr(10) || string_agg('  "' || src || '" --> "' || dst || '"', chr(10) ORDER BY src, dst) AS diagram FROM e""")
 def diagram(spark, sf_dir):
     return graph.mermaid(fixture(spark, "edges"))
 
 
-@query(f"""WITH {sql('commits')}, t AS (SELECT ord, CASE WHEN regexp_extract(message, '^(\\w+)(?:\\([^)]*\\))?!?:\\s*', 1) = '' THEN 'other' ELSE regexp_extract(message, '^(\\w+)(?:\\([^)]*\\))?!?:\\s*', 1) END AS type,
+@example(f"""WITH {sql('commits')}, t AS (SELECT ord, CASE WHEN regexp_extract(message, '^(\\w+)(?:\\([^)]*\\))?!?:\\s*', 1) = '' THEN 'other' ELSE regexp_extract(message, '^(\\w+)(?:\\([^)]*\\))?!?:\\s*', 1) END AS type,
 regexp_replace(message, '^\\w+(?:\\([^)]*\\))?!?:\\s*', '') AS text FROM commits) SELECT type, count(*) AS n, string_agg(text, '; ' ORDER BY ord) AS messages FROM t GROUP BY type""")
 def release_notes(spark, sf_dir):
     return codeintel.commits_by_type(fixture(spark, "commits")).withColumn("messages", F.array_join("messages", "; "))
 
 
-@query("""SELECT * FROM (VALUES ('a.py', 3, 'debt-marker', 0, 'quality.check/smell'), ('a.py', 4, 'dangerous-exec', 3, 'security.scan/owasp'), ('b.js', 2, 'xss-sink', 2, 'security.scan/owasp'),
+@example("""SELECT * FROM (VALUES ('a.py', 3, 'debt-marker', 0, 'quality.check/smell'), ('a.py', 4, 'dangerous-exec', 3, 'security.scan/owasp'), ('b.js', 2, 'xss-sink', 2, 'security.scan/owasp'),
   ('b.js', 2, 'raw-innerhtml', 3, 'security.scan/injection'), ('c.yaml', 2, 'host-network', 3, 'security.scan/iac'), ('c.yaml', 3, 'image-latest-tag', 2, 'security.scan/iac')) AS t(path, line_no, rule, severity, cap)""")
 def code_findings(spark, sf_dir):
     files = fixture(spark, "code")
@@ -412,23 +438,23 @@ _EXPECTED = """SELECT * FROM (VALUES ('v.py', 'view', 3, 'sast/taint-command-exe
   ('c.c', 'k', 6, 'sast/double-free', 4, false), ('lib/D.java', 'm', 4, 'sast/taint-command-exec', 4, false), ('lib/D.java', 'm', 5, 'pdn-log-dynamic', 3, false)) AS t(path, func, line_no, rule, severity, verified)"""
 
 
-@query(_EXPECTED + " WHERE path = 'v.py'")
+@example(_EXPECTED + " WHERE path = 'v.py'")
 def taint_python(spark, sf_dir):
     return taint.taint_findings(fixture(spark, "sources").where("ext = 'py'"))
 
 
-@query(_EXPECTED)
+@example(_EXPECTED)
 def taint_languages(spark, sf_dir):
     return taint.taint_findings(fixture(spark, "sources"))
 
 
-@query("SELECT * FROM (VALUES ('view', 'run'), ('f', 'g'), ('lonely', 'h')) AS t(src, dst)")
+@example("SELECT * FROM (VALUES ('view', 'run'), ('f', 'g'), ('lonely', 'h')) AS t(src, dst)")
 def call_graph(spark, sf_dir):
     events = taint.fold(fixture(spark, "sources"))
     return graph.call_edges(taint.calls(events), taint.definitions(events))
 
 
-@query(f"""WITH RECURSIVE {sql('changed')}, d AS (SELECT * FROM (VALUES ('view', 'v.py'), ('run', 'v.py'), ('f', 'a.js'), ('g', 'a.js'), ('h', 'b.go'), ('lonely', 'b.go'), ('k', 'c.c'), ('m', 'lib/D.java')) AS t(name, path)),
+@example(f"""WITH RECURSIVE {sql('changed')}, d AS (SELECT * FROM (VALUES ('view', 'v.py'), ('run', 'v.py'), ('f', 'a.js'), ('g', 'a.js'), ('h', 'b.go'), ('lonely', 'b.go'), ('k', 'c.c'), ('m', 'lib/D.java')) AS t(name, path)),
 c AS (SELECT * FROM (VALUES ('view', 'run'), ('f', 'g'), ('lonely', 'h')) AS t(src, dst)), centre AS (SELECT name FROM d WHERE path IN (SELECT path FROM changed)),
 r(name) AS (SELECT name FROM centre UNION SELECT c.src FROM r JOIN c ON c.dst = r.name)
 SELECT name, CASE WHEN name IN (SELECT name FROM centre) THEN 'changed' ELSE 'affected' END AS role FROM r""")
@@ -437,18 +463,18 @@ def diff_scope(spark, sf_dir):
     return graph.diff_scope(fixture(spark, "changed"), taint.definitions(events), taint.calls(events))
 
 
-@query("""SELECT * FROM (VALUES ('(root)', 4, 27, 'c,go,javascript,python', 7), ('lib', 1, 7, 'java', 1)) AS t(folder, files, lines, langs, symbols)""")
+@example("""SELECT * FROM (VALUES ('(root)', 4, 27, 'c,go,javascript,python', 7), ('lib', 1, 7, 'java', 1)) AS t(folder, files, lines, langs, symbols)""")
 def folder_map(spark, sf_dir):
     lines = src.lines(fixture(spark, "sources"))
     return codeintel.folder_map(lines, codeintel.symbols(lines)).withColumn("langs", F.array_join("langs", ","))
 
 
-@query("""SELECT * FROM (VALUES ('language', 'c', 1, 1), ('language', 'go', 2, 0), ('language', 'java', 1, 0), ('language', 'javascript', 2, 0), ('language', 'python', 2, 2)) AS t(level, name, n, n_exported)""")
+@example("""SELECT * FROM (VALUES ('language', 'c', 1, 1), ('language', 'go', 2, 0), ('language', 'java', 1, 0), ('language', 'javascript', 2, 0), ('language', 'python', 2, 2)) AS t(level, name, n, n_exported)""")
 def symbol_counts(spark, sf_dir):
     return codeintel.symbol_counts(codeintel.symbols(src.lines(fixture(spark, "sources")))).where("level = 'language'")
 
 
-@query(f"""WITH {sql('deps', 'vulns')} SELECT ecosystem, name, version FROM deps d WHERE EXISTS (SELECT 1 FROM vulns v WHERE lower(v.package) = lower(d.name) AND lower(v.ecosystem) = lower(d.ecosystem))""")
+@example(f"""WITH {sql('deps', 'vulns')} SELECT ecosystem, name, version FROM deps d WHERE EXISTS (SELECT 1 FROM vulns v WHERE lower(v.package) = lower(d.name) AND lower(v.ecosystem) = lower(d.ecosystem))""")
 def osv_covered(spark, sf_dir):
     return deps.covered(fixture(spark, "deps"), fixture(spark, "vulns"))
 
@@ -470,7 +496,7 @@ def headline(spark, sf_dir):
     return derived.headline(verdict, checks, tests)
 
 
-@query(f"WITH {sql('commits')} SELECT ord, trim(regexp_replace(lower(message), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM commits")
+@example(f"WITH {sql('commits')} SELECT ord, trim(regexp_replace(lower(message), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM commits")
 def slugs(spark, sf_dir):
     return fixture(spark, "commits").select("ord", slug(F.col("message")).alias("slug"))
 
@@ -482,154 +508,154 @@ def shop_lines(spark: SparkSession) -> DataFrame:
     return src.lines(fixture(spark, "shop"))
 
 
-@query("""SELECT * FROM (VALUES ('PyPI', 'requests', '2.18.0'), ('PyPI', 'foo-bar', '1'), ('crates.io', 'foo', '1.2.3'), ('npm', 'g', '1.0.0')) AS t(ecosystem, name, version)""")
+@example("""SELECT * FROM (VALUES ('PyPI', 'requests', '2.18.0'), ('PyPI', 'foo-bar', '1'), ('crates.io', 'foo', '1.2.3'), ('npm', 'g', '1.0.0')) AS t(ecosystem, name, version)""")
 def lock_dependencies(spark, sf_dir):
     return deps.dependencies(fixture(spark, "shop"))
 
 
-@query("SELECT * FROM (VALUES ('requirements.txt', 'flask>=2')) AS t(path, spec)")
+@example("SELECT * FROM (VALUES ('requirements.txt', 'flask>=2')) AS t(path, spec)")
 def unpinned(spark, sf_dir):
     return deps.unpinned(fixture(spark, "shop"))
 
 
-@query("SELECT * FROM (VALUES ('g', 'GPL-3.0', 2)) AS t(package, licence, severity)")
+@example("SELECT * FROM (VALUES ('g', 'GPL-3.0', 2)) AS t(package, licence, severity)")
 def licences_of_locks(spark, sf_dir):
     found = deps.package_lock(deps.lock_files(fixture(spark, "shop"))).where("licence IS NOT NULL")
     return deps.copyleft(found.select(F.col("name").alias("package"), "licence"))
 
 
-@query("SELECT * FROM (VALUES ('Go', 1), ('Python', 1)) AS t(stack, n)")
+@example("SELECT * FROM (VALUES ('Go', 1), ('Python', 1)) AS t(stack, n)")
 def stacks(spark, sf_dir):
     return project.stacks(fixture(spark, "shop"))
 
 
-@query("SELECT 'app/main.py' AS path")
+@example("SELECT 'app/main.py' AS path")
 def entry_points(spark, sf_dir):
     return project.entry_points(shop_lines(spark))
 
 
-@query("""SELECT * FROM (VALUES ('image', 'base:1', 'Dockerfile'), ('service', 'web', 'c.yml'), ('service', 'db', 'c.yml'), ('object', 'Service/web', 'k.yaml')) AS t(kind, name, path)""")
+@example("""SELECT * FROM (VALUES ('image', 'base:1', 'Dockerfile'), ('service', 'web', 'c.yml'), ('service', 'db', 'c.yml'), ('object', 'Service/web', 'k.yaml')) AS t(kind, name, path)""")
 def containers(spark, sf_dir):
     return project.containers(shop_lines(spark))
 
 
-@query("""SELECT * FROM (VALUES ('app', 'https://h.example/x', 'http', 'app/main.py', 9), ('core', 'https://api.example.com/v1', 'http', 'core/a.go', 8)) AS t(module, target, protocol, path, line_no)""")
+@example("""SELECT * FROM (VALUES ('app', 'https://h.example/x', 'http', 'app/main.py', 9), ('core', 'https://api.example.com/v1', 'http', 'core/a.go', 8)) AS t(module, target, protocol, path, line_no)""")
 def outbound_calls(spark, sf_dir):
     return project.outbound_calls(shop_lines(spark))
 
 
-@query("""SELECT * FROM (VALUES ('model', 'Shop', 'app/main.py', 3), ('service', 'https://h.example/x', 'app/main.py', 9), ('route', '/x', 'app/util/tool.py', 3), ('env', 'KEY', 'app/util/tool.py', 8), ('service', 'https://api.example.com/v1', 'core/a.go', 8)) AS t(category, value, path, line_no)""")
+@example("""SELECT * FROM (VALUES ('model', 'Shop', 'app/main.py', 3), ('service', 'https://h.example/x', 'app/main.py', 9), ('route', '/x', 'app/util/tool.py', 3), ('env', 'KEY', 'app/util/tool.py', 8), ('service', 'https://api.example.com/v1', 'core/a.go', 8)) AS t(category, value, path, line_no)""")
 def surface(spark, sf_dir):
     return codeintel.surface(shop_lines(spark))
 
 
-@query("""SELECT * FROM (VALUES ('app', 'app/util'), ('app/util', 'app'), ('core', 'app/util')) AS t(src, dst)""")
+@example("""SELECT * FROM (VALUES ('app', 'app/util'), ('app/util', 'app'), ('core', 'app/util')) AS t(src, dst)""")
 def module_edges(spark, sf_dir):
     return codeintel.imports(shop_lines(spark))
 
 
-@query("""SELECT * FROM (VALUES ('import-cycle', 2, 'app', CAST(true AS BOOLEAN), 'quality.check/cycles')) AS t(rule, severity, path, verified, cap)""")
+@example("""SELECT * FROM (VALUES ('import-cycle', 2, 'app', CAST(true AS BOOLEAN), 'quality.check/cycles')) AS t(rule, severity, path, verified, cap)""")
 def import_cycles(spark, sf_dir):
     return derived.import_cycles(graph.cycles(codeintel.imports(shop_lines(spark)))).drop("line_no")
 
 
-@query("""SELECT * FROM (VALUES ('app', 3, 3, 'python', 'Shop,main,helper'), ('app/util', 1, 1, 'python', 'route'), ('core', 1, 1, 'go', 'Alpha'), ('(root)', 2, 0, 'rust', '')) AS t(module, n, n_exported, langs, first_exports)""")
+@example("""SELECT * FROM (VALUES ('app', 3, 3, 'python', 'Shop,main,helper'), ('app/util', 1, 1, 'python', 'route'), ('core', 1, 1, 'go', 'Alpha'), ('(root)', 2, 0, 'rust', '')) AS t(module, n, n_exported, langs, first_exports)""")
 def module_cards(spark, sf_dir):
     return codeintel.module_cards(codeintel.symbols(shop_lines(spark))).withColumns({"langs": F.array_join("langs", ","), "first_exports": F.array_join("first_exports", ",")})
 
 
-@query("""SELECT * FROM (VALUES ('app/main.py', 3, 'python', 'class', 'Shop', true), ('app/main.py', 7, 'python', 'function', 'main', true), ('app/main.py', 11, 'python', 'function', 'helper', true), ('app/util/tool.py', 4, 'python', 'function', 'route', true),
+@example("""SELECT * FROM (VALUES ('app/main.py', 3, 'python', 'class', 'Shop', true), ('app/main.py', 7, 'python', 'function', 'main', true), ('app/main.py', 11, 'python', 'function', 'helper', true), ('app/util/tool.py', 4, 'python', 'function', 'route', true),
   ('core/a.go', 7, 'go', 'function', 'Alpha', true), ('lib.rs', 1, 'rust', 'function', 'a', false), ('lib.rs', 5, 'rust', 'function', 'b', false)) AS t(path, line_no, lang, kind, name, exported)""")
 def symbols(spark, sf_dir):
     return codeintel.symbols(shop_lines(spark))
 
 
-@query("""SELECT * FROM (VALUES ('app/main.py', 3, 'Shop'), ('app/util/tool.py', 4, 'route'), ('core/a.go', 7, 'Alpha')) AS t(path, line_no, name)""")
+@example("""SELECT * FROM (VALUES ('app/main.py', 3, 'Shop'), ('app/util/tool.py', 4, 'route'), ('core/a.go', 7, 'Alpha')) AS t(path, line_no, name)""")
 def dead_exports(spark, sf_dir):
     return codeintel.dead_exports(codeintel.symbols(shop_lines(spark)), fixture(spark, "shop"))
 
 
-@query("SELECT * FROM (VALUES (5, 2, CAST(40 AS DOUBLE))) AS t(n, n_documented, percent)")
+@example("SELECT * FROM (VALUES (5, 2, CAST(40 AS DOUBLE))) AS t(n, n_documented, percent)")
 def documented_share(spark, sf_dir):
     lines = shop_lines(spark)
     return codeintel.documented(lines, codeintel.symbols(lines))
 
 
-@query("SELECT * FROM (VALUES ('undocumented-api', 0, 'app/main.py', 3, true, 'quality.check/undocumented')) AS t(rule, severity, path, line_no, verified, cap)")
+@example("SELECT * FROM (VALUES ('undocumented-api', 0, 'app/main.py', 3, true, 'quality.check/undocumented')) AS t(rule, severity, path, line_no, verified, cap)")
 def undocumented_finding(spark, sf_dir):
     lines = shop_lines(spark)
     return derived.undocumented(lines, codeintel.symbols(lines))
 
 
-@query("SELECT * FROM (VALUES ('app/main.py', 8), ('app/main.py', 11)) AS t(path, line_no)")
+@example("SELECT * FROM (VALUES ('app/main.py', 8), ('app/main.py', 11)) AS t(path, line_no)")
 def find_usages(spark, sf_dir):
     return codeintel.find_usages(shop_lines(spark), "helper")[0].select("path", "line_no")
 
 
-@query("SELECT * FROM (VALUES ('app/util/tool.py', 7, 'taint-llm-output-exec', 4)) AS t(path, line_no, rule, severity)")
+@example("SELECT * FROM (VALUES ('app/util/tool.py', 7, 'taint-llm-output-exec', 4)) AS t(path, line_no, rule, severity)")
 def model_output(spark, sf_dir):
     return project.model_output_findings(shop_lines(spark))
 
 
-@query("SELECT * FROM (VALUES ('lib.rs', 4), ('lib.rs', 5), ('lib.rs', 6)) AS t(path, line_no)")
+@example("SELECT * FROM (VALUES ('lib.rs', 4), ('lib.rs', 5), ('lib.rs', 6)) AS t(path, line_no)")
 def rust_test_regions(spark, sf_dir):
     return project.rust_test_regions(shop_lines(spark))
 
 
-@query("SELECT * FROM (VALUES ('mobile', 'android', '(root)')) AS t(kind, platform, folder)")
+@example("SELECT * FROM (VALUES ('mobile', 'android', '(root)')) AS t(kind, platform, folder)")
 def platforms(spark, sf_dir):
     return project.platforms(fixture(spark, "shop"))
 
 
-@query("SELECT * FROM (VALUES ('Go', 'go test -cover ./...'), ('Python', 'python -m pytest --cov')) AS t(stack, command)")
+@example("SELECT * FROM (VALUES ('Go', 'go test -cover ./...'), ('Python', 'python -m pytest --cov')) AS t(stack, command)")
 def coverage_tools(spark, sf_dir):
     return project.coverage_tool(fixture(spark, "shop"))
 
 
-@query("SELECT * FROM (VALUES ('AndroidManifest.xml', 'mobile-deeplink-no-autoverify', 1)) AS t(path, rule, n)")
+@example("SELECT * FROM (VALUES ('AndroidManifest.xml', 'mobile-deeplink-no-autoverify', 1)) AS t(path, rule, n)")
 def deep_links(spark, sf_dir):
     return markup.deep_links(fixture(spark, "shop"))
 
 
-@query("SELECT * FROM (VALUES ('i.plist', 'mobile-ios-get-task-allow', 2)) AS t(path, rule, severity)")
+@example("SELECT * FROM (VALUES ('i.plist', 'mobile-ios-get-task-allow', 2)) AS t(path, rule, severity)")
 def plist_entitlements(spark, sf_dir):
     return markup.plist_findings(fixture(spark, "shop"))
 
 
-@query("SELECT * FROM (VALUES ('Shop', 'app/main.py')) AS t(name, path)")
+@example("SELECT * FROM (VALUES ('Shop', 'app/main.py')) AS t(name, path)")
 def glossary(spark, sf_dir):
     return project.glossary(codeintel.symbols(shop_lines(spark)))
 
 
-@query("SELECT * FROM (VALUES ('v.py', 4, 'sast/dynamic-exec', 3, true), ('v.py', 7, 'sast/dynamic-exec', 3, true), ('c.c', 4, 'sast/dynamic-exec', 3, true)) AS t(path, line_no, rule, severity, verified)")
+@example("SELECT * FROM (VALUES ('v.py', 4, 'sast/dynamic-exec', 3, true), ('v.py', 7, 'sast/dynamic-exec', 3, true), ('c.c', 4, 'sast/dynamic-exec', 3, true)) AS t(path, line_no, rule, severity, verified)")
 def structural_calls(spark, sf_dir):
     return taint.structural_findings(fixture(spark, "sources"))
 
 
-@query(f"""WITH {sql('walked')}, w AS (SELECT *, CASE WHEN regexp_matches(path, '(^|/)(target|node_modules|vendor|dist|build|__pycache__)/') THEN 'service' WHEN regexp_matches(path, '(^|/)\\.[^/]+') AND NOT regexp_matches(path, '(^|/)\\.well-known') THEN 'hidden' END AS why FROM walked)
+@example(f"""WITH {sql('walked')}, w AS (SELECT *, CASE WHEN regexp_matches(path, '(^|/)(target|node_modules|vendor|dist|build|__pycache__)/') THEN 'service' WHEN regexp_matches(path, '(^|/)\\.[^/]+') AND NOT regexp_matches(path, '(^|/)\\.well-known') THEN 'hidden' END AS why FROM walked)
 SELECT count(*) AS files, count(*) FILTER (WHERE why = 'hidden') AS hidden, count(*) FILTER (WHERE why = 'service') AS service, count(*) FILTER (WHERE why IS NULL AND bytes > 1000000) AS oversized FROM w""")
 def walk_counters(spark, sf_dir):
     return src.walk_counts(fixture(spark, "walked"))
 
 
-@query(f"""WITH {sql('blocks_then', 'blocks_now')} SELECT n.name, CASE WHEN t.body IS NULL THEN 'doc-missing' ELSE 'doc-drift' END AS rule FROM blocks_now n LEFT JOIN blocks_then t ON n.name = t.name WHERE t.body IS NULL OR trim(t.body) <> trim(n.body)""")
+@example(f"""WITH {sql('blocks_then', 'blocks_now')} SELECT n.name, CASE WHEN t.body IS NULL THEN 'doc-missing' ELSE 'doc-drift' END AS rule FROM blocks_now n LEFT JOIN blocks_then t ON n.name = t.name WHERE t.body IS NULL OR trim(t.body) <> trim(n.body)""")
 def doc_drift(spark, sf_dir):
     return project.drift(fixture(spark, "blocks_then"), fixture(spark, "blocks_now"))
 
 
-@query("SELECT * FROM (VALUES ('verify/test', 'ran', true), ('verify/lint', 'failed', false), ('verify/coverage', 'ran', false)) AS t(id, state, proven)")
+@example("SELECT * FROM (VALUES ('verify/test', 'ran', true), ('verify/lint', 'failed', false), ('verify/coverage', 'ran', false)) AS t(id, state, proven)")
 def tool_outcomes(spark, sf_dir):
     o = fixture(spark, "outcomes")
     return o.select("id", gate.outcome(F.col("state"), F.col("text")).alias("state"), gate.proves_tests(F.col("text")).alias("proven"))
 
 
-@query(f"""WITH {sql('found')}, b AS (SELECT *, CASE WHEN NOT verified THEN 'dropped' WHEN severity >= 3 THEN 'blocking' WHEN rule IN ('debt-marker', 'ssn-us') THEN 'advisory' ELSE 'warning' END AS bucket FROM found)
+@example(f"""WITH {sql('found')}, b AS (SELECT *, CASE WHEN NOT verified THEN 'dropped' WHEN severity >= 3 THEN 'blocking' WHEN rule IN ('debt-marker', 'ssn-us') THEN 'advisory' ELSE 'warning' END AS bucket FROM found)
 SELECT rule, cap, bucket FROM b""")
 def buckets(spark, sf_dir):
     return derived.escalated(gate.bucketed(fixture(spark, "found"))).select("rule", "cap", "bucket")
 
 
-@query(f"""WITH {sql('found')} SELECT cap, count(*) AS findings, 'ran' AS state FROM found GROUP BY cap""")
+@example(f"""WITH {sql('found')} SELECT cap, count(*) AS findings, 'ran' AS state FROM found GROUP BY cap""")
 def scan_summary(spark, sf_dir):
     found = fixture(spark, "found")
     return scan.summary(found, fixture(spark, "shop"), [r[0] for r in found.select("cap").distinct().collect()])
@@ -669,8 +695,8 @@ for _name, _rules, _ids in (
     ("rules_mobile", R.MOBILE, "mobile-exported-no-permission mobile-cleartext-traffic mobile-cleartext-permitted mobile-debuggable mobile-allow-backup mobile-ats-arbitrary-loads mobile-ats-arbitrary-media mobile-ats-insecure-http mobile-assetlinks-wildcard-fingerprint mobile-aasa-wildcard-paths mobile-firebase-cloud-messaging-key mobile-mapbox-secret-token mobile-token-in-sharedprefs mobile-token-in-userdefaults"),
     ("rules_desktop", R.DESKTOP, "desktop/electron-node-integration desktop/electron-context-isolation-off desktop/electron-remote-module desktop/electron-websecurity-off desktop/electron-insecure-content desktop/electron-sandbox-off desktop/electron-loadurl-cleartext desktop/tauri-allowlist-all desktop/tauri-shell-execute desktop/tauri-csp-null desktop/tauri-remote-ipc desktop/tauri-updater-cleartext desktop/tauri-updater-no-pubkey"),
 ):
-    QUERIES[_name] = _own_texts(_rules)
-    ORACLE_SQL[_name] = f"SELECT unnest(string_split('{_ids}', ' ')) AS rule"
+    EXAMPLES[_name] = _own_texts(_rules)
+    EXAMPLE_SQL[_name] = f"SELECT unnest(string_split('{_ids}', ' ')) AS rule"
 
 
 # The star schema
@@ -754,13 +780,13 @@ def union_counts(spark, sf_dir):
 # Project data
 
 
-@query("""SELECT * FROM (VALUES ('security.scan', 'core', 10), ('security.scan', 'enterprise', 2), ('security.ai', 'core', 3), ('quality.check', 'core', 9), ('quality.ui', 'core', 6), ('code.intel', 'core', 9), ('verify', 'core', 7), ('generate', 'core', 11),
+@example("""SELECT * FROM (VALUES ('security.scan', 'core', 10), ('security.scan', 'enterprise', 2), ('security.ai', 'core', 3), ('quality.check', 'core', 9), ('quality.ui', 'core', 6), ('code.intel', 'core', 9), ('verify', 'core', 7), ('generate', 'core', 11),
   ('deliver', 'core', 2), ('setup', 'core', 2), ('spec.check', 'core', 1), ('spec', 'core', 1), ('compliance.ru', 'core', 5), ('compliance.ru', 'enterprise', 1), ('memory', 'core', 3), ('backlog', 'core', 2)) AS t(family, tier, n)""")
 def capability_counts(spark, sf_dir):
     return registry(spark).groupBy("family", "tier").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, CAST(score AS DOUBLE) AS score FROM (VALUES ('security.scan/secret', 0.4), ('compliance.ru/pdn-logs', 0.3), ('compliance.ru/pdn-logs-ast', 0.3), ('security.scan/pii', 0.3), ('code.intel/call_graph', 0.1), ('code.intel/find_usages', 0.1)) AS t(id, score)""")
+@example("""SELECT id, CAST(score AS DOUBLE) AS score FROM (VALUES ('security.scan/secret', 0.4), ('compliance.ru/pdn-logs', 0.3), ('compliance.ru/pdn-logs-ast', 0.3), ('security.scan/pii', 0.3), ('code.intel/call_graph', 0.1), ('code.intel/find_usages', 0.1)) AS t(id, score)""")
 def router_topk(spark, sf_dir):
     return rank.router(registry(spark), "find leaked secrets and personal data in logs").withColumn("score", F.round("score", 6))
 
