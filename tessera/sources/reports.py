@@ -18,10 +18,13 @@ def sarif_rows(findings: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("severity"), "path", "line_no", "rule")
 
 
-def sarif_lines(findings: DataFrame) -> DataFrame:
-    """Each result as JSON; a writer puts the head and the foot around them, so no task holds them all."""
+def sarif_lines(findings: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Each result as JSON, beside some columns to order by; a writer puts the head and the foot around them, so no task holds
+    them all."""
     place = F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine")).alias("region")).alias("physicalLocation")))
-    return sarif_rows(findings).select(F.to_json(F.struct(F.col("rule").alias("ruleId"), "level", "rank", F.struct(F.col("rule").alias("text")).alias("message"), place.alias("locations"))).alias("value"))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("severity") + 1)
+    told = findings.withColumns({"level": pick(LEVELS), "rank": pick(RANKS)}) if keep else sarif_rows(findings)
+    return told.select(F.to_json(F.struct(F.col("rule").alias("ruleId"), "level", "rank", F.struct(F.col("rule").alias("text")).alias("message"), place.alias("locations"))).alias("value"), *(keep or []))
 
 
 def append_record(spark: SparkSession, root: str, namespace: str, name: str, body: str) -> None:
@@ -35,6 +38,7 @@ def read_records(spark: SparkSession, root: str, namespace: str) -> DataFrame:
 
 
 def next_id(spark: SparkSession, root: str, namespace: str, prefix: str) -> str:
+    """The number after the last record's. Two writers at a time would get one number: they use append_records of committed."""
     top = read_records(spark, root, namespace).agg(F.max(F.regexp_extract("name", rf"^{prefix}-(\d+)$", 1).try_cast("int"))).first()[0]
     return f"{prefix}-{(top or 0) + 1:04d}"
 
