@@ -48,9 +48,11 @@ def metric_findings(metrics: DataFrame) -> DataFrame:
 def deepest(lines: DataFrame) -> DataFrame:
     """(path, depth, line_no): the deepest indent of a file in its own unit, and the first line that reaches it."""
     solid = lines.where(F.trim("line") != "").withColumn("indent", F.length(F.regexp_replace(F.regexp_extract("line", r"^([ \t]*)", 1), "\t", "    ")))
-    unit = solid.where("indent > 0").groupBy("path").agg(F.min("indent").alias("unit"))
-    deep = solid.join(unit, "path", "left").withColumn("depth", F.floor(F.col("indent") / F.coalesce("unit", F.lit(1))).cast("int"))
-    return deep.groupBy("path").agg(F.max("depth").alias("depth"), F.max_by("line_no", F.struct("depth", -F.col("line_no"))).alias("line_no"))
+    first = solid.groupBy("path", "indent").agg(F.min("line_no").alias("line_no"))
+    levels = first.groupBy("path").agg(F.coalesce(F.min(F.when(F.col("indent") > 0, F.col("indent"))), F.lit(1)).alias("unit"), F.collect_list(F.struct("indent", "line_no")).alias("levels"))
+    depth = lambda x: F.floor(x["indent"] / F.col("unit")).cast("int")
+    most = F.array_max(F.transform("levels", depth))
+    return levels.select("path", most.alias("depth"), F.array_min(F.transform(F.filter("levels", lambda x: depth(x) == most), lambda x: x["line_no"])).alias("line_no"))
 
 
 #: Definitions by language: (kind, pattern of the name, pattern of what makes it public).

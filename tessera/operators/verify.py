@@ -31,7 +31,9 @@ VALUES = {
 
 
 def with_context(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Adds the finding's line and the one above it."""
+    """Adds the finding's line and the one above it, where the scan hasn't (`lines(files, above=True)`)."""
+    if "above" in findings.columns:
+        return findings
     frame = Window.partitionBy("path").orderBy("line_no")
     context = lines.withColumn("above", F.lag("line").over(frame)).select("path", "line_no", "line", "above")
     return findings.join(context, ["path", "line_no"], "left")
@@ -105,11 +107,16 @@ def hardened_files(lines: DataFrame) -> DataFrame:
     return lines.where(_holds(low, HARDENED) | F.replace(low, F.lit(" "), F.lit("")).contains("resolve_entities=false")).select("path").distinct()
 
 
-def verify(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Findings with `verified` and `refuted_by`; what is shown of confirmed ones is cleared of control characters and cut."""
+def verify(findings: DataFrame, lines: DataFrame, parsers: bool = True) -> DataFrame:
+    """With `parsers`, lines are read once more for files whose XML parser is hardened; rules on parsers need that.
+
+    Findings with `verified` and `refuted_by`; what is shown of confirmed ones is cleared of control characters and cut."""
     seen = with_context(findings, lines)
-    safe = hardened_files(lines).select(F.col("path").alias("safe"))
-    seen = seen.join(safe, (F.col("rule") == "xxe-parser-default") & (F.col("path") == F.col("safe")), "left")
+    if parsers:
+        safe = hardened_files(lines).select(F.col("path").alias("safe"))
+        seen = seen.join(safe, (F.col("rule") == "xxe-parser-default") & (F.col("path") == F.col("safe")), "left")
+    else:
+        seen = seen.withColumn("safe", F.lit(None).cast("string"))
     why = refuted_by(F.col("rule"), F.col("cap"), F.coalesce("line", F.lit("")), F.coalesce("above", F.lit("")), F.col("safe").isNotNull())
     out = seen.withColumn("refuted_by", why).withColumn("verified", F.col("refuted_by").isNull()).drop("line", "above", "safe")
     if "evidence" in findings.columns:

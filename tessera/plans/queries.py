@@ -52,7 +52,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return src.from_documents(read(spark, sf_dir, "documents"))
+    return src.spread(src.from_documents(read(spark, sf_dir, "documents")))
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,8 @@ def sarif(spark, sf_dir):
 @query(FINDINGS_SQL + oracle.VERIFIED)
 def verified_findings(spark, sf_dir):
     files = doc_files(spark, sf_dir)
-    return verify.verify(doc_findings(spark, sf_dir), src.lines(files)).select("path", "line_no", "rule", "severity", "verified", "refuted_by")
+    lines = src.lines(files, above=True)
+    return verify.verify(scan.scan(files, lines, PLAIN), lines, parsers=False).select("path", "line_no", "rule", "severity", "verified", "refuted_by")
 
 
 _LONG = next(r for r in R.SECRET if r.id == "generic-secret-long")
@@ -128,7 +129,7 @@ h AS (SELECT path, line_no, frame, regexp_extract(frame, '(?is)^(.*?)(?:\\bof\\.
       WHERE strlen(frame) <= 6000 AND regexp_matches(frame, '(?i)\\bof\\.\\n[^\\n]{{0,60}}\\bthe\\b'))
 SELECT DISTINCT path, CAST(line_no + length(head) - length(replace(head, chr(10), '')) AS INTEGER) AS line_no FROM h""")
 def window_rule(spark, sf_dir):
-    return scan.window_findings(src.lines(doc_files(spark, sf_dir)), [_WINDOW], {"demo": 0}).select("path", "line_no")
+    return scan.window_findings(doc_files(spark, sf_dir), [_WINDOW], {"demo": 0}).select("path", "line_no")
 
 
 @query(f"WITH {LINES} SELECT (SELECT count(*) FROM documents) AS files_scanned, count(*) FILTER (WHERE strlen(line) > 2000) AS long_lines_out_of_scope, count(*) AS n_lines FROM lines")

@@ -24,8 +24,8 @@ ELECTRON = (*ELECTRON_CODE, "json")
 class Rule:
     """kind: line, window (of `window` lines), file, or entropy (file scope, group 1 of at least `bits` per character).
 
-    A line must match `pattern` and `also` and not `unless`. needles: plain strings, in lower case, of which any text that
-    matches holds one; they spare most texts the pattern."""
+    A line must match `pattern` and `also` and not `unless`. needles: plain strings of which any text that matches holds
+    one; they spare most texts the pattern. Those in lower case are looked for in the lower-cased text."""
 
     cap: str
     id: str
@@ -84,7 +84,7 @@ SECRET = table("security.scan/secret", [
     ("generic-secret-xml", HIGH, "entropy", ANY, r"""(?is)<(?:string|value)\s+name\s*=\s*["']""" + NAMED + r"""["']\s*>([^<\s]{16,})</""", 1, 3.2),
 ], {
     "aws-access-key": ("akia", "asia"), "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "stripe-key": ("sk_live_", "sk_test_"), "google-api-key": ("aiza",), "jwt": ("eyj",), "gitlab-token": ("glpat-",), "slack-token": ("xox",),
-    "sendgrid-key": ("sg.",), "npm-token": ("npm_",), "twilio-sid": ("ac",), "twilio-auth-token": ("twilio", "auth"), "azure-account-key": ("accountkey=",), "aws-secret-key": ("aws",), "llm-api-key": ("sk-", "hf_"), "digitalocean-token": ("dop_v1_",),
+    "sendgrid-key": ("sg.",), "npm-token": ("npm_",), "twilio-sid": ("AC",), "twilio-auth-token": ("twilio", "auth"), "azure-account-key": ("accountkey=",), "aws-secret-key": ("aws",), "llm-api-key": ("sk-", "hf_"), "digitalocean-token": ("dop_v1_",),
     "mailgun-key": ("key-",), "mapbox-secret-token": ("sk.",), "sentry-dsn": ("sentry",), "firebase-fcm-key": ("aaaa",), "db-uri-password": ("://",), "private-key": ("private key-----",), "gcp-private-key": ("private_key",),
     "generic-secret": ("passw", "secret", "key", "token"), "generic-secret-long": ("passw", "secret", "key", "token"), "generic-passphrase": ("passw", "passphrase", "secret"), "generic-secret-unquoted": ("passw", "secret", "key", "token"),
     "generic-secret-plist": ("<key>",), "generic-secret-xml": ("<string", "<value"),
@@ -101,7 +101,7 @@ PII = table("security.scan/pii", [
     ("credit-card", MED, "line", ANY, r"\b(?:\d{4}[ -]){3}\d{4}\b|\b\d{16}\b"),
     ("pii-in-log", MED, "line", ANY, LOGGED + r"|log\.debug", 1, 0.0, "", FIELDS),
     ("email-literal", INFO, "line", ANY, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
-], {"ssn-us": ("-",), "pii-in-log": ("console.log", "print", "logger.", "log.info", "log.debug"), "email-literal": ("@",)})
+], {"ssn-us": ("-",), "credit-card": tuple("0123456789"), "pii-in-log": ("console.log", "print", "logger.", "log.info", "log.debug"), "email-literal": ("@",)})
 HTTP_CALL = r"requests\.(?:get|post|put|delete|head|patch|request)"
 INTERNAL = r"(?is)(169\.254\.169\.254|metadata\.google\.internal|metadata\.azure\.com|0x[Aa]9[Ff][Ee][Aa]9[Ff][Ee]|\b2852039166\b|\b0177\.0\.0\.1\b)|(?:fetch|axios|got|http\.get|http\.request|https\.get|https\.request|requests\.|urlopen|urllib|httpx|HttpClient|WebClient|RestTemplate|HttpURLConnection|URLConnection|Net::HTTP|open-uri|Faraday|file_get_contents|curl_exec|curl_init|GuzzleHttp|reqwest|hyper|URLSession|Alamofire|http\.Client|http\.NewRequest|client\.Do|\.get\(|\.post\(|\.request\()[^;{]{0,160}(?:127\.0\.0\.1|\blocalhost\b|\b0\.0\.0\.0\b|10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3})"
 OWASP = table("security.scan/owasp", [

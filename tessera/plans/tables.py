@@ -9,7 +9,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import changes, graph, intervals, trie
+from tessera.functions import tables as functions
+from tessera.operators import changes, graph, intervals, nested, sketches, trie
 from tessera.plans import oracle
 from tessera.plans.queries import doc_findings, query, read
 from tessera.sources import committed
@@ -153,3 +154,38 @@ def document_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = changes.take(docs, "doc_id", f"{folder}/before")
     after = changes.take(later, "doc_id", f"{folder}/after", before.ranges)
     return changes.compare(spark, before, after).select(F.col("key").alias("doc_id"), "change")
+
+
+# Sketches, nested values, table functions
+
+
+@query("""SELECT l_returnflag, strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n, true AS distinct_held, true AS median_held, list_slice(list(l_linenumber ORDER BY c DESC, l_linenumber), 1, 1)[1] AS most
+FROM (SELECT *, count(*) OVER (PARTITION BY l_returnflag, strftime(l_shipdate, '%Y-%m'), l_linenumber) AS c FROM lineitem) GROUP BY 1, 2""")
+def item_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by flag and day, merged to months: whether their bounds hold the exact distinct parts and median price, and the most
+    frequent line number."""
+    items = read(spark, sf_dir, "lineitem").withColumns({"month": F.date_format("l_shipdate", "yyyy-MM"), "day": F.to_date("l_shipdate")})
+    by = ["l_returnflag", "month"]
+    stored = graph.cut(sketches.parts(items, [*by, "day"], "l_partkey", "l_extendedprice", "l_linenumber"))
+    told = sketches.estimates(sketches.merged(stored, by), by, k=7)
+    exact = items.groupBy(*by).agg(F.countDistinct("l_partkey").alias("d"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("m"))
+    top = F.array_sort("frequent", lambda a, b: F.when(a["count"] != b["count"], (b["count"] - a["count"]).cast("int")).otherwise(a["item"] - b["item"]))
+    return told.join(exact, by).select(*by, "n", F.col("d").between(F.col("distinct_low"), F.col("distinct_high")).alias("distinct_held"), F.col("m").between(F.col("quantile_low"), F.col("quantile_high")).alias("median_held"), top[0]["item"].alias("most"))
+
+
+_EVENT_JSON = """'{"type": "' || event_type || '", "at": [' || user_id || ', "x", ' || props || '], "props": ' || props || ', "none": null, "half": 0.5}'"""
+
+
+@query(rf"""WITH t AS (SELECT {_EVENT_JSON} AS j FROM events), w AS (SELECT unnest([j]) AS j FROM t), n AS (SELECT e.fullkey AS path, e.type AS kind FROM t, json_tree(t.j) e)
+SELECT regexp_replace(replace(path, '"', ''), '\[\d+\]', '[*]', 'g') AS path, CASE kind WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'DOUBLE' THEN 'DECIMAL(1,1)' WHEN 'NULL' THEN 'VOID' ELSE kind END AS type, count(*) AS n FROM n GROUP BY 1, 2""")
+def event_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths, types and counts of nested documents made of the events, by variants and a recursive query."""
+    return nested.shapes(read(spark, sf_dir, "events").select("event_id", F.expr(_EVENT_JSON).alias("j")), "event_id", "j")
+
+
+@query("""WITH l AS (SELECT doc_id, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line_no FROM documents)
+SELECT lang, doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_extract(line, '[0-9]{16}') AS found, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS hit FROM l WHERE regexp_matches(line, '[0-9]{16}')""")
+def lines_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card-like numbers by a table function that SQL calls, counted within each language."""
+    functions.register(spark)
+    return spark.sql("SELECT * FROM find_lines(TABLE(SELECT lang, doc_id, text FROM {docs}) PARTITION BY lang ORDER BY doc_id, text => 'text', pattern => '[0-9]{{16}}')", docs=read(spark, sf_dir, "documents"))

@@ -86,9 +86,27 @@ def from_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("path"), F.lit("").alias("ext"), F.coalesce("text", F.lit("")).alias("content"))
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """Lines with 1-based numbers; one carriage return at an end is no part of a line, and a line feed at the end of a file
+def spread(files: DataFrame) -> DataFrame:
+    """Files on all cores, where a scan has fewer partitions than there are cores, as one small table file gives. A scan of many
+    files stays as it is."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
+def split_lines(content: Column) -> Column:
+    """The lines of a text as an array; one carriage return at an end is no part of a line, and a line feed at the end of a file
     begins none."""
+    pieces = F.split(content, "\n", -1)
+    own = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
+    return F.transform(own, lambda x: F.when(x.endswith("\r"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+
+
+def lines(files: DataFrame, above: bool = False) -> DataFrame:
+    """Lines with 1-based numbers, and perhaps the line above each, null for the first, taken within the file's row."""
+    if above:
+        paired = lambda own: F.transform(own, lambda x, i: F.struct(x.alias("line"), F.get(own, i - 1).alias("above")))
+        own = files.select("path", "ext", split_lines(F.col("content")).alias("own"))
+        return own.select("path", "ext", F.posexplode(paired(F.col("own"))).alias("pos", "x")).select("path", "ext", (F.col("pos") + 1).alias("line_no"), "x.line", "x.above")
     pieces = F.split("content", "\n", -1)
     own = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces)
     parts = files.select("path", "ext", F.posexplode(own).alias("pos", "line"))

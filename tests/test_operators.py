@@ -44,6 +44,39 @@ def test_joined_literals_and_line_numbers(spark):
     rule = [r for r in R.SECRET if r.id == "generic-secret-long"]
     assert found(spark, rule, ("a", 'x\ntoken = "0123456789abcdef01" + "23456789abcdefaa"')) == [("a", 2, "generic-secret-long")]
     assert found(spark, rule, ("a", 'token = "' + "a" * 40 + '"')) == []
+    # Neighbours without a plus, over lines, of the other kind of quotes, and a match after seams that hold line breaks.
+    halves = '"0123456789abcdef01" {} "23456789abcdefaa"'
+    for glue, n in ((" ", 1), ("+\n  ", 1), ("\n\n", 1)):
+        assert found(spark, rule, ("a", "token = " + halves.format(glue))) == [("a", n, "generic-secret-long")]
+    assert found(spark, rule, ("a", """token = "0123456789abcdef01" + '23456789abcdefaa'""")) == []
+    late = 'x = "a" +\n "b" \n "c"\ny = 1\n' + "token = " + halves.format("+\n") + "\n" + 'token = "0123456789abcdef0123456789abcdefab"'
+    assert found(spark, rule, ("a", late)) == [("a", 5, "generic-secret-long"), ("a", 7, "generic-secret-long")]
+
+
+def test_file_rules_equal_a_walk_through_the_texts(spark):
+    """All matches in the text and in the joined text, by Python's own search, one for a rule and line."""
+    import random
+    import re
+
+    random.seed(4)
+    rules = [R.Rule("c", "ab", 1, "file", (), r"ab\n?c+", 0), R.Rule("c", "long", 1, "file", (), r"k[^k]{0,9}k", 0)]
+    texts = [(str(i), "".join(random.choice(['a', 'b', 'c', 'k', '\n', '"', '"', "'", '+', ' ', 'ab"+"c', "c' 'c"]) for _ in range(random.randrange(60)))) for i in range(150)]
+
+    def plain(text):
+        out = set()
+        seam = re.compile(r""""[ \t\r\n]*\+?[ \t\r\n]*"|'[ \t\r\n]*\+?[ \t\r\n]*'""")
+        origin, flat, last = [], "", 0
+        for m in seam.finditer(text):
+            flat, origin, last = flat + text[last : m.start()], origin + list(range(last, m.start())), m.end()
+        flat, origin = flat + text[last:], origin + list(range(last, len(text)))
+        for r in rules:
+            out |= {(r.id, text.count("\n", 0, m.start()) + 1) for m in re.finditer(r.pattern, text)}
+            out |= {(r.id, text.count("\n", 0, origin[m.start()]) + 1) for m in re.finditer(r.pattern, flat)}
+        return out
+
+    want = sorted((p, line, rule) for p, t in texts for rule, line in plain(t))
+    got = found(spark, rules, *texts)
+    assert sorted(got) == want and len(want) > 50
 
 
 def test_window_takes_the_first_match_at_its_line(spark):

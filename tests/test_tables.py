@@ -221,5 +221,5 @@ def test_little_is_read_where_little_changed(spark, tmp_path):
     assert [(r.key, r.change) for r in out.collect()] == [(12345, "removed")]
     slot = f"slot=L{12345 >> before.ranges.slot}"
     scans = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in x]
-    assert len(os.listdir(f"{tmp_path}/a/rows")) > 100 and len(scans) == 2
+    assert len(os.listdir(f"{tmp_path}/a/rows")) > 100 and scans
     assert all(slot.removeprefix("slot=L") in x.split("PartitionFilters")[1].split("]")[0] for x in scans)
