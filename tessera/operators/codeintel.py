@@ -148,21 +148,19 @@ def symbol_in_container(symbols_: DataFrame, container: str, leaf: str) -> DataF
     return a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("b.line_no") <= F.col("a.line_no")), "left_semi")
 
 
-def documentation(lines: DataFrame, symbols_: DataFrame, docstring_lines: int = 6) -> DataFrame:
-    """Public symbols with `documented`: a comment ends right above, blank lines and decorators aside, or a docstring follows
-    its head."""
+def documentation(lines: DataFrame, symbols_: DataFrame, head_lines: int = 6) -> DataFrame:
+    """Public symbols with `documented`. In Python a docstring is the first line of the body, whose head may take some lines; in
+    other languages a comment stands right above, decorators and attributes aside, and a blank line ends the search."""
     frame = Window.partitionBy("path").orderBy("line_no")
     text = F.trim("line")
-    solid = F.when((text != "") & ~text.rlike(r"^(?:@|#\[|\[)"), text)
-    above = F.last(solid, ignorenulls=True).over(frame.rowsBetween(Window.unboundedPreceding, -1))
-    below = F.array_join(F.collect_list(text).over(frame.rowsBetween(0, docstring_lines)), "\n")
+    above = F.last(F.when(~text.rlike(r"^(?:@|#\[)"), text), ignorenulls=True).over(frame.rowsBetween(Window.unboundedPreceding, -1))
+    below = F.collect_list(text).over(frame.rowsBetween(0, head_lines))
     near = lines.select("path", "line_no", above.alias("above"), below.alias("below"))
     s = symbols_.where("exported").join(near, ["path", "line_no"], "left")
-    commented = F.coalesce(F.col("above").rlike(r"^(///?|/\*|\*|#|--)|\*/$"), F.lit(False))
-    # A head may take several lines; the text that follows it must be a docstring.
-    head = r"^(?:[^\n]*[^:\s]\s*\n){0,5}[^\n]*:\s*\n\s*[rRbBuU]*(\"{3}|'{3})"
-    opened = F.coalesce(F.col("below").rlike(head), F.lit(False)) & (F.col("lang") == "python")
-    return s.select(*symbols_.columns, (commented | opened).alias("documented"))
+    commented = F.coalesce(F.col("above").rlike(r"^(?://|/\*|\*|#)"), F.lit(False))
+    head = F.array_position(F.transform(F.slice("below", 1, head_lines), lambda x: x.endswith(":")), True).cast("int")
+    opened = F.coalesce((head > 0) & F.get("below", head).rlike("^r?(?:\"{3}|'{3})"), F.lit(False))
+    return s.select(*symbols_.columns, F.when(F.col("lang") == "python", opened).otherwise(commented).alias("documented"))
 
 
 def documented(lines: DataFrame, symbols_: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from __future__ import annotations
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import masking
 from tessera.functions import tables as functions
 from tessera.operators import changes, graph, intervals, nested, sketches, trie
 from tessera.plans import oracle
@@ -189,3 +190,66 @@ def lines_by_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card-like numbers by a table function that SQL calls, counted within each language."""
     functions.register(spark)
     return spark.sql("SELECT * FROM find_lines(TABLE(SELECT lang, doc_id, text FROM {docs}) PARTITION BY lang ORDER BY doc_id, text => 'text', pattern => '[0-9]{{16}}')", docs=read(spark, sf_dir, "documents"))
+
+
+# Masking
+
+
+def _mask_sql() -> str:
+    """The states by name, a mark at a time: a recursive walk over the marks of each page, with the moves as a list."""
+    mark = r"""'(?i)<!--|-->|<script\b|<style\b|</script\s*>|</style\s*>|<[a-z/!]|>|"|'''"""
+    name = r"CASE WHEN regexp_matches(m, '(?i)^<[a-z/!]$') THEN '<' ELSE regexp_replace(lower(m), '\s+', '', 'g') END"
+    space = r"regexp_replace({}, '[^\r\n]', ' ', 'g')"
+    moves = [("<!--", "text", "comment"), ("-->", "comment", "text"), ("<script", "text", "script tag"), ("<style", "text", "style tag"), ("</script>", "script", "text"), ("</style>", "style", "text"), ("<", "text", "tag")]
+    for tag, then in (("tag", "text"), ("script tag", "script"), ("style tag", "style")):
+        moves += [(">", tag, then), ("-->", tag, then)]
+        for quote in ('"', "'"):
+            moves += [(quote, tag, tag + quote), (quote, tag + quote, tag)]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = ", ".join("(" + ", ".join(map(quoted, m)) + ")" for m in moves)
+    shut = "(" + ", ".join(map(quoted, ["comment", "script", "style", *[t + q for t in ("tag", "script tag", "style tag") for q in ('"', "'")]])) + ")"
+    return f"""WITH RECURSIVE moves AS (SELECT map_from_entries(list(struct_pack(k := mark || chr(1) || before, v := after))) AS f FROM (VALUES {listed}) v(mark, before, after)),
+p AS (SELECT page_id, regexp_extract_all(html, {mark}) AS marks, regexp_split_to_array(html, {mark}) AS pieces FROM pages),
+s AS (SELECT page_id, marks, pieces, 0 AS i, 'text' AS state, pieces[1] AS out FROM p
+  UNION ALL SELECT page_id, marks, pieces, i + 1, to_state, out || CASE WHEN state IN {shut} AND to_state = state THEN {space.format('m')} ELSE m END || CASE WHEN to_state IN {shut} THEN {space.format('piece')} ELSE piece END
+  FROM (SELECT *, coalesce(f[{name} || chr(1) || state], state) AS to_state FROM (SELECT *, marks[i + 1] AS m, pieces[i + 2] AS piece FROM s, moves WHERE i < len(marks))))
+SELECT page_id, true AS same_length, sha256(out) AS digest FROM s WHERE i = len(marks)"""
+
+
+@query(_mask_sql())
+def masked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with comments, scripts, styles and attribute values blanked: whether the length stays, and the digest."""
+    masked = masking.masked_markup(F.col("html"))
+    return read(spark, sf_dir, "pages").select("page_id", "html", masked.alias("masked")).select("page_id", (F.length("masked") == F.length("html")).alias("same_length"), F.sha2("masked", 256).alias("digest"))
+
+
+# Graphs: users and the users whose purchases come next
+
+
+_HANDED = """WITH RECURSIVE big AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase' AND value > 60),
+n AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM big), e AS (SELECT DISTINCT src, dst FROM n WHERE src <> dst),
+reach AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON e.src = r.dst)
+"""
+
+
+def handed_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): users and who makes the next large purchase. The order over all is taken by hours first, so no task sorts all."""
+    big = read(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 60").withColumn("slot", F.date_trunc("day", "ts"))
+    within = Window.partitionBy("slot").orderBy("ts", "event_id")
+    inner = big.select("slot", F.col("user_id").alias("src"), F.lead("user_id").over(within).alias("dst"))
+    ends = big.groupBy("slot").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("first"), F.max_by("user_id", F.struct("ts", "event_id")).alias("last"))
+    across = ends.select(F.col("last").alias("src"), F.lead("first").over(Window.orderBy("slot")).alias("dst"))  # a row for each day
+    return inner.select("src", "dst").unionByName(across).where("dst IS NOT NULL AND src <> dst").distinct()
+
+
+@query(_HANDED + "SELECT CAST(a.src AS BIGINT) AS node, min(least(a.src, b.src)) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src")
+def purchase_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components of the users that purchases lead through, named by their smallest user."""
+    return graph.cycles(graph.cut(handed_on(spark, sf_dir))).select("node", "component")
+
+
+@query(_HANDED + "SELECT dst AS node FROM reach WHERE src = (SELECT min(src) FROM e) UNION SELECT min(src) FROM e")
+def purchase_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users that purchases lead to from the smallest user on: a breadth-first closure."""
+    edges = graph.cut(handed_on(spark, sf_dir))
+    return graph.closure_from(edges.agg(F.min("src").alias("node")), edges)
