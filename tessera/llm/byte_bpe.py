@@ -6,7 +6,8 @@
    exchange.
 2. The lists are shuffled by bucket, so that a pre-token's copies meet, each distinct one is encoded once, and the ids go
    back to the blocks that asked. A pre-token moves once a block however often it occurs, so none is hot.
-3. A block's documents are reassembled by position from the ids. Decoding joins each id with the token-byte table.
+3. A block's documents are reassembled by position from the ids. Decoding looks each id up in the token-byte table, whose size
+   the vocabulary fixes; every task has it.
 
 Null and empty texts have no ids. Null ids of documents are carried through; repeated rows are encoded as often as they
 occur. Lone surrogates can't occur in Arrow strings. Empty tables give empty results; extra columns are ignored. Long
@@ -246,7 +247,7 @@ def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and the decoded bytes: each id is joined with the token-byte table, whose size the vocabulary fixes."""
+    """doc_id and the decoded bytes: each id is looked up in the token-byte table, whose size the vocabulary fixes."""
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
