@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import tables  # noqa: F401  registers its queries
+from tessera.plans import tables, verdicts  # noqa: F401  they register their queries
 from tessera.plans.queries import ORACLE_SQL, QUERIES, gate_score
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
