@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import diagram_label, module_of, without_credentials
 from tessera.operators.gate import Policy
+from tessera.operators.graph import cut
 from tessera.sources.files import is_test_path
 
 #: Files that mark a stack, and endings that do.
@@ -112,19 +113,33 @@ MODEL_CALLS = (
 )
 
 
+def regions(lines: DataFrame) -> DataFrame:
+    """Lines with `region`: the first line of the top-level block that a line is in, 0 for statements outside any. Python has a block
+    from a definition at the margin to the next line at the margin; in the other languages, braces say where it ends."""
+    running = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    change = F.length(F.regexp_replace("line", r"[^{]", "")) - F.length(F.regexp_replace("line", r"[^}]", ""))
+    depth = F.sum(change).over(running)
+    at_margin = F.when(F.col("ext") == "py", F.col("line").rlike(r"^[^\s#)\]}]")).otherwise((depth - change <= 0) & (F.trim("line") != ""))
+    opens = F.when(F.col("ext") == "py", F.col("line").rlike(r"^(?:async\s+)?(?:def|class)\b")).otherwise(depth > 0)
+    marked = lines.withColumn("start", F.when(at_margin, F.when(opens, F.col("line_no")).otherwise(0)))
+    return marked.withColumn("region", F.coalesce(F.last("start", ignorenulls=True).over(running), F.lit(0))).drop("start")
+
+
 def model_output_findings(lines: DataFrame) -> DataFrame:
-    """(path, line_no, rule, severity): variables that hold model output, directly or by one alias, and reach an exec or a raw
-    markup sink further down in the same function. A line is tested before what it assigns counts, so none taints itself."""
-    frame = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    source = lines.where(F.col("ext").isin("py", "js", "ts", "jsx", "tsx"))
-    region = source.withColumn("region", F.sum(F.col("line").rlike(r"^(?:export\s+)?(?:async\s+)?(?:def|function|class)\b").cast("int")).over(frame))
+    """(path, line_no, rule, severity): variables that hold model output, directly or by any number of aliases, and reach an exec
+    or a raw markup sink further down in the same region. A line is tested before what it assigns counts, so none taints itself."""
+    region = regions(lines.where(F.col("ext").isin("py", "js", "ts", "jsx", "tsx")))
     called = F.lit(False)
     for c in MODEL_CALLS:
         called = called | F.lower("line").contains(c)
     name = F.regexp_extract("line", r"^\s*(?:const|let|var)?\s*(\w+)\s*=[^=]", 1)
-    direct = region.where(called & (name != "")).select("path", "region", name.alias("var"), F.col("line_no").alias("since"))
-    alias = region.where(name != "").select("path", "region", name.alias("to"), F.regexp_extract("line", r"=\s*(?:await\s+)?(\w+)[.\[]?", 1).alias("var"), "line_no").join(direct, ["path", "region", "var"]).where("line_no > since").select("path", "region", F.col("to").alias("var"), F.col("line_no").alias("since"))
-    tainted = direct.unionByName(alias).distinct()
+    region = cut(region.withColumn("to", name))
+    assigned = region.where("to <> ''").select("path", "region", "to", F.regexp_extract("line", r"=\s*(?:await\s+)?(\w+)[.\[]?", 1).alias("var"), "line_no")
+    tainted = new = cut(region.where(called & (F.col("to") != "")).select("path", "region", F.col("to").alias("var"), F.col("line_no").alias("since")).distinct())
+    while not new.isEmpty():
+        step = assigned.join(new, ["path", "region", "var"]).where("line_no > since").select("path", "region", F.col("to").alias("var"), F.col("line_no").alias("since")).distinct()
+        new = cut(step.join(tainted, ["path", "region", "var", "since"], "left_anti"))
+        tainted = cut(tainted.unionByName(new))
     met = region.join(tainted, ["path", "region"]).where("line_no > since")
     in_call = F.expr(r"line RLIKE concat('(?:\\beval|\\bexec|subprocess\\.\\w+|os\\.system|child_process\\.\\w+)\\([^)]*\\b', var, '\\b')")
     shown = F.expr(r"line RLIKE '(?:innerHTML\\s*=|dangerouslySetInnerHTML|document\\.write\\()' AND line RLIKE concat('\\b', var, '\\b')")

@@ -55,6 +55,18 @@ def test_model_output(spark):
     assert [(r.line_no, r.rule, r.severity) for r in project.model_output_findings(src.lines(as_files(spark, ("a.py", text)))).collect()] == [(4, "taint-llm-output-exec", 4)]
 
 
+def test_model_output_by_aliases_and_regions(spark):
+    find = lambda path, text: [(r.line_no, r.rule) for r in project.model_output_findings(src.lines(as_files(spark, (path, text)))).orderBy("line_no").collect()]
+    chain = "async function f() {\n  const a = await openai.chat.completions.create(q);\n  const b = a.choices;\n  const c = b[0];\n  const d = c.text;\n  if (x) {\n    eval(d);\n  }\n}\n"
+    assert find("a.js", chain) == [(7, "taint-llm-output-exec")]
+    # The block is over with its brace: the same name further down is another variable, whether in a block or outside.
+    assert find("b.js", chain.replace("    eval(d);\n", "") + "const g = () => {\n  eval(d);\n}\neval(d);\n") == []
+    assert find("c.js", "const a = llm(q)\nfunction other() {\n  return 1\n}\nel.innerHTML = a\n") == [(5, "taint-llm-output-raw-html")]
+    assert find("d.py", "def f():\n    a = llm(q)\n    b = a\n    c = b\n    exec(c)\nexec(c)\n\ndef g():\n    exec(c)\n") == [(5, "taint-llm-output-exec")]
+    assert find("e.py", "a = llm(q)\nb = a\nb = b\nexec(b)\n") == [(4, "taint-llm-output-exec")]
+
+
+
 def test_policy():
     assert project.load_policy('block_at = "critical"\n[weights]\nhigh = 20')[0] == Policy(block_at=4, weights=(0, 1, 4, 20, 25))
     for bad in ('block_at = "huge"', "[weights]\nlow = -1", "x =", "weights = 3"):
