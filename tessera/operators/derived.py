@@ -143,3 +143,37 @@ def waves(steps: dict[str, list[str]]) -> tuple[list[list[str]], list[str]]:
         done |= set(ready)
         left = {s: n for s, n in left.items() if s not in done}
     return out, []
+
+
+#: Kinds of definitions that hold others.
+CONTAINERS = ("class", "type")
+
+
+def asked(names: DataFrame) -> DataFrame:
+    """(query, leaf, container) from (name): the last part of a qualified name and the one before it, null for a plain name."""
+    parts = F.filter(F.split("name", r"[.:/\\]"), lambda p: p != "")
+    return names.where("name <> ''").select(F.col("name").alias("query"), F.coalesce(F.get(parts, F.size(parts) - 1), F.col("name")).alias("leaf"), F.get(parts, F.size(parts) - 2).alias("container")).distinct()
+
+
+def symbol_definitions(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, path, line_no, kind, name, owned): definitions that bear a name asked for, by its full form or else by its last part; `owned`
+    says that this one answers the question: the full name, a plain name, or below a definition of the container in the
+    same file."""
+    q = asked(names)
+    s = symbols.select("path", "line_no", "kind", "name")
+    exact = q.join(s, F.col("query") == F.col("name")).select("query", "path", "line_no", "kind", "name", F.lit(True).alias("owned"))
+    rest = q.join(exact.select("query"), "query", "left_anti")
+    holders = s.where(F.col("kind").isin(*CONTAINERS)).groupBy(F.col("path").alias("in"), F.col("name").alias("holder")).agg(F.min("line_no").alias("from"))
+    leaves = rest.join(s, F.col("leaf") == F.col("name"))
+    held = leaves.join(holders, (F.col("path") == F.col("in")) & (F.col("container") == F.col("holder")), "left")
+    owned = F.col("container").isNull() | F.coalesce(F.col("from") <= F.col("line_no"), F.lit(False))
+    return exact.unionByName(held.select("query", "path", "line_no", "kind", "name", owned.alias("owned")))
+
+
+def symbol_findings(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """A finding for each name asked for that no definition answers: one of its last part stands elsewhere, or nowhere."""
+    met = symbol_definitions(symbols, names).groupBy("query").agg(F.bool_or("owned").alias("owned"))
+    open_ = asked(names).join(met, "query", "left").where("NOT coalesce(owned, false)")
+    elsewhere = F.col("owned").isNotNull()
+    rule, severity = F.when(elsewhere, "symbol-container-unconfirmed").otherwise("symbol-not-found"), F.when(elsewhere, 2).otherwise(3)
+    return open_.select("query", rule.alias("rule"), severity.cast("int").alias("severity"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line_no"), F.lit(True).alias("verified"), F.lit("verify/symbol").alias("cap"))

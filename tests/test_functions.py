@@ -134,3 +134,16 @@ def test_lines_with_the_one_above_equal_plain_lines(spark):
 def test_several_definitions_on_a_line(spark):
     files = spark.createDataFrame([("a.kt", "kt", "class A; class B\n"), ("b.java", "java", "public record P(int x) {}\n")], "path string, ext string, content string")
     assert sorted((r.path, r.name) for r in codeintel.symbols(src.lines(files)).collect()) == [("a.kt", "A"), ("a.kt", "B"), ("b.java", "P")]
+
+
+def test_symbol_verdicts(spark):
+    from tessera.operators import derived
+
+    files = spark.createDataFrame([("a.py", "py", "def lone():\n    pass\nclass Foo:\n    def bar(self):\n        pass\n"), ("b.py", "py", "def bar():\n    pass\n\nclass Late:\n    pass\n")], "path string, ext string, content string")
+    symbols = codeintel.symbols(src.lines(files))
+    names = spark.createDataFrame([(n,) for n in ("lone", "Foo.bar", "pkg::Foo::bar", "Late.bar", "Foo/lone", "made_up", "Foo.made_up", "Gone\\bar", "", "bar", "bar", "::")], "name string")
+    found = {r.query: (r.rule, r.severity) for r in derived.symbol_findings(symbols, names).collect()}
+    missing, apart = ("symbol-not-found", 3), ("symbol-container-unconfirmed", 2)
+    assert found == {"Late.bar": apart, "Foo/lone": apart, "Gone\\bar": apart, "made_up": missing, "Foo.made_up": missing, "::": missing}
+    owned = derived.symbol_definitions(symbols, names).where("owned")
+    assert sorted((r["query"], r.path, r.line_no) for r in owned.collect()) == [("Foo.bar", "a.py", 4), ("bar", "a.py", 4), ("bar", "b.py", 1), ("lone", "a.py", 1), ("pkg::Foo::bar", "a.py", 4)]
