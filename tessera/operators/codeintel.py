@@ -290,19 +290,18 @@ def constitution(files: DataFrame, rules: DataFrame, most_rules: int = 2000) ->
 
 
 def imports(lines: DataFrame) -> DataFrame:
-    """(src, dst): modules and the modules they import, where a target's last parts name exactly one module."""
+    """(src, dst): modules and the modules they import: the longest run of a target's segments that names one, or, for a target of
+    one segment, the only module that ends in it."""
+    from tessera.operators import trie
+
     patterns = {"python": r"^\s*(?:from|import)\s+([\w.]+)", "javascript": r"(?:from|require\()\s*['\"]([^'\"]+)['\"]", "typescript": r"from\s+['\"]([^'\"]+)['\"]", "java": r"^import\s+(?:static\s+)?([\w.]+)", "kotlin": r"^import\s+([\w.]+)", "scala": r"^import\s+([\w.]+)", "go": r"^\s*(?:import\s+)?\"([^\"]+)\"", "rust": r"^\s*(?:pub\s+)?use\s+(?:crate::)?([\w:]+)", "csharp": r"^using\s+([\w.]+)", "php": r"^use\s+([\w\\]+)", "ruby": r"^require(?:_relative)?\s+['\"]([^'\"]+)['\"]", "dart": r"^import\s+['\"]([^'\"]+)['\"]"}
     target = F.lit("")
     for lang, p in patterns.items():
         target = F.when(F.col("lang") == lang, F.regexp_extract("line", p, 1)).otherwise(target)
-    found = lines.withColumn("lang", language(F.col("ext"))).select(module_of(F.col("path")).alias("src"), F.regexp_replace(target, r"::|\.|\\", "/").alias("target")).where("target <> ''").distinct()
-    parts = F.filter(F.split("target", "/"), lambda x: ~x.isin("", ".", ".."))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(i, F.size(parts)), lambda j: F.struct((j - i + 1).alias("n"), F.array_join(F.slice(parts, i, j - i + 1), "/").alias("part")))))
-    windows = found.where(F.size(parts) > 0).select("src", "target", F.explode(runs).alias("w")).select("src", "target", "w.n", "w.part")
-    modules = lines.select(module_of(F.col("path")).alias("dst")).distinct()
-    met = windows.join(modules, F.col("part") == F.col("dst"))
-    best = Window.partitionBy("src", "target").orderBy(F.desc("n"), "dst")
-    return met.withColumn("k", F.row_number().over(best)).where("k = 1 AND src <> dst").select("src", "dst").distinct()
+    found = lines.withColumn("lang", language(F.col("ext"))).select(module_of(F.col("path")).alias("src"), target.alias("target")).where("target <> ''").distinct()
+    modules = lines.select(module_of(F.col("path")).alias("module")).distinct().where("module <> '(root)'")
+    named = trie.resolve(found, modules).withColumnRenamed("module", "dst")
+    return found.join(named, "target").where("src <> dst").select("src", "dst").distinct()
 
 
 def commits_by_type(commits: DataFrame) -> DataFrame:
