@@ -576,7 +576,7 @@ def dead_exports(spark, sf_dir):
     return codeintel.dead_exports(codeintel.symbols(shop_lines(spark)), fixture(spark, "shop"))
 
 
-@example("SELECT * FROM (VALUES (5, 2, CAST(40 AS DOUBLE))) AS t(n, n_documented, percent)")
+@example("SELECT * FROM (VALUES (5, 1, CAST(20 AS DOUBLE))) AS t(n, n_documented, percent)")
 def documented_share(spark, sf_dir):
     lines = shop_lines(spark)
     return codeintel.documented(lines, codeintel.symbols(lines))
