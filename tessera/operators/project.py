@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import diagram_label, module_of, without_credentials
 from tessera.operators.gate import Policy
-from tessera.operators.graph import cut
+from tessera.operators.graph import cut, stored
 from tessera.sources.files import is_test_path
 
 #: Files that mark a stack, and endings that do.
@@ -133,7 +133,7 @@ def model_output_findings(lines: DataFrame) -> DataFrame:
     for c in MODEL_CALLS:
         called = called | F.lower("line").contains(c)
     name = F.regexp_extract("line", r"^\s*(?:const|let|var)?\s*(\w+)\s*=[^=]", 1)
-    region = cut(region.withColumn("to", name))
+    region = stored(region.withColumn("to", name))
     assigned = region.where("to <> ''").select("path", "region", "to", F.regexp_extract("line", r"=\s*(?:await\s+)?(\w+)[.\[]?", 1).alias("var"), "line_no")
     tainted = new = cut(region.where(called & (F.col("to") != "")).select("path", "region", F.col("to").alias("var"), F.col("line_no").alias("since")).distinct())
     while not new.isEmpty():
