@@ -1,29 +1,32 @@
-"""Nested values of unknown shape: documents parsed once into variants and walked by a recursive query."""
+"""Nested values of unknown shape: documents parsed once into variants and walked a level at a time."""
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of nesting that are walked; what is deeper is an error, as the recursion then ends without being done.
+from tessera.operators import graph
+
+#: Levels of nesting that are walked; what is deeper is an error.
 DEPTH = 64
 
 
 def nodes(df: DataFrame, key: str, json: str) -> DataFrame:
     """(key, path, type, value) of every value in the documents, the document itself at `$`; objects' members by name in the
-    order of names, arrays' by number. Texts that are no JSON have no rows. `value` is a variant."""
-    spark, name = df.sparkSession, f"nested_{uuid.uuid4().hex}"
-    df.select(F.col(key).alias("key"), F.try_parse_json(json).alias("v")).where("v IS NOT NULL").createOrReplaceTempView(name)
-    out = spark.sql(f"""
-        WITH RECURSIVE walk(key, path, v) MAX RECURSION LEVEL {DEPTH} AS (
-          SELECT key, '$', v FROM {name}
-          UNION ALL
-          SELECT w.key, w.path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END, e.value
-          FROM walk w, LATERAL variant_explode(w.v) AS e)
-        SELECT key, path, regexp_replace(schema_of_variant(v), '<.*', '') AS type, v AS value FROM walk""")
-    return out
+    order of names, arrays' by number. Texts that are no JSON have no rows. `value` is a variant. Objects and arrays are
+    stored by level, whatever their number; what they hold is read off them, so plain values are stored nowhere."""
+    spark = df.sparkSession
+    typed = lambda level: level.select("key", "path", F.regexp_replace(F.schema_of_variant("value"), "<.*", "").alias("type"), "value")
+    levels = [typed(df.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.try_parse_json(json).alias("value")).where("value IS NOT NULL"))]
+    for _ in range(DEPTH + 1):
+        holders = graph.cut(levels[-1].where("type IN ('OBJECT', 'ARRAY')"))
+        if holders.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        held = spark.sql("SELECT h.key, h.path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END AS path, e.value FROM {holders} h, LATERAL variant_explode(h.value) AS e", holders=holders)
+        levels.append(typed(held))
+    raise RuntimeError(f"values are nested deeper than {DEPTH} levels")
 
 
 def shapes(df: DataFrame, key: str, json: str) -> DataFrame:

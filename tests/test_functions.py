@@ -91,6 +91,14 @@ def test_nested_values_at_any_depth(spark):
     assert nested.shapes(df.limit(0), "id", "j").count() == 0
 
 
+def test_nested_values_are_not_bounded_in_number(spark):
+    df = spark.range(0, 400_000, 1, 4).select("id", F.format_string('{"a": [%d, null]}', "id").alias("j"))
+    got = {(r.path, r.type): r.n for r in nested.shapes(df, "id", "j").collect()}
+    assert got == {("$", "OBJECT"): 400_000, ("$.a", "ARRAY"): 400_000, ("$.a[*]", "BIGINT"): 400_000, ("$.a[*]", "VOID"): 400_000}
+    with pytest.raises(Exception, match="nested deeper"):
+        nested.nodes(spark.createDataFrame([(0, "[" * 70 + "]" * 70)], "id int, j string"), "id", "j")
+
+
 def test_lock_files_are_walked_the_same_way(spark):
     lock = {"version": "9.9.9", "dependencies": {"a": {"version": "1.0.0", "dependencies": {"b.c": {"version": "2.0.0"}, "@s/d": {"version": "3.0.0"}}}}}
     v2 = {"packages": {"": {"version": "1"}, "node_modules/e": {"version": "4.0.0"}, "node_modules/e/node_modules/f": {"version": "5.0.0"}}}
