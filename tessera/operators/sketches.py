@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: lg of the registers of a distinct sketch, k of a quantile sketch, items that a frequency sketch tracks.
-REGISTERS, RANKS, ITEMS = 12, 800, 10_000
-#: Relative error of three standard deviations at 2 ** 12 registers; rank error of a quantile sketch at k = 800, at 99 %.
-DISTINCT_ERROR, RANK_ERROR = 3 * 1.04 / 64, 0.005
+REGISTERS, RANKS, ITEMS = 14, 1600, 10_000
+#: Relative error of six standard deviations at 2 ** 14 registers; rank error of a quantile sketch, more than seven standard
+#: deviations at k = 1600. So bounds hold in each of millions of groups, not only in most.
+DISTINCT_ERROR, RANK_ERROR = 6 * 1.04 / 128, 0.005
 
 
 def parts(df: DataFrame, by: list[str], distinct: str, value: str, item: str) -> DataFrame:

@@ -171,7 +171,8 @@ def item_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = sketches.estimates(sketches.merged(stored, by), by, k=7)
     exact = items.groupBy(*by).agg(F.countDistinct("l_partkey").alias("d"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)").alias("m"))
     top = F.array_sort("frequent", lambda a, b: F.when(a["count"] != b["count"], (b["count"] - a["count"]).cast("int")).otherwise(a["item"] - b["item"]))
-    return told.join(exact, by).select(*by, "n", F.col("d").between(F.col("distinct_low"), F.col("distinct_high")).alias("distinct_held"), F.col("m").between(F.col("quantile_low"), F.col("quantile_high")).alias("median_held"), top[0]["item"].alias("most"))
+    same = F.col("t.l_returnflag").eqNullSafe(F.col("e.l_returnflag")) & F.col("t.month").eqNullSafe(F.col("e.month"))
+    return told.alias("t").join(exact.alias("e"), same).select(*[f"t.{c}" for c in by], "n", F.col("d").between(F.col("distinct_low"), F.col("distinct_high")).alias("distinct_held"), F.col("m").between(F.col("quantile_low"), F.col("quantile_high")).alias("median_held"), top[0]["item"].alias("most"))
 
 
 _EVENT_JSON = """'{"type": "' || event_type || '", "at": [' || user_id || ', "x", ' || props || '], "props": ' || props || ', "none": null, "half": 0.5}'"""
