@@ -51,6 +51,13 @@ def test_line_rules_stay_native_and_read_what_they_need(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_markup_all_reaches_every_rule_of_its_sql(spark):
+    """The given pages miss a viewport only; two pages made for it hold the other four."""
+    out = QUERIES["markup_all"](spark, SF)
+    assert {r.rule for r in out.select("rule").distinct().collect()} == {"ui-viewport-missing", "ui-viewport-zoom-blocked", "ui-img-without-alt", "ui-input-without-label", "ui-clickable-nonsemantic"}
+    assert {r.path for r in out.select("path").distinct().collect()} > {"p.html", "q.html"}
+
+
 def test_sql_states_its_own_literals():
     """No text of the SQL comes from the rule tables: a changed rule must make its query differ."""
     import inspect
