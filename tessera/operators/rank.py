@@ -1,10 +1,13 @@
-"""Ranking by cosine with a bonus for shared words; the best k come from a bounded heap in each task."""
+"""Ranking by cosine with a bonus for shared words; the best k come from a bounded heap in each task. Running totals within groups
+of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import graph
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -29,3 +32,18 @@ def router(capabilities: DataFrame, query: str, k: int = 6) -> DataFrame:
     """Capabilities (id, when_to_use) by the words that they share with a wish."""
     score = keyword_bonus(F.lit(query), F.concat_ws(" ", "id", "when_to_use"))
     return capabilities.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+
+
+def running(df: DataFrame, by: list[str], order: list[Column], weight: Column | None = None) -> DataFrame:
+    """df with `before`: the weight (1 if none is given) of the rows of its group that come earlier. Ranges of (by, order) are
+    summed by themselves, so no task holds a group; what is summed over all of a group is a row for each of its ranges."""
+    w = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
+    ranged = graph.cut(df.withColumn("weight", w).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("range", F.spark_partition_id()))
+    total = lambda c, window: F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy(*by, "range").agg(F.sum("weight").alias("sum"))
+    earlier = ranges.select(*by, "range", total("sum", Window.partitionBy(*by).orderBy("range")).alias("earlier")).alias("e")
+    within = ranged.withColumn("within", total("weight", Window.partitionBy(*by, "range").orderBy(*order))).alias("w")
+    same = F.col("w.range") == F.col("e.range")
+    for c in by:
+        same = same & F.col(f"w.{c}").eqNullSafe(F.col(f"e.{c}"))
+    return within.join(earlier, same).select(*[f"w.{c}" for c in df.columns], (F.col("within") + F.col("earlier")).alias("before"))

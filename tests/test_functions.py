@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import masking
 from tessera.functions import tables as functions
-from tessera.operators import codeintel, nested, sketches
+from tessera.operators import codeintel, nested, rank, sketches
+from tessera.plans import tables
 from tessera.sources import files as src
 
 
@@ -130,6 +131,35 @@ def test_table_function_takes_any_table(spark):
             run(text, pattern).collect()
 
 
+def test_lines_of_a_language_are_found_by_more_than_one_task(spark, tmp_path, monkeypatch):
+    number = lambda i: f"{i:016d}"
+    docs = spark.createDataFrame([(i, None if i % 5 == 0 else "en", f"a\n{number(i)}\nb {number(i + 1)}") for i in range(200)], "doc_id bigint, lang string, text string")
+    docs.repartition(4, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, tables.lines_by_function(spark, str(tmp_path)).collect()), key=lambda r: (r[0] or "", r[4]))
+    want = [(lang, i, n + 2, number(i + n), k) for lang in (None, "en") for k, (i, n) in enumerate([(i, n) for i in range(200) if (i % 5 == 0) == (lang is None) for n in (0, 1)], 1)]
+    assert got == want
+
+    class Where(functions.FindLines):
+        def eval(self, rows, text, pattern):
+            from pyspark import TaskContext
+
+            yield from ((*r[:-2], str(TaskContext.get().partitionId()), r[-1]) for r in super().eval(rows, text, pattern))
+
+    monkeypatch.setattr(functions, "FindLines", Where)
+    assert tables.lines_by_function(spark, str(tmp_path)).where("lang = 'en'").select("found").distinct().count() > 1
+
+
+def test_running_totals_in_groups_of_any_size(spark):
+    random.seed(5)
+    rows = [(random.choice(["a"] * 20 + ["b", None]), i, random.randrange(4)) for i in random.sample(range(1000), 1000)] + [("c", None, 3), ("c", 7, 2)]
+    df = spark.createDataFrame(rows, "g string, k int, w int")
+    after = lambda r: (r[1] is None, r[1] or 0)
+    for weight in (None, F.col("w")):
+        got = {(r.g, r.k): r.before for r in rank.running(df, ["g"], [F.asc_nulls_last("k")], weight).collect()}
+        assert got == {(g, k): sum(1 if weight is None else x[2] for x in rows if x[0] == g and after(x) < after((g, k))) for g, k, _ in rows}
+    assert rank.running(df.limit(0), ["g"], [F.asc("k")]).count() == 0
+
+
 def test_documentation(spark):
     texts = [
         ("a.py", 'def one(\n    a,\n):\n    """Doc."""\n# Not a docstring.\ndef two():\n    pass\ndef three():\n\n    """After a blank line."""\nclass Four:\n    r\'\'\'Doc.\'\'\'\n', {"one", "Four"}),
