@@ -81,14 +81,16 @@ peaks AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS month, epo
 SELECT o_orderpriority, strftime(month, '%Y-%m') AS month, count(*) AS n, CAST(sum(least(spans.e, peaks.e) - greatest(spans.s, peaks.s)) AS BIGINT) AS seconds
 FROM peaks JOIN spans ON spans.s <= peaks.e AND peaks.s <= spans.e WHERE spans.s <= spans.e GROUP BY 1, 2""")
 def shipping_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Goods on their way (order to shipment) during windows at the start of each month and priority: an interval join."""
+    """Goods on their way (order to shipment) during windows at the start of each month and priority: an interval join. Goods that
+    are on their way in the same seconds are joined as one, with their number."""
     orders, items = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
     second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    spans = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(second("o_orderdate").alias("s"), second("l_shipdate").alias("e"))
+    spans = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(second("o_orderdate").alias("s"), second("l_shipdate").alias("e")).agg(F.count("*").alias("n"))
     first = F.min(second("o_orderdate"))
     peaks = orders.groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(first.alias("s"), (first + 86400 * (1 + F.count("*") % 20)).alias("e"))
     seconds = F.least("l.e", "r.e") - F.greatest("l.s", "r.s")
-    return intervals.overlaps(spans, peaks, ("s", "e"), ("s", "e")).groupBy("r.o_orderpriority", "r.month").agg(F.count("*").alias("n"), F.sum(seconds).alias("seconds"))
+    met = intervals.overlaps(graph.cut(spans), graph.cut(peaks), ("s", "e"), ("s", "e"))
+    return met.groupBy("r.o_orderpriority", "r.month").agg(F.sum("l.n").alias("n"), F.sum(F.col("l.n") * seconds).alias("seconds"))
 
 
 # Streams: the events as they might arrive

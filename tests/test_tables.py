@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import changes, intervals, trie
+from tessera.plans import tables
 from tessera.sources import committed
 from tessera.streaming import state
 
@@ -68,6 +69,23 @@ def test_intervals_equal_all_pairs(spark):
     assert intervals.overlaps(l.limit(0), r, ("s", "e"), ("s", "e")).count() == 0
 
 
+def test_overlaps_join_equal_spans_once(spark, tmp_path, monkeypatch):
+    """Ten times the items at the same times are ten times the numbers, from no more rows of the join."""
+    at = lambda c: F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval({c})")
+    met = []
+    whole = intervals.overlaps
+    monkeypatch.setattr(intervals, "overlaps", lambda *a: met.append(whole(*a)) or met[-1])
+    got = []
+    for k in (1, 10):
+        orders = spark.range(60).select(F.col("id").alias("o_orderkey"), at("id % 50").alias("o_orderdate"), F.concat(F.lit("p"), F.col("id") % 2).alias("o_orderpriority"))
+        items = spark.range(60 * 3 * k).select((F.col("id") % 60).alias("l_orderkey"), at("id % 60 % 50 + (id div 60) % 3 - 1").alias("l_shipdate"))
+        orders.write.parquet(f"{tmp_path}/{k}/orders.parquet")
+        items.write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        got.append({(r.o_orderpriority, r.month): (r.n, r.seconds) for r in tables.shipping_overlaps(spark, f"{tmp_path}/{k}").collect()})
+    assert len(got[0]) == 4 and {g: (10 * n, 10 * t) for g, (n, t) in got[0].items()} == got[1]
+    assert met[0].count() == met[1].count() > 0
+
+
 # Streams
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"
