@@ -47,3 +47,28 @@ def running(df: DataFrame, by: list[str], order: list[Column], weight: Column |
     for c in by:
         same = same & F.col(f"w.{c}").eqNullSafe(F.col(f"e.{c}"))
     return within.join(earlier, same).select(*[f"w.{c}" for c in df.columns], (F.col("within") + F.col("earlier")).alias("before"))
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """by and a column for each share of `at`: the exact percentile, between its two neighbours in proportion. Equal values are one
+    with their number, and values are placed by `running`, so no task holds a group's. Groups without a value are left out."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    placed = running(counts, by, [F.asc("value")], F.col("n")).alias("p")
+    totals = df.groupBy(*by).agg(F.count(value).alias("total")).alias("t")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}"))
+    holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+    position = lambda share: (F.col("total") - 1) * F.lit(float(share))
+    low, high = (lambda share: F.floor(position(share))), (lambda share: F.ceil(position(share)))
+    needed = F.lit(False)
+    for share in at.values():
+        needed = needed | holds(low(share)) | holds(high(share))
+    found = placed.join(totals, same).where(needed).select(*[f"p.{c}" for c in by], "value", "n", "before", "total")
+
+    def read(share: float) -> Column:
+        below, above = (F.max(F.when(holds(place(share)), F.col("value").cast("double"))) for place in (low, high))
+        part = F.max(position(share))
+        return F.when(below == above, below).otherwise((F.ceil(part) - part) * below + (part - F.floor(part)) * above)
+
+    return found.groupBy(*by).agg(*[read(share).alias(name) for name, share in at.items()])

@@ -827,8 +827,10 @@ def window_ranks(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(stddev_samp(l_extendedprice), 4) AS deviation FROM lineitem GROUP BY 1")
 def percentiles(spark, sf_dir):
-    l = read(spark, sf_dir, "lineitem").groupBy("l_returnflag")
-    return l.agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median"), F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("deviation"))
+    l = read(spark, sf_dir, "lineitem")
+    p = rank.percentiles(l, ["l_returnflag"], "l_extendedprice", {"median": 0.5, "p90": 0.9}).alias("p")
+    d = l.groupBy("l_returnflag").agg(F.stddev_samp("l_extendedprice").alias("deviation")).alias("d")
+    return d.join(p, F.col("d.l_returnflag").eqNullSafe(F.col("p.l_returnflag")), "left").select("d.l_returnflag", *[F.round(c, 4).alias(c) for c in ("median", "p90", "deviation")])
 
 
 @query("""SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import masking
 from tessera.functions import tables as functions
 from tessera.operators import codeintel, nested, rank, sketches
-from tessera.plans import tables
+from tessera.plans import queries, tables
 from tessera.sources import files as src
 
 
@@ -160,6 +160,18 @@ def test_running_totals_in_groups_of_any_size(spark):
     assert rank.running(df.limit(0), ["g"], [F.asc("k")]).count() == 0
 
 
+def test_percentiles_hold_no_group_in_a_task(spark):
+    random.seed(6)
+    rows = [(random.choice(["a"] * 9 + ["b", None]), random.choice([None, 1.0, random.random() * 50])) for _ in range(2000)] + [("one", 4.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = rank.percentiles(df, ["g"], "v", {"low": 0.0, "mid": 0.5, "p90": 0.9, "top": 1.0})
+    want = df.where("v IS NOT NULL").groupBy("g").agg(*[F.percentile("v", s).alias(n) for n, s in (("low", 0.0), ("mid", 0.5), ("p90", 0.9), ("top", 1.0))])
+    show = lambda df: sorted((str(r.g), *[round(x, 9) for x in r[1:]]) for r in df.collect())
+    assert show(out) == show(want) and len(show(out)) == 4
+    plan = queries.percentiles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan
+
+
 def test_documentation(spark):
     texts = [
         ("a.py", 'def one(\n    a,\n):\n    """Doc."""\n# Not a docstring.\ndef two():\n    pass\ndef three():\n\n    """After a blank line."""\nclass Four:\n    r\'\'\'Doc.\'\'\'\n', {"one", "Four"}),
